@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, sharding
+from . import decontaminate, exact_dedup, line_dedup, mixing, sharding, simhash
 
 QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_decontamination": decontaminate.op7_decontamination,
     "op8_mixing": mixing.op8_mixing,
+    "op9_simhash": simhash.op9_simhash,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
