@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, sharding, simhash, suffix_dedup
+from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, quality, sharding, simhash, suffix_dedup, token_counts
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_language_id": language_id.op3_language_id,
     "op4_sharding": sharding.op4_sharding,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_quality": quality.op6_quality,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_mixing": mixing.op8_mixing,
     "op9_simhash": simhash.op9_simhash,
