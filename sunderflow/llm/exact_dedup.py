@@ -31,10 +31,12 @@ def cut(text: Column, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def clashing_chunks(chunks: DataFrame) -> DataFrame:
-    """(_h, chunk, _rank): the chunks whose hash other chunks have too, numbered within it."""
+def clashing_chunks(chunks: DataFrame) -> DataFrame | None:
+    """(_h, chunk, _rank): the chunks whose hash other chunks have too, numbered within it; None if there are none."""
     seen = chunks.groupBy("_h", "chunk").agg(F.count(F.lit(1)).alias("_n"))
-    several = seen.groupBy("_h").agg(F.count(F.lit(1)).alias("_texts")).where("_texts > 1")
+    several = durable(seen.groupBy("_h").agg(F.count(F.lit(1)).alias("_texts")).where("_texts > 1").select("_h"), "chunk-clashes")
+    if several.isEmpty():
+        return None
     w = Window.partitionBy("_h").orderBy("chunk")
     return seen.join(several, "_h", "left_semi").select("_h", "chunk", F.row_number().over(w).cast("long").alias("_rank"))
 
@@ -48,10 +50,10 @@ def recipes(docs: DataFrame, hashed: Callable[[Column], Column] = chunk_hash, le
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.length(text).alias("n_points"), without_spaces(text).alias("_norm"))
     chunks = rows.select(F.explode(cut(F.col("_norm"), least, most)).alias("chunk")).select(hashed(F.col("chunk")).alias("_h"), "chunk")
-    clashes = durable(clashing_chunks(chunks), "chunk-clashes")
+    clashes = clashing_chunks(chunks)
     parts = rows.select("doc_id", "n_points", F.sha2("_norm", 256).alias("text_sha256"), cut(F.col("_norm"), least, most).alias("_chunks"))
     plain = parts.withColumn("recipe", F.transform("_chunks", lambda c: hashed(c)))
-    if clashes.isEmpty():
+    if clashes is None:
         return plain.drop("_chunks")
     # Some hashes stand for several texts: the documents with such chunks get numbered identifiers.
     named = plain.withColumn("_row", F.struct("doc_id", "n_points", "text_sha256"))
@@ -71,6 +73,7 @@ def exact_dedup(docs: DataFrame, hashed: Callable[[Column], Column] = chunk_hash
     all_rows = durable(all_rows.withColumn("_last", F.col("doc_id").isNull()), "recipes")
     order = F.struct((-F.col("n_points")).alias("a"), F.col("_last").alias("b"), F.coalesce("doc_id", F.lit(0)).alias("c"))
     groups = all_rows.groupBy("_rk", "recipe").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("_best"))
+    groups = durable(groups, "recipe-groups")  # so that the join can split a hot group
     joined = all_rows.join(groups, ["_rk", "recipe"]).drop("recipe")
     best = (F.col("n_points") == -F.col("_best.a")) & (F.col("_last") == F.col("_best.b")) & (F.coalesce("doc_id", F.lit(0)) == F.col("_best.c"))
     joined = joined.withColumn("_is_best", best)
