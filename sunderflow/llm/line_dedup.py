@@ -44,6 +44,7 @@ def line_dedup(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = MI
     """doc_id, kept_text, n_lines, n_dropped for every row."""
     found = durable(lines(docs, min_points), "lines")
     common = found.groupBy("_h1", "_h2").agg(F.countDistinct("_id").alias("_docs"), F.min("_id").alias("_owner")).where(F.col("_docs") >= min_docs)
+    common = durable(common.select("_h1", "_h2", "_owner"), "common-lines")  # so that the join can split a hot line
     dropped = found.join(common, ["_h1", "_h2"]).where(F.col("_id") != F.col("_owner"))
     positions = dropped.groupBy("_id", "_th").agg(F.sort_array(F.collect_set("_at")).alias("_drop"))
     rows = docs.select("doc_id", _id(), _text_hash(), "text")
