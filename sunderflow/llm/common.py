@@ -41,6 +41,11 @@ def trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
+def word_count(text: Column) -> Column:
+    """The number of words; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def key128(c: Column) -> list[Column]:
     """Two differently seeded 64-bit hashes of a column: [h1, h2]."""
     return [F.xxhash64(F.lit(1), c).alias("_h1"), F.xxhash64(F.lit(2), c).alias("_h2")]
@@ -85,4 +90,4 @@ def arrow_batches(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-__all__ = ["F", "T", "Window", "arrow_batches", "ascii_lower", "bucket_count", "documents", "durable", "hex_bucket", "key128", "null_safe_key", "running_total", "seeded", "shared_folder", "trimmed", "without_spaces", "WORD", "SPACES"]
+__all__ = ["F", "T", "Window", "arrow_batches", "ascii_lower", "bucket_count", "documents", "durable", "hex_bucket", "key128", "null_safe_key", "running_total", "seeded", "shared_folder", "trimmed", "without_spaces", "word_count", "WORD", "SPACES"]

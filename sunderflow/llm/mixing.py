@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import WORD, F, Window, bucket_count, documents, durable, hex_bucket, null_safe_key, running_total, seeded
+from .common import F, Window, bucket_count, documents, durable, hex_bucket, null_safe_key, running_total, seeded, word_count
 
 SEED, MAX_EPOCHS, WEIGHTS = 29, 3, (5, 2, 1)
 
@@ -48,18 +48,17 @@ def repetitions(rows: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple[in
     summed = running_total(rows.withColumn("_b", hex_bucket(F.col("_k"), buckets)), ["_sn", "_sv"], "_b", order, F.col("size"), "_cum")
     summed = durable(summed.drop("_b").join(plan, ["_sn", "_sv"]).withColumn("_in", (F.col("_cum") <= F.col("_rest")) & (F.col("size") > 0)), "mix-sums")
     used = summed.groupBy("_sn", "_sv").agg(F.max("_rest").alias("_rest"), F.coalesce(F.max(F.when(F.col("_in"), F.col("_cum"))), F.lit(0)).alias("_used"))
-    gaps = used.select("_sn", "_sv", (F.col("_rest") - F.col("_used")).alias("_gap"))
+    gaps = durable(used.select("_sn", "_sv", (F.col("_rest") - F.col("_used")).alias("_gap")), "mix-gaps")
     offered = summed.where(~F.col("_in") & (F.col("size") > 0)).join(gaps, ["_sn", "_sv"]).withColumn("_miss", F.abs(F.col("size") - F.col("_gap")))
     fills = offered.where(F.col("_miss") < F.col("_gap")).groupBy("_sn", "_sv").agg(F.min(F.struct("_miss", "_cum")).alias("_fill"))
-    out = summed.join(fills, ["_sn", "_sv"], "left")
+    out = summed.join(durable(fills, "mix-fills"), ["_sn", "_sv"], "left")  # a table, so that a hot source can be split
     extra = F.col("_in") | F.coalesce((F.col("_fill._cum") == F.col("_cum")) & (F.col("size") > 0), F.lit(False))
     return out.withColumn("copies", F.col("_whole") + extra.cast("long")).drop("_whole", "_rest", "_cum", "_in", "_fill")
 
 
 def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", size.alias("size"), *null_safe_key(F.col("source")), seeded(seed, F.col("doc_id")).alias("_k"))
+    rows = docs.select("doc_id", word_count(F.col("text")).alias("size"), *null_safe_key(F.col("source")), seeded(seed, F.col("doc_id")).alias("_k"))
     out = repetitions(durable(rows, "mix-rows"), max_epochs, weights)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
