@@ -6,7 +6,7 @@ where windows (13 item words, or a whole shorter item) occur. Words inside an oc
 words reach a share of its words is contaminated.
 
 Items come in blocks of at most MAX_BLOCK words, one automaton each, so what a task holds is bounded whatever the
-benchmark's size; with several blocks documents pass each in turn and their hit spans are merged per document.
+benchmark's size; with several blocks every document passes each of them and its hit spans are merged.
 
 Null and wordless texts have no words and are never contaminated; null and wordless items have no window. Items with
 equal texts all count. A null item_id counts as ''. Rows that repeat a doc_id are rows of their own. An empty
@@ -16,12 +16,12 @@ benchmark hits nothing. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from .common import F, documents
 
@@ -155,66 +155,57 @@ def blocks(benchmark: DataFrame, max_block: int = MAX_BLOCK) -> Iterator[list[tu
     yield block
 
 
-def _scan(docs: DataFrame, block: list[tuple[str, list[bytes]]], window: int) -> DataFrame:
-    """doc_id, _th, n_words, _spans, _items for one block of items."""
-    spark = docs.sparkSession
+_MATCHED = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+_JUDGED = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("spans", pa.list_(pa.int64()))])
+
+
+def matched(text: Column, block: list[tuple[str, list[bytes]]], window: int, spark: SparkSession) -> Column:
+    """struct(n_words, spans, items) of a text column, for one block of items; spans lists begins and ends."""
     shipped = spark.sparkContext.broadcast(block)
-    kinds = pa.schema([("doc_id", pa.int64()), ("_th", pa.int64()), ("n_words", pa.int64()), ("_spans", pa.list_(pa.int64())), ("_items", pa.list_(pa.string()))])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = SuffixAutomaton(shipped.value, window)
-        for b in batches:
-            counts, spans, items = [], [], []
-            for x in b.column(2):
-                text = words_of(x.as_buffer().to_pybytes()) if x.is_valid else []
-                where, which = automaton.matches(text)
-                counts.append(len(text))
-                spans.append([p for s in merged(where) for p in s])
-                items.append([automaton.names[i] for i in which])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], schema=kinds)
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_text"))
-    return rows.mapInArrow(run, "doc_id long, _th long, n_words long, _spans array<bigint>, _items array<string>")
-
-
-def _digest(rows: DataFrame) -> DataFrame:
-    """From any number of scans of a document (arrays of arrays in _spans, _items): the merged spans and the counts."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("_th", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("spans", pa.list_(pa.int64()))])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hit, count, digests, kept = [], [], [], []
-            for spans, items in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                whole = merged([(s[i], s[i + 1]) for s in spans for i in range(0, len(s), 2)])
-                names = sorted(x for y in items for x in y)
-                hit.append(sum(e - a for a, e in whole))
-                count.append(len(names))
-                digests.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-                kept.append([p for s in whole for p in s])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(digests), pa.array(kept, pa.list_(pa.int64()))], schema=kinds)
-
-    return rows.mapInArrow(run, "doc_id long, _th long, n_words long, n_hit long, n_items long, items_sha256 string, spans array<bigint>")
+        for texts in batches:
+            rows = []
+            for x in texts:
+                words = words_of(x.as_buffer().to_pybytes()) if x.is_valid else []
+                where, which = automaton.matches(words)
+                rows.append((len(words), [p for s in merged(where) for p in s], [automaton.names[i] for i in which]))
+            yield pa.array([dict(zip(("n_words", "spans", "items"), r, strict=True)) for r in rows], _MATCHED)
 
+    return F.arrow_udf(run, "n_words long, spans array<bigint>, items array<string>")(text.cast("binary"))
+
+
+def _judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The union of what all blocks matched in a document."""
+    for blocks_of_rows in batches:
+        out = []
+        for found in blocks_of_rows.to_pylist():
+            whole = merged([(m["spans"][i], m["spans"][i + 1]) for m in found for i in range(0, len(m["spans"]), 2)])
+            names = sorted(x for m in found for x in m["items"])
+            digest = hashlib.sha256(",".join(names).encode()).hexdigest()
+            out.append({"n_words": found[0]["n_words"], "n_hit": sum(e - a for a, e in whole), "n_items": len(names), "items_sha256": digest, "spans": [p for s in whole for p in s]})
+        yield pa.array(out, _JUDGED)
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_block: int = MAX_BLOCK, share: int = SHARE) -> DataFrame:
-    """One row per document: doc_id, _th (hash of the text), n_words, n_hit, n_items, items_sha256, spans, contaminated.
+
+def judged(docs: DataFrame, benchmark: DataFrame, out: str, window: int = WINDOW, max_block: int = MAX_BLOCK, share: int = SHARE) -> DataFrame:
+    """docs with a column `out`: struct(n_words, n_hit, n_items, items_sha256, spans, contaminated). Nothing is shuffled.
 
     spans lists first and last + 1 of each hit run of words; contaminated: hit words are at least 1 / share of all.
     """
-    scans = [_scan(docs, block, window) for block in blocks(benchmark, max_block)]
-    if len(scans) == 1:
-        rows = scans[0].select("doc_id", "_th", "n_words", F.array("_spans").alias("_spans"), F.array("_items").alias("_items"))
-    else:
-        every = scans[0].withColumn("_scan", F.lit(0))
-        for i, s in enumerate(scans[1:], 1):
-            every = every.unionByName(s.withColumn("_scan", F.lit(i)))
-        # Rows that agree in doc_id and text are counted by what each scan made of them.
-        per = every.groupBy("doc_id", "_th", "_scan").agg(F.count(F.lit(1)).alias("_copies"), F.first("n_words").alias("n_words"), F.first("_spans").alias("_s"), F.first("_items").alias("_i"))
-        rows = per.groupBy("doc_id", "_th").agg(F.max("_copies").alias("_copies"), F.max("n_words").alias("n_words"), F.collect_list("_s").alias("_spans"), F.collect_list("_i").alias("_items"))
-        rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("doc_id", "_th", "n_words", "_spans", "_items")
-    return _digest(rows).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    columns = [matched(F.col("text"), block, window, docs.sparkSession) for block in blocks(benchmark, max_block)]
+    judge = F.arrow_udf(_judge, "n_words long, n_hit long, n_items long, items_sha256 string, spans array<bigint>")
+    found = judge(F.array(*columns))
+    rows = docs.withColumn(out, found)
+    hit, words = F.col(out)["n_hit"], F.col(out)["n_words"]
+    return rows.withColumn(out, F.col(out).withField("contaminated", (hit > 0) & (share * hit >= words)))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_block: int = MAX_BLOCK, share: int = SHARE) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, spans, contaminated."""
+    return judged(docs.select("doc_id", "text"), benchmark, "_j", window, max_block, share).select("doc_id", "_j.*")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.drop("_th", "spans")
+    return found.drop("spans")

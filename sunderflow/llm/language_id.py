@@ -102,6 +102,15 @@ class _Table:
             left = left[self.keys[at[left]] != keys[left]]
             at[left] = (at[left] + np.uint64(1)) & self.mask
 
+    def state(self) -> tuple:
+        return self.shift, self.mask, self.keys, self.rows
+
+    @classmethod
+    def of(cls, state: tuple) -> _Table:
+        out = cls.__new__(cls)
+        out.shift, out.mask, out.keys, out.rows = state
+        return out
+
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
 
@@ -150,6 +159,17 @@ class PPM:
             self.codes.append(_Table(grams, code.astype(np.float32)))
             self.escapes.append(_Table(contexts, escape.astype(np.float32)))
 
+    def state(self) -> tuple:
+        """Plain data for PPM.of."""
+        return self.order, self.languages, [t.state() for t in self.codes], [t.state() for t in self.escapes]
+
+    @classmethod
+    def of(cls, state: tuple) -> PPM:
+        out = cls.__new__(cls)
+        out.order, out.languages = state[:2]
+        out.codes, out.escapes = ([_Table.of(t) for t in tables] for tables in state[2:])
+        return out
+
     def _lower(self, grams: np.ndarray, n: int) -> np.ndarray:
         """Code lengths of the last byte of n-byte sequences in contexts a byte shorter."""
         if n == 1:
@@ -214,31 +234,34 @@ def learn(docs: DataFrame, order: int = ORDER, most: int = MAX_TRAIN, seed: int
     return PPM(counts, order)
 
 
-def predict(docs: DataFrame, model: PPM) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, lang_pred, score, _th (the text's hash)."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+def identify(text: Column, model: PPM, spark: SparkSession) -> Column:
+    """struct(lang_pred, score) of a text column."""
+    shipped = spark.sparkContext.broadcast(model.state())
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ppm = shipped.value
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        ppm = PPM.of(shipped.value)
         names = np.array([*ppm.languages, UNKNOWN], object)
-        for b in batches:
-            text = b.column(2).cast(pa.large_binary())
-            bounds = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-            data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
-            lettered = b.column(3).to_numpy(zero_copy_only=False).astype(bool)
+        for texts, lettered in batches:
+            text = texts.cast(pa.large_binary())
+            best, share = np.full(len(text), len(names) - 1), np.zeros(len(text))
             if ppm.languages and len(text):
-                bits = ppm.lengths(data, bounds)
-                best = np.where(lettered, bits.argmin(axis=1), len(names) - 1)
-                share = 1 / np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 1000)).sum(axis=1)
-            else:
-                best, share = np.full(len(text), len(names) - 1), np.zeros(len(text))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), pa.array(names[best].tolist(), pa.string()), pa.array(np.where(best < len(names) - 1, share, 0.0))], ["doc_id", "held_out", "_th", "lang_pred", "score"])
+                bounds = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+                bits = ppm.lengths(np.frombuffer(text.buffers()[2] or b"", np.uint8), bounds)
+                can = lettered.to_numpy(zero_copy_only=False).astype(bool)
+                best[can] = bits.argmin(axis=1)[can]
+                share[can] = (1 / np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 1000)).sum(axis=1))[can]
+            yield pa.StructArray.from_arrays([pa.array(names[best].tolist(), pa.string()), pa.array(share)], ["lang_pred", "score"])
 
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select("doc_id", (fold() == 0).alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("_text"), lettered.alias("_lettered"), F.xxhash64("text").alias("_th"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, _th long, lang_pred string, score double")
+    found = F.arrow_udf(run, "lang_pred string, score double")
+    return found(F.coalesce(text, F.lit("")).cast("binary"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+
+
+def predict(docs: DataFrame, model: PPM) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, lang_pred, score."""
+    found = docs.select("doc_id", (fold() == 0).alias("held_out"), identify(F.col("text"), model, docs.sparkSession).alias("_p"))
+    return found.select("doc_id", "held_out", "_p.lang_pred", "_p.score")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return predict(docs, learn(docs)).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(docs, learn(docs))

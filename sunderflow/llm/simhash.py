@@ -50,14 +50,15 @@ def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, _fp): the fingerprint as a signed long."""
+    """(doc_id, _th, _fp): the hash of the text and the fingerprint as a signed long."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", words, seed) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], ["doc_id", "_fp"])
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            values = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", words, seed) for x in texts]
+            yield pa.array(np.array(values, np.uint64).view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, _fp long")
+    found = F.arrow_udf(run, "long")(F.col("text").cast("binary"))
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_th"), found.alias("_fp"))
 
 
 def _entries(unique: DataFrame, reach: int) -> DataFrame:
@@ -141,14 +142,22 @@ def links(unique: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFr
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE, seed: int = SEED, dense: int = DENSE) -> DataFrame:
-    """(doc_id, _fp, component_id) for every row of docs."""
+    """(doc_id, _th, _fp, component_id, first) for every row of docs.
+
+    first: the row is its component's first by (doc_id, _th); rows that agree in both agree in it, too.
+    """
+    spark = docs.sparkSession
     rows = durable(fingerprints(docs, words, seed), "fingerprints")
-    unique = durable(rows.groupBy("_fp").agg(F.min("doc_id").alias("_first")), "unique-fingerprints")
-    found = connected_components(links(unique, radius, dense)).select(F.col("id").alias("_fp"), F.col("component").alias("_c"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "_th"))
+    unique = rows.groupBy("_fp").agg(least.alias("_first")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_fp")
+    unique = durable(unique, "unique-fingerprints")
+    found = connected_components(links(unique.select("_fp"), radius, dense)).select(F.col("id").alias("_fp"), F.col("component").alias("_c"))
     named = unique.join(found, "_fp", "left").withColumn("_c", F.coalesce("_c", "_fp"))
-    first = named.groupBy("_c").agg(F.min("_first").alias("component_id"))
-    labels = named.join(first, "_c").select("_fp", "component_id")
-    return rows.join(labels, "_fp")
+    named = durable(named, "named-fingerprints")
+    firsts = named.groupBy("_c").agg(F.min("_first").alias("_first"))
+    labels = durable(named.select("_fp", "_c").join(firsts, "_c").select("_fp", "_first"), "components")
+    first = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("_th") == F.col("_first._th"))
+    return rows.join(labels, "_fp").select("doc_id", "_th", "_fp", F.col("_first.doc_id").alias("component_id"), first.alias("first"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
