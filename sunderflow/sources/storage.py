@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,3 +29,8 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame) -> DataFrame:
+    """df with columns that Spark tells apart from those it was made of, for cogroups and self-joins."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
