@@ -85,9 +85,10 @@ def null_safe_key(c: Column) -> list[Column]:
     return [c.isNull().alias("_sn"), F.coalesce(c, F.lit("")).alias("_sv")]
 
 
-def arrow_batches(spark: SparkSession, rows: int) -> None:
-    """Rows of one Arrow batch; long texts need small batches."""
+def text_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+    """Bounds what goes to a Python worker at once; long texts make for small batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-__all__ = ["F", "T", "Window", "arrow_batches", "ascii_lower", "bucket_count", "documents", "durable", "hex_bucket", "key128", "null_safe_key", "running_total", "seeded", "shared_folder", "trimmed", "without_spaces", "word_count", "WORD", "SPACES"]
+__all__ = ["F", "T", "Window", "ascii_lower", "bucket_count", "documents", "durable", "hex_bucket", "key128", "null_safe_key", "running_total", "seeded", "shared_folder", "text_batches", "trimmed", "without_spaces", "word_count", "WORD", "SPACES"]

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import F, documents
+from .common import F, documents, text_batches
 
 WINDOW, MAX_BLOCK, SHARE = 13, 200_000, 20
 #: Bytes that are no part of a word become spaces; A-Z become a-z.
@@ -157,10 +157,22 @@ def blocks(benchmark: DataFrame, max_block: int = MAX_BLOCK) -> Iterator[list[tu
 
 _MATCHED = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 _JUDGED = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("spans", pa.list_(pa.int64()))])
+_VERDICT = "n_words long, n_hit long, n_items long, items_sha256 string, spans array<bigint>"
 
 
-def matched(text: Column, block: list[tuple[str, list[bytes]]], window: int, spark: SparkSession) -> Column:
-    """struct(n_words, spans, items) of a text column, for one block of items; spans lists begins and ends."""
+def _verdict(found: list[dict]) -> dict:
+    """The union of what some blocks matched in a document."""
+    whole = merged([(m["spans"][i], m["spans"][i + 1]) for m in found for i in range(0, len(m["spans"]), 2)])
+    names = sorted(x for m in found for x in m["items"])
+    digest = hashlib.sha256(",".join(names).encode()).hexdigest()
+    return {"n_words": found[0]["n_words"], "n_hit": sum(e - a for a, e in whole), "n_items": len(names), "items_sha256": digest, "spans": [p for s in whole for p in s]}
+
+
+def matched(text: Column, block: list[tuple[str, list[bytes]]], window: int, spark: SparkSession, final: bool) -> Column:
+    """struct(n_words, spans, items) of a text column, for one block of items; spans lists begins and ends.
+
+    final: it is the only block, and the verdict comes at once.
+    """
     shipped = spark.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -170,22 +182,16 @@ def matched(text: Column, block: list[tuple[str, list[bytes]]], window: int, spa
             for x in texts:
                 words = words_of(x.as_buffer().to_pybytes()) if x.is_valid else []
                 where, which = automaton.matches(words)
-                rows.append((len(words), [p for s in merged(where) for p in s], [automaton.names[i] for i in which]))
-            yield pa.array([dict(zip(("n_words", "spans", "items"), r, strict=True)) for r in rows], _MATCHED)
+                row = {"n_words": len(words), "spans": [p for s in merged(where) for p in s], "items": [automaton.names[i] for i in which]}
+                rows.append(_verdict([row]) if final else row)
+            yield pa.array(rows, _JUDGED if final else _MATCHED)
 
-    return F.arrow_udf(run, "n_words long, spans array<bigint>, items array<string>")(text.cast("binary"))
+    return F.arrow_udf(run, _VERDICT if final else "n_words long, spans array<bigint>, items array<string>")(text.cast("binary"))
 
 
 def _judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """The union of what all blocks matched in a document."""
-    for blocks_of_rows in batches:
-        out = []
-        for found in blocks_of_rows.to_pylist():
-            whole = merged([(m["spans"][i], m["spans"][i + 1]) for m in found for i in range(0, len(m["spans"]), 2)])
-            names = sorted(x for m in found for x in m["items"])
-            digest = hashlib.sha256(",".join(names).encode()).hexdigest()
-            out.append({"n_words": found[0]["n_words"], "n_hit": sum(e - a for a, e in whole), "n_items": len(names), "items_sha256": digest, "spans": [p for s in whole for p in s]})
-        yield pa.array(out, _JUDGED)
+    for rows in batches:
+        yield pa.array([_verdict(found) for found in rows.to_pylist()], _JUDGED)
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, out: str, window: int = WINDOW, max_block: int = MAX_BLOCK, share: int = SHARE) -> DataFrame:
@@ -193,10 +199,11 @@ def judged(docs: DataFrame, benchmark: DataFrame, out: str, window: int = WINDOW
 
     spans lists first and last + 1 of each hit run of words; contaminated: hit words are at least 1 / share of all.
     """
-    columns = [matched(F.col("text"), block, window, docs.sparkSession) for block in blocks(benchmark, max_block)]
-    judge = F.arrow_udf(_judge, "n_words long, n_hit long, n_items long, items_sha256 string, spans array<bigint>")
-    found = judge(F.array(*columns))
-    rows = docs.withColumn(out, found)
+    spark = docs.sparkSession
+    text_batches(spark)
+    every = list(blocks(benchmark, max_block))
+    columns = [matched(F.col("text"), block, window, spark, len(every) == 1) for block in every]
+    rows = docs.withColumn(out, columns[0] if len(every) == 1 else F.arrow_udf(_judge, _VERDICT)(F.array(*columns)))
     hit, words = F.col(out)["n_hit"], F.col(out)["n_words"]
     return rows.withColumn(out, F.col(out).withField("contaminated", (hit > 0) & (share * hit >= words)))
 

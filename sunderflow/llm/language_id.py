@@ -25,11 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import F, Window, documents, durable, seeded
+from .common import F, Window, documents, durable, seeded, text_batches
 
 ORDER, MAX_TRAIN, SEED, FOLDS = 3, 1500, 11, 5
 UNKNOWN = "und"
-_STRETCH = 1 << 20
+_STRETCH = 1 << 18
 
 
 def fold() -> Column:
@@ -236,6 +236,7 @@ def learn(docs: DataFrame, order: int = ORDER, most: int = MAX_TRAIN, seed: int
 
 def identify(text: Column, model: PPM, spark: SparkSession) -> Column:
     """struct(lang_pred, score) of a text column."""
+    text_batches(spark)
     shipped = spark.sparkContext.broadcast(model.state())
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import F, documents, durable, seeded
+from .common import F, documents, durable, seeded, text_batches
 
 MAX_LABELS, WORDS, MIN_DOCUMENTS, SEED, FOLDS = 8000, 256, 3, 23, 5
 TARGETS = ("quality", "toxic")
@@ -216,6 +216,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, mos
 
     Scores are posteriors; is_<t> tells whether they reach 1/2.
     """
+    text_batches(docs.sparkSession)
     scored = durable(evidence(docs, learn(docs, labels, most, words), host, path), "evidence")
     sites, overall = site_rates(scored)
     there = sites.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), *[c for c in sites.columns if c[0] != "_"])

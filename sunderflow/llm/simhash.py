@@ -26,10 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.components import connected_components
-from .common import F, documents, durable
+from .common import F, documents, durable, text_batches
 
 SHINGLE, RADIUS, SEED, DENSE = 4, 4, 42, 4096
-_BLOCK = 100_000
+_BLOCK = 20_000
 
 
 def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
@@ -57,6 +57,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED) -> Dat
             values = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", words, seed) for x in texts]
             yield pa.array(np.array(values, np.uint64).view(np.int64))
 
+    text_batches(docs.sparkSession)
     found = F.arrow_udf(run, "long")(F.col("text").cast("binary"))
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_th"), found.alias("_fp"))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import F, documents, durable
+from .common import F, documents, durable, text_batches
 
 MINIMUM, GRAM, MAX_GROUP = 200, 64, 20_000
 _NOBODY = -(2**63)
@@ -266,6 +266,7 @@ def _counted_repeats(contexts: DataFrame, minimum: int) -> DataFrame:
 
 def suffix_dedup(docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, max_group: int = MAX_GROUP) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, spans (begin and end of each removed run, flat), kept_sha256."""
+    text_batches(docs.sparkSession)
     rows = _rows(docs)
     again = _anchor_hashes(rows, minimum, gram).groupBy("_a").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_a")
     known = durable(_anchors(rows, minimum, gram).join(durable(again, "repeated-anchors"), "_a"), "anchors")

@@ -24,7 +24,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import F, documents
+from .common import F, documents, text_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published pattern that goes with the vocabulary (fixed value).
@@ -213,6 +213,7 @@ def _encoder(ranks: bytes) -> Encoder:
 
 def token_counts(docs: DataFrame, edits: Callable[[str], list[Edit]] = redactions, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per row of docs: doc_id, n_chars, n_pretokens, n_tokens, n_edits, n_reencoded, n_chars_after, n_tokens_after."""
+    text_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())
     names = ["doc_id", "n_chars", "n_pretokens", "n_tokens", "n_edits", "n_reencoded", "n_chars_after", "n_tokens_after"]
