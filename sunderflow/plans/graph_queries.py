@@ -247,7 +247,7 @@ rim AS (SELECT two.s, sum(degree - 1) AS far FROM two JOIN deg ON deg.id = two.d
     "curve_dc": curve_sql("0.3", """SELECT graph, method, step, round(removal_ratio, 9) AS removal_ratio, round("ACC", 9) AS "ACC", round("GCC", 9) AS "GCC", round("NCC", 9) AS "NCC", round(top5_component_mass, 9) AS top5_component_mass,
  round(hhi_remaining, 9) AS hhi_remaining, round(effective_components, 9) AS effective_components, round(pairwise_disconnected, 9) AS pairwise_disconnected, round("cNBI", 9) AS "cNBI",
  round(avg("GCC") OVER (ORDER BY step), 9) AS "running_R", round(avg("cNBI") OVER (ORDER BY step), 9) AS "running_auc_cNBI" FROM cu"""),
-    "curve_at_steps": curve_sql("0.3", """SELECT graph, method, step, round(removal_ratio, 9) AS removal_ratio, round("ACC", 9) AS "ACC", round("GCC", 9) AS "GCC", round("NCC", 9) AS "NCC", round(top5_component_mass, 9) AS top5_component_mass,
+    "curve_at_steps": curve_sql("1.0", """SELECT graph, method, step, round(removal_ratio, 9) AS removal_ratio, round("ACC", 9) AS "ACC", round("GCC", 9) AS "GCC", round("NCC", 9) AS "NCC", round(top5_component_mass, 9) AS top5_component_mass,
  round(hhi_remaining, 9) AS hhi_remaining, round(effective_components, 9) AS effective_components, round(pairwise_disconnected, 9) AS pairwise_disconnected, round("cNBI", 9) AS "cNBI" FROM cu WHERE step IN (1, 5, 50)"""),
     "curve_summary": curve_sql("0.3", """, g AS (SELECT *, removal_ratio - lag(removal_ratio) OVER w AS dx, lag("GCC") OVER w AS g0, lag("NCC") OVER w AS n0, lag("cNBI") OVER w AS b0 FROM cu WINDOW w AS (ORDER BY step))
 SELECT graph, method, round(sum(dx * ("ACC" + g0) / 2) / (max(removal_ratio) - min(removal_ratio)), 9) AS "auc_ACC", round(sum(dx * ("NCC" + n0) / 2) / (max(removal_ratio) - min(removal_ratio)), 9) AS "auc_NCC",
