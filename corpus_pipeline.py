@@ -7,7 +7,7 @@ what nulls, repeated rows and empty texts come to is said with each stage and it
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,9 +18,14 @@ LEAST_SCORE = 0.5
 _NOBODY = -(2**63)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _key_id and _key_text, never null, that tell rows apart but for repeated ones."""
-    return docs.withColumn("_key_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NOBODY))).withColumn("_key_text", F.xxhash64("text"))
+def _packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """The documents' columns as one, doc, so that no name clashes, with further columns beside it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *[c.alias(n) for n, c in more.items()])
+
+
+def _keys() -> dict[str, Column]:
+    """What tells rows apart, but for repeated ones; never null."""
+    return {"key_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NOBODY)), "key_text": F.coalesce(F.xxhash64("text"), F.lit(0))}
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,36 +36,36 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.learn(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    known = docs.withColumn("_found", language_id.identify(F.col("text"), model, spark))
-    return known.where((F.col("_found.lang_pred") != language_id.UNKNOWN) & (F.col("_found.score") >= LEAST_SCORE)).select(docs.columns)
+    known = _packed(docs, found=language_id.identify(F.col("text"), model, spark))
+    return known.where((F.col("found.lang_pred") != language_id.UNKNOWN) & (F.col("found.score") >= LEAST_SCORE)).select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document, by doc_id, of each group of near copies; of repeated rows one."""
-    first = simhash.near_dedup(docs).where("first").select(F.coalesce("doc_id", F.lit(_NOBODY)).alias("_key_id"), F.col("_th").alias("_key_text")).distinct()
-    kept = _keyed(docs).join(durable(first, "first-copies").hint("shuffle_hash"), ["_key_id", "_key_text"], "left_semi")
-    same = Window.partitionBy("_key_id", "_key_text").orderBy("source", "lang")
-    return kept.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").select(docs.columns)
+    first = simhash.near_dedup(docs).where("first").select(F.coalesce("doc_id", F.lit(_NOBODY)).alias("key_id"), F.col("_th").alias("key_text")).distinct()
+    kept = _packed(docs, **_keys()).join(durable(first, "first-copies").hint("shuffle_hash"), ["key_id", "key_text"], "left_semi")
+    same = Window.partitionBy("key_id", "key_text").orderBy("doc.source", "doc.lang")
+    return kept.withColumn("copy", F.row_number().over(same)).where("copy = 1").select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are contaminated by the benchmark; others stay as they are."""
-    found = decontaminate.judged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_found")
-    return found.where(~F.col("_found.contaminated")).select(docs.columns)
+    packed = _packed(docs, text=F.col("text"))
+    found = decontaminate.judged(packed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "found")
+    return found.where(~F.col("found.contaminated")).select("doc.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it, which may be never."""
-    rows = _keyed(docs).select("doc_id", "_key_id", "_key_text", word_count(F.col("text")).alias("size"), *null_safe_key(F.col("source")), seeded(mixing.SEED, F.col("doc_id")).alias("_k"))
+    stratum = dict(zip(("_sn", "_sv"), null_safe_key(F.col("source")), strict=True))
+    rows = _packed(docs, doc_id=F.col("doc_id"), size=word_count(F.col("text")), _k=seeded(mixing.SEED, F.col("doc_id")), **_keys(), **stratum).drop("doc")
     taken = mixing.repetitions(durable(rows, "mix-rows"))
-    copies = taken.where("copies > 0").groupBy("_key_id", "_key_text", "_sn", "_sv").agg(F.collect_list(F.col("copies").cast("int")).alias("_copies"))
-    copies = durable(copies.withColumnsRenamed({"_sn": "_key_null", "_sv": "_key_source"}), "mix-copies")
-    keyed = _keyed(docs).withColumn("_key_null", F.col("source").isNull()).withColumn("_key_source", F.coalesce("source", F.lit("")))
-    keys = ["_key_id", "_key_text", "_key_null", "_key_source"]
-    met = keyed.join(copies.hint("shuffle_hash"), keys)
-    row = F.row_number().over(Window.partitionBy(*keys).orderBy("lang"))
-    times = met.withColumn("_row", row).withColumn("_times", F.coalesce(F.get("_copies", F.col("_row") - 1), F.lit(0)))
-    return times.withColumn("_time", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(docs.columns)
+    copies = taken.where("copies > 0").groupBy("key_id", "key_text", "_sn", "_sv").agg(F.collect_list(F.col("copies").cast("int")).alias("copies"))
+    keys = ["key_id", "key_text", "_sn", "_sv"]
+    met = _packed(docs, **_keys(), **stratum).join(durable(copies, "mix-copies").hint("shuffle_hash"), keys)
+    numbered = met.withColumn("row", F.row_number().over(Window.partitionBy(*keys).orderBy("doc.lang")))
+    times = F.coalesce(F.get("copies", F.col("row") - 1), F.lit(0))
+    return numbered.select("doc", F.explode(F.array_repeat(F.lit(0), times)).alias("time")).select("doc.*")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED) -> Dat
 
     text_batches(docs.sparkSession)
     found = F.arrow_udf(run, "long")(F.col("text").cast("binary"))
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_th"), found.alias("_fp"))
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_th"), found.alias("_fp"))
 
 
 def _entries(unique: DataFrame, reach: int) -> DataFrame:
