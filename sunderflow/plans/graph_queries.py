@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import adaptive, static_orders, statistics, trajectory
+from ..operators import adaptive, static_orders, statistics, trajectory, variants
 from ..sources import edgelists, generators, projections
 from ..sources.storage import durable
 
@@ -83,6 +83,13 @@ def method_curves(spark: SparkSession, sf_dir: str, rate: float | None = 0.3) ->
     return durable(trajectory.curve(own, durable(orders, "orders"), rate), "curves")
 
 
+def _variant_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curves of a heuristic and its knock-outs."""
+    own = edges(spark, sf_dir)
+    names = ["S-case", *[f"S-case -{k}" for k in variants.SCase.knockouts], "S-case -phase", "S-case -all_but_degree"]
+    return durable(trajectory.curve(own, durable(adaptive.adaptive_orders(own, projections.nodes_of(own), names), "orders")), "curves")
+
+
 def _scores_sql(score: str, with_: str) -> str:
     return f"WITH {with_} SELECT 'part' AS graph, row_number() OVER (ORDER BY round(({score}), 9) DESC, id) AS step, id AS node"
 
@@ -189,9 +196,12 @@ QUERIES = {
     "same_gcc_pairs": lambda s, d: rounded(trajectory.same_gcc_pairs(method_curves(s, d), gap=0.5)),
 }
 
-for _m in ("HDA", "HDA-fast", "CoreHD", "CoreHD-fast", "Decycle", "MinSum", "BPD", "VE", "GND-cut", "GND", "Local", "Component"):
+for _m in ("HDA", "HDA-fast", "CoreHD", "CoreHD-fast", "Decycle", "MinSum", "BPD", "VE", "GND-cut", "GND", "Local", "Component", *variants.SCORERS):
     QUERIES[f"order_{_m.lower().replace('-', '_')}"] = lambda s, d, m=_m: _order(adaptive.adaptive_orders(e := edges(s, d), projections.nodes_of(e), [m]))
 
+QUERIES["variant_curves"] = lambda s, d: rounded(trajectory.summary(_variant_curves(s, d)))
+QUERIES["feature_shares"] = lambda s, d: _variant_curves(s, d).groupBy("method").agg(F.max("step").alias("steps"), F.round(F.avg("cNBI"), 9).alias("mean_cNBI"))
+
 _TAU = lambda taus: f"(SELECT unnest([{', '.join(map(str, taus))}]) AS tau)"
 
 SQL = {
