@@ -245,8 +245,8 @@ SELECT v.node_id, round(auc_cNBI / 2000 + 0.1 / (1 + coalesce(n, 0)), 9) AS prio
     "expandable_parent_legacy": f"""WITH {L}, b AS (SELECT * FROM l WHERE tree_branch = 'S'), c AS (SELECT parent_node_id AS node_id, count(*) AS n FROM b WHERE parent_node_id IS NOT NULL GROUP BY parent_node_id),
 p AS (SELECT b.node_id, depth, coalesce(n, 0) AS n, auc_cNBI / 2000 + 0.1 / sqrt(1.0 + coalesce(n, 0)) - 0.005 * depth AS priority FROM b LEFT JOIN c ON c.node_id = b.node_id WHERE valid)
 SELECT node_id, round(priority, 9) AS priority FROM p ORDER BY p.priority DESC, n, depth, node_id DESC LIMIT 1""",
-    "tree_priorities": f"""WITH {L}, c AS (SELECT parent_node_id AS node_id, count(*) AS n FROM l WHERE parent_node_id IS NOT NULL GROUP BY parent_node_id), m AS (SELECT count(*) AS all_ FROM v)
-SELECT v.node_id, coalesce(n, 0) AS visits, round(auc_cNBI / 2000 + 1.35 * sqrt(ln(greatest(all_, 2)) / (1 + coalesce(n, 0))), 9) AS uct, round(auc_cNBI / 2000 / pow(1.1, depth) + 1.35 * sqrt(ln(greatest(all_, 2)) / (1 + coalesce(n, 0))), 9) AS mcts FROM v LEFT JOIN c ON c.node_id = v.node_id, m""",
+    "tree_priorities": f"""WITH {L}, c AS (SELECT parent_node_id AS node_id, count(*) AS n FROM l WHERE parent_node_id IS NOT NULL GROUP BY parent_node_id), m AS (SELECT count(*) AS all_ FROM l)
+SELECT v.node_id, coalesce(n, 0) AS visits, round(auc_cNBI / 2000 + 1.35 * sqrt(ln(greatest(all_, 2)) / (1 + coalesce(n, 0))), 9) AS uct, round(auc_cNBI / 2000 / (1 + 0.12 * depth) + 1.1 * sqrt(ln(greatest(all_, 2)) / (1 + coalesce(n, 0))), 9) AS mcts FROM v LEFT JOIN c ON c.node_id = v.node_id, m""",
     "child_counts": f"WITH {L} SELECT parent_node_id, count(*) AS children FROM l WHERE parent_node_id IS NOT NULL GROUP BY parent_node_id",
     "lineage": f"""WITH RECURSIVE {L}, w(hop, node_id, parent) AS (SELECT 0, node_id, parent_node_id FROM l WHERE node_id = 'n0000187' UNION ALL SELECT hop + 1, l.node_id, l.parent_node_id FROM w JOIN l ON l.node_id = w.parent) SELECT hop, node_id FROM w""",
     "tree_depths": f"WITH {L} SELECT node_id, depth FROM l",
