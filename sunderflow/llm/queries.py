@@ -18,8 +18,10 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_suffix_dedup": suffix_dedup.OP2_SQL,
     "op4_sharding": sharding.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op7_decontamination": decontaminate.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }

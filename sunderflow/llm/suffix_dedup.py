@@ -326,3 +326,21 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup(documents(spark, sf_dir))
     removed = F.aggregate(F.sequence(F.lit(0), F.size("spans").cast("int")), F.lit(0).cast("long"), lambda n, i: n + F.coalesce(F.get("spans", i), F.lit(0)) * F.when(i % 2 == 0, -1).otherwise(1))
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), "kept_sha256")
+
+
+OP2_SQL = r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+c AS (SELECT doc_id, n, p, substr(h, 2 * p + 1, 2398) AS c FROM (SELECT doc_id, h, n, unnest(range(0, n - 199, 1000)) AS p FROM b WHERE n >= 200)),
+w AS (SELECT doc_id, p + o AS s, md5(substr(c, 2 * o + 1, 400)) AS k FROM (SELECT doc_id, p, c, unnest(range(0, least(1000, n - 199 - p))) AS o FROM c)),
+r AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, s FROM w WHERE k IN (SELECT k FROM r)),
+isl AS (SELECT doc_id, s, sum(CASE WHEN s <= p + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS g
+        FROM (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM hit)),
+sp AS (SELECT doc_id, g, min(s) AS a, max(s) + 200 AS z FROM isl GROUP BY doc_id, g),
+cut AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM sp),
+kept AS (SELECT cut.doc_id, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS head, max(z) AS tail, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans
+         FROM cut JOIN b ON b.doc_id = cut.doc_id GROUP BY cut.doc_id)
+SELECT b.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN kept.doc_id IS NULL THEN h ELSE head || substr(h, 2 * tail + 1) END)) AS kept_sha256
+FROM b LEFT JOIN kept ON kept.doc_id = b.doc_id
+"""
