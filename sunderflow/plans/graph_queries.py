@@ -288,3 +288,20 @@ b AS (SELECT 'DC' AS method, * FROM o UNION ALL SELECT 'CI', * FROM ci), lim AS
 SELECT 'part' AS graph, b.method, round(avg(CASE WHEN b.id <> o.id THEN 1.0 ELSE 0.0 END), 9) AS change_rate FROM b JOIN o ON o.r = b.r, lim WHERE b.r <= k GROUP BY b.method""",
     "ct_plain": curve_sql("0.3", f"""SELECT graph, method, CAST(tau AS DOUBLE) AS tau, round(coalesce(arg_min(removal_ratio, step) FILTER (WHERE "GCC" <= tau), max(removal_ratio)), 9) AS ct_ratio, count(*) FILTER (WHERE "GCC" <= tau) > 0 AS reached FROM cu, {_TAU([0.1, 0.05, 0.01])} GROUP BY graph, method, tau"""),
 }
+
+
+def _greedy_degree_sql(tie: str) -> str:
+    """Removal by residual degree, one recursion a step, then the other nodes by id."""
+    return f"""WITH RECURSIVE {E}, lim AS (SELECT CAST(greatest(1, least(count(*), round_even(count(*) * 0.3, 0))) AS BIGINT) AS steps FROM deg),
+g(k, gone) AS (
+  SELECT 0, CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT k + 1, list_append(gone, coalesce((SELECT s FROM sym WHERE NOT list_contains(gone, s) AND NOT list_contains(gone, d) GROUP BY s ORDER BY count(*) DESC, CAST(s AS VARCHAR) {tie} LIMIT 1),
+    (SELECT id FROM deg WHERE NOT list_contains(gone, id) ORDER BY CAST(id AS VARCHAR) {tie} LIMIT 1)))
+  FROM g, lim WHERE k < steps),
+p AS (SELECT unnest(gone) AS id, unnest(range(1, len(gone) + 1)) AS place FROM g, lim WHERE k = steps)
+SELECT 'part' AS graph, row_number() OVER (ORDER BY coalesce(place, 1000000000), deg.id) AS step, deg.id AS node FROM deg LEFT JOIN p ON p.id = deg.id"""
+
+
+SQL["order_hda"] = _greedy_degree_sql("DESC")
+SQL["order_hda_fast"] = _greedy_degree_sql("ASC")
