@@ -194,6 +194,7 @@ QUERIES = {
     "ct_interpolated": lambda s, d: rounded(trajectory.threshold_ratio(dc_curve(s, d), [0.1, 0.05])),
     "ct_plain": lambda s, d: rounded(trajectory.threshold_ratio(dc_curve(s, d), [0.1, 0.05, 0.01], False)),
     "prefix_change": lambda s, d: rounded(trajectory.prefix_change(durable(static_orders.degree_order(e := edges(s, d)).unionByName(static_orders.influence_order(e)), "orders"), "DC")),
+    "stride_sample": lambda s, d: rounded(trajectory.stride_sample(dc_curve(s, d), 20).select("graph", "method", "step", "GCC")),
     "same_gcc_pairs": lambda s, d: rounded(trajectory.same_gcc_pairs(method_curves(s, d), gap=0.5)),
 }
 
@@ -277,6 +278,7 @@ FROM g GROUP BY graph, method"""),
     "classic_r": curve_sql("1.0", """SELECT graph, method, round(100 * avg("GCC"), 6) AS "classic_R" FROM cu GROUP BY graph, method"""),
     "mini_evaluation": curve_sql("1.0", """SELECT graph, method, round(avg("GCC"), 6) AS mean_gcc, round(avg("NCC") / max(step), 6) AS ncc_ratio_mean FROM cu GROUP BY graph, method"""),
     "residual_measures": curve_sql("0.3", """SELECT graph, method, step, round("GCC", 9) AS "GCC", round(top5_component_mass, 9) AS top5_component_mass, round(effective_components, 9) AS effective_components, round("cNBI", 9) AS hidden_score FROM cu WHERE step = 10"""),
+    "stride_sample": curve_sql("0.3", """SELECT graph, method, step, round("GCC", 9) AS "GCC" FROM (SELECT *, row_number() OVER (ORDER BY step) - 1 AS i, greatest(1, count(*) OVER () // 20) AS stride FROM cu) WHERE i % stride = 0"""),
     "ct_nodes": curve_sql("0.3", """SELECT graph, method, coalesce(min(step) FILTER (WHERE "GCC" <= 0.01), max(step)) AS ct_nodes, count(*) FILTER (WHERE "GCC" <= 0.01) > 0 AS reached FROM cu GROUP BY graph, method"""),
     "ct_interpolated": curve_sql("0.3", f""", p AS (SELECT *, coalesce(lag(removal_ratio) OVER (ORDER BY step), 0.0) AS x0, coalesce(lag("GCC") OVER (ORDER BY step), 1.0) AS y0 FROM cu),
 v AS (SELECT p.*, tau, coalesce(x0 + greatest(0.0, least(1.0, (tau - y0) / nullif("GCC" - y0, 0))) * (removal_ratio - x0), removal_ratio) AS x FROM p, {_TAU([0.1, 0.05])})

@@ -90,6 +90,7 @@ QUERIES = {
     "seed_budget": _budget,
     "degree_discount": lambda s, d: _pick(seeds.degree_discount(edges(s, d), 3)),
     "neighbour_cover": lambda s, d: _pick(seeds.neighbour_cover(edges(s, d), 3)),
+    "free_degree": lambda s, d: seeds.free_degree(e := edges(s, d), _dc_seeds(e)),
     "dominating_set": lambda s, d: _pick(seeds.max_cover(seeds.neighbourhood_cover(edges(s, d)), 6, "Dominating", [F.desc("degree"), F.desc(F.col("node").cast("string"))])),
     "rr_greedy": lambda s, d: _pick(seeds.reverse_greedy(_sets(s, d, edges(s, d)), 3)),
     "mc_greedy": _with(lambda e, n: seeds.spread_greedy(e, n, 3, WORLDS, 0.3)),
@@ -173,6 +174,7 @@ SELECT 'part' AS graph, method, round(avg(a), 9) AS spread_mean, round(stddev_po
     "two_hop_coverage": f"""WITH {E}, {SEEDS}, h1 AS (SELECT method, d AS node FROM sd JOIN sym ON s = node), h2 AS (SELECT method, d AS node FROM h1 JOIN sym ON s = node), c AS (SELECT * FROM sd UNION SELECT * FROM h1 UNION SELECT * FROM h2)
 SELECT 'part' AS graph, method, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM deg), 9) AS coverage FROM c GROUP BY method""",
     "normal_seeds": f"WITH {E}, {DC}, x AS (SELECT id, row_number() OVER (ORDER BY CASE WHEN r <= 5 THEN 0 ELSE 1 END, CASE WHEN r <= 5 THEN r ELSE 0 END, CAST(id AS VARCHAR)) AS step FROM o) SELECT 'part' AS graph, step, id AS node FROM x WHERE step <= 8",
+    "free_degree": f"WITH {E}, {DC} SELECT 'part' AS graph, s AS id, count(*) FILTER (WHERE d NOT IN (SELECT id FROM o WHERE r <= {K})) AS free FROM sym GROUP BY s",
     "seed_budget": f"""WITH {E}, c AS (SELECT count(*) AS n FROM deg) SELECT 'part' AS graph, CAST(greatest(3, least(12, round_even(0.05 * n, 0))) AS BIGINT) AS seeds, CAST(greatest(1, least(n, round_even(n * 0.3, 0))) AS BIGINT) AS steps, CAST(greatest(1, least(n, round_even(n * 0.4, 0))) AS BIGINT) AS steps_40 FROM c""",
     "degree_discount": _discount_sql(),
     "neighbour_cover": f"WITH {E}, " + _greedy_sql(f"{NEIGHBOURHOODS}, cv AS (SELECT u, x, 1 AS wt FROM nb)", "degree DESC, CAST(u AS VARCHAR) DESC", 3),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import code_checks, scalars
 from ..operators import ranking, report, selection
 from ..sources import tables
 from .graph_queries import rounded
@@ -115,6 +115,13 @@ _TEXTS = """SELECT o_orderkey AS k, CASE o_orderkey % 7 WHEN 0 THEN 'true' WHEN
  concat('Here: ```json {"a": "', o_orderstatus, '"} ``` done') AS j FROM orders"""
 TX = "x AS (" + _TEXTS + ")"
 
+def _answers(s: SparkSession, d: str) -> DataFrame:
+    s.read.parquet(f"{d}/part.parquet").createOrReplaceTempView("part")
+    return s.sql(_ANSWERS)
+
+
+_ANSWERS = """SELECT p_partkey AS k, CASE p_partkey % 9 WHEN 0 THEN 'Error 503' WHEN 1 THEN 'the Model is FULL' WHEN 2 THEN '请换一个模型' WHEN 3 THEN 'import os.path' WHEN 4 THEN 'x = EVAL(y); open(z)' WHEN 5 THEN 'full of models' WHEN 6 THEN 'rate limit'
+ WHEN 7 THEN p_name END AS t FROM part"""
 _GROUPS = {"pool0": (0.6, 0.2, 0.2), "pool1": (0.2, 0.6, 0.2)}
 
 QUERIES = {
@@ -166,6 +173,8 @@ QUERIES = {
     "keep_last": lambda s, d: tables.keep_last(_results(s, d), ["dataset", "method"], [F.col("k")]).select("dataset", "method", "k"),
     "replace_rows": lambda s, d: tables.replace_rows(_results(s, d).select("dataset", "method", "spread"), _results(s, d).where("k % 10 = 0").select("dataset", "method", F.lit(-1.0).alias("spread")), ["dataset", "method"]),
     "formal_rows": lambda s, d: _results(s, d).where((F.col("model_type") == tables.FORMAL_MODEL) & (F.col("simulations") == tables.FORMAL_SIMULATIONS)).groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"), F.max("spread").alias("best")),
+    "answer_checks": lambda s, d: _answers(s, d).select("k", code_checks.forbidden_token(F.col("t")).alias("forbidden"), code_checks.capacity_issue(F.col("t")).alias("capacity")),
+    "family_sets": lambda s, d: log(s, d).groupBy("pool").agg(F.collect_set("family").alias("f"), F.collect_set(F.when(F.col("valid"), F.col("family"))).alias("v")).select("pool", F.size(F.array_intersect("f", "v")).alias("both"), F.size(F.array_except("f", "v")).alias("only"), F.size(F.array_union("f", "v")).alias("any")),
     "compressed_axis": lambda s, d: rounded(log(s, d).where("time_s > 0").select("candidate_id", scalars.compressed_log(F.col("time_s"), -1.0, 0.25).alias("x"))),
 }
 
@@ -191,6 +200,10 @@ def _flag_sql() -> dict[str, str]:
     }
 
 
+def _needle_sql(needles: tuple[str, ...]) -> str:
+    return "CASE " + " ".join(f"WHEN contains(lower(t), '{n.lower()}') THEN '{n}'" for n in needles) + " END"
+
+
 FLAGS = "fl AS (SELECT *, " + ", ".join(f"{v} AS {n}" for n, v in _flag_sql().items()) + f" FROM ({_CODES}))"
 
 SQL = {
@@ -284,5 +297,8 @@ SELECT family, count(*) AS n, round((SELECT greatest(0.05, 4 * median(time_s)) F
     "keep_last": f"WITH {RES} SELECT dataset, method, max(k) AS k FROM r GROUP BY dataset, method",
     "replace_rows": f"WITH {RES}, n AS (SELECT dataset, method, -1.0 AS spread FROM r WHERE k % 10 = 0) SELECT dataset, method, spread FROM r WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.dataset = r.dataset AND n.method = r.method) UNION ALL SELECT dataset, method, CAST(spread AS DOUBLE) FROM n",
     "formal_rows": f"WITH {RES} SELECT dataset, count(*) AS rows, max(spread) AS best FROM r WHERE model_type = 'LT_RandomThreshold' AND simulations = 4096 GROUP BY dataset",
+    "answer_checks": f"""WITH t AS ({_ANSWERS}) SELECT k, {_needle_sql(code_checks.FORBIDDEN)} AS forbidden, coalesce({_needle_sql(code_checks.CAPACITY)}, CASE WHEN (contains(t, '模型') AND contains(t, '满')) OR (contains(t, '请') AND contains(t, '换') AND contains(t, '模型')) THEN '模型/换模型相关中文提示' END,
+ CASE WHEN regexp_matches(lower(t), 'model.*full|full.*model') THEN 'model/full/capacity related prompt' END, '') AS capacity FROM t""",
+    "family_sets": f"WITH {L}, g AS (SELECT pool, family, bool_or(valid) AS v FROM l GROUP BY pool, family) SELECT pool, CAST(count(*) FILTER (WHERE v) AS INTEGER) AS both, CAST(count(*) FILTER (WHERE NOT v) AS INTEGER) AS only, CAST(count(*) AS INTEGER) AS any FROM g GROUP BY pool",
     "compressed_axis": f"WITH {L} SELECT candidate_id, round(CASE WHEN log10(greatest(time_s, 1e-12)) < -1 THEN -1 + (log10(greatest(time_s, 1e-12)) + 1) * 0.25 ELSE log10(greatest(time_s, 1e-12)) END, 9) AS x FROM l WHERE time_s > 0",
 }

@@ -102,3 +102,11 @@ def write_edges(edges: DataFrame, path: str) -> None:
     """One folder of "u v" lines per graph, and a manifest.csv folder of counts beside them."""
     edges.select("graph", F.concat_ws(" ", "src", "dst").alias("value")).repartition("graph").sortWithinPartitions("graph", "value").write.partitionBy("graph").text(f"{path}/edges")
     edges.groupBy("graph").agg(F.count(F.lit(1)).alias("edges")).coalesce(1).write.option("header", True).csv(f"{path}/manifest.csv")
+
+
+def load_graphs(spark: SparkSession, folder: str, number: int = 12) -> DataFrame:
+    """edges of all edge lists in a folder, relabelled to 0 .. n-1; raises unless there are `number` of them."""
+    parsed = parse_lines(read_lines(spark, folder))
+    if (found := parsed.select("graph").distinct().count()) != number:
+        raise ValueError(f"{folder} holds {found} graphs, not {number}")
+    return relabelled(edges_of(parsed), file_nodes(parsed))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,3 +71,14 @@ def keep_last(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 def replace_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Old rows whose keys the new ones don't have, and the new ones; columns that one side lacks are null."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def write_csv(df: DataFrame, path: str, mark: bool = True) -> None:
+    """A folder of CSV with header; mark: the first name begins with a byte order mark, as some programs want."""
+    named = df.withColumnRenamed(df.columns[0], "﻿" + df.columns[0]) if mark else df
+    named.write.option("header", True).mode("overwrite").csv(path)
+
+
+def write_manifest(spark: SparkSession, values: dict[str, object], path: str) -> None:
+    """A run's values as one line of JSON."""
+    spark.createDataFrame([(json.dumps(values, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sunderflow.functions import scalars
+from sunderflow.functions import code_checks, scalars
 from sunderflow.operators import ranking, selection
-from sunderflow.sources import tables
+from sunderflow.plans import policy
+from sunderflow.sources import edgelists, tables
 
 
 def test_guarded_selection(spark):
@@ -72,3 +73,37 @@ def test_fenced_code(spark):
 def test_in_order(spark):
     row = spark.sql("SELECT 'a then b' AS t").select(scalars.in_order(F.col("t"), "a", "b").alias("x"), scalars.in_order(F.col("t"), "b", "a").alias("y")).first()
     assert row.x and not row.y
+
+
+def test_checked_code():
+    assert code_checks.checked_code("  def f(G):\n      import math\n      return []\n", "f").startswith("def f")
+    for bad in ("def g(): pass", "def f(): eval('1')", "import csv\ndef f(): pass", "def f():\n    from collections.abc import X, Y\n    import networkx.algorithms, html"):
+        with pytest.raises(ValueError, match="missing|forbidden|not allowed"):
+            code_checks.checked_code(bad, "f")
+
+
+def test_policy(spark):
+    rows = [(f"c{i}", True, ["a", "b", "a"][i % 3], i / 10, 0.2) for i in range(9)]
+    log = spark.createDataFrame(rows, "candidate_id string, valid boolean, family string, rank_score double, time_s double")
+    got = policy.induce(log, [{"allowed_signals": ["core-number", "global rescan", {"signal": "degree"}], "preferred_families": ["new one", "b", "required"], "cap_bounds": {"my cap!": [1, {}, 2], "no": None}, "update_bounds": {"mode": "x", "other": 1}}])
+    assert got.preferred_families == ["a", "b", "new-one"]
+    assert "core_number" in got.allowed_signals and "phase" in got.allowed_signals
+    assert got.cap_bounds["my_cap_"] == [1, 2] and round(got.cap_bounds["max_candidate_runtime_s_on_proxy"], 9) == 0.8
+    assert got.update_bounds["mode"] == "x" and "other" not in got.update_bounds
+    assert policy.induce(log.where("NOT valid")).preferred_families == ["degree-local"]
+
+
+def test_sinks(spark, tmp_path):
+    tables.write_csv(spark.createDataFrame([(1, "x")], "a int, b string"), str(tmp_path / "c"))
+    assert next((tmp_path / "c").glob("*.csv")).read_bytes().startswith("\ufeffa,b".encode())
+    assert tables.read_csv(spark, str(tmp_path / "c")).columns == ["a", "b"]
+    tables.write_manifest(spark, {"b": 1, "a": "é"}, str(tmp_path / "m"))
+    assert spark.read.text(str(tmp_path / "m")).first().value == '{"a": "é", "b": 1}'
+
+
+def test_graph_folder(spark, tmp_path):
+    (tmp_path / "a.edgelist").write_text("7 9\n9 4\n")
+    (tmp_path / "b.edgelist").write_text("1 2\n")
+    assert sorted(tuple(r) for r in edgelists.load_graphs(spark, str(tmp_path), 2).collect()) == [("a", 0, 1), ("a", 1, 2), ("b", 0, 1)]
+    with pytest.raises(ValueError, match="12"):
+        edgelists.load_graphs(spark, str(tmp_path))
