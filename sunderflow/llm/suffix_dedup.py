@@ -30,7 +30,7 @@ from .common import F, documents, durable, text_batches
 
 MINIMUM, GRAM, MAX_GROUP = 200, 64, 20_000
 _NOBODY = -(2**63)
-_PIECE, _ROWS = 1 << 20, 40_000
+_PIECE, _ROWS = 1 << 18, 16_000
 _PAD = 256
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -197,10 +197,10 @@ def _context_repeats(contexts: DataFrame, minimum: int, gram: int) -> DataFrame:
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
         data, bounds = _texts(rows.column("_bytes").combine_chunks())
-        left, sizes = rows.column("_left").to_numpy(), np.diff(bounds)
-        columns = np.full((len(sizes), width), _PAD, np.int16)
-        to = np.repeat(np.arange(len(sizes)) * width + side - left - bounds[:-1], sizes) + np.arange(bounds[0], bounds[-1])
-        columns.ravel()[to] = data[bounds[0] : bounds[-1]]
+        left = rows.column("_left").to_numpy()
+        columns = np.full((len(left), width), _PAD, np.int16)
+        for row, at, begin, end in zip(columns, (side - left).tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            row[at : at + end - begin] = data[begin:end]
         anchors = rows.column("_a").to_numpy()
         group = np.cumsum(np.concatenate([[0], anchors[1:] != anchors[:-1]]))
         found = repeats(np.ascontiguousarray(columns.T), group, minimum).T
