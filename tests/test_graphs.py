@@ -160,14 +160,24 @@ def test_betweenness(spark):
     assert {k: round(v, 6) for k, v in rows.items()} == {0: 0.0, 1: 0.666667, 2: 0.666667, 3: 0.0}
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("local", [100_000, 50, 7])
+def test_components_of_paths_and_stars(spark, local):
     pairs = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1200)] + [(5000, 5000)]
     df = spark.createDataFrame(pairs, "src long, dst long")
-    got = {r.id: r.component for r in connected_components(df).collect()}
+    got = {r.id: r.component for r in connected_components(df, local=local).collect()}
     assert got == {i: 0 for i in range(201)} | {i: 1000 for i in range(1000, 1200)} | {5000: 5000}
     assert connected_components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("local", [100_000, 40])
+def test_components_of_random_graphs(spark, local):
+    pairs = random_pairs(300, 280, 8)
+    g = Plain(pairs)
+    want = {u: min(part) for part in g.parts() for u in part}
+    df = spark.createDataFrame([((("g", a)), ("g", b)) for a, b in pairs], "src struct<graph: string, id: long>, dst struct<graph: string, id: long>")
+    assert {r.id.id: r.component.id for r in connected_components(df, local=local).collect()} == want
+
+
 def test_row_order_is_nothing(spark):
     pairs = random_pairs(40, 80, 5)
     a, b = graph(spark, pairs), graph(spark, pairs[::-1])
