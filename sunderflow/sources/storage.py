@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,13 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders that were made for applications without a setting, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where unset, a local one, as in tests."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir or setCheckpointDir().
+
+    Where neither is set: a temporary folder if the session is local, as in tests, else one in the warehouse, which
+    executors share.
+    """
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or _OWN.get(sc.applicationId)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="sunderflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+        local = re.fullmatch(r"local(\[.*\])?", sc.master)
+        root = "file://" + tempfile.mkdtemp(prefix="sunderflow-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_sunderflow"
+        _OWN[sc.applicationId] = root
+    return f"{root.rstrip('/')}/{sc.applicationId}"
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
