@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import diffusion, seeds, static_orders, statistics
+from ..operators import diffusion, ranking, seeds, static_orders, statistics
 from ..sources import projections
 from ..sources.storage import durable
 from .graph_queries import DC, E, edges, rounded
@@ -64,6 +64,19 @@ def _budget(s: SparkSession, d: str) -> DataFrame:
     return n.select("graph", scalars.seed_budget(F.col("n")).alias("seeds"), scalars.budget(F.col("n"), 0.3).alias("steps"), scalars.budget(F.col("n"), 0.4).alias("steps_40"))
 
 
+def influence_benchmark(e: DataFrame, nodes: DataFrame, k: int, worlds: int, p: float) -> DataFrame:
+    """Methods' seeds under the same worlds: LT and IC spread, ranks and tie groups of LT, one row per (graph, method)."""
+    by = [static_orders.first_seeds(static_orders.degree_order(e), k), seeds.degree_discount(e, k, p), seeds.neighbour_cover(e, k), seeds.diverse_degree(e, nodes, k), seeds.two_hop_cover(e, nodes, k)]
+    chosen = by[0]
+    for b in by[1:]:
+        chosen = chosen.unionByName(b)
+    chosen = durable(diffusion.normal_seeds(chosen, nodes, k), "seeds")
+    lt = diffusion.threshold_summary(diffusion.threshold_spread(chosen, e, worlds), nodes, worlds)
+    ic = diffusion.live_spread(chosen, diffusion.live_components(diffusion.live_edges(e, worlds, p)), nodes, worlds).withColumnRenamed("spread", "ic_spread")
+    rows = lt.join(ic, ["graph", "method"]).select(F.col("graph").alias("dataset"), "method", F.lit(True).alias("valid"), F.col("spread_mean").alias("spread"), "spread_ci95", "normalized_spread", "ic_spread")
+    return ranking.tie_groups(durable(rows, "benchmark"))
+
+
 def _pick(df: DataFrame) -> DataFrame:
     return df.select("graph", F.col("step").cast("long").alias("step"), "node")
 
@@ -96,6 +109,9 @@ QUERIES = {
     "mc_greedy": _with(lambda e, n: seeds.spread_greedy(e, n, 3, WORLDS, 0.3)),
     "celf": _with(lambda e, n: seeds.spread_greedy(e, n, 3, WORLDS, 0.3, method="CELF")),
     "celf_pp": _with(lambda e, n: seeds.spread_greedy(e, n, 3, WORLDS, 0.3, method="CELF++")),
+    "diverse_degree": _with(lambda e, n: seeds.diverse_degree(e, n, 5)),
+    "two_hop_cover": _with(lambda e, n: seeds.two_hop_cover(e, n, 5)),
+    "influence_benchmark": lambda s, d: rounded(influence_benchmark(e := edges(s, d), projections.nodes_of(e), 5, WORLDS, 0.1)),
     "imm": _with(lambda e, n: seeds.imm(e, n, 3, 0.2, most=500)),
     "mia": _with(lambda e, n: seeds.mia(e, n, 2, 0.1, 0.01)),
     "dom_im": _with(lambda e, n: seeds.dominating_search(e, n, 5, runs=4, iterations=8)),

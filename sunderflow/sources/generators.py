@@ -83,6 +83,18 @@ def power_law(spark: SparkSession, name: str, n: int, gamma: float, seed: int, k
     return _edges(pairs.where("n = 2"), name)
 
 
+def preferential(spark: SparkSession, name: str, n: int, m: int, seed: int) -> DataFrame:
+    """Preferential attachment: each node brings m edges to ends of earlier edges, which is by degree.
+
+    Place 2e of the list of ends is edge e's source; place 2e + 1 is a hashed earlier place's end. Places are followed
+    back until an even one, all edges at once; half of them end at each step.
+    """
+    back = lambda p: F.floor(hash_uniform(seed, F.lit(0), p) * p).cast("long")
+    even = F.aggregate(F.sequence(F.lit(1), F.lit(64)), back(2 * F.col("id") + 1), lambda p, _: F.when(p % 2 == 1, back(p)).otherwise(p))
+    ends = spark.range(m, n * m).select(F.floor(F.col("id") / m).cast("long").alias("u"), F.floor(F.floor(even / 2) / m).cast("long").alias("v"))
+    return _edges(ends, name)
+
+
 def joined_components(edges: DataFrame) -> DataFrame:
     """edges with further ones that chain the smallest nodes of the components, in their order."""
     nodes = nodes_of(edges)
@@ -107,12 +119,24 @@ def named(spark: SparkSession, name: str) -> DataFrame:
 
 
 def scaling_family(spark: SparkSession, kind: str, n: int, seed: int) -> DataFrame:
-    """The graphs of the scaling runs: powerlaw, ER (mean degree 6), WS (8 neighbours, .08), SBM (4 blocks)."""
+    """The graphs of the scaling runs: powerlaw, ER (mean degree 6), WS (8 neighbours, .08), SBM (4
+    blocks), BA (2 edges a node)."""
     name = f"{kind}_{n}_{seed}"
     made = {
         "powerlaw": lambda: power_law(spark, name, n, 2.5, seed),
         "ER": lambda: uniform_random(spark, name, n, 6.0, seed),
         "WS": lambda: ring_small_world(spark, name, n, 8, 0.08, seed),
+        "BA": lambda: preferential(spark, name, n, 2, seed),
         "SBM": lambda: sampled_block_model(spark, name, [n // 4] * 4, 16.0 / n, 2.0 / n, seed),
     }
     return joined_components(made[kind]())
+
+
+def proxy_graphs(spark: SparkSession, influence: bool = False) -> DataFrame:
+    """The small graphs of the compared searches: BA, ER, WS of 120 nodes (160 for influence) and an SBM of 128."""
+    n = 160 if influence else 120
+    made = [preferential(spark, f"BA{n}", n, 2, 101), uniform_random(spark, f"ER{n}", n, 5.0, 102), ring_small_world(spark, f"WS{n}", n, 4, 0.1, 103), block_model(spark, "SBM128", [32] * 4, 0.18, 0.01, 104)]
+    out = made[0]
+    for g in made[1:]:
+        out = out.unionByName(g)
+    return joined_components(out)

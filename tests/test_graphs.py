@@ -198,10 +198,27 @@ def test_named_graphs(spark, name, n):
 
 
 def test_scaling_family(spark):
-    for kind in ("powerlaw", "ER", "WS", "SBM"):
+    for kind in ("powerlaw", "ER", "WS", "SBM", "BA"):
         assert statistics.manifest(generators.scaling_family(spark, kind, 400, 42)).first().connected
 
 
+def test_preferential_attachment(spark):
+    one = statistics.manifest(generators.preferential(spark, "ba", 2000, 3, 5)).first()
+    assert one.nodes == 2000 and one.connected and 5000 < one.edges <= 5997 and one.max_degree > 60
+
+
+def test_proxy_graphs(spark):
+    rows = {r.graph: r for r in statistics.manifest(generators.proxy_graphs(spark)).collect()}
+    assert set(rows) == {"BA120", "ER120", "WS120", "SBM128"} and all(r.connected for r in rows.values())
+
+
+def test_covering_seeds(spark):
+    stars = graph(spark, [(0, i) for i in range(1, 9)] + [(20, i) for i in range(21, 27)] + [(1, 2), (1, 3), (1, 4)])
+    nodes = projections.nodes_of(stars)
+    assert order_of(seeds.diverse_degree(stars, nodes, 2))[:2] == [0, 20]
+    assert order_of(seeds.two_hop_cover(stars, nodes, 2))[0] in range(9) and order_of(seeds.two_hop_cover(stars, nodes, 2))[1] in range(20, 27)
+
+
 def test_edge_files(spark, tmp_path):
     (tmp_path / "a.edgelist").write_text("# head\n3 1\n1,3\n2 2\nx 1\n1 2\n")
     parsed = edgelists.parse_lines(edgelists.read_lines(spark, str(tmp_path))).cache()
