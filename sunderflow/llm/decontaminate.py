@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -201,9 +201,12 @@ def judged(docs: DataFrame, benchmark: DataFrame, out: str, window: int = WINDOW
     """
     spark = docs.sparkSession
     text_batches(spark)
-    every = list(blocks(benchmark, max_block))
-    columns = [matched(F.col("text"), block, window, spark, len(every) == 1) for block in every]
-    rows = docs.withColumn(out, columns[0] if len(every) == 1 else F.arrow_udf(_judge, _VERDICT)(F.array(*columns)))
+    ahead = blocks(benchmark, max_block)
+    first, second = next(ahead), next(ahead, None)
+    columns = [matched(F.col("text"), first, window, spark, second is None)]
+    for block in [] if second is None else chain([second], ahead):  # one block at a time is in the driver's memory
+        columns.append(matched(F.col("text"), block, window, spark, False))
+    rows = docs.withColumn(out, columns[0] if second is None else F.arrow_udf(_judge, _VERDICT)(F.array(*columns)))
     hit, words = F.col(out)["n_hit"], F.col(out)["n_words"]
     return rows.withColumn(out, F.col(out).withField("contaminated", (hit > 0) & (share * hit >= words)))
 
