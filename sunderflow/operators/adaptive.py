@@ -44,8 +44,8 @@ class Residual:
         self.alive.discard(u)
         return met
 
-    def components(self) -> list[list[int]]:
-        left, out = set(self.alive), []
+    def components(self, of: set[int]) -> list[list[int]]:
+        left, out = set(of), []
         while left:
             part = [left.pop()]
             for u in part:
@@ -55,10 +55,6 @@ class Residual:
             out.append(part)
         return out
 
-    def largest(self) -> set[int]:
-        """The largest component; of ties the one whose smallest id is largest."""
-        return set(max(self.components(), key=lambda c: (len(c), min(self.ids[u] for u in c)), default=()))
-
     def two_core(self, of: set[int]) -> dict[int, int]:
         """Degrees inside the 2-core of the subgraph that `of` induces."""
         inside = {u: len(self.near[u] & of) for u in of}
@@ -77,6 +73,25 @@ class Residual:
 Program = Callable[[Residual, int], list[int]]
 
 
+class Parts:
+    """The residual graph's components, largest first; of ties the one whose smallest id is largest.
+
+    A removal only touches the component it is made in, so the others stay as they were found.
+    """
+
+    def __init__(self, g: Residual):
+        self.g, self.heap = g, []
+        self.give_back(g.alive)
+
+    def take(self) -> set[int]:
+        return heapq.heappop(self.heap)[2]
+
+    def give_back(self, nodes: set[int]) -> None:
+        """Puts back what is left of a component that was taken."""
+        for part in self.g.components(nodes & self.g.alive):
+            heapq.heappush(self.heap, (-len(part), -min(self.g.ids[u] for u in part), set(part)))
+
+
 def _by_degree(g: Residual, steps: int, tie: Callable[[int], int]) -> list[int]:
     """Largest residual degree first, then least tie; a heap in which outdated entries are skipped."""
     heap = [(-g.degree(u), tie(u), u) for u in g.alive]
@@ -158,13 +173,14 @@ def corehd_fast(g: Residual, steps: int) -> list[int]:
 
 def decycle_largest(g: Residual, steps: int) -> list[int]:
     """BPD / MinSum fallback: the 2-core's node of largest degree in the largest component."""
-    order: list[int] = []
+    order, parts = [], Parts(g)
     while g.alive and len(order) < steps:
-        part = g.largest()
+        part = parts.take()
         pool = g.two_core(part) or {u: g.degree(u) for u in part}
         u = max(pool, key=lambda u: (pool[u], g.ids[u]))
         g.remove(u)
         order.append(u)
+        parts.give_back(part)
     return order
 
 
@@ -221,9 +237,9 @@ def _betweenness(g: Residual, part: set[int]) -> dict[int, float]:
 
 def gnd_fallback(g: Residual, steps: int) -> list[int]:
     """The cut node of the largest component that leaves the smallest rest; without one its most between node."""
-    order: list[int] = []
+    order, parts = [], Parts(g)
     while g.alive and len(order) < steps:
-        part = g.largest()
+        part = parts.take()
         if cut := _cuts(g, part):
             u = min(cut, key=lambda u: (cut[u], g.ids[u]))
         else:
@@ -231,6 +247,7 @@ def gnd_fallback(g: Residual, steps: int) -> list[int]:
             u = min(score, key=lambda u: (-round(score[u], 9), g.ids[u]))
         g.remove(u)
         order.append(u)
+        parts.give_back(part)
     return order
 
 
@@ -243,13 +260,14 @@ def _batches(score: Callable[[Residual, set[int]], dict[int, float]]) -> Program
     """Removes the best-scored nodes of the largest component in batches."""
 
     def program(g: Residual, steps: int) -> list[int]:
-        order: list[int] = []
+        order, parts = [], Parts(g)
         while g.alive and len(order) < steps:
-            part = g.largest()
+            part = parts.take()
             scores = score(g, part) or {u: float(g.degree(u)) for u in part}
             for u in sorted(scores, key=lambda u: (-scores[u], g.ids[u]))[: min(steps - len(order), batch_size(len(part)))]:
                 g.remove(u)
                 order.append(u)
+            parts.give_back(part)
         return order
 
     return program
@@ -339,12 +357,13 @@ def local_scores(phase: float = 1.0, neighbours: float = 0.2, weak: float = 0.1,
 
 def component_focus(g: Residual, steps: int) -> list[int]:
     """Largest degree in the largest component, component by component."""
-    order: list[int] = []
+    order, parts = [], Parts(g)
     while g.alive and len(order) < steps:
-        part = g.largest()
+        part = parts.take()
         u = max(part, key=lambda u: (g.degree(u), g.ids[u]))
         g.remove(u)
         order.append(u)
+        parts.give_back(part)
     return order
 
 
