@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sunderflow.llm import decontaminate, language_id, mixing, sharding, simhash
+from sunderflow.llm import decontaminate, language_id, mixing, near_copies, sharding
 from sunderflow.llm.common import documents, durable, null_safe_key, seeded, word_count
 
 LEAST_SCORE = 0.5
@@ -41,8 +41,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document, by doc_id, of each group of near copies; of repeated rows one."""
-    first = simhash.near_dedup(docs).where("first").select(F.coalesce("doc_id", F.lit(_NOBODY)).alias("key_id"), F.col("_th").alias("key_text")).distinct()
+    """Keeps the first document, by doc_id, of each group of near copies (five-word shingles of a Jaccard similarity of 0.8
+    or more); of repeated rows one."""
+    first = near_copies.first_copies(docs).select(F.coalesce("doc_id", F.lit(_NOBODY)).alias("key_id"), F.col("_th").alias("key_text"))
     kept = _packed(docs, **_keys()).join(durable(first, "first-copies").hint("shuffle_hash"), ["key_id", "key_text"], "left_semi")
     same = Window.partitionBy("key_id", "key_text").orderBy("doc.source", "doc.lang")
     return kept.withColumn("copy", F.row_number().over(same)).where("copy = 1").select("doc.*")
@@ -75,7 +76,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixture", mixture), ("shards", shards)]
 
-#: SQL can express neither language ID nor SimHash groups; tests hold run() against a brute-force version.
+#: SQL can express neither language ID nor groups of near copies; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
