@@ -112,7 +112,7 @@ QUERIES = {
     "diverse_degree": _with(lambda e, n: seeds.diverse_degree(e, n, 5)),
     "two_hop_cover": _with(lambda e, n: seeds.two_hop_cover(e, n, 5)),
     "influence_benchmark": lambda s, d: rounded(influence_benchmark(e := edges(s, d), projections.nodes_of(e), 5, WORLDS, 0.1)),
-    "imm": _with(lambda e, n: seeds.imm(e, n, 3, 0.2, most=500)),
+    "imm": _with(lambda e, n: seeds.imm(e, n, 3, 0.2)),
     "mia": _with(lambda e, n: seeds.mia(e, n, 2, 0.1, 0.01)),
     "dom_im": _with(lambda e, n: seeds.dominating_search(e, n, 5, runs=4, iterations=8)),
     "cluster_greedy": _with(lambda e, n: seeds.cluster_greedy(e, n, statistics.label_propagation(e), 3, runs=4)),

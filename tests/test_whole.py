@@ -2,7 +2,8 @@
 
 from collections import Counter, defaultdict
 
-from sunderflow.plans import graph_queries
+from sunderflow.operators import diffusion, seeds
+from sunderflow.plans import graph_queries, influence_queries
 
 
 def test_edge_lines_of_all_line_items(spark, data):
@@ -15,3 +16,11 @@ def test_edge_lines_of_all_line_items(spark, data):
             pairs[g].add((min(p, s), max(p, s)))
     got = {r.graph: (r.raw, r.bad, r.selfloop, r.usable, r.edges) for r in graph_queries.QUERIES["edge_line_counts_all"](spark, data).collect()}
     assert got == {g: (c.total() - c["skipped"], c["bad"], c["selfloop"], c["edge"], len(pairs[g])) for g, c in want.items()}
+
+
+def test_imm_is_not_cut_to_500_sets(spark, data, monkeypatch):
+    """Which numbers imm asks for; 20 sets stand in for each sample, as the cap alone is looked at."""
+    asked = []
+    monkeypatch.setattr(seeds, "reverse_sets", lambda n, a, number, seed: asked.append(number) or diffusion.reverse_sets(n, a, 20, seed))
+    influence_queries.QUERIES["imm"](spark, data)
+    assert 500 < max(asked) <= 20_000
