@@ -71,9 +71,9 @@ def cascade(seeds: DataFrame, arc: DataFrame, worlds: int, seed: int = SEED, str
         reached = new.withColumnRenamed("node", "s").join(arc, ["graph", "s"]).where(wins).select("graph", "method", "world", F.col("d").alias("node")).distinct()
         new = durable(reached.join(active, ["graph", "method", "world", "node"], "left_anti").select("graph", "method", "node", "world"), "newly-active")
         if new.isEmpty():
-            break
+            return active
         active = durable(active.unionByName(new), "active")
-    return active
+    raise RuntimeError(f"nodes still become active after {rounds} rounds")
 
 
 def mean_active(active: DataFrame, worlds: int) -> DataFrame:
@@ -124,9 +124,9 @@ def threshold_spread(seeds: DataFrame, edges: DataFrame, worlds: int = 4096, see
         over = pressed.join(degree, ["graph", "node"]).where(F.col("n") / F.col("degree") >= hash_uniform(seed, F.col("world"), F.col("node")))
         new = durable(over.join(active, keys, "left_anti").select(*keys), "lt-new")
         if new.isEmpty():
-            break
+            return active
         active = durable(active.unionByName(new), "lt-active")
-    return active
+    raise RuntimeError(f"nodes still become active after {rounds} rounds")
 
 
 def threshold_summary(active: DataFrame, nodes: DataFrame, worlds: int) -> DataFrame:

@@ -65,8 +65,8 @@ def core_numbers(edges: DataFrame, rounds: int = 1000) -> DataFrame:
         after = durable(after, "cores")
         now = after.drop("fell")
         if after.where("fell").isEmpty():
-            break
-    return now
+            return now
+    raise RuntimeError(f"core numbers still fall after {rounds} rounds")
 
 
 def components(edges: DataFrame) -> DataFrame:

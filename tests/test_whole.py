@@ -2,7 +2,9 @@
 
 from collections import Counter, defaultdict
 
-from sunderflow.operators import diffusion, seeds
+import pytest
+
+from sunderflow.operators import diffusion, seeds, statistics
 from sunderflow.plans import graph_queries, influence_queries
 
 
@@ -24,3 +26,9 @@ def test_imm_is_not_cut_to_500_sets(spark, data, monkeypatch):
     monkeypatch.setattr(seeds, "reverse_sets", lambda n, a, number, seed: asked.append(number) or diffusion.reverse_sets(n, a, 20, seed))
     influence_queries.QUERIES["imm"](spark, data)
     assert 500 < max(asked) <= 20_000
+
+
+def test_core_numbers_do_not_stop_silently(spark):
+    path = spark.createDataFrame([("g", i, i + 1) for i in range(12)], "graph string, src long, dst long")
+    with pytest.raises(RuntimeError):
+        statistics.core_numbers(path, rounds=2)
