@@ -1,18 +1,27 @@
-"""Near copies by exact similarity of word shingles, for the pipeline.
+"""Near copies by wide SimHash fingerprints and multi-index hashing, with similarity verified on the shingles; for the pipeline.
 
 Texts link where the sets of their five-word shingles have a Jaccard similarity of SIMILAR or more; groups are what links
-join. Candidates come from min-hashes: BANDS bands of ROWS values, of which a pair of similarity s shares at least one
-with probability 1 - (1 - s^ROWS)^BANDS, all but 5 in 10 million pairs at 0.8 and fewer above. Each band links its texts to
-its smallest one only, so candidates grow with the texts. What candidate links join meets in one task, where every link
-is verified on the shingles themselves; pairs that a chain of verified links joins already aren't compared again.
+join. 64 bits, as the query op9_simhash has them, tell that similarity only roughly: at 0.8 about 10 of them differ, and
+between 3 and 18 do. So this stage takes the same fingerprint from more bits: SEGMENTS segments of BITS bits, and CHECK more.
+Each text is tabled under the Hamming ball of one bit around each segment, so two texts meet where a segment differs in two
+bits at most; at a similarity of 0.8 they miss each other in all segments 2 to 3 times in 1,000, and less above. Texts that meet
+are compared by the check bits, and what FAR or fewer differing ones join (at 0.8, 20 are usual and 34 are 3.7 standard
+deviations above) is a group of candidates.
+
+Links are verified on the shingles: a group's texts are reached from its first one, step by step, each step comparing those
+not reached yet; so a chain of similar texts is found whole, and no pair is compared that a chain joins already. Groups of at
+most LOCAL texts are bounded work for one task. Larger ones go in rounds: PIVOTS reached texts are compared with all that
+are left, which are dealt to tasks in parts of LOCAL. Entries with more than DENSE texts are compared in blocks, each pair of
+blocks in a task of its own. Nothing is capped, and every way gives the same links.
 
 Texts of equal shingle sets collapse first. Null, empty and blank texts have no shingle and are copies of each other; a
-text of fewer words than a shingle is one shingle.
+text of fewer words than a shingle is one shingle. Null doc_ids take part; a repeated doc_id names rows of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,115 +29,264 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 
 from ..operators.components import connected_components
+from ..sources.storage import fresh
 from .common import F, durable, text_batches
+from .simhash import majority, shingle_hashes
 
-WORDS, SIMILAR, BANDS, ROWS, SEED = 5, (4, 5), 48, 6, 42
-_BLOCK = 1024
+WORDS, SIMILAR, SEED = 5, (4, 5), 42
+BITS, SEGMENTS, CHECK, FAR = 20, 12, 128, 34
+DENSE, LOCAL, PIVOTS, MOST_SHINGLES = 4096, 512, 64, 4_000_000
+#: Runs of an entry up to this length are compared all at once.
+_SHORT = 48
+_ROWS = 1 << 18
+_INDEX_WORDS = SEGMENTS // (64 // BITS)
+_WORDS = _INDEX_WORDS + CHECK // 64
+#: Odd multipliers, one a fingerprint word, that turn a shingle's hash into further ones.
+_ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 for i in range(_WORDS)], np.uint64)
 
 
-def shingle_set(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+def shingle_set(text: bytes) -> np.ndarray:
     """The sorted 64-bit hashes of a UTF-8 text's different shingles."""
-    plain = b" ".join(text.lower().split())
-    if not plain:
-        return np.empty(0, np.uint64)
-    gaps = np.flatnonzero(np.frombuffer(plain, np.uint8) == 32)
-    starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(plain)]
-    n = max(1, len(starts) - words + 1)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(plain[s:e], seed) for s, e in zip(starts[:n], ends[min(words, len(ends)) - 1 :], strict=True)], np.uint64))
-
-
-def _bands(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One key a band; none for the empty set."""
+    return np.unique(shingle_hashes(text, WORDS, SEED))
+
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """The words of a set's fingerprint: those of the segments, then those of the check bits."""
     if not len(shingles):
-        return np.empty(0, np.int64)
-    least, low = np.full(len(a), 0xFFFFFFFF, np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(low), _BLOCK):
-        np.minimum(least, (low[at : at + _BLOCK, None] * a + b).min(axis=0), out=least)
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+        return np.zeros(_WORDS, np.uint64)
+    x = shingles[:, None] * _ODD
+    x ^= x >> np.uint64(32)
+    x *= _ODD[-1]
+    x ^= x >> np.uint64(29)
+    return majority(x)
 
 
 def _bytes(x: pa.Scalar) -> bytes:
     return x.as_buffer().to_pybytes() if x.is_valid else b""
 
 
+def _text_key() -> Column:
+    return F.coalesce(F.xxhash64("text"), F.lit(0))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, _th, _set, _bands): hashes of the text and of its shingle set, and the set's bands."""
+    """(doc_id, _th, _set, _n, _fp): hashes of the text and of its shingle set, its size and its fingerprint's words."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        rng = np.random.default_rng(SEED)
-        a, b = rng.integers(0, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, BANDS * ROWS, np.uint32)
         for texts in batches:
             sets = [shingle_set(_bytes(x)) for x in texts]
             names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            yield pa.StructArray.from_arrays([pa.array(names), pa.array([_bands(s, a, b) for s in sets], pa.list_(pa.int64()))], ["name", "bands"])
+            words = np.array([wide_fingerprint(s) for s in sets], np.uint64).reshape(-1, _WORDS).view(np.int64)
+            parts = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * _WORDS), pa.array(words.ravel()))
+            yield pa.StructArray.from_arrays([pa.array(names), pa.array([len(s) for s in sets], pa.int64()), parts], ["name", "n", "words"])
 
     text_batches(docs.sparkSession)
-    found = F.arrow_udf(run, "name long, bands array<long>")(F.col("text").cast("binary"))
+    found = F.arrow_udf(run, "name long, n long, words array<long>")(F.col("text").cast("binary"))
     rows = docs.select(F.col("doc_id").cast("long"), _text_key().alias("_th"), found.alias("_s"))
-    return rows.select("doc_id", "_th", F.col("_s.name").alias("_set"), F.col("_s.bands").alias("_bands"))
+    return rows.select("doc_id", "_th", F.col("_s.name").alias("_set"), F.col("_s.n").alias("_n"), F.col("_s.words").alias("_fp"))
 
 
-def _text_key() -> Column:
-    return F.coalesce(F.xxhash64("text"), F.lit(0))
+def entries(unique: DataFrame) -> DataFrame:
+    """(_key, _c1, _c2): check words under the balls of one bit around every segment."""
+    own, mask = 64 // BITS, (1 << BITS) - 1
+    flips = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << i for i in range(BITS))]])
+    segments = F.array(*[F.shiftrightunsigned(F.col("_fp")[i // own], BITS * (i % own)).bitwiseAND(F.lit(mask)) + F.lit(i << BITS) for i in range(SEGMENTS)])
+    keys = F.flatten(F.transform(segments, lambda s: F.transform(flips, lambda m: m.bitwiseXOR(s))))
+    nodes = unique.select("_fp").distinct()
+    return nodes.select(F.explode(keys).alias("_key"), F.col("_fp")[_INDEX_WORDS].alias("_c1"), F.col("_fp")[_INDEX_WORDS + 1].alias("_c2"))
 
 
-def candidates(unique: DataFrame) -> DataFrame:
-    """(_set, _c): sets that shared bands join, by steps."""
-    entries = durable(unique.select(F.explode("_bands").alias("_key"), "_set"), "band-entries")
-    met = entries.groupBy("_key").agg(F.min("_set").alias("_least"), F.max("_set").alias("_most")).where("_least < _most").drop("_most")
-    stars = entries.join(met, "_key").where("_set <> _least").select(F.col("_least").alias("src"), F.col("_set").alias("dst")).distinct()
-    return connected_components(stars).select(F.col("id").alias("_set"), F.col("component").alias("_c"))
+def _node(c1: Column, c2: Column) -> Column:
+    return F.xxhash64(c1, c2)
 
 
-def forest(sets: list[np.ndarray], similar: tuple[int, int] = SIMILAR) -> list[tuple[int, int]]:
-    """Places of links that join all sets which a chain of similar ones joins."""
-    over, under = similar
-    sizes = np.array([len(s) for s in sets], np.int64)
-    _, at = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    held, left, links = np.zeros(len(at), bool), np.arange(len(sets)), []
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether check words (n x 2) differ in FAR bits at most."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) <= FAR
+
+
+def _run_links(words: np.ndarray) -> np.ndarray:
+    """Places of links that join what a chain of near ones joins."""
+    left, out = np.arange(len(words)), []
     while len(left) > 1:
         reached, left = [int(left[0])], left[1:]
         while reached and len(left):
             x = reached.pop()
-            own = at[starts[x] : starts[x] + sizes[x]]
-            held[own] = True
-            fit = left[(under * sizes[left] >= over * sizes[x]) & (under * sizes[x] >= over * sizes[left])]
-            both = np.array([np.count_nonzero(held[at[starts[y] : starts[y] + sizes[y]]]) for y in fit.tolist()], np.int64)
-            held[own] = False
-            new = fit[under * both >= over * (sizes[fit] + sizes[x] - both)]
-            left = np.setdiff1d(left, new, assume_unique=True)
-            links += [(x, y) for y in new.tolist()]
+            near = _near(words[left], words[x])
+            new, left = left[near], left[~near]
+            out.append(np.stack([np.full(len(new), x), new], 1))
             reached += new.tolist()
+    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+
+
+def _met(keyed: DataFrame) -> DataFrame:
+    """(a1, a2, b1, b2): near check words that share a key; a key's rows are in one partition."""
+
+    def links(keys: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        short = np.repeat(sizes <= _SHORT, sizes)
+        pairs = []
+        for lag in range(1, int(min(sizes.max(), _SHORT))):
+            same = np.flatnonzero((keys[lag:] == keys[:-lag]) & short[lag:])
+            hit = same[_near(words[same], words[same + lag])]
+            pairs.append(np.stack([hit, hit + lag], 1))
+        pairs += [s + _run_links(words[s : s + n]) for s, n in zip(starts[sizes > _SHORT].tolist(), sizes[sizes > _SHORT].tolist(), strict=True)]
+        at = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
+        found = np.unique(np.concatenate([words[at[:, 0]], words[at[:, 1]]], 1), axis=0).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(4)], ["a1", "a2", "b1", "b2"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+            if not held or (batch is not None and sum(b.num_rows for b in held) < _ROWS):
+                continue
+            keys, c1, c2 = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
+            words = np.stack([c1, c2], 1).view(np.uint64)
+            cut = len(keys) if batch is None else int(np.searchsorted(keys, keys[-1]))
+            if cut:
+                yield links(keys[:cut], words[:cut])
+            held = [pa.RecordBatch.from_arrays([pa.array(c[cut:]) for c in (keys, c1, c2)], ["_key", "_c1", "_c2"])] if cut < len(keys) else []
+
+    return keyed.select("_key", "_c1", "_c2").mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
+
+
+def _blocked(dense: DataFrame, most: int) -> DataFrame:
+    """Rows of crowded entries (with their number _m) under keys of pairs of blocks of about `most` rows."""
+    blocks = F.ceil(F.col("_m") / most).cast("int")
+    placed = dense.withColumn("_b", F.pmod(F.hash("_c1", "_c2"), blocks)).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return placed.select(F.xxhash64("_key", F.least("_b", "_o"), F.greatest("_b", "_o")).alias("_key"), "_c1", "_c2")
+
+
+def candidates(unique: DataFrame, dense: int = DENSE) -> DataFrame:
+    """(_set, _c): sets that entries join, by steps; those that no entry joins with others are left out."""
+    spark = unique.sparkSession
+    keyed = entries(unique)
+    crowded = durable(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > dense), "crowded-entries")
+    number = crowded.count()
+    deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if number:
+        small = F.broadcast(crowded) if number <= 100_000 else crowded
+        split = _blocked(keyed.join(small, "_key"), dense)
+        keyed = keyed.join(small, "_key", "left_anti").unionByName(split)
+    met = durable(_met(keyed.repartition(deal, "_key").sortWithinPartitions("_key")), "near-links")
+    links = met.select(_node(F.col("a1"), F.col("a2")).alias("src"), _node(F.col("b1"), F.col("b2")).alias("dst")).distinct()
+    parts = connected_components(links).select(F.col("id").alias("_node"), F.col("component").alias("_c"))
+    nodes = unique.select("_set", _node(F.col("_fp")[_INDEX_WORDS], F.col("_fp")[_INDEX_WORDS + 1]).alias("_node"))
+    named = durable(nodes.join(parts, "_node", "left").select("_set", F.coalesce("_c", "_node").alias("_c")), "candidate-groups")
+    several = named.groupBy("_c").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_c")
+    return named.join(durable(several, "several"), "_c")
+
+
+def similar(a: np.ndarray, others: list[np.ndarray], similar: tuple[int, int] = SIMILAR) -> np.ndarray:
+    """Which of the sorted sets have a Jaccard similarity of over / under or more to a."""
+    over, under = similar
+    out = np.zeros(len(others), bool)
+    for i, b in enumerate(others):
+        if under * min(len(a), len(b)) >= over * max(len(a), len(b)):
+            both = len(a) + len(b) - len(np.union1d(a, b)) if len(a) and len(b) else 0
+            out[i] = under * both >= over * (len(a) + len(b) - both)
+    return out
+
+
+def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Places of links that join all sets which a chain of similar ones joins."""
+    left, links = list(range(len(sets))), []
+    while len(left) > 1:
+        reached, left = [left[0]], left[1:]
+        while reached and left:
+            x = reached.pop()
+            near = similar(sets[x], [sets[y] for y in left]).tolist()
+            new = [y for y, hit in zip(left, near, strict=True) if hit]
+            left = [y for y, hit in zip(left, near, strict=True) if not hit]
+            links += [(x, y) for y in new]
+            reached += new
     return links
 
 
-def _verified(named: DataFrame) -> DataFrame:
-    """(src, dst): verified links between the sets of (_set, _c, text)."""
+def _set_of(x: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(_bytes(x), np.uint64)
 
-    def run(group: pa.Table) -> pa.Table:
-        names = group.column("_set").to_numpy()
-        pairs = np.array(forest([np.frombuffer(_bytes(x), np.uint64) for x in group.column("_shingles")]), np.int64).reshape(-1, 2)
-        return pa.table({"src": names[pairs[:, 0]], "dst": names[pairs[:, 1]]})
+
+def _with_shingles(named: DataFrame) -> DataFrame:
+    """(_c, _set, _shingles) of (_c, _set, text)."""
 
     def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array([shingle_set(_bytes(x)).tobytes() for x in texts], pa.binary())
 
-    sets = named.select("_set", "_c", F.arrow_udf(shingles, "binary")(F.col("text").cast("binary")).alias("_shingles"))
+    return named.select("_c", "_set", F.arrow_udf(shingles, "binary")(F.col("text").cast("binary")).alias("_shingles"))
+
+
+def _group_links(sets: DataFrame) -> DataFrame:
+    """(src, dst): verified links of groups that a task holds."""
+
+    def run(group: pa.Table) -> pa.Table:
+        names = group.column("_set").to_numpy()
+        pairs = np.array(forest([_set_of(x) for x in group.column("_shingles")]), np.int64).reshape(-1, 2)
+        return pa.table({"src": names[pairs[:, 0]], "dst": names[pairs[:, 1]]})
+
     return sets.groupBy("_c").applyInArrow(run, "src long, dst long")
 
 
-def first_copies(docs: DataFrame) -> DataFrame:
+def _compared(left: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(src, dst): for every set of `left` one pivot of its group and part that it is similar to, if any is."""
+
+    def run(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        names, sets = ours.column("_set").to_numpy(), [_set_of(x) for x in ours.column("_shingles")]
+        found: dict[int, int] = {}
+        for name, x in zip(theirs.column("_set").to_pylist(), theirs.column("_shingles"), strict=True):
+            open_ = [i for i in range(len(sets)) if i not in found]
+            near = similar(_set_of(x), [sets[i] for i in open_])
+            found |= dict(zip([i for i, hit in zip(open_, near, strict=True) if hit], repeat(name)))
+        return pa.table({"src": pa.array(list(found.values()), pa.int64()), "dst": pa.array(names[list(found)] if found else [], pa.int64())})
+
+    keys = ["_c", "_part"]
+    return left.groupBy(*keys).cogroup(pivots.groupBy(*keys)).applyInArrow(run, "src long, dst long")
+
+
+def _round_links(sets: DataFrame, sizes: DataFrame, local: int, pivots: int) -> DataFrame:
+    """(src, dst): verified links of groups that no task could hold, in rounds over all of them."""
+    parts = sizes.select("_c", F.ceil(F.col("_m") / local).cast("int").alias("_parts"))
+    sets = durable(sets.join(parts, "_c").withColumn("_part", F.pmod(F.hash("_set"), F.col("_parts"))), "large-groups")
+    state = durable(sets.select("_c", "_set", F.lit(False).alias("_reached")), "group-state")
+    links = None
+    while state.where(~F.col("_reached")).limit(1).count():
+        # One candidate a bucket, reached ones first; where nothing is reached yet, one set begins.
+        offers = state.groupBy("_c", F.pmod(F.hash("_set"), F.lit(pivots))).agg(F.min(F.struct((~F.col("_reached")).alias("_new"), "_set")).alias("_p"))
+        best = offers.groupBy("_c").agg(F.min("_p").alias("_first"))
+        chosen = offers.join(best, "_c").where(~F.col("_p._new") | (F.col("_p") == F.col("_first"))).select("_c", F.col("_p._set").alias("_set"))
+        chosen = durable(chosen, "group-pivots")
+        rivals = sets.join(chosen, ["_c", "_set"]).select("_c", "_set", "_shingles", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+        open_ = state.where(~F.col("_reached")).join(chosen, ["_c", "_set"], "left_anti").select("_c", "_set")
+        ours = sets.join(open_, ["_c", "_set"]).select("_c", "_set", "_shingles", "_part")
+        found = durable(_compared(ours, fresh(rivals)), "group-links")
+        links = found if links is None else links.unionByName(found)
+        new = found.select(F.col("dst").alias("_set"), F.lit(True).alias("_now")).distinct()
+        rest = state.join(chosen, ["_c", "_set"], "left_anti").join(new, "_set", "left")
+        state = durable(rest.select("_c", "_set", (F.col("_reached") | F.coalesce("_now", F.lit(False))).alias("_reached")), "group-state")
+    return links if links is not None else sets.sparkSession.createDataFrame([], "src long, dst long")
+
+
+def first_copies(docs: DataFrame, dense: int = DENSE, local: int = LOCAL, pivots: int = PIVOTS) -> DataFrame:
     """(doc_id, _th) of the first text, by (doc_id, _th) with nulls last, of each group of near copies."""
     rows = durable(sketches(docs), "sketches")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "_th"))
-    unique = durable(rows.groupBy("_set").agg(least.alias("_first"), F.first("_bands").alias("_bands")), "unique-sets")
-    named = durable(candidates(unique).join(unique.select("_set", "_first"), "_set"), "candidate-sets")
+    unique = durable(rows.groupBy("_set").agg(least.alias("_first"), F.first("_fp").alias("_fp"), F.first("_n").alias("_n")), "unique-sets")
+    named = candidates(unique, dense).join(unique.select("_set", "_first", "_n"), "_set")
+    named = durable(named, "candidate-sets")
+    sizes = durable(named.groupBy("_c").agg(F.count(F.lit(1)).alias("_m"), F.sum("_n").alias("_s")), "candidate-sizes")
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), _text_key().alias("_th"), "text")
-    met = texts.join(named.select("_set", "_c", F.col("_first.doc_id").alias("_want"), F.col("_first._th").alias("_th")), "_th").where(F.col("_id").eqNullSafe(F.col("_want")))
-    links = durable(_verified(met.dropDuplicates(["_set"])), "copy-links")
+    wanted = named.select("_set", "_c", F.col("_first.doc_id").alias("_want"), F.col("_first._th").alias("_th"))
+    met = texts.join(wanted, "_th").where(F.col("_id").eqNullSafe(F.col("_want"))).dropDuplicates(["_set"])
+    sets = durable(_with_shingles(met), "candidate-shingles")
+    fits = (F.col("_m") <= local) & (F.col("_s") <= MOST_SHINGLES)
+    small, large = sizes.where(fits), durable(sizes.where(~fits), "large-sizes")
+    links = durable(_group_links(sets.join(small.select("_c"), "_c")), "copy-links")
+    if large.limit(1).count():
+        links = links.unionByName(_round_links(sets, large, local, pivots))
     found = connected_components(links).select(F.col("id").alias("_set"), F.col("component").alias("_g"))
     firsts = unique.select("_set", "_first").join(found, "_set", "left").groupBy(F.coalesce("_g", "_set").alias("_g")).agg(F.min("_first").alias("_first"))
     return firsts.select("_first.doc_id", "_first._th")

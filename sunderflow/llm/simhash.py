@@ -29,24 +29,37 @@ from ..operators.components import connected_components
 from .common import F, documents, durable, text_batches
 
 SHINGLE, RADIUS, SEED, DENSE = 4, 4, 42, 4096
-_BLOCK = 20_000
 
 
-def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned 64-bit SimHash of a UTF-8 text."""
+def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
+    """The hash of every shingle of a UTF-8 text, repeats included; none for a text without words."""
     plain = b" ".join(text.lower().split())
     if not plain:
-        return 0
+        return np.empty(0, np.uint64)
     gaps = np.flatnonzero(np.frombuffer(plain, np.uint8) == 32)
     starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(plain)]
     n = max(1, len(starts) - words + 1)
-    ends = ends[min(words, len(ends)) - 1 :]
-    set_bits = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, n, _BLOCK):
-        hashes = np.array([digest(plain[s:e], seed) for s, e in zip(starts[at : min(n, at + _BLOCK)], ends[at : at + _BLOCK], strict=True)], np.uint64)
-        set_bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * set_bits > n, bitorder="little").tobytes(), "little")
+    return np.array([digest(plain[s:e], seed) for s, e in zip(starts[:n], ends[min(words, len(ends)) - 1 :], strict=True)], np.uint64)
+
+
+#: A byte's bits in the bytes of a number, so that up to 255 of them add up without carries.
+_SPREAD = np.array([sum((b >> i & 1) << 8 * i for i in range(8)) for b in range(256)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The words whose bits are set in over half of the rows' words (n x words, or n for one word)."""
+    octets = hashes.view(np.uint8).reshape(len(hashes), -1)
+    set_bits = np.zeros(8 * octets.shape[1], np.int64)
+    for at in range(0, len(octets), 255):
+        set_bits += _SPREAD[octets[at : at + 255]].sum(axis=0).view(np.uint8)
+    return np.packbits(2 * set_bits > len(octets), bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
+    """The unsigned 64-bit SimHash of a UTF-8 text."""
+    hashes = shingle_hashes(text, words, seed)
+    return int(majority(hashes)[0]) if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED) -> DataFrame:

@@ -5,6 +5,8 @@ import re
 
 import corpus_pipeline as p
 
+from sunderflow.llm import near_copies
+
 from .test_exact import SPACE, lower, ordered
 
 
@@ -50,3 +52,42 @@ def test_near_copies_of_the_tables(spark, data):
     pairs = [(r.doc_id, r.text) for r in docs.collect()]
     want = plain_firsts(pairs)
     assert ordered((r.doc_id,) for r in p.near_duplicates(spark, docs, data).collect()) == ordered((i,) for i in want)
+
+
+def changed_texts(seed, bases, copies, most):
+    """Texts in groups: copies of a base with up to `most` of its 200 words changed."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    out = []
+    for _ in range(bases):
+        base = [word() for _ in range(200)]
+        out.append(" ".join(base))
+        for _ in range(copies):
+            other = base[:]
+            for at in rng.sample(range(200), rng.randint(1, most)):
+                other[at] = word()
+            out.append(" ".join(other))
+    return list(enumerate(out))
+
+
+def test_large_groups_and_crowded_entries(spark):
+    """Blocks of entries and rounds over groups find what one task finds."""
+    pairs = changed_texts(5, 3, 40, 4)
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    got = near_copies.first_copies(docs, dense=8, local=6, pivots=4)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(plain_firsts(pairs))
+
+
+def test_recall_at_the_edge():
+    """Of pairs whose similarity is just over 0.8, at least 99 in 100 meet in an entry and are near by the check bits."""
+    met, pairs = 0, [p for i in range(300) for p in [changed_texts(i, 1, 1, 1)[0][1]]]
+    rng = random.Random(7)
+    for text in pairs:
+        words = text.split()
+        at = rng.randint(1, 30)
+        other = words[:at] + [f"new{j}" for j in range(17)] + words[at + 17 :]  # 21 of 196 shingles differ: 175 / 217 = 0.806
+        a, b = (near_copies.wide_fingerprint(near_copies.shingle_set(" ".join(w).encode())) for w in (words, other))
+        segments = lambda f: [int(f[i // 3]) >> 20 * (i % 3) & 0xFFFFF for i in range(near_copies.SEGMENTS)]
+        meet = any((x ^ y).bit_count() <= 2 for x, y in zip(segments(a), segments(b), strict=True))
+        met += meet and sum((int(x) ^ int(y)).bit_count() for x, y in zip(a[4:], b[4:], strict=True)) <= near_copies.FAR
+    assert met >= 297
