@@ -57,15 +57,23 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it, which may be never."""
-    stratum = dict(zip(("_sn", "_sv"), null_safe_key(F.col("source")), strict=True))
-    rows = _packed(docs, doc_id=F.col("doc_id"), size=word_count(F.col("text")), _k=seeded(mixing.SEED, F.col("doc_id")), **_keys(), **stratum).drop("doc")
+    """Repeats each document as often as the mix takes it, which may be never.
+
+    Rows that agree in doc_id and text are told apart by their other columns; of rows that agree in all, any stands for
+    another, and those taken most often come first.
+    """
+    other = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])))
+    own = _keys() | dict(zip(("_sn", "_sv"), null_safe_key(F.col("source")), strict=True)) | {"key_row": other}
+    keys = list(own)
+    rows = _packed(docs, doc_id=F.col("doc_id"), size=word_count(F.col("text")), _k=seeded(mixing.SEED, F.col("doc_id"), other), **own).drop("doc")
     taken = mixing.repetitions(durable(rows, "mix-rows"))
-    copies = taken.where("copies > 0").groupBy("key_id", "key_text", "_sn", "_sv").agg(F.collect_list(F.col("copies").cast("int")).alias("copies"))
-    keys = ["key_id", "key_text", "_sn", "_sv"]
-    met = _packed(docs, **_keys(), **stratum).join(durable(copies, "mix-copies").hint("shuffle_hash"), keys)
-    numbered = met.withColumn("row", F.row_number().over(Window.partitionBy(*keys).orderBy("doc.lang")))
-    times = F.coalesce(F.get("copies", F.col("row") - 1), F.lit(0))
+    kinds = taken.groupBy(*keys, "copies").agg(F.count(F.lit(1)).alias("rows"))
+    upto = F.sum("rows").over(Window.partitionBy(*keys).orderBy(F.desc("copies")))
+    plan = kinds.withColumn("upto", upto).where("copies > 0").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("upto", F.col("copies").cast("int").alias("copies")))).alias("plan"))
+    met = _packed(docs, **own).join(durable(plan, "mix-copies").hint("shuffle_hash"), keys)
+    numbered = met.withColumn("row", F.row_number().over(Window.partitionBy(*keys).orderBy("key_row")))
+    step = F.get(F.filter("plan", lambda x: F.col("row") <= x["upto"]), F.lit(0))
+    times = F.coalesce(step["copies"], F.lit(0))
     return numbered.select("doc", F.explode(F.array_repeat(F.lit(0), times)).alias("time")).select("doc.*")
 
 
