@@ -9,10 +9,11 @@ are compared by the check bits, and what FAR or fewer differing ones join (at 0.
 deviations above) is a group of candidates.
 
 Links are verified on the shingles: a group's texts are reached from its first one, step by step, each step comparing those
-not reached yet; so a chain of similar texts is found whole, and no pair is compared that a chain joins already. Groups of at
-most LOCAL texts are bounded work for one task. Larger ones go in rounds: PIVOTS reached texts are compared with all that
-are left, which are dealt to tasks in parts of LOCAL. Entries with more than DENSE texts are compared in blocks, each pair of
-blocks in a task of its own. Nothing is capped, and every way gives the same links.
+not reached yet; so a chain of similar texts is found whole, and no pair is compared that a chain joins already. Pairs whose
+whole fingerprints differ in over a quarter of their bits (5 standard deviations above what 0.8 gives) need no comparison.
+
+Entries of more than DENSE texts, and groups of more than LOCAL texts or MOST shingles, are dealt into blocks, and each pair of
+blocks is a task's work. Nothing is capped, and the links join the same texts.
 
 Texts of equal shingle sets collapse first. Null, empty and blank texts have no shingle and are copies of each other; a
 text of fewer words than a shingle is one shingle. Null doc_ids take part; a repeated doc_id names rows of their own.
@@ -21,7 +22,7 @@ text of fewer words than a shingle is one shingle. Null doc_ids take part; a rep
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,36 +30,64 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 
 from ..operators.components import connected_components
-from ..sources.storage import fresh
 from .common import F, durable, text_batches
-from .simhash import majority, shingle_hashes
+from .simhash import majority
 
 WORDS, SIMILAR, SEED = 5, (4, 5), 42
 BITS, SEGMENTS, CHECK, FAR = 20, 12, 128, 34
-DENSE, LOCAL, PIVOTS, MOST_SHINGLES = 4096, 512, 64, 4_000_000
+DENSE, LOCAL, MOST = 4096, 2048, 2_000_000
 #: Runs of an entry up to this length are compared all at once.
 _SHORT = 48
-_ROWS = 1 << 18
+_ROWS, _KNOWN = 1 << 18, 400_000
 _INDEX_WORDS = SEGMENTS // (64 // BITS)
 _WORDS = _INDEX_WORDS + CHECK // 64
+_FAR_AT_ALL = 64 * _WORDS // 4
 #: Odd multipliers, one a fingerprint word, that turn a shingle's hash into further ones.
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 for i in range(_WORDS)], np.uint64)
 
 
-def shingle_set(text: bytes) -> np.ndarray:
-    """The sorted 64-bit hashes of a UTF-8 text's different shingles."""
-    return np.unique(shingle_hashes(text, WORDS, SEED))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(32))
+    x *= _ODD[-1]
+    return x ^ (x >> np.uint64(29))
+
+
+class Words(dict):
+    """Words and their places in `hashes`; those that are met first get the next place."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashes = np.empty(1024, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        if at == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, self.hashes])
+        self.hashes[at] = xxhash.xxh64_intdigest(word, SEED)
+        return at
+
+
+def shingle_set(text: bytes, known: Words | None = None) -> np.ndarray:
+    """The sorted 64-bit hashes of a UTF-8 text's different shingles, from those of their words, which `known` keeps."""
+    known, words = Words() if known is None else known, text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    if len(known) > _KNOWN:
+        known.clear()
+    places = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    each = known.hashes[places]
+    size = min(WORDS, len(each))
+    out = np.full(len(each) - size + 1, size, np.uint64)
+    for i in range(size):
+        out += each[i : len(each) - size + 1 + i] * _ODD[i]
+    return np.unique(_mixed(out))
 
 
 def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
     """The words of a set's fingerprint: those of the segments, then those of the check bits."""
     if not len(shingles):
         return np.zeros(_WORDS, np.uint64)
-    x = shingles[:, None] * _ODD
-    x ^= x >> np.uint64(32)
-    x *= _ODD[-1]
-    x ^= x >> np.uint64(29)
-    return majority(x)
+    return majority(_mixed(shingles[:, None] * _ODD))
 
 
 def _bytes(x: pa.Scalar) -> bytes:
@@ -73,8 +102,9 @@ def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, _th, _set, _n, _fp): hashes of the text and of its shingle set, its size and its fingerprint's words."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Words()
         for texts in batches:
-            sets = [shingle_set(_bytes(x)) for x in texts]
+            sets = [shingle_set(_bytes(x), known) for x in texts]
             names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             words = np.array([wide_fingerprint(s) for s in sets], np.uint64).reshape(-1, _WORDS).view(np.int64)
             parts = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * _WORDS), pa.array(words.ravel()))
@@ -86,14 +116,29 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "_th", F.col("_s.name").alias("_set"), F.col("_s.n").alias("_n"), F.col("_s.words").alias("_fp"))
 
 
-def entries(unique: DataFrame) -> DataFrame:
-    """(_key, _c1, _c2): check words under the balls of one bit around every segment."""
+def segments(unique: DataFrame) -> DataFrame:
+    """(_segment, _c1, _c2): every segment of every fingerprint, by number and bits, with the check words."""
     own, mask = 64 // BITS, (1 << BITS) - 1
-    flips = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << i for i in range(BITS))]])
-    segments = F.array(*[F.shiftrightunsigned(F.col("_fp")[i // own], BITS * (i % own)).bitwiseAND(F.lit(mask)) + F.lit(i << BITS) for i in range(SEGMENTS)])
-    keys = F.flatten(F.transform(segments, lambda s: F.transform(flips, lambda m: m.bitwiseXOR(s))))
+    values = [F.shiftrightunsigned(F.col("_fp")[i // own], BITS * (i % own)).bitwiseAND(F.lit(mask)) + F.lit(i << BITS) for i in range(SEGMENTS)]
     nodes = unique.select("_fp").distinct()
-    return nodes.select(F.explode(keys).alias("_key"), F.col("_fp")[_INDEX_WORDS].alias("_c1"), F.col("_fp")[_INDEX_WORDS + 1].alias("_c2"))
+    return nodes.select(F.explode(F.array(*values)).alias("_segment"), F.col("_fp")[_INDEX_WORDS].alias("_c1"), F.col("_fp")[_INDEX_WORDS + 1].alias("_c2"))
+
+
+def in_ball(rows: DataFrame) -> DataFrame:
+    """rows with _segment under each _key that differs from it in one bit at most."""
+    flips = F.explode(F.array(*[F.lit(m).cast("long") for m in [0, *(1 << i for i in range(BITS))]]))
+    return rows.withColumn("_flip", flips).withColumn("_key", F.col("_segment").bitwiseXOR(F.col("_flip"))).drop("_segment", "_flip")
+
+
+def crowded_keys(parts: DataFrame, most: int) -> DataFrame:
+    """(_key, _m): entries of more than `most` rows, by their number.
+
+    Only segments that hold their share of such an entry can be in one, so few are looked at.
+    """
+    counts = durable(parts.groupBy("_segment").agg(F.count(F.lit(1)).alias("_n")), "segment-counts")
+    keys = in_ball(counts.where(F.col("_n") * (BITS + 1) > most).select("_segment")).distinct()
+    near = in_ball(keys.withColumnRenamed("_key", "_segment").withColumn("_of", F.col("_segment"))).select("_of", F.col("_key").alias("_segment"))
+    return near.join(counts, "_segment").groupBy(F.col("_of").alias("_key")).agg(F.sum("_n").alias("_m")).where(F.col("_m") > most)
 
 
 def _node(c1: Column, c2: Column) -> Column:
@@ -163,8 +208,9 @@ def _blocked(dense: DataFrame, most: int) -> DataFrame:
 def candidates(unique: DataFrame, dense: int = DENSE) -> DataFrame:
     """(_set, _c): sets that entries join, by steps; those that no entry joins with others are left out."""
     spark = unique.sparkSession
-    keyed = entries(unique)
-    crowded = durable(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > dense), "crowded-entries")
+    parts = durable(segments(unique), "segments")
+    keyed = in_ball(parts)
+    crowded = durable(crowded_keys(parts, dense), "crowded-entries")
     number = crowded.count()
     deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if number:
@@ -173,9 +219,9 @@ def candidates(unique: DataFrame, dense: int = DENSE) -> DataFrame:
         keyed = keyed.join(small, "_key", "left_anti").unionByName(split)
     met = durable(_met(keyed.repartition(deal, "_key").sortWithinPartitions("_key")), "near-links")
     links = met.select(_node(F.col("a1"), F.col("a2")).alias("src"), _node(F.col("b1"), F.col("b2")).alias("dst")).distinct()
-    parts = connected_components(links).select(F.col("id").alias("_node"), F.col("component").alias("_c"))
+    joined = connected_components(links).select(F.col("id").alias("_node"), F.col("component").alias("_c"))
     nodes = unique.select("_set", _node(F.col("_fp")[_INDEX_WORDS], F.col("_fp")[_INDEX_WORDS + 1]).alias("_node"))
-    named = durable(nodes.join(parts, "_node", "left").select("_set", F.coalesce("_c", "_node").alias("_c")), "candidate-groups")
+    named = durable(nodes.join(joined, "_node", "left").select("_set", F.coalesce("_c", "_node").alias("_c")), "candidate-groups")
     several = named.groupBy("_c").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_c")
     return named.join(durable(several, "several"), "_c")
 
@@ -191,102 +237,62 @@ def similar(a: np.ndarray, others: list[np.ndarray], similar: tuple[int, int] =
     return out
 
 
-def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Places of links that join all sets which a chain of similar ones joins."""
-    left, links = list(range(len(sets))), []
+def forest(sets: list[np.ndarray], words: np.ndarray) -> list[tuple[int, int]]:
+    """Places of links that join all sets (with their fingerprints' words) which a chain of similar ones joins."""
+    left, links = np.arange(len(sets)), []
     while len(left) > 1:
-        reached, left = [left[0]], left[1:]
-        while reached and left:
+        reached, left = [int(left[0])], left[1:]
+        while reached and len(left):
             x = reached.pop()
-            near = similar(sets[x], [sets[y] for y in left]).tolist()
-            new = [y for y, hit in zip(left, near, strict=True) if hit]
-            left = [y for y, hit in zip(left, near, strict=True) if not hit]
+            maybe = np.bitwise_count(words[left] ^ words[x]).sum(axis=1, dtype=np.int64) <= _FAR_AT_ALL
+            hit = np.zeros(len(left), bool)
+            hit[maybe] = similar(sets[x], [sets[y] for y in left[maybe].tolist()])
+            new, left = left[hit].tolist(), left[~hit]
             links += [(x, y) for y in new]
             reached += new
     return links
 
 
-def _set_of(x: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(_bytes(x), np.uint64)
-
-
 def _with_shingles(named: DataFrame) -> DataFrame:
-    """(_c, _set, _shingles) of (_c, _set, text)."""
+    """named with _shingles in place of text."""
 
     def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Words()
         for texts in batches:
-            yield pa.array([shingle_set(_bytes(x)).tobytes() for x in texts], pa.binary())
+            yield pa.array([shingle_set(_bytes(x), known).tobytes() for x in texts], pa.binary())
 
-    return named.select("_c", "_set", F.arrow_udf(shingles, "binary")(F.col("text").cast("binary")).alias("_shingles"))
+    return named.withColumn("_shingles", F.arrow_udf(shingles, "binary")(F.col("text").cast("binary"))).drop("text")
 
 
-def _group_links(sets: DataFrame) -> DataFrame:
-    """(src, dst): verified links of groups that a task holds."""
+def _verified(sets: DataFrame, sizes: DataFrame, local: int) -> DataFrame:
+    """(src, dst): verified links; a task holds two blocks of a group."""
+    blocks = F.ceil(F.greatest(F.col("_m") / local, F.col("_s") / MOST)).cast("int")
+    number = sizes.select("_c", F.greatest(blocks, F.lit(1)).alias("_blocks"))
+    met = sets.join(number, "_c").withColumn("_b", F.pmod(F.hash("_set"), F.col("_blocks")))
+    met = met.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = met.select("_c", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_set", "_fp", "_shingles")
 
     def run(group: pa.Table) -> pa.Table:
         names = group.column("_set").to_numpy()
-        pairs = np.array(forest([_set_of(x) for x in group.column("_shingles")]), np.int64).reshape(-1, 2)
+        words = group.column("_fp").combine_chunks().flatten().to_numpy().reshape(-1, _WORDS).view(np.uint64)
+        pairs = np.array(forest([np.frombuffer(_bytes(x), np.uint64) for x in group.column("_shingles")], words), np.int64).reshape(-1, 2)
         return pa.table({"src": names[pairs[:, 0]], "dst": names[pairs[:, 1]]})
 
-    return sets.groupBy("_c").applyInArrow(run, "src long, dst long")
-
-
-def _compared(left: DataFrame, pivots: DataFrame) -> DataFrame:
-    """(src, dst): for every set of `left` one pivot of its group and part that it is similar to, if any is."""
-
-    def run(ours: pa.Table, theirs: pa.Table) -> pa.Table:
-        names, sets = ours.column("_set").to_numpy(), [_set_of(x) for x in ours.column("_shingles")]
-        found: dict[int, int] = {}
-        for name, x in zip(theirs.column("_set").to_pylist(), theirs.column("_shingles"), strict=True):
-            open_ = [i for i in range(len(sets)) if i not in found]
-            near = similar(_set_of(x), [sets[i] for i in open_])
-            found |= dict(zip([i for i, hit in zip(open_, near, strict=True) if hit], repeat(name)))
-        return pa.table({"src": pa.array(list(found.values()), pa.int64()), "dst": pa.array(names[list(found)] if found else [], pa.int64())})
-
-    keys = ["_c", "_part"]
-    return left.groupBy(*keys).cogroup(pivots.groupBy(*keys)).applyInArrow(run, "src long, dst long")
-
-
-def _round_links(sets: DataFrame, sizes: DataFrame, local: int, pivots: int) -> DataFrame:
-    """(src, dst): verified links of groups that no task could hold, in rounds over all of them."""
-    parts = sizes.select("_c", F.ceil(F.col("_m") / local).cast("int").alias("_parts"))
-    sets = durable(sets.join(parts, "_c").withColumn("_part", F.pmod(F.hash("_set"), F.col("_parts"))), "large-groups")
-    state = durable(sets.select("_c", "_set", F.lit(False).alias("_reached")), "group-state")
-    links = None
-    while state.where(~F.col("_reached")).limit(1).count():
-        # One candidate a bucket, reached ones first; where nothing is reached yet, one set begins.
-        offers = state.groupBy("_c", F.pmod(F.hash("_set"), F.lit(pivots))).agg(F.min(F.struct((~F.col("_reached")).alias("_new"), "_set")).alias("_p"))
-        best = offers.groupBy("_c").agg(F.min("_p").alias("_first"))
-        chosen = offers.join(best, "_c").where(~F.col("_p._new") | (F.col("_p") == F.col("_first"))).select("_c", F.col("_p._set").alias("_set"))
-        chosen = durable(chosen, "group-pivots")
-        rivals = sets.join(chosen, ["_c", "_set"]).select("_c", "_set", "_shingles", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
-        open_ = state.where(~F.col("_reached")).join(chosen, ["_c", "_set"], "left_anti").select("_c", "_set")
-        ours = sets.join(open_, ["_c", "_set"]).select("_c", "_set", "_shingles", "_part")
-        found = durable(_compared(ours, fresh(rivals)), "group-links")
-        links = found if links is None else links.unionByName(found)
-        new = found.select(F.col("dst").alias("_set"), F.lit(True).alias("_now")).distinct()
-        rest = state.join(chosen, ["_c", "_set"], "left_anti").join(new, "_set", "left")
-        state = durable(rest.select("_c", "_set", (F.col("_reached") | F.coalesce("_now", F.lit(False))).alias("_reached")), "group-state")
-    return links if links is not None else sets.sparkSession.createDataFrame([], "src long, dst long")
-
-
-def first_copies(docs: DataFrame, dense: int = DENSE, local: int = LOCAL, pivots: int = PIVOTS) -> DataFrame:
+    return dealt.groupBy("_c", "_i", "_j").applyInArrow(run, "src long, dst long")
+
+
+def first_copies(docs: DataFrame, dense: int = DENSE, local: int = LOCAL) -> DataFrame:
     """(doc_id, _th) of the first text, by (doc_id, _th) with nulls last, of each group of near copies."""
     rows = durable(sketches(docs), "sketches")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "_th"))
     unique = durable(rows.groupBy("_set").agg(least.alias("_first"), F.first("_fp").alias("_fp"), F.first("_n").alias("_n")), "unique-sets")
-    named = candidates(unique, dense).join(unique.select("_set", "_first", "_n"), "_set")
-    named = durable(named, "candidate-sets")
+    named = durable(candidates(unique, dense).join(unique, "_set"), "candidate-sets")
     sizes = durable(named.groupBy("_c").agg(F.count(F.lit(1)).alias("_m"), F.sum("_n").alias("_s")), "candidate-sizes")
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), _text_key().alias("_th"), "text")
-    wanted = named.select("_set", "_c", F.col("_first.doc_id").alias("_want"), F.col("_first._th").alias("_th"))
+    wanted = named.select("_set", "_c", "_fp", F.col("_first.doc_id").alias("_want"), F.col("_first._th").alias("_th"))
     met = texts.join(wanted, "_th").where(F.col("_id").eqNullSafe(F.col("_want"))).dropDuplicates(["_set"])
-    sets = durable(_with_shingles(met), "candidate-shingles")
-    fits = (F.col("_m") <= local) & (F.col("_s") <= MOST_SHINGLES)
-    small, large = sizes.where(fits), durable(sizes.where(~fits), "large-sizes")
-    links = durable(_group_links(sets.join(small.select("_c"), "_c")), "copy-links")
-    if large.limit(1).count():
-        links = links.unionByName(_round_links(sets, large, local, pivots))
+    sets = durable(_with_shingles(met.select("_c", "_set", "_fp", "text")), "candidate-shingles")
+    links = durable(_verified(sets, sizes, local), "copy-links")
     found = connected_components(links).select(F.col("id").alias("_set"), F.col("component").alias("_g"))
     firsts = unique.select("_set", "_first").join(found, "_set", "left").groupBy(F.coalesce("_g", "_set").alias("_g")).agg(F.min("_first").alias("_first"))
     return firsts.select("_first.doc_id", "_first._th")

@@ -71,10 +71,10 @@ def changed_texts(seed, bases, copies, most):
 
 
 def test_large_groups_and_crowded_entries(spark):
-    """Blocks of entries and rounds over groups find what one task finds."""
+    """Blocks of entries and of groups find what one task finds."""
     pairs = changed_texts(5, 3, 40, 4)
     docs = spark.createDataFrame(pairs, "doc_id long, text string")
-    got = near_copies.first_copies(docs, dense=8, local=6, pivots=4)
+    got = near_copies.first_copies(docs, dense=8, local=6)
     assert sorted(r.doc_id for r in got.collect()) == sorted(plain_firsts(pairs))
 
 
