@@ -9,7 +9,9 @@ equally likely. A context that a language has never seen escapes for free. The l
 the score is its share under equal priors, 2^-length over the sum.
 
 Training takes at most MAX_TRAIN documents a language, those first in a seeded shuffle of the language's eligible
-rows: a bound on the model's size, whatever the table's. Scoring covers whole texts of all rows. Texts run through
+rows, and of these as many as begin within its first MAX_BYTES bytes: bounds on the model's size, whatever the table's.
+The shuffle's key comes from doc_id and text, and counts per key range tell which rows can be among the first; so every
+language with an eligible row is learned, also where rows share a doc_id. Scoring covers whole texts of all rows. Texts run through
 hash tables that hold, for every byte sequence of up to order + 1 that any language has seen, its code lengths in all
 languages; so a byte takes a few array reads, not one walk a language.
 
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from .common import F, Window, documents, durable, seeded, text_batches
 
-ORDER, MAX_TRAIN, SEED, FOLDS = 3, 1500, 11, 5
+ORDER, MAX_TRAIN, MAX_BYTES, SEED, FOLDS = 3, 1500, 1 << 24, 11, 5
 UNKNOWN = "und"
 _STRETCH = 1 << 18
 
@@ -37,18 +39,23 @@ def fold() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def training_sample(docs: DataFrame, most: int = MAX_TRAIN, seed: int = SEED) -> DataFrame:
-    """(lang, text): at most `most` eligible rows of each language, first by shuffle key.
+def training_sample(docs: DataFrame, most: int = MAX_TRAIN, seed: int = SEED, most_bytes: int = MAX_BYTES) -> DataFrame:
+    """(lang, text): at most `most` eligible rows of each language, first by shuffle key, that begin within most_bytes.
 
-    A key below twice a language's share of its rows goes to the window that takes the first ones, so no task ranks
-    all rows of a language.
+    Rows are counted by ranges of the key; those up to the range that holds the last one wanted are ranked, first within
+    their input partition, so no task ranks all rows of a language or all copies of a row.
     """
-    can = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0)).select("lang", "text", seeded(seed, F.col("doc_id")).alias("_k"))
-    counts = can.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    place = F.conv(F.substring("_k", 1, 12), 16, 10).cast("double") / float(16**12)
-    near = can.join(F.broadcast(counts) if counts.count() <= 10_000 else counts, "lang").where(place * F.col("_n") < 2 * most + 50)
-    w = Window.partitionBy("lang").orderBy("_k", F.xxhash64("text"))
-    return near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).select("lang", "text")
+    can = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
+    can = can.select("lang", "text", seeded(seed, F.col("doc_id"), F.xxhash64("text")).alias("_k")).withColumn("_range", F.substring("_k", 1, 4))
+    counts = can.groupBy("lang", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("lang").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = durable(counts.withColumn("_before", before).where(F.col("_before") < most).groupBy("lang").agg(F.max("_range").alias("_last")), "training-ranges")
+    near = can.join(F.broadcast(last) if last.count() <= 10_000 else last, "lang").where(F.col("_range") <= F.col("_last"))
+    for by in (["lang", "_part"], ["lang"]):
+        near = near.withColumn("_part", F.spark_partition_id()) if "_part" in by else near
+        near = near.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_k"))).where(F.col("_r") <= most)
+    size = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    return near.withColumn("_size", F.coalesce(size, F.lit(0))).where(F.col("_size") < most_bytes).select("lang", "text")
 
 
 def _grams(data: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
