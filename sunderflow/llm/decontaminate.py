@@ -5,27 +5,33 @@ suffix automaton. Training words stream through it; the length of the longest ma
 where windows (13 item words, or a whole shorter item) occur. Words inside an occurrence are hit; a document whose hit
 words reach a share of its words is contaminated.
 
-Items come in blocks of at most MAX_BLOCK words, one automaton each, so what a task holds is bounded whatever the
-benchmark's size; with several blocks every document passes each of them and its hit spans are merged.
+Items come in blocks of at most MAX_BLOCK words, one automaton each. With several blocks each is a job of its own that
+writes what it hit, by the text's 128-bit hash; these tables are then joined and merged. So a task holds one automaton and
+the driver one block, whatever the benchmark's size.
 
 Null and wordless texts have no words and are never contaminated; null and wordless items have no window. Items with
-equal texts all count. A null item_id counts as ''. Rows that repeat a doc_id are rows of their own. An empty
-benchmark hits nothing. Extra columns are ignored.
+equal texts all count; items of one item_id count once, and its windows are those of all of them. A null item_id counts
+as ''. Rows that repeat a doc_id are rows of their own. An empty benchmark hits nothing. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import F, documents, text_batches
+from .common import F, documents, durable, key128, text_batches
 
 WINDOW, MAX_BLOCK, SHARE = 13, 200_000, 20
+#: A word, for Java's regular expressions.
+_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 #: Bytes that are no part of a word become spaces; A-Z become a-z.
 _TO_WORDS = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 
@@ -163,17 +169,16 @@ _VERDICT = "n_words long, n_hit long, n_items long, items_sha256 string, spans a
 def _verdict(found: list[dict]) -> dict:
     """The union of what some blocks matched in a document."""
     whole = merged([(m["spans"][i], m["spans"][i + 1]) for m in found for i in range(0, len(m["spans"]), 2)])
-    names = sorted(x for m in found for x in m["items"])
+    names = sorted({x for m in found for x in m["items"]})
     digest = hashlib.sha256(",".join(names).encode()).hexdigest()
     return {"n_words": found[0]["n_words"], "n_hit": sum(e - a for a, e in whole), "n_items": len(names), "items_sha256": digest, "spans": [p for s in whole for p in s]}
 
 
-def matched(text: Column, block: list[tuple[str, list[bytes]]], window: int, spark: SparkSession, final: bool) -> Column:
+def matched(text: Column, shipped: Broadcast, window: int, final: bool) -> Column:
     """struct(n_words, spans, items) of a text column, for one block of items; spans lists begins and ends.
 
     final: it is the only block, and the verdict comes at once.
     """
-    shipped = spark.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = SuffixAutomaton(shipped.value, window)
@@ -194,19 +199,35 @@ def _judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([_verdict(found) for found in rows.to_pylist()], _JUDGED)
 
 
+def _block_hits(docs: DataFrame, block: list[tuple[str, list[bytes]]], window: int) -> DataFrame:
+    """(_h1, _h2, _m): what a block of items matched, of each text that it did."""
+    shipped = docs.sparkSession.sparkContext.broadcast(block)
+    found = docs.where(F.col("text").isNotNull()).select(*key128(F.col("text")), matched(F.col("text"), shipped, window, False).alias("_m"))
+    hits = durable(found.where(F.size("_m.spans") > 0).dropDuplicates(["_h1", "_h2"]), "block-hits")
+    shipped.unpersist()
+    return hits
+
+
 def judged(docs: DataFrame, benchmark: DataFrame, out: str, window: int = WINDOW, max_block: int = MAX_BLOCK, share: int = SHARE) -> DataFrame:
-    """docs with a column `out`: struct(n_words, n_hit, n_items, items_sha256, spans, contaminated). Nothing is shuffled.
+    """docs with a column `out`: struct(n_words, n_hit, n_items, items_sha256, spans, contaminated).
 
-    spans lists first and last + 1 of each hit run of words; contaminated: hit words are at least 1 / share of all.
+    spans lists first and last + 1 of each hit run of words; contaminated: hit words are at least 1 / share of all. With
+    one block of items nothing is shuffled; with several, docs are joined with the hits of all.
     """
     spark = docs.sparkSession
     text_batches(spark)
     ahead = blocks(benchmark, max_block)
     first, second = next(ahead), next(ahead, None)
-    columns = [matched(F.col("text"), first, window, spark, second is None)]
-    for block in [] if second is None else chain([second], ahead):  # one block at a time is in the driver's memory
-        columns.append(matched(F.col("text"), block, window, spark, False))
-    rows = docs.withColumn(out, columns[0] if second is None else F.arrow_udf(_judge, _VERDICT)(F.array(*columns)))
+    if second is None:
+        rows = docs.withColumn(out, matched(F.col("text"), spark.sparkContext.broadcast(first), window, True))
+    else:
+        hits = [_block_hits(docs, block, window) for block in chain([first, second], ahead)]
+        merged_hits = reduce(DataFrame.unionByName, hits).groupBy("_h1", "_h2").agg(F.collect_list("_m").alias("_m"))
+        all_hits = durable(merged_hits, "all-hits")
+        words = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
+        none = F.struct(words.alias("n_words"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"))
+        rows = docs.withColumns(dict(zip(("_h1", "_h2"), key128(F.col("text")), strict=True))).join(all_hits, ["_h1", "_h2"], "left")
+        rows = rows.withColumn(out, F.arrow_udf(_judge, _VERDICT)(F.coalesce("_m", F.array(none)))).drop("_h1", "_h2", "_m")
     hit, words = F.col(out)["n_hit"], F.col(out)["n_words"]
     return rows.withColumn(out, F.col(out).withField("contaminated", (hit > 0) & (share * hit >= words)))
 
@@ -216,6 +237,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     return judged(docs.select("doc_id", "text"), benchmark, "_j", window, max_block, share).select("doc_id", "_j.*")
 
 
+def without_spans(text: bytes, spans: list[int]) -> bytes:
+    """A text without the runs of words that spans lists, from each run's first byte to its last."""
+    places = [(m.start(), m.end()) for m in re.finditer(rb"[^ ]+", text.translate(_TO_WORDS))]
+    kept, at = [], 0
+    for first, end in zip(spans[::2], spans[1::2], strict=True):
+        kept.append(text[at : places[first][0]])
+        at = places[end - 1][1]
+    return b"".join([*kept, text[at:]])
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_block: int = MAX_BLOCK, share: int = SHARE) -> DataFrame:
+    """doc_id, clean_text and contaminated for every row of docs: the texts without their hit runs of words.
+
+    Texts without a hit stay as they are, null included. contaminated tells whether the hits reach the limit of coverage.
+    """
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, spans in batches:
+            yield pa.array([without_spans(t.as_buffer().to_pybytes(), s.as_py()).decode() for t, s in zip(texts, spans, strict=True)], pa.string())
+
+    found = judged(docs.select("doc_id", "text"), benchmark, "_j", window, max_block, share)
+    text = F.when(F.col("_j.n_hit") > 0, F.arrow_udf(run, "string")(F.coalesce("text", F.lit("")).cast("binary"), "_j.spans")).otherwise(F.col("text"))
+    return found.select("doc_id", text.alias("clean_text"), "_j.contaminated")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.drop("spans")
