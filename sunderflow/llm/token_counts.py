@@ -6,6 +6,9 @@ pre-token that cannot have looked at the edit to the first old boundary that is
 that changed and updates the sums on the way to the root. So the count after an edit costs the edit's neighbourhood,
 not the document, and equals that of encoding the edited text anew.
 
+Trees are kept: stored_trees writes every document with its leaves' sums, edited_counts takes edits to such rows. A tree
+that comes from its leaves splits a segment's text into pre-tokens when an edit touches it, and encodes what changed only.
+
 The vocabulary is a file of ranks (byte pairs in base64, rank), read by the driver and shipped once. Edits are
 (begin, end, replacement) in code points of the text as it is before that edit; they apply in order.
 
@@ -16,15 +19,16 @@ own; a null doc_id is kept. Extra columns are ignored.
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterable, Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
 import tiktoken
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import F, documents, text_batches
+from .common import F, documents, durable, text_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published pattern that goes with the vocabulary (fixed value).
@@ -65,13 +69,41 @@ class SegmentTree:
     """A text's pre-tokens in segments, under a tree of sums. re_encoded counts the pre-tokens that edits encoded."""
 
     def __init__(self, text: str, encoder: Encoder):
-        self.encoder, self.re_encoded = encoder, 0
+        self.encoder, self.re_encoded, self.whole = encoder, 0, text
         self._grow(encoder.pattern.findall(text))
 
+    @classmethod
+    def of(cls, text: str, leaves: list[tuple[int, int, int]], encoder: Encoder) -> SegmentTree:
+        """The tree of a text whose leaves' sums (characters, pre-tokens, tokens) are known; nothing is split or encoded."""
+        out = cls.__new__(cls)
+        out.encoder, out.re_encoded, out.whole = encoder, 0, text
+        ends = [*accumulate(n for n, _, _ in leaves)]
+        out.pieces = [*zip([0, *ends[:-1]], ends, strict=True)]
+        out._sum_up(leaves)
+        return out
+
+    @property
+    def leaves(self) -> list[tuple[int, int, int]]:
+        return self.sums[self.room : self.room + len(self.pieces)]
+
+    def _own(self, s: int) -> list[str]:
+        """A segment's pre-tokens. Those that no edit has touched are found where they begin in the stored text."""
+        own = self.pieces[s]
+        if isinstance(own, tuple):
+            at, end = own
+            own = []
+            while at < end:
+                own.append(self.encoder.pattern.match(self.whole, at).group())
+                at += len(own[-1])
+            self.pieces[s] = own
+        return own
+
     def _grow(self, pieces: list[str]) -> None:
         counts = self.encoder(pieces)
         self.pieces = [pieces[i : i + SEGMENT] for i in range(0, len(pieces), SEGMENT)] or [[]]
-        leaves = [(sum(map(len, p)), len(p), sum(counts[i * SEGMENT : (i + 1) * SEGMENT])) for i, p in enumerate(self.pieces)]
+        self._sum_up([(sum(map(len, p)), len(p), sum(counts[i * SEGMENT : (i + 1) * SEGMENT])) for i, p in enumerate(self.pieces)])
+
+    def _sum_up(self, leaves: list[tuple[int, int, int]]) -> None:
         self.room = 1 << max(0, (len(leaves) - 1).bit_length())
         self.sums = [(0, 0, 0)] * self.room + leaves + [(0, 0, 0)] * (self.room - len(leaves))
         for i in range(self.room - 1, 0, -1):
@@ -95,7 +127,7 @@ class SegmentTree:
 
     @property
     def text(self) -> str:
-        return "".join(p for s in self.pieces for p in s)
+        return "".join(p for s in range(len(self.pieces)) for p in self._own(s))
 
     def _segment(self, at: int) -> tuple[int, int]:
         """The segment that holds character `at`, and where it begins; the last one with text for the text's end."""
@@ -118,7 +150,7 @@ class SegmentTree:
         # Pre-tokens that end LOOKAHEAD before the edit stay; the scan begins after the last of them.
         while True:
             at, keep = offset, 0
-            for p in self.pieces[first]:
+            for p in self._own(first):
                 if at + len(p) + LOOKAHEAD > begin:
                     break
                 at += len(p)
@@ -127,16 +159,16 @@ class SegmentTree:
                 break
             first -= 1
             offset -= self.sums[self.room + first][0]
-        head = self.pieces[first][:keep]
+        head = self._own(first)[:keep]
         last, tail_at = self._segment(end)
-        inside = "".join([*self.pieces[first][keep:], *(p for s in self.pieces[first + 1 : last + 1] for p in s)] if last > first else self.pieces[first][keep:])
+        inside = "".join([*self._own(first)[keep:], *(p for s in range(first + 1, last + 1) for p in self._own(s))])
         stop = tail_at + self.sums[self.room + last][0]
         changed = inside[: begin - at] + replacement + inside[end - at :]
         moved = len(replacement) - (end - begin)
         # Old boundaries after the edit, in the new text's places; the scan ends where it meets one.
         new: list[str] = []
         while True:
-            more = "".join(self.pieces[last + 1]) if last + 1 < len(self.pieces) else ""
+            more = "".join(self._own(last + 1)) if last + 1 < len(self.pieces) else ""
             new, met, rest = self._scan(changed, more, begin - at + len(replacement), self._ends(first, keep, last, at, moved))
             if met or last + 1 >= len(self.pieces):
                 break
@@ -150,7 +182,7 @@ class SegmentTree:
         """Where pre-tokens of segments first..last end after the edit, relative to the scan's begin: their segment, number."""
         ends, place = {}, 0
         for s in range(first, last + 1):
-            for k, p in enumerate(self.pieces[s]):
+            for k, p in enumerate(self._own(s)):
                 if s == first and k < keep:
                     continue
                 place += len(p)
@@ -167,26 +199,27 @@ class SegmentTree:
             new.append(m.group())
             if m.end() >= after and m.end() in ends:
                 s, k = ends[m.end()]
-                rest = self.pieces[s][k + 1 :]
+                rest = self._own(s)[k + 1 :]
                 done = m.end() + sum(map(len, rest))
                 for t in range(s + 1, len(self.pieces)):
                     if done >= limit:
                         break
-                    rest = rest + self.pieces[t]
-                    done += sum(map(len, self.pieces[t]))
+                    rest = rest + self._own(t)
+                    done += sum(map(len, self._own(t)))
                 return new, True, rest
         return new, sum(map(len, new)) == limit and not more, []
 
     def _put(self, first: int, last: int, pieces: list[str]) -> None:
         """Replaces segments first..last and updates the sums above them."""
         if len(pieces) > 4 * SEGMENT * (last - first + 1):
-            self._grow([*(p for s in self.pieces[:first] for p in s), *pieces, *(p for s in self.pieces[last + 1 :] for p in s)])
+            before, after = ([p for s in part for p in self._own(s)] for part in (range(first), range(last + 1, len(self.pieces))))
+            self._grow([*before, *pieces, *after])
             return
         share = -(-len(pieces) // (last - first + 1)) or 1
         changed = set()
         for n, s in enumerate(range(first, last + 1)):
             own = pieces[n * share : (n + 1) * share]
-            if own != self.pieces[s]:
+            if own != self._own(s):
                 self.pieces[s] = own
                 self.sums[self.room + s] = (sum(map(len, own)), len(own), sum(self.encoder(own)))
                 changed.add((self.room + s) // 2)
@@ -206,35 +239,63 @@ def redactions(text: str) -> list[Edit]:
     return [(m.start(), m.end(), "<redacted>") for m in PERSONAL.finditer(text)][::-1]
 
 
-@cache
-def _encoder(ranks: bytes) -> Encoder:
-    return Encoder(ranks)
+def _shipped(spark: SparkSession, vocabulary: str) -> Broadcast:
+    """The vocabulary's bytes; its size is the file's, whatever the tables'."""
+    with open(vocabulary, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
 
 
-def token_counts(docs: DataFrame, edits: Callable[[str], list[Edit]] = redactions, vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row per row of docs: doc_id, n_chars, n_pretokens, n_tokens, n_edits, n_reencoded, n_chars_after, n_tokens_after."""
+_LEAF = pa.struct([("n_chars", pa.int64()), ("n_pretokens", pa.int64()), ("n_tokens", pa.int64())])
+_LEAVES = "array<struct<n_chars: bigint, n_pretokens: bigint, n_tokens: bigint>>"
+
+
+def stored_trees(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, text, n_chars, n_pretokens, n_tokens, leaves) for every row of docs, to be kept as a table."""
     text_batches(docs.sparkSession)
-    with open(vocabulary, "rb") as f:
-        shipped = docs.sparkSession.sparkContext.broadcast(f.read())
-    names = ["doc_id", "n_chars", "n_pretokens", "n_tokens", "n_edits", "n_reencoded", "n_chars_after", "n_tokens_after"]
+    shipped = _shipped(docs.sparkSession, vocabulary)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = Encoder(shipped.value)
+        for texts in batches:
+            leaves = [[dict(zip(("n_chars", "n_pretokens", "n_tokens"), x, strict=True)) for x in SegmentTree(t.as_py() or "", encoder).leaves] for t in texts]
+            yield pa.array(leaves, pa.list_(_LEAF))
+
+    found = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.arrow_udf(run, _LEAVES)("text").alias("leaves"))
+    total = lambda name: F.aggregate("leaves", F.lit(0).cast("long"), lambda n, x: n + x[name]).alias(name)
+    return found.select("doc_id", "text", *map(total, ("n_chars", "n_pretokens", "n_tokens")), "leaves")
+
+
+def edited_counts(trees: DataFrame, edits: Callable[[str], list[Edit]], vocabulary: str = VOCABULARY) -> DataFrame:
+    """Rows of stored_trees under edits: doc_id, n_chars, n_pretokens, n_tokens, n_edits, n_reencoded, n_chars_after, n_tokens_after."""
+    shipped = _shipped(trees.sparkSession, vocabulary)
+    names = ["n_edits", "n_reencoded", "n_chars_after", "n_tokens_after"]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shipped.value)
-        for b in batches:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        encoder = Encoder(shipped.value)
+        for texts, stored in batches:
             out = []
-            for x in b.column(1):
-                text = x.as_py() or ""
-                tree = SegmentTree(text, encoder)
-                row = [tree.characters, tree.pretokens, tree.tokens]
+            for t, leaves in zip(texts, stored, strict=True):
+                text = t.as_py()
                 script = edits(text)
+                if not script:
+                    out.append((0, 0, None, None))
+                    continue
+                tree = SegmentTree.of(text, [tuple(x.values()) for x in leaves.as_py()], encoder)
                 for e in script:
                     tree.edit(*e)
-                out.append((*row, len(script), tree.re_encoded, tree.characters, tree.tokens))
-            columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 7
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names)
+                out.append((len(script), tree.re_encoded, tree.characters, tree.tokens))
+            columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4
+            yield pa.StructArray.from_arrays(columns, names)
+
+    found = F.arrow_udf(run, ", ".join(f"{n} long" for n in names))("text", "leaves")
+    rows = trees.withColumn("_e", found)
+    after = [F.coalesce(F.col("_e")[f"{n}_after"], F.col(n)).alias(f"{n}_after") for n in ("n_chars", "n_tokens")]
+    return rows.select("doc_id", "n_chars", "n_pretokens", "n_tokens", "_e.n_edits", "_e.n_reencoded", *after)
 
-    kinds = ", ".join(f"{n} long" for n in names)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kinds)
+
+def token_counts(docs: DataFrame, edits: Callable[[str], list[Edit]] = redactions, vocabulary: str = VOCABULARY) -> DataFrame:
+    """One row per row of docs, by stored trees and edits to them; columns as edited_counts has them."""
+    return edited_counts(durable(stored_trees(docs, vocabulary), "token-trees"), edits, vocabulary)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
