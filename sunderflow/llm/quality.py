@@ -5,10 +5,11 @@ labelled documents tell most about. Its probabilities are the document's evidenc
 host, path) then has a rate: the host's is its documents' mean evidence shrunk toward the global rate, the path's is
 its own shrunk toward the host's, with a prior strength that the spread between sites on that level gives (method of
 moments), so sparse sites stay near their parent. The document's posterior log-odds are its own evidence plus what its
-path's rate says beyond the global rate. Rates are grouped sums over all documents, labelled or not.
+path's rate, without the document, says beyond the global rate; so a document's evidence counts once. Rates are grouped
+sums over all documents, labelled or not.
 
-The model learns from at most MAX_LABELS labelled rows, first in a seeded shuffle, outside the held-out fold; words
-and weights are bounded by WORDS. Everything else covers all rows.
+The model learns from at most MAX_LABELS labelled doc_ids, first in a seeded shuffle, outside the held-out fold, and
+from one text of each (the first by its hash); words and weights are bounded by WORDS. Everything else covers all rows.
 
 Null and empty texts have the evidence of an empty document. A null host or path is a site of its own. Labels that are
 null are not used; of several labels of a doc_id the largest counts. Without labels, or with one class only, the
@@ -58,7 +59,10 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS, seed: i
     known = known.where(~held_out()).withColumn("_k", seeded(seed, F.col("doc_id")))
     chosen = durable(known.orderBy("_k").limit(most).drop("_k"), "labels")
     # At most `most` rows of three numbers: small enough for every executor.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", *TARGETS)
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # Rows of one doc_id give one text: the least by hash, nulls last.
+    one = F.min(F.struct(F.col("text").isNull().alias("none"), F.xxhash64("text").alias("hash"), F.col("text").alias("text"))).alias("_t")
+    return met.groupBy("doc_id").agg(one, *[F.first(t).alias(t) for t in TARGETS]).select("_t.text", *TARGETS)
 
 
 def held_out() -> Column:
@@ -178,37 +182,50 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def _shrunk(sites: DataFrame, target: str, parent: Column, name: str) -> DataFrame:
-    """Adds the site's rate shrunk toward its parent's; sites have _n and s_<target> (sums of evidence).
+def _worth(sites: DataFrame, target: str, parent: Column) -> float:
+    """How many documents the parent's rate is worth to the sites (_n and s_<target>: sums of evidence).
 
-    The spread between sites beyond what chance gives them tells how many documents the parent's rate is worth.
+    The spread between sites beyond what chance gives them tells it, by the method of moments.
     """
     rate = F.col(f"s_{target}") / F.col("_n")
     off = F.sum(F.col("_n") * F.pow(rate - parent, 2))
-    chance, n, n2 = F.sum(parent * (1 - parent)), F.sum("_n"), F.sum(F.col("_n") * F.col("_n"))
-    row = sites.agg(off.alias("off"), chance.alias("chance"), n.alias("n"), F.avg(parent * (1 - parent)).alias("one")).first()
+    row = sites.agg(off.alias("off"), F.sum(parent * (1 - parent)).alias("chance"), F.sum("_n").alias("n"), F.avg(parent * (1 - parent)).alias("one")).first()
     if not row.n:
-        worth = 1.0
-    else:
-        between = max((row.off - row.chance) / row.n, 1e-9)
-        worth = max(row.one / between - 1, 1.0)
-    return sites.withColumn(name, (F.col(f"s_{target}") + worth * parent) / (F.col("_n") + worth))
+        return 1.0
+    return max(row.one / max((row.off - row.chance) / row.n, 1e-9) - 1, 1.0)
+
+
+def _shrunk(total: Column, n: Column, worth: Column, parent: Column) -> Column:
+    return (total + worth * parent) / (n + worth)
 
 
 def site_rates(scored: DataFrame) -> tuple[DataFrame, dict[str, float]]:
-    """(_host, _path, path_<target>) for every path, and the global rates."""
+    """The path table and the global rates.
+
+    The table has, for every path, (_host, _path), its own and its host's sums (_n, s_<t>, _hn, hs_<t>), what the parents'
+    rates are worth (hw_<t>, pw_<t>), and the rates host_<t> and path_<t>.
+    """
     paths = scored.groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"p_{t}").alias(f"s_{t}") for t in TARGETS])
     paths = durable(paths, "path-sums")
     hosts = durable(paths.groupBy("_host").agg(*[F.sum(c).alias(c) for c in ("_n", *(f"s_{t}" for t in TARGETS))]), "host-sums")
     total = hosts.agg(F.sum("_n"), *[F.sum(f"s_{t}") for t in TARGETS]).first()
     overall = {t: (total[i] / total[0] if total[0] else 0.5) for i, t in enumerate(TARGETS, 1)}
+    kept = hosts.select(F.col("_host").alias("_h"), F.col("_n").alias("_hn"), *[F.col(f"s_{t}").alias(f"hs_{t}") for t in TARGETS])
     for t in TARGETS:
-        hosts = _shrunk(hosts, t, F.lit(overall[t]), f"host_{t}")
-    kept = hosts.select(F.col("_host").alias("_h"), *[f"host_{t}" for t in TARGETS])
+        kept = kept.withColumn(f"hw_{t}", F.lit(_worth(hosts, t, F.lit(overall[t]))))
+        kept = kept.withColumn(f"host_{t}", _shrunk(F.col(f"hs_{t}"), F.col("_hn"), F.col(f"hw_{t}"), F.lit(overall[t])))
     paths = durable(paths.join(kept, F.col("_host").eqNullSafe(F.col("_h"))).drop("_h"), "paths")
     for t in TARGETS:
-        paths = _shrunk(paths, t, F.col(f"host_{t}"), f"path_{t}")
-    return durable(paths.select("_host", "_path", *[f"{level}_{t}" for t in TARGETS for level in ("host", "path")]), "path-rates"), overall
+        paths = paths.withColumn(f"pw_{t}", F.lit(_worth(paths, t, F.col(f"host_{t}"))))
+        paths = paths.withColumn(f"path_{t}", _shrunk(F.col(f"s_{t}"), F.col("_n"), F.col(f"pw_{t}"), F.col(f"host_{t}")))
+    return durable(paths, "path-rates"), overall
+
+
+def posterior(evidence: Column, target: str, overall: float) -> Column:
+    """A document's probability from its evidence and from its site's rates without it, on a row that has both."""
+    host = _shrunk(F.col(f"hs_{target}") - evidence, F.col("_hn") - 1, F.col(f"hw_{target}"), F.lit(overall))
+    path = _shrunk(F.col(f"s_{target}") - evidence, F.col("_n") - 1, F.col(f"pw_{target}"), host)
+    return 1 / (1 + F.exp(_logit(F.lit(overall)) - _logit(evidence) - _logit(path)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, most: int = MAX_LABELS, words: int = WORDS) -> DataFrame:
@@ -219,11 +236,10 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, mos
     text_batches(docs.sparkSession)
     scored = durable(evidence(docs, learn(docs, labels, most, words), host, path), "evidence")
     sites, overall = site_rates(scored)
-    there = sites.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), *[c for c in sites.columns if c[0] != "_"])
+    there = sites.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), *[c for c in sites.columns if c not in ("_host", "_path")])
     out = scored.join(there, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")))
     for t in TARGETS:
-        odds = _logit(F.col(f"p_{t}")) + _logit(F.col(f"path_{t}")) - _logit(F.lit(overall[t]))
-        out = out.withColumn(f"score_{t}", 1 / (1 + F.exp(-odds))).withColumn(f"is_{t}", F.col(f"score_{t}") >= 0.5)
+        out = out.withColumn(f"score_{t}", posterior(F.col(f"p_{t}"), t, overall[t])).withColumn(f"is_{t}", F.col(f"score_{t}") >= 0.5)
     columns = [c for t in TARGETS for c in (F.col(f"p_{t}").alias(f"evidence_{t}"), f"host_{t}", f"path_{t}", f"score_{t}", f"is_{t}")]
     return out.select("doc_id", held_out().alias("held_out"), *columns)
 
