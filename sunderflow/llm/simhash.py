@@ -145,11 +145,16 @@ def _ball_links(dense: DataFrame, reach: int) -> DataFrame:
 
 
 def links(unique: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
-    """(src, dst): links between different fingerprints that connect all that are within the radius by steps."""
+    """(src, dst): links between different fingerprints that connect all that are within the radius by steps.
+
+    The radius is even: balls of half of it meet exactly where two fingerprints are within it.
+    """
+    if radius % 2:
+        raise ValueError(f"the radius must be even, not {radius}")
     reach = -(-(radius // 2) // 2)
     entries = _entries(unique, reach)
     met = entries.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    shared = durable(entries.join(met, "_key"), "simhash-entries")
+    shared = durable(entries.join(durable(met, "simhash-keys"), "_key"), "simhash-entries")  # tables, so that the join can split a hot entry
     sparse = shared.where(F.col("_n") <= dense).repartition("_key").sortWithinPartitions("_key")
     crowded = shared.where(F.col("_n") > dense).select("_fp").distinct()
     return _entry_links(sparse, radius).unionByName(_ball_links(crowded, -(-radius // 2)).where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= radius)).distinct()
