@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import F, documents, durable, text_batches
 
-MINIMUM, GRAM, MAX_GROUP = 200, 64, 20_000
+MINIMUM, GRAM, MAX_GROUP = 200, 64, 4_000
 _NOBODY = -(2**63)
 _PIECE, _ROWS = 1 << 18, 16_000
 _PAD = 256
@@ -120,11 +120,11 @@ def _anchor_hashes(rows: DataFrame, minimum: int, gram: int) -> DataFrame:
 
 
 def _anchors(rows: DataFrame, minimum: int, gram: int) -> DataFrame:
-    """(_id, _th, _at, _a, _c): every anchor with the hash of its context."""
+    """(_id, _th, _at, _a, _c, _d): every anchor with the 128-bit hash of its context."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors(minimum, gram)
-        digest = xxhash.xxh64_intdigest
+        digest = xxhash.xxh3_128_digest
         for b in batches:
             data, bounds = _texts(b.column(2))
             view = data.tobytes() if not data.flags.c_contiguous else memoryview(data)
@@ -132,10 +132,10 @@ def _anchors(rows: DataFrame, minimum: int, gram: int) -> DataFrame:
             for at, h in find.of(data, bounds):
                 of = np.searchsorted(bounds, at, "right") - 1
                 low, high = np.maximum(at - find.side, bounds[of]), np.minimum(at + minimum, bounds[of + 1])
-                c = [digest(view[x:y], z) for x, y, z in zip(low.tolist(), high.tolist(), (at - low).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(ths[of]), pa.array(at - bounds[of]), pa.array(h.view(np.int64)), pa.array(np.array(c, np.uint64).view(np.int64))], ["_id", "_th", "_at", "_a", "_c"])
+                c = np.frombuffer(b"".join([digest(view[x:y], z) for x, y, z in zip(low.tolist(), high.tolist(), (at - low).tolist(), strict=True)]), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(ths[of]), pa.array(at - bounds[of]), pa.array(h.view(np.int64)), pa.array(c[:, 0]), pa.array(c[:, 1])], ["_id", "_th", "_at", "_a", "_c", "_d"])
 
-    return rows.mapInArrow(run, "_id long, _th long, _at long, _a long, _c long")
+    return rows.mapInArrow(run, "_id long, _th long, _at long, _a long, _c long, _d long")
 
 
 def repeats(columns: np.ndarray, group: np.ndarray, minimum: int) -> np.ndarray:
@@ -270,11 +270,11 @@ def suffix_dedup(docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, max_
     rows = _rows(docs)
     again = _anchor_hashes(rows, minimum, gram).groupBy("_a").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_a")
     known = durable(_anchors(rows, minimum, gram).join(durable(again, "repeated-anchors"), "_a"), "anchors")
-    distinct = known.groupBy("_a", "_c").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_id", "_th", "_at")).alias("_one"))
+    distinct = known.groupBy("_a", "_c", "_d").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_id", "_th", "_at")).alias("_one"))
     distinct = durable(distinct, "distinct-contexts")
     several = distinct.groupBy("_a").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
     unlike = distinct.join(durable(several, "unlike-anchors"), "_a")
-    full = known.join(distinct.where("_n > 1").select("_a", "_c"), ["_a", "_c"]).select("_id", "_th", "_at", F.lit(None).cast("long").alias("_a"), F.lit(False).alias("_many"), F.lit(False).alias("_need"))
+    full = known.join(distinct.where("_n > 1").select("_a", "_c", "_d"), ["_a", "_c", "_d"]).select("_id", "_th", "_at", F.lit(None).cast("long").alias("_a"), F.lit(False).alias("_many"), F.lit(False).alias("_need"))
     asked = unlike.select("_one._id", "_one._th", "_one._at", "_a", (F.col("_m") > max_group).alias("_many"), (F.col("_n") == 1).alias("_need"))
     place = F.struct("_at", "_a", "_many", "_need")
     wanted = full.unionByName(asked).groupBy("_id", "_th").agg(F.collect_set(F.when(F.col("_a").isNotNull(), place)).alias("_wanted"), F.collect_set(F.when(F.col("_a").isNull(), F.col("_at"))).alias("_full"))
