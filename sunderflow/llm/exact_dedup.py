@@ -70,16 +70,13 @@ def exact_dedup(docs: DataFrame, hashed: Callable[[Column], Column] = chunk_hash
     smallest doc_id stays.
     """
     all_rows = recipes(docs, hashed, least, most).withColumn("_rk", F.xxhash64("recipe"))
-    all_rows = durable(all_rows.withColumn("_last", F.col("doc_id").isNull()), "recipes")
-    order = F.struct((-F.col("n_points")).alias("a"), F.col("_last").alias("b"), F.coalesce("doc_id", F.lit(0)).alias("c"))
+    all_rows = durable(all_rows.withColumns({"_last": F.col("doc_id").isNull(), "_row": F.monotonically_increasing_id()}), "recipes")
+    order = F.struct((-F.col("n_points")).alias("a"), F.col("_last").alias("b"), F.coalesce("doc_id", F.lit(0)).alias("c"), F.col("_row").alias("d"))
     groups = all_rows.groupBy("_rk", "recipe").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("_best"))
     groups = durable(groups, "recipe-groups")  # so that the join can split a hot group
     joined = all_rows.join(groups, ["_rk", "recipe"]).drop("recipe")
-    best = (F.col("n_points") == -F.col("_best.a")) & (F.col("_last") == F.col("_best.b")) & (F.coalesce("doc_id", F.lit(0)) == F.col("_best.c"))
-    joined = joined.withColumn("_is_best", best)
-    twin = Window.partitionBy("doc_id", "_rk", "_is_best").orderBy("text_sha256")
     keep_id = F.when(~F.col("_best.b"), F.col("_best.c"))
-    return joined.select("doc_id", keep_id.alias("keep_id"), "group_size", (F.col("_is_best") & (F.row_number().over(twin) == 1)).alias("kept"), "text_sha256")
+    return joined.select("doc_id", keep_id.alias("keep_id"), "group_size", (F.col("_row") == F.col("_best.d")).alias("kept"), "text_sha256")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
