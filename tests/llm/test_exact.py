@@ -204,3 +204,39 @@ def test_empty_tables(nothing, spark):
     for f in (exact_dedup.exact_dedup, line_dedup.line_dedup, suffix_dedup.suffix_dedup, simhash.near_dedup):
         assert f(nothing).count() == 0
     assert decontaminate.contamination(nothing, spark.createDataFrame([(1, "x")], "item_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("block", [10**6, 15])
+def test_items_that_share_an_id(spark, odd, pairs, block):
+    words = WORDS.findall(lower(pairs[9][1]))
+    items = [("x", " ".join(words[:20])), ("x", " ".join(words[30:60])), ("y", " ".join(words[5:25])), ("x", " ".join(words[:20]))]
+    found = decontaminate.contamination(odd, spark.createDataFrame(items, "item_id string, text string"), max_block=block)
+    assert ordered(found.drop("spans").collect()) == plain_hits(pairs, items)
+    assert found.where("n_items = 2").count() >= 1 and found.where("n_items > 2").count() == 0
+
+
+def test_many_blocks_give_what_one_gives(spark, odd, pairs):
+    """A task of the last job holds no automaton, and each job before it one."""
+    words = next(t for i, t, *_ in pairs if i == 14).split()
+    items = spark.createDataFrame([(i, " ".join(words[3 * i : 3 * i + 20])) for i in range(50)], "item_id long, text string")
+    one, many = (decontaminate.contamination(odd, items, max_block=m) for m in (10**6, 20))
+    assert ordered(one.select(sorted(one.columns)).collect()) == ordered(many.select(sorted(one.columns)).collect())
+    assert many._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 1
+
+
+def test_spans_are_removed(spark, odd, pairs):
+    text = next(t for i, t, *_ in pairs if i == 14)
+    words, plain = text.split(), decontaminate.words_of(text.encode())
+    assert len(words) == len(plain)
+    frame = spark.createDataFrame([(1, " ".join(words[40:70])), (2, " ".join(words[100:120]))], "item_id long, text string")
+    got = [tuple(r) for r in decontaminate.cleaned(odd, frame).select("doc_id", "clean_text").collect()]
+    left = next(t for i, t in got if i == 14)
+    assert decontaminate.words_of(left.encode()) == plain[:40] + plain[70:100] + plain[120:]
+    assert sorted((t or "", t is None) for i, t in got if i != 14) == sorted((t or "", t is None) for i, t, *_ in pairs if i != 14)
+    again = spark.createDataFrame(got, "doc_id long, text string")
+    assert decontaminate.contamination(again, frame).where("n_hit > 0").count() == 0
+
+
+def test_odd_radii_are_refused(odd):
+    with pytest.raises(ValueError):
+        simhash.near_dedup(odd, radius=3)

@@ -202,3 +202,105 @@ def test_sites_shrink_toward_their_parents(spark):
     got = {r._host: r.host_quality for r in sites.collect()}
     assert got["bad"] < got["tiny"] < overall["quality"] < got["big"]
     assert abs(got["big"] - 0.9) < abs(got["tiny"] - 0.1)
+
+
+def test_stored_trees_take_edits(encoder):
+    import random
+
+    rng = random.Random(5)
+    bits = ["a", "'", "s", " ", "  ", "\n", "1", "23", ".", "!!", "é", "'ll", "\t \n", "x y", "   ", "word"]
+    for start in ["", "it's  we'll   go\n\n  now 12 3!! " * 40, "lorem ipsum " * 300, "x" * 5000, " " * 700]:
+        tree = token_counts.SegmentTree(start, encoder)
+        for _ in range(8):
+            text, tree = start, token_counts.SegmentTree.of(start, token_counts.SegmentTree(start, encoder).leaves, encoder)
+            for _ in range(6):
+                a = rng.randint(0, len(text))
+                b = min(len(text), a + rng.choice([0, 1, 5, 40, 900]))
+                new = "".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 2, 30, 400])))
+                tree.edit(a, b, new)
+                text = text[:a] + new + text[b:]
+                assert (tree.characters, tree.pretokens, tree.tokens) == (len(text), len(encoder.pattern.findall(text)), len(encoder.encoding.encode_ordinary(text)))
+            assert tree.text == text
+    tree = token_counts.SegmentTree.of("some words in a row " * 5000, token_counts.SegmentTree("some words in a row " * 5000, encoder).leaves, encoder)
+    tree.edit(50_000, 50_004, "other")
+    assert tree.re_encoded < 50 and sum(isinstance(s, tuple) for s in tree.pieces) >= len(tree.pieces) - 4
+
+
+def test_token_counts_of_nothing(nothing):
+    assert token_counts.token_counts(nothing).count() == 0
+
+
+def test_every_language_is_learned_where_rows_share_a_doc_id(spark):
+    """10,000 rows under one doc_id, most of them copies of one text, beside a rarer language with ids of its own."""
+    en = [(1, "the quick brown fox " + str(i if i < 1000 else 0), "en") for i in range(9_000)]
+    de = [(i, f"der schnelle braune Fuchs {i}", "de") for i in range(1_000)]
+    for doc_id in (1, 2, 3, 4, 6):
+        docs = spark.createDataFrame([(doc_id if lang == "en" else i, t, lang) for i, t, lang in en + de], "doc_id long, text string, lang string")
+        if docs.where(language_id.fold() != 0).where("lang = 'en'").isEmpty():
+            continue
+        n = dict(language_id.training_sample(docs, 100).groupBy("lang").count().collect())
+        assert n == {"en": 100, "de": 100}
+
+
+def test_training_sample_is_the_first_by_key(spark, data):
+    docs = documents(spark, data)
+    key = language_id.seeded(language_id.SEED, F.col("doc_id"), F.xxhash64("text"))
+    can = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (language_id.fold() != 0)).select("lang", "text", key.alias("k")).collect()
+    want = Counter()
+    for lang in {r.lang for r in can}:
+        want.update((r.lang, r.text) for r in sorted((r for r in can if r.lang == lang), key=lambda r: r.k)[:7])
+    assert Counter(map(tuple, language_id.training_sample(docs, 7).collect())) == want
+    few = language_id.training_sample(docs, 7, most_bytes=1).collect()
+    assert len(few) == len({r.lang for r in can})
+
+
+def plain_rates(rows, target):
+    """(score of each row, host and path rates) from rows (doc_id, host, path, {target: evidence})."""
+    p = [r[3][target] for r in rows]
+    overall = sum(p) / len(p)
+
+    def worth(sites, parent):
+        """sites: name to evidence; parent: name to rate."""
+        off = sum(len(v) * (sum(v) / len(v) - parent[s]) ** 2 for s, v in sites.items())
+        one = [parent[s] * (1 - parent[s]) for s in sites]
+        n = sum(map(len, sites.values()))
+        return max(sum(one) / len(one) / max((off - sum(one)) / n, 1e-9) - 1, 1.0)
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for _, h, q, e in rows:
+        hosts[h].append(e[target])
+        paths[h, q].append(e[target])
+    hw = worth(hosts, dict.fromkeys(hosts, overall))
+    host = {h: (sum(v) + hw * overall) / (len(v) + hw) for h, v in hosts.items()}
+    pw = worth(paths, {s: host[s[0]] for s in paths})
+    path = {s: (sum(v) + pw * host[s[0]]) / (len(v) + pw) for s, v in paths.items()}
+    logit = lambda x: math.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+    scores = []
+    for (_, h, q, e), own in zip(rows, p, strict=True):
+        rest_h = (sum(hosts[h]) - own + hw * overall) / (len(hosts[h]) - 1 + hw)
+        rest_p = (sum(paths[h, q]) - own + pw * rest_h) / (len(paths[h, q]) - 1 + pw)
+        scores.append(1 / (1 + math.exp(logit(overall) - logit(own) - logit(rest_p))))
+    return scores, host, path
+
+
+def test_quality_against_plain_rates(spark, odd, pairs, data):
+    """Rates, what they are worth, and posteriors of odd rows and of the tables, from the evidence that the query gives."""
+    labels = spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(30)], "doc_id long, quality int, toxic int")
+    for docs, known, path in ((odd, labels, F.col("lang")), (documents(spark, data), spark.read.parquet(f"{data}/labels.parquet"), F.concat_ws("/", "source", "lang"))):
+        named = docs.select("doc_id", "text", "source", "lang")
+        got = quality.classify(named, known, F.col("source"), path).collect()
+        scored = quality.evidence(named, quality.learn(named, known), F.col("source"), path).collect()
+        rows = [(r.doc_id, r._host, r._path, {"quality": r.p_quality, "toxic": r.p_toxic}) for r in scored]
+        for t in quality.TARGETS:
+            scores, host, at = plain_rates(rows, t)
+            want = sorted((repr(r[0]), r[3][t], host[r[1]], at[r[1], r[2]], s) for r, s in zip(rows, scores, strict=True))
+            have = sorted((repr(r.doc_id), r[f"evidence_{t}"], r[f"host_{t}"], r[f"path_{t}"], r[f"score_{t}"]) for r in got)
+            assert [w[0] for w in want] == [h[0] for h in have]
+            assert np.allclose([w[1:] for w in want], [h[1:] for h in have], atol=1e-9)
+
+
+def test_labels_of_repeated_rows_count_once(spark):
+    docs = spark.createDataFrame([(1, "good words here")] * 50 + [(1, "other text"), (2, None), (2, "bad words"), (3, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 0, 0)], "doc_id long, quality int, toxic int").where(~quality.held_out())
+    rows = quality.labelled(docs, labels).collect()
+    assert len(rows) == labels.count() and {r.text for r in rows} <= {"good words here", "other text", "bad words", "x"}
