@@ -62,7 +62,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that agree in doc_id and text are told apart by their other columns; of rows that agree in all, any stands for
     another, and those taken most often come first.
     """
-    other = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])))
+    plain = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes if c != "text"]
+    other = F.xxhash64(*plain)
     own = _keys() | dict(zip(("_sn", "_sv"), null_safe_key(F.col("source")), strict=True)) | {"key_row": other}
     keys = list(own)
     rows = _packed(docs, doc_id=F.col("doc_id"), size=word_count(F.col("text")), _k=seeded(mixing.SEED, F.col("doc_id"), other), **own).drop("doc")
