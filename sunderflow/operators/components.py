@@ -63,29 +63,29 @@ def _forests(edges: DataFrame, most: int) -> DataFrame:
     return edges.mapInArrow(run, edges.schema)
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 100, local: int = LOCAL) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", local: int = LOCAL) -> DataFrame:
     """(id, component) for every endpoint of an edge; component is the smallest id reachable.
 
     First every task replaces its `local` edges by the forest of stars that joins the same ids; where one task has them
     all, that is the result. Otherwise each round links every node's larger neighbours to its smallest one (large star), then its smaller neighbours and
     itself (small star). All steps are aggregations and equi-joins; a hub's neighbours are never gathered. Rounds are
-    written tables, and edges that don't change any more are stars around the components' smallest ids.
+    written tables and go on until the edges don't change any more, when they are stars around the components' smallest ids.
     """
     loops = edges.where(F.col(src) == F.col(dst)).select(F.col(src).alias("a"))
     now = edges.where(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).distinct()
     now = durable(now, "stars")
     parts = -(-now.count() // local)
     if parts:
-        now = durable(_forests(now.select("a", "b").repartition(parts), 2 * local), "stars")
+        now = durable(_forests(now.select("a", "b").repartition(parts), 2 * local), "stars", now)
     before = _mark(now) if parts > 1 else (0, None)
-    for _ in range(rounds if before[0] else 0):
+    while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         met = large.join(least, F.col("a") == F.col("u"))
         small = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        now = durable(small.distinct(), "stars")
+        now = durable(small.distinct(), "stars", now)
         if (after := _mark(now)) == before:
             break
         before = after

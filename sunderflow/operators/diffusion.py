@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import hash_uniform
 from ..sources.projections import both_ways
-from ..sources.storage import durable
+from ..sources.storage import Growing, durable, fresh
 from .components import connected_components
 
 #: The seed of the formal worlds (fixed value).
@@ -60,20 +60,19 @@ def live_spread(seeds: DataFrame, parts: DataFrame, nodes: DataFrame, worlds: in
     return total.join(n, "graph").select("graph", "method", (F.col("total") / worlds / F.col("n")).alias("spread"))
 
 
-def cascade(seeds: DataFrame, arc: DataFrame, worlds: int, seed: int = SEED, strict: bool = False, rounds: int = 10_000) -> DataFrame:
+def cascade(seeds: DataFrame, arc: DataFrame, worlds: int, seed: int = SEED, strict: bool = False) -> DataFrame:
     """(graph, method, world, node): what is active in the end. Each arc has one coin a world, tossed when its source
     becomes active. strict: coin < p instead of <=."""
     coin = hash_uniform(seed, F.col("world"), F.col("s"), F.col("d"))
     wins = coin < F.col("p") if strict else coin <= F.col("p")
     new = durable(_worlds(seeds.select("graph", "method", "node").distinct(), worlds), "active")
-    active = new
-    for _ in range(rounds):
+    active = Growing(new, "active")
+    while True:
         reached = new.withColumnRenamed("node", "s").join(arc, ["graph", "s"]).where(wins).select("graph", "method", "world", F.col("d").alias("node")).distinct()
-        new = durable(reached.join(active, ["graph", "method", "world", "node"], "left_anti").select("graph", "method", "node", "world"), "newly-active")
+        new = durable(reached.join(active.rows, ["graph", "method", "world", "node"], "left_anti").select("graph", "method", "node", "world"), "newly-active")
         if new.isEmpty():
-            return active
-        active = durable(active.unionByName(new), "active")
-    raise RuntimeError(f"nodes still become active after {rounds} rounds")
+            return active.rows
+        active.add(new)
 
 
 def mean_active(active: DataFrame, worlds: int) -> DataFrame:
@@ -89,12 +88,12 @@ def reverse_sets(nodes: DataFrame, arc: DataFrame, sets: int, seed: int = SEED)
     back = arc.select("graph", F.col("d").alias("s"), F.col("s").alias("d"), "p")
     coin = hash_uniform(seed, F.col("world"), F.col("d"), F.col("s"))
     new = durable(roots, "rr")
-    found = new
+    found = Growing(new, "rr")
     while not new.isEmpty():
         reached = new.withColumnRenamed("node", "s").join(back, ["graph", "s"]).where(coin <= F.col("p")).select("graph", "method", "world", F.col("d").alias("node")).distinct()
-        new = durable(reached.join(found, ["graph", "method", "world", "node"], "left_anti").select("graph", "method", "world", "node"), "rr-new")
-        found = durable(found.unionByName(new), "rr")
-    return found.select("graph", F.col("world").alias("rr"), "node")
+        new = durable(reached.join(found.rows, ["graph", "method", "world", "node"], "left_anti").select("graph", "method", "world", "node"), "rr-new")
+        found.add(new)
+    return found.rows.select("graph", F.col("world").alias("rr"), "node")
 
 
 def reverse_coverage(seeds: DataFrame, sets: DataFrame, number: int) -> DataFrame:
@@ -109,24 +108,27 @@ def arriving_weights(edges: DataFrame) -> DataFrame:
     return arcs(edges, None).withColumnRenamed("p", "weight")
 
 
-def threshold_spread(seeds: DataFrame, edges: DataFrame, worlds: int = 4096, seed: int = SEED, rounds: int = 10_000) -> DataFrame:
+def threshold_spread(seeds: DataFrame, edges: DataFrame, worlds: int = 4096, seed: int = SEED) -> DataFrame:
     """(graph, method, world, node): the least fixed point at which no further node's active share of neighbours reaches
     its threshold. A node needs an active neighbour, whatever its threshold."""
-    sym = both_ways(edges)
+    sym = durable(both_ways(edges), "both-ways")
     degree = sym.groupBy("graph", F.col("s").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
     keys = ["graph", "method", "world", "node"]
     new = durable(_worlds(seeds.select("graph", "method", "node").distinct(), worlds).select(*keys), "lt-active")
-    active = new
-    pressed = new.withColumn("n", F.lit(0).cast("long")).where("false")
-    for _ in range(rounds):
+    active, pressed = Growing(new, "lt-active"), None
+    while True:
         touched = new.withColumnRenamed("node", "s").join(sym, ["graph", "s"]).groupBy("graph", "method", "world", F.col("d").alias("node")).agg(F.count(F.lit(1)).alias("n"))
-        pressed = durable(pressed.unionByName(touched.select(*keys, "n")).groupBy(*keys).agg(F.sum("n").alias("n")), "lt-pressed")
-        over = pressed.join(degree, ["graph", "node"]).where(F.col("n") / F.col("degree") >= hash_uniform(seed, F.col("world"), F.col("node")))
-        new = durable(over.join(active, keys, "left_anti").select(*keys), "lt-new")
+        touched = durable(touched.join(active.rows, keys, "left_anti").select(*keys, "n"), "lt-pressed")
+        if pressed is None:
+            now, pressed = touched, Growing(touched, "lt-pressed")
+        else:  # what presses on a node is added up for those only that are pressed anew
+            pressed.add(touched)
+            now = pressed.rows.join(fresh(touched.select(*keys)), keys, "left_semi").groupBy(*keys).agg(F.sum("n").alias("n"))
+        over = now.join(degree, ["graph", "node"]).where(F.col("n") / F.col("degree") >= hash_uniform(seed, F.col("world"), F.col("node")))
+        new = durable(over.select(*keys), "lt-new")
         if new.isEmpty():
-            return active
-        active = durable(active.unionByName(new), "lt-active")
-    raise RuntimeError(f"nodes still become active after {rounds} rounds")
+            return active.rows
+        active.add(new)
 
 
 def threshold_summary(active: DataFrame, nodes: DataFrame, worlds: int) -> DataFrame:
