@@ -7,16 +7,16 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..sources.projections import both_ways
 from ..sources.storage import fresh
+from .ordering import numbered
 from .statistics import core_numbers, degrees, label_propagation, shared_neighbours, triangles
 
 
 def _ranked(scored: DataFrame, method: str, *order: Column) -> DataFrame:
-    w = Window.partitionBy("graph").orderBy(*order)
-    return scored.select("graph", F.lit(method).alias("method"), F.row_number().over(w).alias("step"), F.col("id").alias("node"))
+    placed = numbered(scored, ["graph"], list(order), "step")
+    return placed.select("graph", F.lit(method).alias("method"), "step", F.col("id").alias("node"))
 
 
 def score_order(scores: DataFrame, method: str) -> DataFrame:
@@ -31,8 +31,7 @@ def complete_order(orders: DataFrame, nodes: DataFrame) -> DataFrame:
     cells = orders.select("graph", "method").distinct()
     missing = cells.join(nodes.select("graph", F.col("id").alias("node"), "pos"), "graph").join(first, ["graph", "method", "node"], "left_anti")
     both = valid.select("graph", "method", "node", F.lit(0).alias("late"), F.col("at").cast("long").alias("at")).unionByName(missing.select("graph", "method", "node", F.lit(1).alias("late"), F.col("pos").cast("long").alias("at")))
-    w = Window.partitionBy("graph", "method").orderBy("late", "at")
-    return both.select("graph", "method", F.row_number().over(w).alias("step"), "node")
+    return numbered(both, ["graph", "method"], [F.col("late"), F.col("at")], "step").select("graph", "method", "step", "node")
 
 
 def degree_order(edges: DataFrame) -> DataFrame:
@@ -91,9 +90,10 @@ def redundancy_scores(edges: DataFrame, method: str, beta: float = 0.5, communit
     return met.groupBy("graph", "id").agg(F.avg(value).alias("score"))
 
 
-def betweenness(edges: DataFrame, blocks: int = 8) -> DataFrame:
-    """(graph, id, score): normalised betweenness. Sources are dealt into blocks; each block's task reads its graph's edges
-    and returns its sources' part of every node's sum."""
+def betweenness(edges: DataFrame, blocks: int | None = None) -> DataFrame:
+    """(graph, id, score): normalised betweenness. Sources are dealt into blocks, as many as shuffles have partitions unless
+    said; each block's task reads its graph's edges and returns its sources' part of every node's sum."""
+    blocks = blocks or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sources = degrees(edges).select("graph", "id", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
     cells = sources.select("graph", "block").distinct()
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import hash_uniform
 from ..operators.components import connected_components
+from ..operators.ordering import numbered
 from .projections import nodes_of
 
 
@@ -78,7 +79,8 @@ def power_law(spark: SparkSession, name: str, n: int, gamma: float, seed: int, k
     for k, t in reversed(steps[:-1]):
         degree = F.when(u < t, k).otherwise(degree)
     stubs = spark.range(n).select("id", F.explode(F.sequence(F.lit(1), degree)).alias("stub"))
-    stubs = stubs.withColumn("at", F.row_number().over(Window.orderBy(hash_uniform(seed, F.lit(1), F.col("id"), F.col("stub")), "id", "stub")) - 1)
+    shuffled = [hash_uniform(seed, F.lit(1), F.col("id"), F.col("stub")), F.col("id"), F.col("stub")]
+    stubs = numbered(stubs.withColumn("all", F.lit(0)), ["all"], shuffled, "at").withColumn("at", F.col("at") - 1)
     pairs = stubs.groupBy(F.floor(F.col("at") / 2).alias("pair")).agg(F.min_by("id", "at").alias("u"), F.max_by("id", "at").alias("v"), F.count(F.lit(1)).alias("n"))
     return _edges(pairs.where("n = 2"), name)
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ordering import numbered
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -53,7 +55,7 @@ def user_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nodes_of(edges: DataFrame) -> DataFrame:
     """nodes(graph, id, pos) of an edge table without file order; pos follows the id."""
     ids = edges.select("graph", F.col("src").alias("id")).unionByName(edges.select("graph", F.col("dst").alias("id"))).distinct()
-    return ids.withColumn("pos", F.row_number().over(Window.partitionBy("graph").orderBy("id")))
+    return numbered(ids, ["graph"], [F.col("id")], "pos")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
