@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.projections import both_ways
-from ..sources.storage import durable
+from ..sources.storage import drop, durable
 from .components import connected_components
 
 
@@ -50,23 +52,71 @@ def triangles(edges: DataFrame) -> DataFrame:
     return all_nodes.select("graph", "id", "degree", "triangles", share.alias("clustering"))
 
 
-def core_numbers(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(graph, id, core): each round a node's core falls to the h-index of its neighbours', from their degrees on.
-
-    Neighbours are counted by core before they meet, so a hub's row is as long as cores are different.
+#: Edges of a graph whose core numbers one task finds by itself.
+LOCAL = 2_000_000
+
+
+def _peeled(pairs: pa.Table) -> pa.Table:
+    """Core numbers of one graph: the node of least degree goes next, and its core is the largest least degree so far."""
+    src, dst = (pairs.column(c).to_numpy() for c in ("src", "dst"))
+    ids, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = ends[: len(src)], ends[len(src) :]
+    degree = np.bincount(ends, minlength=len(ids))
+    near = np.concatenate([b, a])[np.argsort(np.concatenate([a, b]), kind="stable")].tolist()
+    starts = np.concatenate([[0], np.cumsum(degree)]).tolist()
+    left, core, level = degree.tolist(), [-1] * len(ids), 0
+    waiting: list[list[int]] = [[] for _ in range(max(left, default=0) + 1)]
+    for u, d in enumerate(left):
+        waiting[d].append(u)
+    at = 0
+    while at < len(waiting):
+        if not waiting[at]:
+            at += 1
+            continue
+        u = waiting[at].pop()
+        if core[u] >= 0 or left[u] != at:
+            continue
+        level = max(level, at)
+        core[u] = level
+        for v in near[starts[u] : starts[u + 1]]:
+            if core[v] < 0:
+                left[v] -= 1
+                waiting[left[v]].append(v)
+                at = min(at, left[v])
+    return pa.table({"graph": pa.array([pairs.column("graph")[0].as_py()] * len(ids), pa.string()), "id": pa.array(ids, pa.int64()), "core": pa.array(core, pa.int64())})
+
+
+def _fallen(sym: DataFrame) -> DataFrame:
+    """(graph, id, core) by rounds: a node's core falls to the h-index of its neighbours', from their degrees on.
+
+    Only neighbours of what fell in a round are looked at in the next. Neighbours are counted by core before they meet, so
+    a hub's row is as long as cores are different. Rounds end when nothing falls; there is no bound on them.
     """
-    sym = both_ways(edges)
-    now = durable(degrees(edges).select("graph", "id", F.col("degree").alias("core")), "cores")
-    for _ in range(rounds):
-        held = sym.join(now.select("graph", F.col("id").alias("d"), "core"), ["graph", "d"]).groupBy("graph", "s", "core").agg(F.count(F.lit(1)).alias("n"))
+    now = durable(sym.groupBy("graph", F.col("s").alias("id")).agg(F.count(F.lit(1)).alias("core")), "cores")
+    fell = now.select("graph", "id")
+    while True:
+        asked = durable(sym.join(fell.select("graph", F.col("id").alias("d")), ["graph", "d"]).select("graph", "s").distinct(), "asked")
+        near = sym.join(asked, ["graph", "s"]).join(now.select("graph", F.col("id").alias("d"), "core"), ["graph", "d"])
+        held = near.groupBy("graph", "s", "core").agg(F.count(F.lit(1)).alias("n"))
         above = Window.partitionBy("graph", "s").orderBy(F.desc("core")).rowsBetween(Window.unboundedPreceding, 0)
         index = held.withColumn("n", F.sum("n").over(above)).groupBy("graph", F.col("s").alias("id")).agg(F.max(F.least("core", "n")).alias("h"))
-        after = now.join(index, ["graph", "id"]).select("graph", "id", F.least("core", "h").alias("core"), (F.col("h") < F.col("core")).alias("fell"))
-        after = durable(after, "cores")
-        now = after.drop("fell")
-        if after.where("fell").isEmpty():
+        lower = durable(index.join(now, ["graph", "id"]).where("h < core").select("graph", "id", "h"), "fallen")
+        if lower.isEmpty():
             return now
-    raise RuntimeError(f"core numbers still fall after {rounds} rounds")
+        now = durable(now.join(lower, ["graph", "id"], "left").select("graph", "id", F.coalesce("h", "core").alias("core")), "cores", now)
+        fell = lower.select("graph", "id")
+        drop(asked)
+
+
+def core_numbers(edges: DataFrame, local: int = LOCAL) -> DataFrame:
+    """(graph, id, core). Graphs of up to `local` edges are peeled in a task each, larger ones by rounds over all tasks."""
+    sizes = durable(edges.groupBy("graph").agg(F.count(F.lit(1)).alias("_m")), "graph-sizes")
+    small = edges.join(sizes.where(F.col("_m") <= local), "graph").select("graph", "src", "dst")
+    out = small.groupBy("graph").applyInArrow(_peeled, "graph string, id long, core long")
+    large = sizes.where(F.col("_m") > local)
+    if large.isEmpty():
+        return out
+    return out.unionByName(_fallen(durable(both_ways(edges.join(large, "graph").select("graph", "src", "dst")), "both-ways")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -92,5 +142,5 @@ def label_propagation(edges: DataFrame, rounds: int = 8) -> DataFrame:
     for _ in range(rounds):
         votes = sym.join(now.select("graph", F.col("id").alias("d"), "community"), ["graph", "d"]).groupBy("graph", "s", "community").agg(F.count(F.lit(1)).alias("n"))
         best = F.min(F.struct((-F.col("n")).alias("n"), "community"))
-        now = durable(votes.groupBy("graph", F.col("s").alias("id")).agg(best.alias("b")).select("graph", "id", "b.community"), "labels")
+        now = durable(votes.groupBy("graph", F.col("s").alias("id")).agg(best.alias("b")).select("graph", "id", "b.community"), "labels", now)
     return now

@@ -104,17 +104,9 @@ def _by_score(scores: DataFrame) -> DataFrame:
     return _order(static_orders.score_order(scores.withColumn("score", F.round("score", 9)), "x"))
 
 
-def all_edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messy edge lines made of all line items."""
-    return _messy(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
-
-
 def edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The third of all_edge_lines that LINES, the SQL of edge_line_counts, is about."""
-    return _messy(spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 3 = 0"))
-
-
-def _messy(items: DataFrame) -> DataFrame:
+    """Messy edge lines made of all line items."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     text = F.when(n == 1, F.concat_ws(" ", p, s)).when(n == 2, F.concat(F.lit("  "), p, F.lit(","), s)).when(n == 3, F.concat(p, F.lit(".0\t"), s)).when(n == 4, F.concat(F.lit("# "), p)).when(n == 5, F.concat(F.lit("x "), s)).otherwise(F.concat_ws(" ", s, s))
     return items.select(F.concat(F.lit("g"), (F.col("l_orderkey") % 2).cast("string")).alias("graph"), (F.col("l_orderkey") * 10 + n).alias("line_no"), text.alias("line"))
@@ -124,7 +116,7 @@ LINES = """li AS (
   SELECT 'g' || CAST(l_orderkey % 2 AS VARCHAR) AS graph,
          CASE WHEN l_linenumber IN (1, 2, 3) THEN 'pair' WHEN l_linenumber = 4 THEN 'skipped' WHEN l_linenumber = 5 THEN 'bad' ELSE 'same' END AS t,
          CASE WHEN l_linenumber IN (1, 2, 3) THEN l_partkey ELSE l_suppkey END AS u, l_suppkey AS v
-  FROM lineitem WHERE l_orderkey % 3 = 0),
+  FROM lineitem),
 pl AS (SELECT graph, u, v, CASE WHEN t IN ('skipped', 'bad') THEN t WHEN u = v THEN 'selfloop' ELSE 'edge' END AS kind FROM li)"""
 
 
@@ -168,7 +160,6 @@ QUERIES = {
     "edge_copart_degree": lambda s, d: statistics.degrees(projections.copart_graph(s, d)),
     "edge_user": lambda s, d: projections.user_graph(s, d),
     "edge_line_counts": lambda s, d: edgelists.line_counts(edgelists.parse_lines(edge_lines(s, d))),
-    "edge_line_counts_all": lambda s, d: edgelists.line_counts(edgelists.parse_lines(all_edge_lines(s, d))),
     "edge_hash": lambda s, d: edgelists.content_hash(many_graphs(s, d)),
     "edge_relabelled": lambda s, d: edgelists.relabelled(e := edges(s, d), projections.nodes_of(e)),
     "order_validate": lambda s, d: edgelists.validate_orders(durable(broken_orders(s, d), "broken"), projections.nodes_of(edges(s, d))),
@@ -222,6 +213,14 @@ QUERIES["full_validation_means"] = lambda s, d: rounded(_validated(s, d)[1].drop
 QUERIES["variant_curves"] = lambda s, d: rounded(trajectory.summary(_variant_curves(s, d)))
 QUERIES["feature_shares"] = lambda s, d: _variant_curves(s, d).groupBy("method").agg(F.max("step").alias("steps"), F.round(F.avg("cNBI"), 9).alias("mean_cNBI"))
 
+#: Core numbers by falling to the neighbours' h-index, as long as any falls.
+CORES = """co(id, core) USING KEY (id) AS (
+  SELECT id, degree FROM deg
+  UNION
+  SELECT id, max(least(core, n)) AS h FROM (
+    SELECT g.id, g.core AS own, nb.core, row_number() OVER (PARTITION BY g.id ORDER BY nb.core DESC) AS n
+    FROM (SELECT DISTINCT sym.s FROM co f JOIN sym ON sym.d = f.id) asked JOIN recurring.co g ON g.id = asked.s JOIN sym ON sym.s = g.id JOIN recurring.co nb ON nb.id = sym.d)
+  GROUP BY id, own HAVING max(least(core, n)) < own)"""
 _TAU = lambda taus: f"(SELECT unnest([{', '.join(map(str, taus))}]) AS tau)"
 
 SQL = {
@@ -253,19 +252,11 @@ SELECT DISTINCT 'grid' AS graph, least(u, v) AS src, greatest(u, v) AS dst FROM
     "component_sizes": f"WITH RECURSIVE {E}, {COMPONENTS} SELECT 'part' AS graph, c AS component, count(*) AS size FROM cc GROUP BY c",
     "triangles": f"WITH {E}, {TRIANGLES} SELECT 'part' AS graph, id, degree, triangles, round(clustering, 9) AS clustering FROM cl",
     "shared_neighbours": f"WITH {E}, {TRIANGLES}, {SHARED} SELECT 'part' AS graph, src, dst, common FROM sh",
-    "core_numbers": f"""WITH RECURSIVE {E}, co(t, id, core) AS (
-  SELECT 0, id, degree FROM deg
-  UNION ALL
-  SELECT t + 1, id, max(least(core, n)) FROM (SELECT t, s AS id, core, row_number() OVER (PARTITION BY s ORDER BY core DESC) AS n FROM co JOIN sym ON sym.d = co.id WHERE t < 40) GROUP BY t, id)
-SELECT 'part' AS graph, id, core FROM co WHERE t = 40""",
+    "core_numbers": f"WITH RECURSIVE {E}, {CORES} SELECT 'part' AS graph, id, core FROM co",
     "communities": f"WITH RECURSIVE {E}, {LABELS} SELECT 'part' AS graph, id, community FROM com",
     "order_dc": f"WITH {E}, {DC} SELECT 'part' AS graph, r AS step, id AS node FROM o",
     "high_degree_seeds": f"WITH {E}, {DC} SELECT 'part' AS graph, r AS step, id AS node FROM o WHERE r <= 12",
-    "order_kcore": f"""WITH RECURSIVE {E}, co(t, id, core) AS (
-  SELECT 0, id, degree FROM deg
-  UNION ALL
-  SELECT t + 1, id, max(least(core, n)) FROM (SELECT t, s AS id, core, row_number() OVER (PARTITION BY s ORDER BY core DESC) AS n FROM co JOIN sym ON sym.d = co.id WHERE t < 40) GROUP BY t, id)
-SELECT 'part' AS graph, row_number() OVER (ORDER BY core DESC, degree DESC, co.id DESC) AS step, co.id AS node FROM co JOIN deg ON co.id = deg.id WHERE t = 40""",
+    "order_kcore": f"WITH RECURSIVE {E}, {CORES} SELECT 'part' AS graph, row_number() OVER (ORDER BY core DESC, degree DESC, co.id DESC) AS step, co.id AS node FROM co JOIN deg ON co.id = deg.id",
     "order_cluc": _scores_sql("pow(10.0, -clustering) * near", f"{E}, {TRIANGLES}, ns AS (SELECT s, sum(degree + 1) AS near FROM sym JOIN deg ON deg.id = d GROUP BY s)") + " FROM cl JOIN ns ON ns.s = id",
     "order_ci2": _scores_sql("(degree - 1) * coalesce(far, 0)", f"""{E}, two AS (SELECT DISTINCT a.s, b.d FROM sym a JOIN sym b ON a.d = b.s WHERE a.s <> b.d),
 rim AS (SELECT two.s, sum(degree - 1) AS far FROM two JOIN deg ON deg.id = two.d WHERE NOT EXISTS (SELECT 1 FROM sym WHERE sym.s = two.s AND sym.d = two.d) GROUP BY two.s)""") + " FROM deg LEFT JOIN rim ON rim.s = id",

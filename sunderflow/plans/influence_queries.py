@@ -104,7 +104,7 @@ QUERIES = {
     "degree_discount": lambda s, d: _pick(seeds.degree_discount(edges(s, d), 3)),
     "neighbour_cover": lambda s, d: _pick(seeds.neighbour_cover(edges(s, d), 3)),
     "free_degree": lambda s, d: seeds.free_degree(e := edges(s, d), _dc_seeds(e)),
-    "dominating_set": lambda s, d: _pick(seeds.max_cover(seeds.neighbourhood_cover(edges(s, d)), 6, "Dominating", [F.desc("degree"), F.desc(F.col("node").cast("string"))])),
+    "dominating_set": lambda s, d: _pick(seeds.dominating_set(edges(s, d))),
     "rr_greedy": lambda s, d: _pick(seeds.reverse_greedy(_sets(s, d, edges(s, d)), 3)),
     "mc_greedy": _with(lambda e, n: seeds.spread_greedy(e, n, 3, WORLDS, 0.3)),
     "celf": _with(lambda e, n: seeds.spread_greedy(e, n, 3, WORLDS, 0.3, method="CELF")),
@@ -140,10 +140,11 @@ rt AS (SELECT rr, id FROM rw JOIN n ON n.pos = CAST(floor({_u(S, 'rr', "'root'")
 rs(rr, node) AS (SELECT rr, id FROM rt UNION SELECT rs.rr, sym.s FROM rs JOIN sym ON sym.d = rs.node WHERE {_u(S, 'rs.rr', 'sym.s', 'sym.d')} <= 0.3)"""
 
 
-def _greedy_sql(cover: str, tie: str, k: int) -> str:
+def _greedy_sql(cover: str, tie: str, k: int, first_tie: str = "") -> str:
     """k unrolled rounds of greedy cover over cv(u, x, wt)."""
-    out = f"{cover}"
+    out, later = f"{cover}", tie
     for i in range(1, k + 1):
+        tie = first_tie or later if i == 1 else later
         prev = "cv" if i == 1 else f"l{i - 1}"
         out += f", g{i} AS (SELECT u FROM {prev} JOIN deg ON deg.id = u GROUP BY u, degree ORDER BY sum(wt) DESC, {tie} LIMIT 1), l{i} AS (SELECT * FROM {prev} WHERE x NOT IN (SELECT c.x FROM {prev} c JOIN g{i} ON g{i}.u = c.u))"
     return out + " " + " UNION ALL ".join(f"SELECT 'part' AS graph, CAST({i} AS BIGINT) AS step, u AS node FROM g{i}" for i in range(1, k + 1))
@@ -165,6 +166,37 @@ def _discount_sql() -> str:
     return f"WITH {E}, " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT 'part' AS graph, CAST({i} AS BIGINT) AS step, id AS node FROM g{i}" for i in (1, 2, 3))
 
 
+def _mc_greedy_sql(first_tie: str = "") -> str:
+    return f"WITH RECURSIVE {E}, {W}, " + _greedy_sql(f"{_LIVE}, cv AS (SELECT id AS u, lc.world * 10000000 + lc.c AS x, size AS wt FROM lc JOIN lz ON lz.world = lc.world AND lz.c = lc.c)", "CAST(u AS VARCHAR)", 3, first_tie)
+
+
+def _chosen_sql(rounds: list[str]) -> str:
+    return ", ".join(f"g{i} AS ({r})" for i, r in enumerate(rounds, 1)) + " " + " UNION ALL ".join(f"SELECT 'part' AS graph, CAST({i} AS BIGINT) AS step, id AS node FROM g{i}" for i in range(1, len(rounds) + 1))
+
+
+def _diverse_sql(k: int) -> str:
+    """Unrolled: by degree; after the first half only what chosen ones don't cover."""
+    rounds, chosen = [], "SELECT -1 AS id"
+    for i in range(1, k + 1):
+        without = chosen if i <= max(1, k // 2) else f"SELECT x FROM nb WHERE u IN ({chosen})"
+        rounds.append(f"SELECT id FROM deg WHERE id NOT IN ({without}) ORDER BY degree DESC, CAST(id AS VARCHAR) DESC LIMIT 1")
+        chosen += f" UNION ALL SELECT id FROM g{i}"
+    return f"WITH {E}, {NEIGHBOURHOODS}, " + _chosen_sql(rounds)
+
+
+def _two_hop_sql(k: int) -> str:
+    """Unrolled: most uncovered nodes among those reached; what a node reaches are its neighbourhood and the neighbours of
+    its first neighbours, up to the one at which there are over 120."""
+    rounds, chosen = [], "SELECT -1 AS id"
+    for i in range(1, k + 1):
+        rounds.append(f"""SELECT deg.id FROM deg LEFT JOIN (SELECT * FROM reach WHERE x NOT IN (SELECT x FROM nb WHERE u IN ({chosen}))) r ON r.u = deg.id
+ WHERE deg.id NOT IN ({chosen}) GROUP BY deg.id, degree ORDER BY count(r.x) DESC, degree DESC, CAST(deg.id AS VARCHAR) DESC LIMIT 1""")
+        chosen += f" UNION ALL SELECT id FROM g{i}"
+    return f"""WITH {E}, {NEIGHBOURHOODS}, fn AS (SELECT s AS u, d AS v, row_number() OVER (PARTITION BY s ORDER BY d) AS r FROM sym),
+fa AS (SELECT u, sym.d AS x, min(r) AS r FROM fn JOIN sym ON sym.s = v WHERE r <= 24 GROUP BY u, sym.d), fc AS (SELECT u, r, sum(count(*)) OVER (PARTITION BY u ORDER BY r) - count(*) AS before FROM fa GROUP BY u, r),
+reach AS (SELECT u, x FROM nb UNION SELECT fa.u, fa.x FROM fa JOIN fc ON fc.u = fa.u AND fc.r = fa.r WHERE before <= 120), """ + _chosen_sql(rounds)
+
+
 SQL = {
     "arcs_constant": f"WITH {E} SELECT 'part' AS graph, s, d, CAST(0.1 AS DOUBLE) AS p FROM sym",
     "arcs_weighted_cascade": f"WITH {E} SELECT 'part' AS graph, s, d, round(1.0 / degree, 9) AS p FROM sym JOIN deg ON deg.id = d",
@@ -194,8 +226,17 @@ SELECT 'part' AS graph, method, round(CAST(count(*) AS DOUBLE) / (SELECT count(*
     "seed_budget": f"""WITH {E}, c AS (SELECT count(*) AS n FROM deg) SELECT 'part' AS graph, CAST(greatest(3, least(12, round_even(0.05 * n, 0))) AS BIGINT) AS seeds, CAST(greatest(1, least(n, round_even(n * 0.3, 0))) AS BIGINT) AS steps, CAST(greatest(1, least(n, round_even(n * 0.4, 0))) AS BIGINT) AS steps_40 FROM c""",
     "degree_discount": _discount_sql(),
     "neighbour_cover": f"WITH {E}, " + _greedy_sql(f"{NEIGHBOURHOODS}, cv AS (SELECT u, x, 1 AS wt FROM nb)", "degree DESC, CAST(u AS VARCHAR) DESC", 3),
-    "dominating_set": f"WITH {E}, " + _greedy_sql(f"{NEIGHBOURHOODS}, cv AS (SELECT u, x, 1 AS wt FROM nb)", "degree DESC, CAST(u AS VARCHAR) DESC", 6),
+    "dominating_set": f"""WITH RECURSIVE {E}, {NEIGHBOURHOODS}, ds(x, step, u) USING KEY (x) AS (
+  SELECT nb.x, 1, b.u FROM (SELECT u FROM nb JOIN deg ON deg.id = u GROUP BY u, degree ORDER BY count(*) DESC, degree DESC, CAST(u AS VARCHAR) DESC LIMIT 1) b JOIN nb ON nb.u = b.u
+  UNION
+  SELECT nb.x, t.step + 1, b.u FROM (SELECT max(step) AS step FROM ds) t,
+   (SELECT nb.u FROM nb JOIN deg ON deg.id = nb.u WHERE nb.x NOT IN (SELECT x FROM recurring.ds) GROUP BY nb.u, degree ORDER BY count(*) DESC, degree DESC, CAST(nb.u AS VARCHAR) DESC LIMIT 1) b
+   JOIN nb ON nb.u = b.u WHERE nb.x NOT IN (SELECT x FROM recurring.ds))
+SELECT DISTINCT 'part' AS graph, CAST(step AS BIGINT) AS step, u AS node FROM ds""",
     "rr_greedy": f"WITH RECURSIVE {E}, " + _greedy_sql(f"{_RR}, cv AS (SELECT node AS u, rr AS x, 1 AS wt FROM rs)", "CAST(u AS VARCHAR)", 3),
-    "mc_greedy": f"WITH RECURSIVE {E}, {W}, " + _greedy_sql(f"{_LIVE}, cv AS (SELECT id AS u, lc.world * 10000000 + lc.c AS x, size AS wt FROM lc JOIN lz ON lz.world = lc.world AND lz.c = lc.c)", "CAST(u AS VARCHAR)", 3),
+    "mc_greedy": _mc_greedy_sql(),
 }
 SQL["celf"] = SQL["mc_greedy"]
+SQL["celf_pp"] = _mc_greedy_sql("CAST(u AS VARCHAR) DESC")
+SQL["diverse_degree"] = _diverse_sql(5)
+SQL["two_hop_cover"] = _two_hop_sql(5)

@@ -16,7 +16,7 @@ def test_edge_lines_of_all_line_items(spark, data):
         want[g][kind] += 1
         if kind == "edge":
             pairs[g].add((min(p, s), max(p, s)))
-    got = {r.graph: (r.raw, r.bad, r.selfloop, r.usable, r.edges) for r in graph_queries.QUERIES["edge_line_counts_all"](spark, data).collect()}
+    got = {r.graph: (r.raw, r.bad, r.selfloop, r.usable, r.edges) for r in graph_queries.QUERIES["edge_line_counts"](spark, data).collect()}
     assert got == {g: (c.total() - c["skipped"], c["bad"], c["selfloop"], c["edge"], len(pairs[g])) for g, c in want.items()}
 
 
@@ -28,7 +28,22 @@ def test_imm_is_not_cut_to_500_sets(spark, data, monkeypatch):
     assert 500 < max(asked) <= 20_000
 
 
-def test_core_numbers_do_not_stop_silently(spark):
-    path = spark.createDataFrame([("g", i, i + 1) for i in range(12)], "graph string, src long, dst long")
-    with pytest.raises(RuntimeError):
-        statistics.core_numbers(path, rounds=2)
+@pytest.mark.parametrize(("n", "local"), [(3000, statistics.LOCAL), (24, 0)])
+def test_core_numbers_run_to_their_end(spark, n, local):
+    """A path's ends fall inwards a node a round; nothing bounds the rounds."""
+    path = spark.createDataFrame([("g", i, i + 1) for i in range(n - 1)], "graph string, src long, dst long")
+    rows = statistics.core_numbers(path, local).collect()
+    assert len(rows) == n and {r.core for r in rows} == {1}
+
+
+def test_dominating_set_is_whole(spark, data):
+    """Every node is chosen or next to a chosen one, and each choice is the greedy one."""
+    near = defaultdict(set)
+    for r in graph_queries.QUERIES["edge_canonical"](spark, data).collect():
+        near[r.src].add(r.dst)
+        near[r.dst].add(r.src)
+    left, order = set(near), [r.node for r in influence_queries.QUERIES["dominating_set"](spark, data).orderBy("step").collect()]
+    for u in order:
+        assert u == max(near, key=lambda x: (len(left & {x, *near[x]}), len(near[x]), str(x)))
+        left -= {u, *near[u]}
+    assert not left
