@@ -317,39 +317,40 @@ def entanglement_scores(g: Residual, part: set[int]) -> dict[int, float]:
     return out
 
 
-def local_scores(phase: float = 1.0, neighbours: float = 0.2, weak: float = 0.1, boundary: float = 0.05, redundancy: float = 0.05, cap: int = 24, two_hop_cap: int = 80) -> Program:
-    """A bounded local scorer: degree by phase, neighbours' degrees, weak ties, two-hop boundary and redundancy.
+def local_scores(neighbours: float = 0.02, weak: float = 0.1, boundary: float = 0.0015, redundancy: float = 0.0, phase: float = 0.15, cap: int | None = None, two_hop_cap: int | None = None) -> Program:
+    """A parametric local scorer: at each step the node of largest score goes; of ties the id whose text sorts last.
 
-    At most cap neighbours by pos, and two_hop_cap of theirs, are read; only neighbours of what goes are scored again.
+    Degree, times 1 + phase x share removed; plus weights times the neighbours' degrees, how many of them have at most two,
+    and the degrees of their neighbours; less a weight times the links among neighbours. At most `cap` neighbours by pos and
+    `two_hop_cap` neighbours of each (one at least) are read; None reads all. (A term that is the same for all nodes, as a
+    count of components would be, changes no order and is left out.) Only scores that a removal can change are renewed.
     """
+    reach = None if two_hop_cap is None else max(1, two_hop_cap)
 
-    def score(g: Residual, u: int, gone: float) -> float:
+    def rest(g: Residual, u: int) -> float:
         near = sorted(g.near[u])[:cap]
-        inside = set(near)
-        rim: set[int] = set()
-        shared = 0
-        for v in near:
-            for w in sorted(g.near[v])[:two_hop_cap]:
-                if w in inside:
-                    shared += 1
-                elif w != u and len(rim) < two_hop_cap:
-                    rim.add(w)
-        pull = sum(np.log1p(g.degree(v)) for v in near)
-        return (1 + phase * (1 - gone)) * g.degree(u) + neighbours * pull + weak * sum(g.degree(v) <= 2 for v in near) + boundary * len(rim) - redundancy * shared
+        degrees = [g.degree(v) for v in near]
+        rim = sum(sum(map(g.degree, [w for w in sorted(g.near[v]) if w != u][:reach])) for v in near) if boundary else 0
+        links = sum(len(g.near[v] & set(near)) for v in near) // 2 if redundancy else 0
+        return neighbours * sum(degrees) + weak * sum(d <= 2 for d in degrees) + boundary * rim - redundancy * links
 
     def program(g: Residual, steps: int) -> list[int]:
-        stamp = [0] * g.n
-        heap = [(-score(g, u, 0.0), g.ids[u], u, 0) for u in g.alive]
-        heapq.heapify(heap)
+        degree = np.array([float(g.degree(u)) for u in range(g.n)])
+        other, text = np.array([rest(g, u) for u in range(g.n)]), np.array(g.text)
+        other[[u for u in range(g.n) if u not in g.alive]] = -np.inf
         order: list[int] = []
-        while heap and len(order) < steps:
-            _, _, u, s = heapq.heappop(heap)
-            if u not in g.alive or s != stamp[u]:
-                continue
+        while g.alive and len(order) < steps:
+            score = (1 + phase * len(order) / g.n) * degree + other
+            best = np.flatnonzero(score == score.max())
+            u = int(best[text[best].argmax()])
+            changed = ring = g.remove(u)
             order.append(u)
-            for v in sorted(g.remove(u))[:cap]:
-                stamp[v] += 1
-                heapq.heappush(heap, (-score(g, v, len(order) / g.n), g.ids[v], v, stamp[v]))
+            degree[u], other[u] = 0.0, -np.inf
+            for _ in range(2 if boundary else 1):  # as far as degrees are looked at
+                ring = set().union(*(g.near[v] for v in ring)) - changed if ring else set()
+                changed = changed | ring
+            for v in changed:
+                degree[v], other[v] = g.degree(v), rest(g, v)
         return order
 
     return program
@@ -370,7 +371,7 @@ def component_focus(g: Residual, steps: int) -> list[int]:
 PROGRAMS: dict[str, Program] = {
     "HDA": hda_original, "HDA-fast": hda_fast, "Degree-heap": hda_fast, "CoreHD": corehd_original, "CoreHD-fast": corehd_fast, "Decycle": decycle_largest,
     "GND-cut": gnd_fallback, "MinSum": _batches(minsum_scores), "BPD": _batches(bpd_scores), "GND": _batches(spectral_scores), "VE": _batches(entanglement_scores),
-    "Local": local_scores(), "Local-boundary": local_scores(boundary=0.2), "Component": component_focus,
+    "Local": local_scores(), "Local-bounded": local_scores(0.010, 0.06, 0.0005, 0.04, 0.06, 8, 6), "Component": component_focus,
 }
 
 

@@ -85,7 +85,7 @@ def policy_statistics(log: DataFrame, families: int = 5) -> DataFrame:
     valid = log.where("valid")
     n = max(5, min(30, valid.count()))
     top = valid.orderBy(F.desc("rank_score"), "candidate_id").limit(n).select("family", "time_s", "rank_score", "candidate_id")
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("rank_score"), "candidate_id"))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("rank_score"), "candidate_id"))  # of n rows, 30 at most
     bound = top.agg(F.greatest(F.lit(0.05), 4 * F.median("time_s")).alias("max_runtime_s"))
     return commonest(top.withColumn("_place", place), "family", "_place", families).crossJoin(F.broadcast(bound))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import code_checks, scalars
 from ..operators import ranking, report, selection
 from ..sources import tables
+from . import search
 from .graph_queries import rounded
 
 K = "p_partkey"
@@ -63,6 +64,15 @@ _SECTION = f"""se AS (SELECT candidate_id, 100 * (0.4 * {_r01('auc_cNBI', True)}
 _TARGETS = [("legacy_q", 1000.0, 0.5, 2.0), ("legacy_s", 900.0, None, 1.0), ("none", None, None, None)]
 
 
+#: Budgets of steps whose branches branch_schedule lists.
+BUDGETS = (1, 2, 3, 4, 5, 10, 37, 50, 200)
+
+
+def _with_columns(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """rows with those of the columns that they lack, as nulls."""
+    return rows.withColumns({c: F.lit(None).cast("string") for c in names if c not in rows.columns})
+
+
 def _results(s: SparkSession, d: str) -> DataFrame:
     """Benchmark results made of suppliers: datasets are nations."""
     s.read.parquet(f"{d}/supplier.parquet").createOrReplaceTempView("supplier")
@@ -154,7 +164,8 @@ QUERIES = {
     "lineage": lambda s, d: selection.lineage(log(s, d), "n0000187"),
     "tree_depths": lambda s, d: selection.depths(log(s, d)),
     "tree_layout": lambda s, d: selection.layout(log(s, d)),
-    "branch_schedule": lambda s, d: s.createDataFrame([(b, i, selection.branch_of(i, b)) for b in (3, 10, 37, 200) for i in range(1, b + 1)], "budget int, step int, branch string"),
+    "branch_schedule": lambda s, d: selection.branch_schedule(s.createDataFrame([(b,) for b in BUDGETS], "budget int")),
+    "parameter_study": lambda s, d: rounded(search.parameter_study(s, 100)),
     "code_flags": _flags,
     "text_values": _texts,
     "method_mean": lambda s, d: rounded(_means(s, d)),
@@ -172,7 +183,7 @@ QUERIES = {
     "resume_rows": lambda s, d: tables.still_to_do(_results(s, d).select("dataset", "method").distinct(), _results(s, d).withColumn("error", F.when(F.col("k") % 2 == 0, "skipped_timeout_60").otherwise("")), ["dataset", "method"]),
     "keep_last": lambda s, d: tables.keep_last(_results(s, d), ["dataset", "method"], [F.col("k")]).select("dataset", "method", "k"),
     "replace_rows": lambda s, d: tables.replace_rows(_results(s, d).select("dataset", "method", "spread"), _results(s, d).where("k % 10 = 0").select("dataset", "method", F.lit(-1.0).alias("spread")), ["dataset", "method"]),
-    "formal_rows": lambda s, d: _results(s, d).where((F.col("model_type") == tables.FORMAL_MODEL) & (F.col("simulations") == tables.FORMAL_SIMULATIONS)).groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"), F.max("spread").alias("best")),
+    "formal_rows": lambda s, d: tables.formal_results(_with_columns(_results(s, d), tables.FORMAL_COLUMNS)).groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"), F.max("spread").alias("best")),
     "answer_checks": lambda s, d: _answers(s, d).select("k", code_checks.forbidden_token(F.col("t")).alias("forbidden"), code_checks.capacity_issue(F.col("t")).alias("capacity")),
     "family_sets": lambda s, d: log(s, d).groupBy("pool").agg(F.collect_set("family").alias("f"), F.collect_set(F.when(F.col("valid"), F.col("family"))).alias("v")).select("pool", F.size(F.array_intersect("f", "v")).alias("both"), F.size(F.array_except("f", "v")).alias("only"), F.size(F.array_union("f", "v")).alias("any")),
     "compressed_axis": lambda s, d: rounded(log(s, d).where("time_s > 0").select("candidate_id", scalars.compressed_log(F.col("time_s"), -1.0, 0.25).alias("x"))),
@@ -206,6 +217,14 @@ def _needle_sql(needles: tuple[str, ...]) -> str:
 
 FLAGS = "fl AS (SELECT *, " + ", ".join(f"{v} AS {n}" for n, v in _flag_sql().items()) + f" FROM ({_CODES}))"
 
+_STUDY_SQL = """WITH n AS (SELECT unnest(range(100)) AS number), r AS (SELECT number, number % 25 AS r FROM n), a AS (
+ SELECT 'R/GCC-only' AS "group", 'degree-backbone' AS family, number, 0.005 * (r % 5) AS neighbours, 0.0 AS weak, 0.0 AS boundary, 0.0 AS redundancy, 0.05 * (r % 3) AS phase, 8 + 4 * (r % 5) AS cap, 0 AS two_hop_cap FROM r
+ UNION ALL SELECT g, 'free-boundary-scan', number, 0.02 + 0.01 * (r % 5), 0.10 + 0.05 * (r % 4), 0.0015 + 0.0005 * (r % 6), CASE WHEN r % 3 = 0 THEN 0.0 ELSE 0.02 END, 0.15 * (r % 4), CASE WHEN r % 2 = 1 THEN 64 END, CASE WHEN r % 4 > 0 THEN 32 END FROM r, (SELECT unnest(['Absolute-cNBI', 'Relative-Free']) AS g)
+ UNION ALL SELECT g, 'relative-local-mix', number, 0.015 + 0.006 * (r % 5), 0.08 + 0.04 * (r % 4), 0.0008 + 0.0004 * (r % 5), 0.03 + 0.01 * (r % 4), 0.10 * (r % 4), 16 + 8 * (r % 4), 12 + 8 * (r % 4) FROM r, (SELECT unnest(['Relative-Delta-cNBI', 'CostAware-Free']) AS g)
+ UNION ALL SELECT 'Bounded-Guided', 'bounded-local-policy', number, 0.010 + 0.004 * (r % 5), 0.06 + 0.03 * (r % 4), 0.0005 + 0.0002 * (r % 5), 0.04 + 0.01 * (r % 5), 0.06 * (r % 4), 8 + 4 * (r % 4), 6 + 4 * (r % 4) FROM r)
+SELECT "group", family, CAST(number AS INTEGER) AS number, CAST(round(neighbours, 9) AS DOUBLE) AS neighbours, CAST(round(weak, 9) AS DOUBLE) AS weak, CAST(round(boundary, 9) AS DOUBLE) AS boundary, CAST(round(redundancy, 9) AS DOUBLE) AS redundancy, CAST(round(phase, 9) AS DOUBLE) AS phase,
+ CAST(cap AS INTEGER) AS cap, CAST(two_hop_cap AS INTEGER) AS two_hop_cap, ("group" = 'Relative-Free' AND number IN (7, 29, 53, 71, 89)) OR ("group" = 'CostAware-Free' AND number IN (31, 77)) AS invalid FROM a"""
+
 SQL = {
     "avg_rank": f"WITH {L} SELECT l.candidate_id, rank_R, rank_auc FROM l LEFT JOIN (SELECT candidate_id, {_avg('R', False, 'pool')} AS rank_R, {_avg('auc_cNBI', True, 'pool')} AS rank_auc FROM v) x ON x.candidate_id = l.candidate_id",
     "rank01_variants": f"""WITH {L}, n AS (SELECT candidate_id, {_avg('patchy', True)} AS place, count(*) OVER () AS known, (SELECT count(*) FROM v) AS every FROM v WHERE patchy IS NOT NULL)
@@ -300,5 +319,10 @@ SELECT family, count(*) AS n, round((SELECT greatest(0.05, 4 * median(time_s)) F
     "answer_checks": f"""WITH t AS ({_ANSWERS}) SELECT k, {_needle_sql(code_checks.FORBIDDEN)} AS forbidden, coalesce({_needle_sql(code_checks.CAPACITY)}, CASE WHEN (contains(t, '模型') AND contains(t, '满')) OR (contains(t, '请') AND contains(t, '换') AND contains(t, '模型')) THEN '模型/换模型相关中文提示' END,
  CASE WHEN regexp_matches(lower(t), 'model.*full|full.*model') THEN 'model/full/capacity related prompt' END, '') AS capacity FROM t""",
     "family_sets": f"WITH {L}, g AS (SELECT pool, family, bool_or(valid) AS v FROM l GROUP BY pool, family) SELECT pool, CAST(count(*) FILTER (WHERE v) AS INTEGER) AS both, CAST(count(*) FILTER (WHERE NOT v) AS INTEGER) AS only, CAST(count(*) AS INTEGER) AS any FROM g GROUP BY pool",
+    "branch_schedule": f"""WITH b AS (SELECT unnest([{', '.join(map(str, BUDGETS))}]) AS budget), l AS (SELECT budget, {', '.join(f"greatest(1, round_even(budget * {x}, 0)) AS {b}" for b, x in selection.BRANCH_SHARES.items())} FROM b),
+ m AS (SELECT *, Q + S + B + R - budget AS over FROM l), c AS (SELECT budget, Q - CASE WHEN over < 0 THEN over ELSE ceil(over / 2) END AS q, S - CASE WHEN over < 0 THEN 0 ELSE floor(over / 2) END AS s, B AS b, R AS r FROM m)
+ SELECT budget, step, CASE WHEN budget < 4 THEN substr('QSB', CAST((step - 1) % 3 + 1 AS BIGINT), 1) WHEN step <= q THEN 'Q' WHEN step <= q + s THEN 'S' WHEN step <= q + s + b THEN 'B' WHEN step <= q + s + b + r THEN 'R' ELSE 'B' END AS branch
+ FROM (SELECT *, CAST(unnest(range(1, budget + 1)) AS INTEGER) AS step FROM c)""",
+    "parameter_study": _STUDY_SQL,
     "compressed_axis": f"WITH {L} SELECT candidate_id, round(CASE WHEN log10(greatest(time_s, 1e-12)) < -1 THEN -1 + (log10(greatest(time_s, 1e-12)) + 1) * 0.25 ELSE log10(greatest(time_s, 1e-12)) END, 9) AS x FROM l WHERE time_s > 0",
 }

@@ -11,9 +11,10 @@ import random
 from collections import Counter, defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from statistics import median
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ranking, report, selection
@@ -43,6 +44,51 @@ class GridProposals:
         return f"local-{family}", local_scores(**weights, cap=cap, two_hop_cap=4 * cap)
 
 
+#: The parameter study: first value, step and number of values of each parameter by group, where None reads all (fixed
+#: values). A candidate's number, modulo 25, gives its values.
+STUDY_FAMILIES = {
+    "R/GCC-only": "degree-backbone", "Absolute-cNBI": "free-boundary-scan", "Relative-Free": "free-boundary-scan", "Relative-Delta-cNBI": "relative-local-mix", "CostAware-Free": "relative-local-mix", "Bounded-Guided": "bounded-local-policy",
+}
+STUDY = {
+    "degree-backbone": {"neighbours": (0.0, 0.005, 5), "weak": (0.0, 0.0, 1), "boundary": (0.0, 0.0, 1), "redundancy": (0.0, 0.0, 1), "phase": (0.0, 0.05, 3), "cap": (8, 4, 5), "two_hop_cap": (0, 0, 1)},
+    "free-boundary-scan": {"neighbours": (0.02, 0.01, 5), "weak": (0.10, 0.05, 4), "boundary": (0.0015, 0.0005, 6), "redundancy": (0.02, 0.0, 1), "phase": (0.0, 0.15, 4), "cap": (64, 0, 1), "two_hop_cap": (32, 0, 1)},
+    "relative-local-mix": {"neighbours": (0.015, 0.006, 5), "weak": (0.08, 0.04, 4), "boundary": (0.0008, 0.0004, 5), "redundancy": (0.03, 0.01, 4), "phase": (0.0, 0.10, 4), "cap": (16, 8, 4), "two_hop_cap": (12, 8, 4)},
+    "bounded-local-policy": {"neighbours": (0.010, 0.004, 5), "weak": (0.06, 0.03, 4), "boundary": (0.0005, 0.0002, 5), "redundancy": (0.04, 0.01, 5), "phase": (0.0, 0.06, 4), "cap": (8, 4, 4), "two_hop_cap": (6, 4, 4)},
+}
+#: Where every so many numbers, from the first, the value is another one: none (0) or all (None).
+STUDY_EVERY = {"free-boundary-scan": {"redundancy": (3, 0.0), "cap": (2, None), "two_hop_cap": (4, None)}}
+#: Candidates that fail on purpose.
+STUDY_INVALID = {"Relative-Free": (7, 29, 53, 71, 89), "CostAware-Free": (31, 77)}
+
+
+def parameter_study(spark: SparkSession, candidates: int) -> DataFrame:
+    """(group, number, family, parameters of local_scores, invalid) of `candidates` candidates of every group."""
+    rows = spark.createDataFrame([*STUDY_FAMILIES.items()], "group string, family string").withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))))
+    r = F.col("number") % 25
+    for name in STUDY["degree-backbone"]:
+        value, kind = F.lit(None), "int" if "cap" in name else "double"
+        for family, params in STUDY.items():
+            first, step, values = params[name]
+            every, other = STUDY_EVERY.get(family, {}).get(name, (None, None))
+            own = (F.lit(first) + F.lit(step) * (r % values)).cast(kind)
+            own = own if every is None else F.when(r % every == 0, F.lit(other).cast(kind)).otherwise(own)
+            value = F.when(F.col("family") == family, own).otherwise(value)
+        rows = rows.withColumn(name, value.cast(kind))
+    bad = F.lit(False)
+    for group, numbers in STUDY_INVALID.items():
+        bad = bad | ((F.col("group") == group) & F.col("number").isin(*numbers))
+    return rows.withColumn("invalid", bad)
+
+
+def study_programs(rows: list) -> dict[str, Program]:
+    """The programs of parameter_study's rows, by group and number; invalid ones raise."""
+
+    def invalid(*_: object) -> list[int]:
+        raise ValueError("invalid on purpose")
+
+    return {f"{r.group} {r.number}": invalid if r.invalid else local_scores(**{name: r[name] for name in STUDY["degree-backbone"]}) for r in rows}
+
+
 _LOG = "node_id string, parent_node_id string, candidate_id string, family string, depth int, tree_branch string, tree_role string, valid boolean, error string, auc_cNBI double, R double, time_s double, early_cNBI double, early_NCC double, early_GCC double, parent_auc_cNBI double"
 
 
@@ -168,17 +214,24 @@ def niche_parent(records: list[Record], rng: random.Random, state: dict) -> Reco
 
 
 def clade_parent(records: list[Record], rng: random.Random, state: dict) -> Record:
-    """Thompson sampling of clades by how many reach the median, plus a bonus for small ones; one of the best five."""
+    """Thompson sampling of clades.
+
+    A clade's chance is Beta distributed by its members at and below the median score of all; .08 over the root of its size
+    favours small clades. One of the five best members of the clade with the luckiest draw is taken.
+    """
     pool = _valid(records)
-    if len(pool) <= 2:
+    if len(pool) < 3:
         return pool[-1]
-    scores = sorted(map(_score, pool))
-    median = (scores[(len(scores) - 1) // 2] + scores[len(scores) // 2]) / 2
-    clades = defaultdict(list)
-    for r in pool:
-        clades[str(r.get("clade") or "default")].append(r)
-    draw = {n: rng.betavariate(1 + sum(_score(r) >= median for r in c), 1 + sum(_score(r) < median for r in c)) + 0.08 / math.sqrt(len(c)) for n, c in clades.items()}
-    return rng.choice(sorted(clades[max(draw, key=draw.__getitem__)], key=_score, reverse=True)[:5])
+    middle = median(map(_score, pool))
+    members: dict[str, list[Record]] = defaultdict(list)
+    for r in sorted(pool, key=_score, reverse=True):
+        members[str(r.get("clade") or "default")].append(r)
+
+    def luck(clade: str) -> float:
+        reached = [_score(r) >= middle for r in members[clade]]
+        return rng.betavariate(reached.count(True) + 1, reached.count(False) + 1) + 0.08 * len(reached) ** -0.5
+
+    return rng.choice(members[max(members, key=luck)][:5])
 
 
 POLICIES: dict[str, Callable[[list[Record], random.Random, dict], Record]] = {

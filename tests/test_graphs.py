@@ -1,11 +1,12 @@
 """Values worked out by hand or by plain code on small graphs."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from sunderflow.operators import adaptive, diffusion, seeds, static_orders, statistics, trajectory
+from sunderflow.operators import adaptive, communities, diffusion, ordering, seeds, static_orders, statistics, trajectory, variants
 from sunderflow.operators.components import connected_components
 from sunderflow.sources import edgelists, generators, projections
 
@@ -102,12 +103,34 @@ def slow_order(pairs, pick):
     return order
 
 
+def largest(g):
+    return max(g.parts(), key=lambda p: (len(p), min(p)))
+
+
+def over(g, u):
+    return max(0, len(g.near[u]) - 1)
+
+
+def cavity(g, u):
+    return sum(over(g, v) for v in g.near[u])
+
+
+def entangled(g, u):
+    near = g.near[u]
+    two = {w for v in near for w in g.near[v]} - {u}
+    pairs, d = sum(w in g.near[v] for v in near for w in near if v < w), len(near)
+    return 100.0 * d + 5.0 * len(two - near) + len(two & near) - (10.0 * 2 * pairs / (d * (d - 1)) if d > 1 else 0.0)
+
+
 PICKS = {
     "HDA": lambda g: max(g.near, key=lambda u: (len(g.near[u]), str(u))),
     "HDA-fast": lambda g: min(g.near, key=lambda u: (-len(g.near[u]), str(u))),
     "CoreHD": lambda g: max(c := g.core() or g.near, key=lambda u: (len(c[u]), u)),
     "CoreHD-fast": lambda g: min(g.core() or g.near, key=lambda u: (-len(g.near[u]), str(u))),
     "Decycle": lambda g: (lambda p: max(c := g.core(p) or {u: g.near[u] for u in p}, key=lambda u: (len(c[u]), u)))(max(g.parts(), key=lambda p: (len(p), min(p)))),
+    "MinSum": lambda g: (lambda p: min(g.core(p) or p, key=lambda u: (-(1e4 * over(g, u) + sum(over(g, v) for v in g.near[u]) + len(g.near[u])), u)))(largest(g)),
+    "BPD": lambda g: min(largest(g), key=lambda u: (-(over(g, u) * (1.0 + cavity(g, u)) + 0.05 * sum(cavity(g, v) - over(g, u) for v in g.near[u]) + len(g.near[u])), u)),
+    "VE": lambda g: min(largest(g), key=lambda u: (-entangled(g, u), u)),
     "Component": lambda g: max(max(g.parts(), key=lambda p: (len(p), min(p))), key=lambda u: (len(g.near[u]), u)),
 }
 
@@ -152,7 +175,8 @@ def test_core_numbers(spark):
         for u in low:
             core[u] = k
             g.remove(u)
-    assert {r.id: r.core for r in statistics.core_numbers(graph(spark, pairs)).collect()} == core
+    for local in (statistics.LOCAL, 0):
+        assert {r.id: r.core for r in statistics.core_numbers(graph(spark, pairs), local).collect()} == core
 
 
 def test_betweenness(spark):
@@ -262,3 +286,111 @@ def test_greedy_is_greedy(smoke):
 def test_registered_program(smoke):
     adaptive.register("Backwards", lambda g, steps: sorted(g.alive, reverse=True))
     assert adaptive_order(smoke, "Backwards") == list(range(11, -1, -1))
+
+
+@pytest.mark.parametrize("weights", [{}, {"boundary": 0.0}, {"redundancy": 0.3, "cap": 3, "two_hop_cap": 2}, {"neighbours": 0.2, "phase": 2.0, "two_hop_cap": 0}])
+def test_local_scores(weights):
+    """Every score anew at every step."""
+    w = {"neighbours": 0.02, "weak": 0.1, "boundary": 0.0015, "redundancy": 0.0, "phase": 0.15, "cap": None, "two_hop_cap": None} | weights
+    pairs, order = random_pairs(40, 90, 6), []
+    got = adaptive.local_scores(**weights)(residual := adaptive.Residual(list(range(40)), pairs), 40)
+    g = Plain(pairs)
+    for u in range(40):
+        g.near.setdefault(u, set())
+
+    def score(u):
+        near = sorted(g.near[u])[: w["cap"]]
+        cut = None if w["two_hop_cap"] is None else max(1, w["two_hop_cap"])
+        rim = sum(len(g.near[x]) for v in near for x in sorted(g.near[v] - {u})[:cut])
+        links = sum(b in g.near[a] for a in near for b in near if a < b)
+        weak = sum(len(g.near[v]) <= 2 for v in near)
+        return (1 + w["phase"] * len(order) / 40) * len(g.near[u]) + w["neighbours"] * sum(len(g.near[v]) for v in near) + w["weak"] * weak + w["boundary"] * rim - w["redundancy"] * links
+
+    while g.near:
+        best = max(g.near, key=lambda u: (round(score(u), 9), str(u)))
+        assert abs(score(got[len(order)]) - score(best)) < 1e-9
+        g.remove(got[len(order)])
+        order.append(got[len(order)])
+    assert not residual.alive
+
+
+def test_betweenness_of_random_graphs(spark):
+    """Against the share of shortest paths counted pair by pair."""
+    pairs = random_pairs(18, 32, 8)
+    near = Plain(pairs).near
+
+    def paths(s):
+        level, count, ring = {s: 0}, {s: 1}, [s]
+        while ring:
+            nxt = []
+            for u in ring:
+                for v in near[u]:
+                    if v not in level:
+                        level[v], count[v] = level[u] + 1, 0
+                        nxt.append(v)
+                    if level[v] == level[u] + 1:
+                        count[v] += count[u]
+            ring = nxt
+        return level, count
+
+    known = {u: paths(u) for u in near}
+    want = dict.fromkeys(near, 0.0)
+    for s in near:
+        for t in near:
+            for u in near.keys() - {s, t}:
+                if t in known[s][0] and u in known[s][0] and t in known[u][0] and known[s][0][u] + known[u][0][t] == known[s][0][t]:
+                    want[u] += known[s][1][u] * known[u][1][t] / known[s][1][t] / (len(near) - 1) / (len(near) - 2)
+    rows = static_orders.betweenness(graph(spark, pairs), 3).collect()
+    assert {r.id: round(r.score, 9) for r in rows} == {u: round(x, 9) for u, x in want.items()}
+
+
+def modularity(pairs, community):
+    m, out = len(pairs), 0.0
+    degree = Counter(x for p in pairs for x in p)
+    for c in set(community.values()):
+        inside = sum(community[a] == c == community[b] for a, b in pairs)
+        out += inside / m - (sum(d for u, d in degree.items() if community[u] == c) / (2 * m)) ** 2
+    return out
+
+
+def test_greedy_modularity(spark):
+    """Each union is the best one, by trying all; two cliques with a bridge are two communities."""
+    for seed in (1, 2, 3):
+        pairs = random_pairs(24, 40, seed)
+        now = {u: u for p in pairs for u in p}
+        while True:
+            names, base = sorted(set(now.values())), modularity(pairs, now)
+            tried = [(round(modularity(pairs, {u: a if c == b else c for u, c in now.items()}) - base, 12), -a, -b) for a in names for b in names if a < b and any({now[x], now[y]} == {a, b} for x, y in pairs)]
+            gain, a, b = max(tried, default=(0, 0, 0))
+            if gain <= 0:
+                break
+            now = {u: -a if c == -b else c for u, c in now.items()}
+        assert communities.merge_greedily(pairs) == now
+    cliques = [(a, b) for k in (0, 10) for a in range(k, k + 5) for b in range(k, k + 5) if a < b] + [(4, 10)]
+    rows = communities.greedy_modularity(graph(spark, cliques)).collect()
+    assert {r.id: r.community for r in rows} == {u: u // 10 * 10 for p in cliques for u in p}
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_numbered(spark, parts):
+    rng = random.Random(2)
+    rows = [(rng.choice("abc"), rng.randint(0, 9), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, x int, i int").repartition(parts)
+    got = ordering.numbered(df, ["g"], [F.desc("x"), F.asc("i")], "at").collect()
+    want = {}
+    for g in "abc":
+        want |= {(g, i): n for n, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2])), 1)}
+    assert {(r.g, r.i): r.at for r in got} == want
+    assert ordering.numbered(df.limit(0), ["g"], [F.asc("i")], "at").count() == 0
+
+
+def test_scores_worked_out_by_hand():
+    """S-inner on a star's middle and a path's middle, from its table of weights."""
+    root2, root3 = 2**0.5, 3**0.5
+    score = variants.SInner(frozenset())
+    star = adaptive.Residual([0, 1, 2, 3], [(0, 1), (0, 2), (0, 3)])
+    assert score.key(star, 0)[0] == pytest.approx(1.15 * 3 + 0.58 * 3 + 0.045 * root3 + (0.010 - 0.015) + 0.052 * 3 / 4)
+    path = adaptive.Residual([0, 1, 2, 3, 4], [(0, 1), (1, 2), (2, 3), (3, 4)])
+    assert score.key(path, 2)[0] == pytest.approx(1.15 * 2 + 0.32 * 2 + 0.58 * 2 + 0.62 * 2 * root2 + 0.70 * 2 + 0.046 * 2 * root2 + 2 * (0.010 - 0.015) + 0.052 * 6 / 3)
+    triangle = adaptive.Residual([0, 1, 2], [(0, 1), (1, 2), (0, 2)])
+    assert score.key(triangle, 0)[0] == pytest.approx(1.15 * 2 + 0.58 * 2 - 0.50 * root2 + 2 * (0.010 - 0.015) + 0.052 * 2 / 3)

@@ -107,3 +107,39 @@ def test_graph_folder(spark, tmp_path):
     assert sorted(tuple(r) for r in edgelists.load_graphs(spark, str(tmp_path), 2).collect()) == [("a", 0, 1), ("a", 1, 2), ("b", 0, 1)]
     with pytest.raises(ValueError, match="12"):
         edgelists.load_graphs(spark, str(tmp_path))
+
+
+def test_schedule_as_columns(spark):
+    got = {(r.budget, r.step): r.branch for r in selection.branch_schedule(spark.createDataFrame([(b,) for b in range(1, 61)], "budget int")).collect()}
+    assert got == {(b, i): selection.branch_of(i, b) for b in range(1, 61) for i in range(1, b + 1)}
+    for b in range(4, 61):
+        assert abs(sum(got[b, i] == "Q" for i in range(1, b + 1)) - 0.3 * b) <= 2
+
+
+def test_policy_hears_forbidden_patterns(spark):
+    log = spark.createDataFrame([("c", True, "a", 1.0, 0.1)], "candidate_id string, valid boolean, family string, rank_score double, time_s double")
+    plain = policy.induce(log).forbidden_patterns
+    assert plain == sorted(policy.PATTERNS)
+    said = ["recount Components", {"pattern": "Random walks"}, "nothing", ["shortest paths", 7]]
+    assert set(policy.known([{"forbidden_patterns": said}], "forbidden_patterns", policy.patterns_of)) == {"connected_components_each_step", "nondeterministic_random_ordering", "all_pairs_shortest_path"}
+    assert policy.induce(log, [{"forbidden_patterns": said}]).forbidden_patterns == plain
+    assert policy.induce(log, [{"allowed_signals": ["core number"]}] * 11).allowed_signals.count("core_number") == 1
+    assert "core_number" not in policy.induce(log, [{}] * 10 + [{"allowed_signals": ["core number"]}]).allowed_signals
+
+
+@pytest.mark.parametrize("by", [None, "pool"])
+def test_skylines_merge(spark, by):
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"c{i}", rng.random() > 0.1, rng.choice("xy"), rng.choice([rng.random(), float("nan"), 0.5]), rng.random(), round(rng.random(), 1)) for i in range(300)]
+    log = spark.createDataFrame(rows, "candidate_id string, valid boolean, pool string, auc_cNBI double, R double, time_s double").repartition(30)
+    good = [r for r in rows if r[1] and r[3] == r[3]]
+    beats = lambda b, a: b[3] >= a[3] and b[4] <= a[4] and b[5] <= a[5] and (b[3] > a[3] or b[4] < a[4] or b[5] < a[5]) and (by is None or a[2] == b[2])
+    want = {a[0] for a in good if not any(beats(b, a) for b in good)}
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        got = [r.candidate_id for r in selection.pareto(log, by=by).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(got) == sorted(want)
