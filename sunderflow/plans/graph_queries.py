@@ -48,25 +48,31 @@ com AS (SELECT id, c AS community FROM lp WHERE t = 8)"""
 DC = """o AS (SELECT id, row_number() OVER (ORDER BY degree DESC, CAST(id AS VARCHAR) DESC) AS r FROM deg)"""
 
 
-def curve_sql(rate: str, tail: str) -> str:
-    """The trajectory of the degree order: components of all residual graphs by one keyed recursion."""
-    return f"""WITH RECURSIVE {E}, {DC},
+CLUC = f"""ns AS (SELECT s, sum(degree + 1) AS near FROM sym JOIN deg ON deg.id = d GROUP BY s),
+cluc AS (SELECT id, row_number() OVER (ORDER BY pow(10.0, -clustering) * near DESC, id) AS r FROM cl JOIN ns ON ns.s = id)"""
+CI = """two AS (SELECT DISTINCT a.s, b.d FROM sym a JOIN sym b ON a.d = b.s WHERE a.s <> b.d),
+rim AS (SELECT two.s, sum(degree - 1) AS far FROM two JOIN deg ON deg.id = two.d WHERE NOT EXISTS (SELECT 1 FROM sym WHERE sym.s = two.s AND sym.d = two.d) GROUP BY two.s),
+ci AS (SELECT id, row_number() OVER (ORDER BY (degree - 1) * coalesce(far, 0) DESC, id) AS r FROM deg LEFT JOIN rim ON rim.s = id)"""
+
+
+def curve_sql(rate: str, tail: str, orders: str = f"{DC}, om AS MATERIALIZED (SELECT 'DC' AS method, id, r FROM o)") -> str:
+    """The trajectories of orders om(method, id, r): components of all residual graphs by one keyed recursion."""
+    return f"""WITH RECURSIVE {E}, {orders},
 k1 AS (SELECT CAST(greatest(1, least(count(*), round_even(count(*) * {rate}, 0))) AS BIGINT) AS steps, count(*) AS n FROM deg),
-ks AS (SELECT unnest(range(1, steps + 1)) AS k FROM k1),
-ae AS (SELECT k, s, d FROM ks, sym, o a, o b WHERE a.id = s AND b.id = d AND a.r > k AND b.r > k),
-lab(k, id, c) USING KEY (k, id) AS (
-  SELECT k, id, id FROM ks, o WHERE r > k
+ks AS MATERIALIZED (SELECT method, k, (row_number() OVER (ORDER BY method, k)) * 1000000000000 AS base FROM (SELECT method, unnest(range(1, steps + 1)) AS k FROM k1, (SELECT DISTINCT method FROM om))),
+ae AS MATERIALIZED (SELECT base + s AS s, base + d AS d FROM ks, sym, om a, om b WHERE a.method = ks.method AND b.method = ks.method AND a.id = s AND b.id = d AND a.r > k AND b.r > k),
+lab(id, c) USING KEY (id) AS (
+  SELECT base + id, base + id FROM ks JOIN om ON om.method = ks.method WHERE r > k
   UNION
-  SELECT ae.k, ae.s, min(f.c) FROM ae JOIN lab f ON f.k = ae.k AND f.id = ae.d JOIN recurring.lab g ON g.k = ae.k AND g.id = ae.s
-  GROUP BY ae.k, ae.s, g.c HAVING min(f.c) < g.c),
-sz AS (SELECT k, c, count(*) AS size, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, c) AS place FROM lab GROUP BY k, c),
+  SELECT ae.s, min(f.c) FROM ae JOIN lab f ON f.id = ae.d JOIN recurring.lab g ON g.id = ae.s GROUP BY ae.s, g.c HAVING min(f.c) < g.c),
+sz AS (SELECT method, k, c, count(*) AS size, row_number() OVER (PARTITION BY method, k ORDER BY count(*) DESC, c) AS place FROM lab JOIN ks ON base = id - id % 1000000000000 GROUP BY method, k, c),
 raw AS (
-  SELECT ks.k AS step, n, coalesce(max(size), 0) AS largest, count(size) AS parts, coalesce(sum(CASE WHEN place <= 5 THEN size END), 0) AS top5,
+  SELECT ks.method, ks.k AS step, n, coalesce(max(size), 0) AS largest, count(size) AS parts, coalesce(sum(CASE WHEN place <= 5 THEN size END), 0) AS top5,
          CAST(coalesce(sum(size * size), 0) AS DOUBLE) AS squares, coalesce(sum(size), 0) AS alive
-  FROM ks CROSS JOIN k1 LEFT JOIN sz ON sz.k = ks.k GROUP BY ks.k, n),
+  FROM ks CROSS JOIN k1 LEFT JOIN sz ON sz.method = ks.method AND sz.k = ks.k GROUP BY ks.method, ks.k, n),
 hh AS (SELECT *, squares / (greatest(1, alive) * greatest(1, alive)) AS hhi, CAST(top5 AS DOUBLE) / n AS t5, 1 - (squares - alive) / greatest(1.0, CAST(n AS DOUBLE) * (n - 1)) AS pd FROM raw),
 cu AS (
-  SELECT 'part' AS graph, 'DC' AS method, step, CAST(step AS DOUBLE) / n AS removal_ratio, CAST(largest AS DOUBLE) / n AS "ACC", CAST(largest AS DOUBLE) / n AS "GCC", CAST(parts AS DOUBLE) AS "NCC",
+  SELECT 'part' AS graph, method, step, CAST(step AS DOUBLE) / n AS removal_ratio, CAST(largest AS DOUBLE) / n AS "ACC", CAST(largest AS DOUBLE) / n AS "GCC", CAST(parts AS DOUBLE) AS "NCC",
          t5 AS top5_component_mass, hhi AS hhi_remaining, CASE WHEN hhi > 0 THEN 1 / hhi ELSE 0.0 END AS effective_components, pd AS pairwise_disconnected,
          pd * (CASE WHEN hhi > 0 THEN 1 / hhi ELSE 0.0 END) / (1 + t5) AS "cNBI" FROM hh)
 {tail}"""
@@ -307,3 +313,36 @@ SELECT 'part' AS graph, row_number() OVER (ORDER BY coalesce(place, 1000000000),
 
 SQL["order_hda"] = _greedy_degree_sql("DESC")
 SQL["order_hda_fast"] = _greedy_degree_sql("ASC")
+
+
+def _core_degree_sql(order: str, fallback: str) -> str:
+    """Removal inside the 2-core, then the other nodes by id. An iteration peels one layer (kind 0) or, where none is left to
+    peel, removes a node (kind 1); what was peeled once never comes back into the core."""
+    inside = "(SELECT s, count(*) AS inside FROM sym WHERE s NOT IN (SELECT id FROM recurring.st) AND d NOT IN (SELECT id FROM recurring.st) GROUP BY s)"
+    gone = "(SELECT id FROM recurring.st WHERE kind = 1)"
+    residual = f"(SELECT s, count(*) AS residual FROM sym WHERE s NOT IN {gone} AND d NOT IN {gone} GROUP BY s)"
+    low = f"(SELECT deg.id FROM deg LEFT JOIN {inside} c ON c.s = deg.id WHERE deg.id NOT IN (SELECT id FROM recurring.st) AND coalesce(inside, 0) < 2)"
+    return f"""WITH RECURSIVE {E}, lim AS (SELECT CAST(greatest(1, least(count(*), round_even(count(*) * 0.3, 0))) AS BIGINT) AS steps FROM deg),
+st(id, kind, t) USING KEY (id) AS (
+  SELECT CAST(-1 AS BIGINT), 0, 0
+  UNION
+  SELECT x.id, x.kind, w.t + 1 FROM (SELECT max(t) AS t FROM st) w, (SELECT *, min(kind) OVER () AS least FROM (
+    SELECT id, 0 AS kind FROM {low}
+    UNION ALL
+    SELECT coalesce((SELECT c.s FROM {inside} c JOIN {residual} q ON q.s = c.s ORDER BY {order} LIMIT 1), (SELECT deg.id FROM deg LEFT JOIN {residual} q ON q.s = deg.id WHERE deg.id NOT IN {gone} ORDER BY {fallback} LIMIT 1)), 1)) x
+  WHERE kind = least AND (SELECT count(*) FROM recurring.st WHERE kind = 1) < (SELECT steps FROM lim))
+SELECT 'part' AS graph, row_number() OVER (ORDER BY CASE WHEN kind = 1 THEN t ELSE 1000000000 END, deg.id) AS step, deg.id AS node FROM deg LEFT JOIN st ON st.id = deg.id"""
+
+
+SQL["order_corehd"] = _core_degree_sql("inside DESC, c.s DESC", "coalesce(residual, 0) DESC, deg.id DESC")
+SQL["order_corehd_fast"] = _core_degree_sql("residual DESC, CAST(c.s AS VARCHAR)", "coalesce(residual, 0) DESC, CAST(deg.id AS VARCHAR)")
+SQL["same_gcc_pairs"] = curve_sql(
+    "0.3",
+    """, sa AS (SELECT method, step, removal_ratio, "GCC", "cNBI" FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY step) - 1 AS i, greatest(1, count(*) OVER (PARTITION BY method) // 180) AS stride FROM cu) WHERE i % stride = 0),
+mt AS (SELECT a.method AS method_a, a.step AS step_a, a.removal_ratio AS removal_ratio_a, a."GCC" AS "GCC_a", a."cNBI" AS "cNBI_a", b.method AS method_b, b.step AS step_b, b.removal_ratio AS removal_ratio_b, b."GCC" AS "GCC_b", b."cNBI" AS "cNBI_b", abs(a."GCC" - b."GCC") AS gcc_diff
+ FROM sa a JOIN sa b ON a.method < b.method AND abs(a."GCC" - b."GCC") <= 0.003)
+SELECT 'part' AS graph, method_a, step_a, round(removal_ratio_a, 9) AS removal_ratio_a, round("GCC_a", 9) AS "GCC_a", round("cNBI_a", 9) AS "cNBI_a", method_b, step_b, round(removal_ratio_b, 9) AS removal_ratio_b, round("GCC_b", 9) AS "GCC_b", round("cNBI_b", 9) AS "cNBI_b",
+ round(gcc_diff, 9) AS gcc_diff, round(abs("cNBI_a" - "cNBI_b"), 9) AS hidden_gap
+FROM (SELECT *, row_number() OVER (PARTITION BY method_a, method_b, step_a ORDER BY gcc_diff, step_b) AS nth FROM mt) WHERE nth = 1 AND abs("cNBI_a" - "cNBI_b") >= 0.5""",
+    f"{TRIANGLES}, {DC}, {CLUC}, {CI}, om AS MATERIALIZED (SELECT 'DC' AS method, id, r FROM o UNION ALL SELECT 'CLUC', id, r FROM cluc UNION ALL SELECT 'CI', id, r FROM ci)",
+)

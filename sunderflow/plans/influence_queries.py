@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import diffusion, ranking, seeds, static_orders, statistics
+from ..operators import communities, diffusion, ranking, seeds, static_orders, statistics
 from ..sources import projections
 from ..sources.storage import durable
 from .graph_queries import DC, E, edges, rounded
 
-WORLDS, K = 16, 12
+K = 12
+#: Draws: live-edge and cascade worlds, thresholds' worlds, worlds of greedy choices, reverse reachable sets, and the runs and
+#: swaps of what simulates as it chooses (fixed values).
+WORLDS, THRESHOLDS, GREEDY, SETS, RUNS, SWAPS = 1024, 4096, 256, 2048, 128, 128
 
 
 def _dc_seeds(e: DataFrame, k: int = K) -> DataFrame:
@@ -34,18 +37,18 @@ def _cascade(s: SparkSession, d: str, p: float | None, strict: bool = False) ->
     return diffusion.mean_active(diffusion.cascade(_two_sets(e), durable(diffusion.arcs(e, p), "arcs"), WORLDS, strict=strict), WORLDS)
 
 
-def _sets(s: SparkSession, d: str, e: DataFrame, n: int = 200) -> DataFrame:
+def _sets(s: SparkSession, d: str, e: DataFrame, n: int = SETS) -> DataFrame:
     return diffusion.reverse_sets(projections.nodes_of(e), durable(diffusion.arcs(e, 0.3), "arcs"), n)
 
 
 def _coverage(s: SparkSession, d: str) -> DataFrame:
     e = edges(s, d)
-    return diffusion.reverse_coverage(_two_sets(e), _sets(s, d, e), 200)
+    return diffusion.reverse_coverage(_two_sets(e), _sets(s, d, e), SETS)
 
 
 def _threshold(s: SparkSession, d: str) -> DataFrame:
     e = edges(s, d)
-    return diffusion.threshold_summary(diffusion.threshold_spread(_two_sets(e), e, WORLDS), projections.nodes_of(e), WORLDS)
+    return diffusion.threshold_summary(diffusion.threshold_spread(_two_sets(e), e, THRESHOLDS), projections.nodes_of(e), THRESHOLDS)
 
 
 def _two_hop(s: SparkSession, d: str) -> DataFrame:
@@ -64,14 +67,14 @@ def _budget(s: SparkSession, d: str) -> DataFrame:
     return n.select("graph", scalars.seed_budget(F.col("n")).alias("seeds"), scalars.budget(F.col("n"), 0.3).alias("steps"), scalars.budget(F.col("n"), 0.4).alias("steps_40"))
 
 
-def influence_benchmark(e: DataFrame, nodes: DataFrame, k: int, worlds: int, p: float) -> DataFrame:
+def influence_benchmark(e: DataFrame, nodes: DataFrame, k: int, thresholds: int, worlds: int, p: float) -> DataFrame:
     """Methods' seeds under the same worlds: LT and IC spread, ranks and tie groups of LT, one row per (graph, method)."""
     by = [static_orders.first_seeds(static_orders.degree_order(e), k), seeds.degree_discount(e, k, p), seeds.neighbour_cover(e, k), seeds.diverse_degree(e, nodes, k), seeds.two_hop_cover(e, nodes, k)]
     chosen = by[0]
     for b in by[1:]:
         chosen = chosen.unionByName(b)
     chosen = durable(diffusion.normal_seeds(chosen, nodes, k), "seeds")
-    lt = diffusion.threshold_summary(diffusion.threshold_spread(chosen, e, worlds), nodes, worlds)
+    lt = diffusion.threshold_summary(diffusion.threshold_spread(chosen, e, thresholds), nodes, thresholds)
     ic = diffusion.live_spread(chosen, diffusion.live_components(diffusion.live_edges(e, worlds, p)), nodes, worlds).withColumnRenamed("spread", "ic_spread")
     rows = lt.join(ic, ["graph", "method"]).select(F.col("graph").alias("dataset"), "method", F.lit(True).alias("valid"), F.col("spread_mean").alias("spread"), "spread_ci95", "normalized_spread", "ic_spread")
     return ranking.tie_groups(durable(rows, "benchmark"))
@@ -106,16 +109,16 @@ QUERIES = {
     "free_degree": lambda s, d: seeds.free_degree(e := edges(s, d), _dc_seeds(e)),
     "dominating_set": lambda s, d: _pick(seeds.dominating_set(edges(s, d))),
     "rr_greedy": lambda s, d: _pick(seeds.reverse_greedy(_sets(s, d, edges(s, d)), 3)),
-    "mc_greedy": _with(lambda e, n: seeds.spread_greedy(e, n, 3, WORLDS, 0.3)),
-    "celf": _with(lambda e, n: seeds.spread_greedy(e, n, 3, WORLDS, 0.3, method="CELF")),
-    "celf_pp": _with(lambda e, n: seeds.spread_greedy(e, n, 3, WORLDS, 0.3, method="CELF++")),
+    "mc_greedy": _with(lambda e, n: seeds.spread_greedy(e, n, 3, GREEDY, 0.3)),
+    "celf": _with(lambda e, n: seeds.spread_greedy(e, n, 3, GREEDY, 0.3, method="CELF")),
+    "celf_pp": _with(lambda e, n: seeds.spread_greedy(e, n, 3, GREEDY, 0.3, method="CELF++")),
     "diverse_degree": _with(lambda e, n: seeds.diverse_degree(e, n, 5)),
     "two_hop_cover": _with(lambda e, n: seeds.two_hop_cover(e, n, 5)),
-    "influence_benchmark": lambda s, d: rounded(influence_benchmark(e := edges(s, d), projections.nodes_of(e), 5, WORLDS, 0.1)),
+    "influence_benchmark": lambda s, d: rounded(influence_benchmark(e := edges(s, d), projections.nodes_of(e), 5, THRESHOLDS, WORLDS, 0.1)),
     "imm": _with(lambda e, n: seeds.imm(e, n, 3, 0.2)),
     "mia": _with(lambda e, n: seeds.mia(e, n, 2, 0.1, 0.01)),
-    "dom_im": _with(lambda e, n: seeds.dominating_search(e, n, 5, runs=4, iterations=8)),
-    "cluster_greedy": _with(lambda e, n: seeds.cluster_greedy(e, n, statistics.label_propagation(e), 3, runs=4)),
+    "dom_im": _with(lambda e, n: seeds.dominating_search(e, n, 5, runs=RUNS, iterations=SWAPS)),
+    "cluster_greedy": _with(lambda e, n: seeds.cluster_greedy(e, n, communities.greedy_modularity(e), 3, runs=RUNS)),
 }
 
 
@@ -126,7 +129,13 @@ def _u(seed: int, *xs: str) -> str:
 S = diffusion.SEED
 NEIGHBOURHOODS = "nb AS (SELECT id AS u, id AS x FROM deg UNION ALL SELECT s, d FROM sym)"
 SEEDS = f"{DC}, sd AS (SELECT CASE WHEN r <= {K} THEN 'first' ELSE 'next' END AS method, id AS node FROM o WHERE r <= {2 * K})"
-W = f"w AS (SELECT unnest(range({WORLDS})) AS world)"
+
+
+def _worlds_sql(n: int) -> str:
+    return f"w AS (SELECT unnest(range({n})) AS world)"
+
+
+W = _worlds_sql(WORLDS)
 
 
 def _cascade_sql(p: str, wins: str, with_: str = "") -> str:
@@ -135,7 +144,7 @@ act(method, world, node) AS (SELECT method, world, node FROM sd, w UNION SELECT
 SELECT 'part' AS graph, method, round(count(*) / {WORLDS}.0, 9) AS spread FROM act GROUP BY method"""
 
 
-_RR = f"""rw AS (SELECT unnest(range(200)) AS rr), n AS (SELECT id, row_number() OVER (ORDER BY id) AS pos, count(*) OVER () AS n FROM deg),
+_RR = f"""rw AS (SELECT unnest(range({SETS})) AS rr), n AS (SELECT id, row_number() OVER (ORDER BY id) AS pos, count(*) OVER () AS n FROM deg),
 rt AS (SELECT rr, id FROM rw JOIN n ON n.pos = CAST(floor({_u(S, 'rr', "'root'")} * n.n) AS BIGINT) + 1),
 rs(rr, node) AS (SELECT rr, id FROM rt UNION SELECT rs.rr, sym.s FROM rs JOIN sym ON sym.d = rs.node WHERE {_u(S, 'rs.rr', 'sym.s', 'sym.d')} <= 0.3)"""
 
@@ -167,7 +176,7 @@ def _discount_sql() -> str:
 
 
 def _mc_greedy_sql(first_tie: str = "") -> str:
-    return f"WITH RECURSIVE {E}, {W}, " + _greedy_sql(f"{_LIVE}, cv AS (SELECT id AS u, lc.world * 10000000 + lc.c AS x, size AS wt FROM lc JOIN lz ON lz.world = lc.world AND lz.c = lc.c)", "CAST(u AS VARCHAR)", 3, first_tie)
+    return f"WITH RECURSIVE {E}, {_worlds_sql(GREEDY)}, " + _greedy_sql(f"{_LIVE}, cv AS (SELECT id AS u, lc.world * 10000000 + lc.c AS x, size AS wt FROM lc JOIN lz ON lz.world = lc.world AND lz.c = lc.c)", "CAST(u AS VARCHAR)", 3, first_tie)
 
 
 def _chosen_sql(rounds: list[str]) -> str:
@@ -208,9 +217,9 @@ SELECT 'part' AS graph, method, round(sum(size) / {WORLDS}.0 / (SELECT count(*)
     "ic_spread_weighted": _cascade_sql("1.0 / degree", "<="),
     "ic_spread_strict": _cascade_sql("0.05", "<"),
     "rr_sets": f"WITH RECURSIVE {E}, {_RR} SELECT 'part' AS graph, CAST(rr AS INTEGER) AS rr, node FROM rs",
-    "rr_coverage": f"WITH RECURSIVE {E}, {SEEDS}, {_RR} SELECT 'part' AS graph, method, round(count(DISTINCT rr) / 200.0, 9) AS coverage FROM sd LEFT JOIN rs ON rs.node = sd.node GROUP BY method",
+    "rr_coverage": f"WITH RECURSIVE {E}, {SEEDS}, {_RR} SELECT 'part' AS graph, method, round(count(DISTINCT rr) / {SETS}.0, 9) AS coverage FROM sd LEFT JOIN rs ON rs.node = sd.node GROUP BY method",
     "lt_weights": f"WITH {E} SELECT 'part' AS graph, s, d, round(1.0 / degree, 9) AS weight FROM sym JOIN deg ON deg.id = d",
-    "lt_spread": f"""WITH RECURSIVE {E}, {SEEDS}, {W}, th AS (SELECT world, id, degree, {_u(S, 'world', 'id')} AS theta FROM w, deg),
+    "lt_spread": f"""WITH RECURSIVE {E}, {SEEDS}, {_worlds_sql(THRESHOLDS)}, th AS (SELECT world, id, degree, {_u(S, 'world', 'id')} AS theta FROM w, deg),
 act(method, world, id, rd) USING KEY (method, world, id) AS (
   SELECT method, world, node, 0 FROM sd, w
   UNION
@@ -218,7 +227,7 @@ act(method, world, id, rd) USING KEY (method, world, id) AS (
   WHERE NOT EXISTS (SELECT 1 FROM recurring.act b WHERE b.method = a.method AND b.world = th.world AND b.id = th.id)
   GROUP BY a.method, th.world, th.id, th.degree, th.theta HAVING CAST(count(*) AS DOUBLE) / th.degree >= th.theta),
 p AS (SELECT method, world, count(*) AS a FROM act GROUP BY method, world)
-SELECT 'part' AS graph, method, round(avg(a), 9) AS spread_mean, round(stddev_pop(a), 9) AS spread_std, round(1.96 * stddev_pop(a) / sqrt({WORLDS}.0), 9) AS spread_ci95, round(avg(a) / (SELECT count(*) FROM deg), 9) AS normalized_spread, {WORLDS} AS simulations FROM p GROUP BY method""",
+SELECT 'part' AS graph, method, round(avg(a), 9) AS spread_mean, round(stddev_pop(a), 9) AS spread_std, round(1.96 * stddev_pop(a) / sqrt({THRESHOLDS}.0), 9) AS spread_ci95, round(avg(a) / (SELECT count(*) FROM deg), 9) AS normalized_spread, {THRESHOLDS} AS simulations FROM p GROUP BY method""",
     "two_hop_coverage": f"""WITH {E}, {SEEDS}, h1 AS (SELECT method, d AS node FROM sd JOIN sym ON s = node), h2 AS (SELECT method, d AS node FROM h1 JOIN sym ON s = node), c AS (SELECT * FROM sd UNION SELECT * FROM h1 UNION SELECT * FROM h2)
 SELECT 'part' AS graph, method, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM deg), 9) AS coverage FROM c GROUP BY method""",
     "normal_seeds": f"WITH {E}, {DC}, x AS (SELECT id, row_number() OVER (ORDER BY CASE WHEN r <= 5 THEN 0 ELSE 1 END, CASE WHEN r <= 5 THEN r ELSE 0 END, CAST(id AS VARCHAR)) AS step FROM o) SELECT 'part' AS graph, step, id AS node FROM x WHERE step <= 8",
