@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ordering import numbered
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(graph, line_no, line) of one file or a folder of them; graph is the file's name without its ending.
@@ -44,7 +46,7 @@ def file_nodes(parsed: DataFrame) -> DataFrame:
     """nodes(graph, id, pos): pos numbers first appearances in the file."""
     ends = parsed.where("kind IN ('edge', 'selfloop')").select("graph", F.explode(F.array(F.struct((F.col("line_no") * 2).alias("at"), F.col("u").alias("id")), F.struct((F.col("line_no") * 2 + 1).alias("at"), F.col("v").alias("id")))).alias("e"))
     first = ends.groupBy("graph", "e.id").agg(F.min("e.at").alias("at"))
-    return first.select("graph", "id", F.row_number().over(Window.partitionBy("graph").orderBy("at")).alias("pos"))
+    return numbered(first, ["graph"], [F.col("at")], "pos").select("graph", "id", "pos")
 
 
 def content_hash(edges: DataFrame) -> DataFrame:
@@ -61,7 +63,7 @@ def content_hash(edges: DataFrame) -> DataFrame:
 
 def relabelled(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """edges with node ids 0 .. n-1 in order of pos."""
-    of = nodes.select(F.col("graph").alias("g"), "id", (F.row_number().over(Window.partitionBy("graph").orderBy("pos")) - 1).cast("long").alias("new"))
+    of = numbered(nodes.select("graph", "id", "pos"), ["graph"], [F.col("pos")], "new").select(F.col("graph").alias("g"), "id", (F.col("new") - 1).cast("long").alias("new"))
     a, b = of.alias("a"), of.alias("b")
     met = edges.join(a, (F.col("graph") == F.col("a.g")) & (F.col("src") == F.col("a.id"))).join(b, (F.col("graph") == F.col("b.g")) & (F.col("dst") == F.col("b.id")))
     return met.select("graph", F.least("a.new", "b.new").alias("src"), F.greatest("a.new", "b.new").alias("dst"))

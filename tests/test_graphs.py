@@ -1,5 +1,6 @@
 """Values worked out by hand or by plain code on small graphs."""
 
+import os
 import random
 from collections import Counter
 
@@ -394,3 +395,19 @@ def test_scores_worked_out_by_hand():
     assert score.key(path, 2)[0] == pytest.approx(1.15 * 2 + 0.32 * 2 + 0.58 * 2 + 0.62 * 2 * root2 + 0.70 * 2 + 0.046 * 2 * root2 + 2 * (0.010 - 0.015) + 0.052 * 6 / 3)
     triangle = adaptive.Residual([0, 1, 2], [(0, 1), (1, 2), (0, 2)])
     assert score.key(triangle, 0)[0] == pytest.approx(1.15 * 2 + 0.58 * 2 - 0.50 * root2 + 2 * (0.010 - 0.015) + 0.052 * 2 / 3)
+
+
+#: Nodes, edges and largest degree of the published graphs, by file name (fixed values).
+PUBLISHED = {
+    "smoke": (12, 12, 3), "CEnew": (453, 2025, 237), "Powerlaw_500": (500, 943, 63), "crime": (829, 1473, 25), "email": (1133, 5451, 71), "PH": (2000, 16098, 273), "hamster": (2000, 16098, 273), "Yeast": (2375, 11693, 118),
+    "Collaboration": (4158, 13422, 81), "GrQC": (4158, 13422, 81), "Grid": (4941, 6594, 19),
+}
+
+
+@pytest.mark.skipif("GRAPHS_DIR" not in os.environ, reason="GRAPHS_DIR names no folder of published edge lists")
+def test_published_graphs(spark):
+    edges = edgelists.edges_of(edgelists.parse_lines(edgelists.read_lines(spark, os.environ["GRAPHS_DIR"]))).cache()
+    got = {r.graph: (r.nodes, r.edges, r.max_degree) for r in statistics.manifest(edges).collect()}
+    assert {g: n for g, n in got.items() if g in PUBLISHED} == {g: n for g, n in PUBLISHED.items() if g in got} and len(got) >= 10
+    if "hamster" in got:
+        assert {r.graph: r.duplicate_of for r in edgelists.content_hash(edges.where("graph IN ('PH', 'hamster')")).collect()} == {"PH": None, "hamster": "PH"}
