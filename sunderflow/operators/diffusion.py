@@ -5,6 +5,8 @@ Worlds are rows, so all of them spread at once by joins; every method sees the s
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,8 +45,39 @@ def live_edges(edges: DataFrame, worlds: int = 1024, p: float = 0.1, seed: int =
     return each.where(hash_uniform(seed, F.col("world"), F.col("src"), F.col("dst")) <= p).select("graph", "world", "src", "dst")
 
 
-def live_components(live: DataFrame) -> DataFrame:
-    """(graph, world, id, part, size) of every node with a live edge; others are alone in their world."""
+#: Live edges of one world that a task joins by itself.
+LOCAL = 2_000_000
+
+
+def _joined(live: pa.Table) -> pa.Table:
+    """One world's components."""
+    src, dst = live.column("src").to_numpy(), live.column("dst").to_numpy()
+    ids, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    above = list(range(len(ids)))
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for x, y in zip(ends[: len(src)].tolist(), ends[len(src) :].tolist(), strict=True):
+        x, y = top(x), top(y)
+        above[max(x, y)] = min(x, y)
+    tops = np.array([top(x) for x in range(len(ids))], np.int64)
+    sizes = np.bincount(tops, minlength=len(ids))[tops]
+    of = [pa.array([live.column(c)[0].as_py()] * len(ids), live.schema.field(c).type) for c in ("graph", "world")]
+    return pa.table([*of, pa.array(ids, pa.int64()), pa.array(ids[tops], pa.int64()), pa.array(sizes, pa.int64())], ["graph", "world", "id", "part", "size"])
+
+
+def live_components(live: DataFrame, local: int = LOCAL) -> DataFrame:
+    """(graph, world, id, part, size) of every node with a live edge; others are alone in their world.
+
+    Worlds of up to `local` live edges are a task's work each; if there are larger ones, all are joined together by stars.
+    """
+    live = durable(live, "live-edges")
+    largest = live.groupBy("graph", "world").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0]
+    if (largest or 0) <= local:
+        return durable(live.groupBy("graph", "world").applyInArrow(_joined, "graph string, world int, id long, part long, size long"), "live-parts")
     end = lambda c: F.struct("graph", "world", F.col(c).alias("id"))
     parts = connected_components(live.select(end("src").alias("src"), end("dst").alias("dst"))).select("id.*", F.col("component.id").alias("part"))
     parts = durable(parts, "live-parts")

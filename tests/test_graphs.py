@@ -411,3 +411,11 @@ def test_published_graphs(spark):
     assert {g: n for g, n in got.items() if g in PUBLISHED} == {g: n for g, n in PUBLISHED.items() if g in got} and len(got) >= 10
     if "hamster" in got:
         assert {r.graph: r.duplicate_of for r in edgelists.content_hash(edges.where("graph IN ('PH', 'hamster')")).collect()} == {"PH": None, "hamster": "PH"}
+
+
+def test_components_of_worlds(spark):
+    """World by world and by stars alike."""
+    live = diffusion.live_edges(graph(spark, random_pairs(40, 60, 3)), 6, 0.4)
+    one, all_ = ({tuple(r) for r in diffusion.live_components(live, local).select("graph", "world", "id", "part", "size").collect()} for local in (diffusion.LOCAL, 0))
+    assert one == all_ and len(one) > 20
+    assert diffusion.live_components(live.limit(0)).count() == 0
