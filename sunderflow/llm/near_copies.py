@@ -35,7 +35,7 @@ from .simhash import majority
 
 WORDS, SIMILAR, SEED = 5, (4, 5), 42
 BITS, SEGMENTS, CHECK, FAR = 20, 12, 128, 34
-DENSE, LOCAL, MOST = 4096, 2048, 2_000_000
+DENSE, LOCAL, MOST = 4096, 256, 2_000_000
 #: Runs of an entry up to this length are compared all at once.
 _SHORT = 48
 _ROWS, _KNOWN = 1 << 18, 400_000
