@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, quality, sharding, simhash, suffix_dedup, token_counts
+from . import decontaminate, exact_dedup, fill_in_middle, language_id, line_dedup, mixing, quality, sharding, simhash, suffix_dedup, token_counts, vector_codes
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_simhash": simhash.op9_simhash,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 
 SQL = {
@@ -24,4 +26,6 @@ SQL = {
     "op7_decontamination": decontaminate.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op11_vector_codes": vector_codes.OP11_SQL,
+    "op13_fill_in_middle": fill_in_middle.OP13_SQL,
 }
