@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, fill_in_middle, language_id, line_dedup, mixing, quality, sharding, simhash, suffix_dedup, token_counts, vector_codes
+from . import decontaminate, exact_dedup, fill_in_middle, language_id, line_dedup, mixing, quality, sharding, simhash, suffix_dedup, token_counts, token_files, vector_codes
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_token_files": token_files.op12_token_files,
     "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 
