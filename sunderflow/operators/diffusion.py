@@ -5,6 +5,9 @@ Worlds are rows, so all of them spread at once by joins; every method sees the s
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -93,19 +96,62 @@ def live_spread(seeds: DataFrame, parts: DataFrame, nodes: DataFrame, worlds: in
     return total.join(n, "graph").select("graph", "method", (F.col("total") / worlds / F.col("n")).alias("spread"))
 
 
+#: Worlds that share a number: a bit each.
+BITS = 64
+
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+
+
+def _blocks(df: DataFrame, worlds: int) -> DataFrame:
+    """df with block and bits: a row for each BITS worlds, all of them set."""
+    last = worlds - worlds // BITS * BITS
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-worlds // BITS) - 1)))
+    return df.withColumn("block", blocks).withColumn("bits", F.when(F.col("block") < worlds // BITS, F.lit(-1)).otherwise(F.lit((1 << last) - 1)).cast("long"))
+
+
+def _tossed(wins: Callable[[Column], Column]) -> Column:
+    """Those worlds of bits in which the coin wins; only theirs are tossed. wins takes the world."""
+    places = F.sequence(F.lit(0), F.lit(BITS - 1))
+    toss = lambda found, i: F.when((F.getbit("bits", i) == 1) & wins(F.col("block") * BITS + i), found.bitwiseOR(_bit(i))).otherwise(found)
+    return F.aggregate(places, F.lit(0).cast("long"), toss)
+
+
+def _reached(first: DataFrame, arc: DataFrame, wins: Callable[[Column], Column], label: str) -> DataFrame:
+    """(graph, method, block, node, bits): the worlds in which each node is reached, from first on, which has the same columns.
+
+    BITS worlds are a number, so a frontier has a row for a node and block, whatever the worlds: arcs keep the worlds whose coins
+    win, rows that meet are merged by or, and what was reached before is masked out.
+    """
+    keys = ["graph", "method", "block", "node"]
+    new = durable(first.groupBy(*keys).agg(F.bit_or("bits").alias("bits")), label)
+    found = Growing(new, label)
+    while not new.isEmpty():
+        over = new.withColumnRenamed("node", "s").join(arc, ["graph", "s"]).select("graph", "method", "block", F.col("d").alias("node"), _tossed(wins).alias("bits"))
+        met = over.where("bits <> 0").groupBy(*keys).agg(F.bit_or("bits").alias("bits"))
+        before = found.rows.groupBy(*keys).agg(F.bit_or("bits").alias("had"))
+        left = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long"))))
+        new = durable(met.join(before, keys, "left").select(*keys, left.alias("bits")).where("bits <> 0"), f"{label}-new")
+        found.add(new)
+    return found.rows
+
+
+def _world_rows(reached: DataFrame) -> DataFrame:
+    """(graph, method, world, node): a row for each bit."""
+    set_ = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.getbit("bits", i) == 1)
+    return reached.select("graph", "method", "block", "node", F.explode(set_).alias("_i")).select("graph", "method", (F.col("block") * BITS + F.col("_i")).alias("world"), "node")
+
+
 def cascade(seeds: DataFrame, arc: DataFrame, worlds: int, seed: int = SEED, strict: bool = False) -> DataFrame:
     """(graph, method, world, node): what is active in the end. Each arc has one coin a world, tossed when its source
     becomes active. strict: coin < p instead of <=."""
-    coin = hash_uniform(seed, F.col("world"), F.col("s"), F.col("d"))
-    wins = coin < F.col("p") if strict else coin <= F.col("p")
-    new = durable(_worlds(seeds.select("graph", "method", "node").distinct(), worlds), "active")
-    active = Growing(new, "active")
-    while True:
-        reached = new.withColumnRenamed("node", "s").join(arc, ["graph", "s"]).where(wins).select("graph", "method", "world", F.col("d").alias("node")).distinct()
-        new = durable(reached.join(active.rows, ["graph", "method", "world", "node"], "left_anti").select("graph", "method", "node", "world"), "newly-active")
-        if new.isEmpty():
-            return active.rows
-        active.add(new)
+
+    def wins(world: Column) -> Column:
+        coin = hash_uniform(seed, world, F.col("s"), F.col("d"))
+        return coin < F.col("p") if strict else coin <= F.col("p")
+
+    return _world_rows(_reached(_blocks(seeds.select("graph", "method", "node").distinct(), worlds), arc, wins, "active"))
 
 
 def mean_active(active: DataFrame, worlds: int) -> DataFrame:
@@ -113,20 +159,15 @@ def mean_active(active: DataFrame, worlds: int) -> DataFrame:
     return active.groupBy("graph", "method").agg((F.count(F.lit(1)) / worlds).alias("spread"))
 
 
-def reverse_sets(nodes: DataFrame, arc: DataFrame, sets: int, seed: int = SEED) -> DataFrame:
-    """(graph, rr, node): reverse reachable sets of hashed roots; each arc has one coin a set."""
+def reverse_sets(nodes: DataFrame, arc: DataFrame, sets: int, seed: int = SEED, first: int = 0) -> DataFrame:
+    """(graph, rr, node): the reverse reachable sets of hashed roots, number first to sets - 1; each arc has one coin a set."""
     n = nodes.groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
-    draws = n.withColumn("rr", F.explode(F.sequence(F.lit(0), F.lit(sets - 1)))).withColumn("pos", (F.floor(hash_uniform(seed, F.col("rr"), F.lit("root")) * F.col("n")) + 1).cast("int"))
-    roots = draws.join(nodes.select("graph", "pos", "id"), ["graph", "pos"]).select("graph", F.lit("rr").alias("method"), F.col("rr").alias("world"), F.col("id").alias("node"))
+    draws = n.withColumn("rr", F.explode(F.sequence(F.lit(first), F.lit(sets - 1)))).withColumn("pos", (F.floor(hash_uniform(seed, F.col("rr"), F.lit("root")) * F.col("n")) + 1).cast("int"))
+    roots = draws.join(nodes.select("graph", "pos", "id"), ["graph", "pos"])
+    roots = roots.select("graph", F.lit("rr").alias("method"), F.expr(f"rr div {BITS}").cast("int").alias("block"), F.col("id").alias("node"), _bit(F.col("rr") % BITS).alias("bits"))
     back = arc.select("graph", F.col("d").alias("s"), F.col("s").alias("d"), "p")
-    coin = hash_uniform(seed, F.col("world"), F.col("d"), F.col("s"))
-    new = durable(roots, "rr")
-    found = Growing(new, "rr")
-    while not new.isEmpty():
-        reached = new.withColumnRenamed("node", "s").join(back, ["graph", "s"]).where(coin <= F.col("p")).select("graph", "method", "world", F.col("d").alias("node")).distinct()
-        new = durable(reached.join(found.rows, ["graph", "method", "world", "node"], "left_anti").select("graph", "method", "world", "node"), "rr-new")
-        found.add(new)
-    return found.rows.select("graph", F.col("world").alias("rr"), "node")
+    found = _reached(roots, back, lambda world: hash_uniform(seed, world, F.col("d"), F.col("s")) <= F.col("p"), "rr")
+    return _world_rows(found).select("graph", F.col("world").alias("rr"), "node")
 
 
 def reverse_coverage(seeds: DataFrame, sets: DataFrame, number: int) -> DataFrame:
@@ -141,13 +182,80 @@ def arriving_weights(edges: DataFrame) -> DataFrame:
     return arcs(edges, None).withColumnRenamed("p", "weight")
 
 
-def threshold_spread(seeds: DataFrame, edges: DataFrame, worlds: int = 4096, seed: int = SEED) -> DataFrame:
+#: Cells (node or edge end, world) that a task of thresholds holds at a time, the edges of a graph that it may hold, and the
+#: worlds of one task.
+CELLS, THRESHOLD_LOCAL, THRESHOLD_WORLDS = 8_000_000, 1_000_000, 128
+
+
+def _over_thresholds(seed: int, worlds: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """What a task does: own(graph, block, method, node) and its graph's pairs(graph, block, src, dst), for a block of worlds."""
+
+    def coins(cells: np.ndarray, width: int, first: int, ids: list[int]) -> list[float]:
+        return [int(hashlib.md5(f"{seed}|{first + c % width}|{ids[c // width]}".encode()).hexdigest()[:8], 16) / 4294967296.0 for c in cells.tolist()]
+
+    def run(own: pa.Table, pairs: pa.Table) -> pa.Table:
+        kinds = pa.schema([("graph", pa.string()), ("method", pa.string()), ("world", pa.int32()), ("node", pa.int64())])
+        if not len(own):
+            return kinds.empty_table()
+        graph, block = own.column("graph")[0].as_py(), own.column("block")[0].as_py()
+        src, dst = (pairs.column(c).to_numpy() for c in ("src", "dst"))
+        seeds: dict[str, list[int]] = {}
+        for m, x in zip(own.column("method").to_pylist(), own.column("node").to_pylist(), strict=True):
+            seeds.setdefault(m, []).append(x)
+        ids, ends = np.unique(np.concatenate([src, dst, np.array([x for v in seeds.values() for x in v], np.int64)]), return_inverse=True)
+        a, b = ends[: len(src)], ends[len(src) : 2 * len(src)]
+        near = np.concatenate([b, a])[np.argsort(np.concatenate([a, b]), kind="stable")]
+        degree = np.bincount(np.concatenate([a, b]), minlength=len(ids))
+        starts, names = np.concatenate([[0], np.cumsum(degree)]), ids.tolist()
+        step, parts = max(1, CELLS // (len(ids) + len(near))), []
+        for first in range(block * THRESHOLD_WORLDS, min(worlds, (block + 1) * THRESHOLD_WORLDS), step):
+            width = min(step, min(worlds, (block + 1) * THRESHOLD_WORLDS) - first)
+            theta = np.full(len(ids) * width, np.nan)
+            for method, chosen in seeds.items():
+                on, pressed = np.zeros(len(theta), bool), np.zeros(len(theta), np.int32)
+                front = (np.searchsorted(ids, np.unique(chosen))[:, None] * width + np.arange(width)).ravel()
+                while len(front):
+                    on[front] = True
+                    u = front // width
+                    many = degree[u]
+                    at = np.repeat(starts[u] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                    met = near[at] * width + np.repeat(front % width, many)
+                    np.add.at(pressed, met, 1)
+                    met = np.unique(met[~on[met]])
+                    unknown = met[np.isnan(theta[met])]
+                    theta[unknown] = coins(unknown, width, first, names)
+                    front = met[pressed[met] / degree[met // width] >= theta[met]]
+                cells = np.flatnonzero(on)
+                parts.append(pa.table([pa.array([graph] * len(cells), pa.string()), pa.array([method] * len(cells), pa.string()), pa.array(first + cells % width, pa.int32()), pa.array(ids[cells // width], pa.int64())], schema=kinds))
+        return pa.concat_tables(parts)
+
+    return run
+
+
+def threshold_spread(seeds: DataFrame, edges: DataFrame, worlds: int = 4096, seed: int = SEED, local: int = THRESHOLD_LOCAL) -> DataFrame:
     """(graph, method, world, node): the least fixed point at which no further node's active share of neighbours reaches
-    its threshold. A node needs an active neighbour, whatever its threshold."""
+    its threshold. A node needs an active neighbour, whatever its threshold.
+
+    Worlds are independent: for graphs of up to `local` edges a block of worlds is a task's work, larger ones spread by joins.
+    """
+    sizes = durable(edges.groupBy("graph").agg(F.count(F.lit(1)).alias("_m")), "graph-sizes")
+    chosen = seeds.select("graph", "method", "node").distinct()
+    large = sizes.where(F.col("_m") > local).select("graph")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-worlds // THRESHOLD_WORLDS) - 1))).alias("block")
+    own = chosen.join(large, "graph", "left_anti").select("graph", blocks, "method", "node")
+    pairs = edges.join(sizes.where(F.col("_m") <= local), "graph").select("graph", blocks, "src", "dst")
+    out = own.groupBy("graph", "block").cogroup(pairs.groupBy("graph", "block")).applyInArrow(_over_thresholds(seed, worlds), "graph string, method string, world int, node long")
+    if large.isEmpty():
+        return out
+    return out.unionByName(_pressed_rounds(chosen.join(large, "graph", "left_semi"), edges.join(large, "graph", "left_semi"), worlds, seed))
+
+
+def _pressed_rounds(seeds: DataFrame, edges: DataFrame, worlds: int, seed: int) -> DataFrame:
+    """threshold_spread by joins: each round, what the newly active press on."""
     sym = durable(both_ways(edges), "both-ways")
     degree = sym.groupBy("graph", F.col("s").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
     keys = ["graph", "method", "world", "node"]
-    new = durable(_worlds(seeds.select("graph", "method", "node").distinct(), worlds).select(*keys), "lt-active")
+    new = durable(_worlds(seeds, worlds).select(*keys), "lt-active")
     active, pressed = Growing(new, "lt-active"), None
     while True:
         touched = new.withColumnRenamed("node", "s").join(sym, ["graph", "s"]).groupBy("graph", "method", "world", F.col("d").alias("node")).agg(F.count(F.lit(1)).alias("n"))

@@ -23,3 +23,15 @@ def numbered(rows: DataFrame, by: list[str], order: list[Column], out: str) -> D
     starts = durable(counts.select(*by, "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")), "range-starts")
     within = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
     return dealt.withColumn("_in", within).join(starts, [*by, "_range"]).withColumn(out, (F.col("_start") + F.col("_in")).cast("int")).drop("_range", "_in", "_start")
+
+
+def running_sum(rows: DataFrame, by: list[str], order: list[Column], weight: Column, out: str) -> DataFrame:
+    """Adds out: the sum of weight over each row and those before it in its group, dealt to tasks by ranges as numbered() does."""
+    spark = rows.sparkSession
+    dealt = rows.withColumn("_weight", weight.cast("long")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by, *order)
+    dealt = durable(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy(*by, "_range").agg(F.sum("_weight").alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = durable(sums.select(*by, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start")), "range-starts")
+    within = F.sum("_weight").over(Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("_in", within).join(starts, [*by, "_range"]).withColumn(out, F.col("_start") + F.col("_in")).drop("_range", "_in", "_start", "_weight")

@@ -4,103 +4,245 @@ from __future__ import annotations
 
 import heapq
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.storage import fresh
+from ..sources.storage import durable, fresh
 from .components import connected_components
+from .ordering import running_sum
 
 _POINTS = "graph string, method string, step long, largest long, parts long, top5 long, squares double, alive long, n long"
 
 
-def _points(n: int, near: list[list[int]], order: list[int], steps: int) -> pd.DataFrame:
-    """Component sizes after 1 .. steps removals, by adding nodes again from the last one back and joining sets."""
-    parent, size, on = list(range(n)), [0] * n, bytearray(n)
-    count: dict[int, int] = {}
-    heap: list[int] = []
-    state = [0, 0, 0]  # components, sum of squares, nodes
+class Sizes:
+    """The sizes of components while nodes and edges are added: their number, sum of squares and five largest."""
 
-    def root(x: int) -> int:
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+        self.size: dict[int, int] = {}
+        self.count: dict[int, int] = {}
+        self.heap: list[int] = []
+        self.parts = self.squares = 0
+
+    def change(self, s: int, by: int) -> None:
+        """by more components of s nodes."""
+        before = self.count.get(s, 0)
+        self.count[s] = before + by
+        if before <= 0 < before + by:
+            heapq.heappush(self.heap, -s)
+        self.parts += by
+        self.squares += by * s * s
+
+    def add(self, u: int, s: int = 1) -> None:
+        self.parent[u], self.size[u] = u, s
+        self.change(s, 1)
+
+    def root(self, x: int) -> int:
+        parent = self.parent
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    def change(s: int, by: int) -> None:
-        now = count.get(s, 0) + by
-        count[s] = now
-        if by > 0 and now == 1:
-            heapq.heappush(heap, -s)
-        state[0] += by
-        state[1] += by * s * s
-
-    def add(u: int) -> None:
-        on[u], size[u] = 1, 1
-        change(1, 1)
-        state[2] += 1
-        for v in near[u]:
-            if on[v]:
-                a, b = root(u), root(v)
-                if a != b:
-                    if size[a] < size[b]:
-                        a, b = b, a
-                    change(size[a], -1)
-                    change(size[b], -1)
-                    parent[b] = a
-                    size[a] += size[b]
-                    change(size[a], 1)
-
-    def five() -> tuple[int, int]:
+    def join(self, u: int, v: int) -> None:
+        a, b = self.root(u), self.root(v)
+        if a == b:
+            return
+        if self.size[a] < self.size[b]:
+            a, b = b, a
+        self.change(self.size[a], -1)
+        self.change(self.size[b], -1)
+        self.parent[b] = a
+        self.size[a] += self.size[b]
+        self.change(self.size[a], 1)
+
+    def five(self) -> tuple[int, int]:
         """The largest size and the sum of the five largest."""
-        seen, total, left, largest = [], 0, 5, 0
-        while heap and left:
-            s = -heapq.heappop(heap)
-            if not count[s] or (seen and seen[-1] == s):
+        seen, total, left = [], 0, 5
+        while self.heap and left:
+            s = -heapq.heappop(self.heap)
+            if not self.count[s] or (seen and seen[-1] == s):
                 continue
             seen.append(s)
-            largest = largest or s
-            total += s * min(left, count[s])
-            left -= min(left, count[s])
+            total += s * min(left, self.count[s])
+            left -= min(left, self.count[s])
         for s in seen:
-            heapq.heappush(heap, -s)
-        return largest, total
+            heapq.heappush(self.heap, -s)
+        return (seen[0] if seen else 0), total
+
+
+_REPLAYED = ["step", "largest", "top5", "parts", "squares"]
 
-    for u in reversed(order[steps:]):
-        add(u)
+
+def _replayed(sizes: Sizes, low: int, high: int, node: dict[int, int], joins: dict[int, list[tuple[int, int]]]) -> pd.DataFrame:
+    """The sizes after low + 1 .. high removals, by adding nodes again from the last one back; joins: edges by the step that
+    takes them away."""
     rows = []
-    for k in range(steps, 0, -1):
-        rows.append((k, *five(), *state))
-        add(order[k - 1])
-    return pd.DataFrame(rows[::-1], columns=["step", "largest", "top5", "parts", "squares", "alive"])
+    for k in range(high, low, -1):
+        rows.append((k, *sizes.five(), sizes.parts, float(sizes.squares)))
+        sizes.add(node[k])
+        for a, b in joins.get(k, ()):
+            sizes.join(a, b)
+    return pd.DataFrame(rows, columns=_REPLAYED)
+
 
+#: Nodes and edges that a task replays.
+LOCAL = 3_000_000
 
-def curve(edges: DataFrame, orders: DataFrame, rate: float | None = 0.3) -> DataFrame:
+
+def curve(edges: DataFrame, orders: DataFrame, rate: float | None = 0.3, local: int = LOCAL) -> DataFrame:
     """One row per (graph, method, step): GCC, NCC and the other measures after `step` removals.
 
-    orders(graph, method, step, node) is complete. rate None takes every step. A cell (graph, method) is one Arrow
-    group, so a graph is as large as a task may hold; at() serves larger ones at chosen steps.
+    orders(graph, method, step, node) is complete. rate None takes every step. A cell (graph, method) of up to `local` nodes and
+    edges is a task's work; larger ones are cut into blocks of steps, which tasks replay on their own (points_in_blocks).
     """
+    cells = orders.groupBy("graph", "method").agg(F.count(F.lit(1)).alias("n"))
+    steps = F.greatest(F.lit(1), F.least("n", F.bround(F.col("n") * rate))) if rate is not None else F.col("n")
+    cells = cells.withColumn("steps", steps.cast("long")).join(edges.groupBy("graph").agg(F.count(F.lit(1)).alias("m")), "graph", "left")
+    cells = durable(cells.withColumn("size", F.col("n") + F.coalesce("m", F.lit(0))), "cells")
+    small, large = cells.where(F.col("size") <= local), cells.where(F.col("size") > local)
+    points = _points_in_tasks(edges, orders, small)
+    if not large.isEmpty():
+        points = points.unionByName(points_in_blocks(edges, orders, large, local))
+    return with_running(measures(points))
 
+
+def _points_in_tasks(edges: DataFrame, orders: DataFrame, cells: DataFrame) -> DataFrame:
     def run(key: tuple, own: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        order = own.sort_values("step")["node"].tolist()
-        at = {x: i for i, x in enumerate(order)}
-        near: list[list[int]] = [[] for _ in order]
-        for a, b in zip(pairs["src"].map(at), pairs["dst"].map(at), strict=True):
-            near[a].append(b)
-            near[b].append(a)
-        n = len(order)
-        steps = n if rate is None else max(1, min(n, round(n * rate)))
-        out = _points(n, near, list(range(n)), steps) if n else pd.DataFrame(columns=["step", "largest", "top5", "parts", "squares", "alive"])
-        return out.assign(graph=key[0], method=key[1], n=n)[["graph", "method", "step", "largest", "parts", "top5", "squares", "alive", "n"]]
-
-    cells = orders.select("graph", "method").distinct()
+        if not len(own):
+            return pd.DataFrame(columns=[c.split(" ")[0] for c in _POINTS.split(", ")])
+        n, steps = len(own), int(own["steps"].iloc[0])
+        place = dict(zip(own["node"], own["step"], strict=True))
+        joins: dict[int, list[tuple[int, int]]] = {}
+        for a, b in zip(pairs["src"].map(place), pairs["dst"].map(place), strict=True):
+            joins.setdefault(min(a, b), []).append((a, b))
+        sizes = Sizes()
+        for k in range(n, steps, -1):
+            sizes.add(k)
+            for a, b in joins.get(k, ()):
+                sizes.join(a, b)
+        out = _replayed(sizes, 0, steps, {k: k for k in range(1, n + 1)}, joins)
+        return out.assign(graph=key[0], method=key[1], n=n, alive=n - out["step"])[["graph", "method", "step", "largest", "parts", "top5", "squares", "alive", "n"]]
+
+    own = orders.join(cells.select("graph", "method", "steps"), ["graph", "method"])
     spread = fresh(edges.join(cells, "graph").select("graph", "method", "src", "dst"))
-    points = orders.groupBy("graph", "method").cogroup(spread.groupBy("graph", "method")).applyInPandas(run, _POINTS)
-    return with_running(measures(points))
+    return own.groupBy("graph", "method").cogroup(spread.groupBy("graph", "method")).applyInPandas(run, _POINTS)
+
+
+_CELL = ["graph", "method"]
+
+
+def points_in_blocks(edges: DataFrame, orders: DataFrame, cells: DataFrame, local: int = LOCAL) -> DataFrame:
+    """The points of cells(graph, method, n, steps), each in blocks of steps of about `local` nodes and edges.
+
+    An edge goes with the first of its ends, at its step. Blocks are replayed backwards from their last step, for which their
+    task needs what the graph is by then: its components, as single nodes with sizes, as far as edges of the block touch them;
+    of the others only how many there are of each size. These states are found by halving: a run of blocks is split into a
+    later and an earlier half; the later half begins as the run does, the earlier one with the components that the later half's
+    edges join. So each halving looks at every edge once, and log2 of the blocks' number of them are made.
+    """
+    rank = orders.join(cells.select(*_CELL), _CELL).select(*_CELL, F.col("node").alias("id"), F.col("step").cast("long").alias("r"))
+    a, b = rank.withColumnsRenamed({"id": "src", "r": "ra"}), rank.withColumnsRenamed({"id": "dst", "r": "rb"})
+    until = durable(edges.join(cells.select("graph").distinct(), "graph", "left_semi").join(a, ["graph", "src"]).join(b, ["graph", "method", "dst"]).select(*_CELL, F.col("src").alias("a"), F.col("dst").alias("b"), F.least("ra", "rb").alias("r")), "until")
+    # Blocks of steps by what they hold.
+    held = rank.select(*_CELL, "r").unionByName(until.select(*_CELL, "r")).groupBy(*_CELL, "r").agg(F.count(F.lit(1)).alias("held"))
+    held = held.join(cells.select(*_CELL, "steps"), _CELL).where("r <= steps")
+    blocks = running_sum(held, _CELL, [F.col("r")], F.col("held"), "upto").select(*_CELL, "r", F.expr(f"(upto - 1) div {local}").alias("block"))
+    blocks = durable(blocks, "blocks")
+    depth = max(0, int(blocks.agg(F.max("block")).first()[0] or 0)).bit_length()
+    # The state at the last step: components of what is never removed.
+    of_block = lambda df: df.join(blocks, [*_CELL, "r"], "left").withColumn("run", F.lit(0).cast("long"))
+    pairs = durable(of_block(until).select(*_RUN, "block", "a", "b", "r"), "pairs")
+    alone = of_block(rank).select(*_RUN, "block", "id", F.lit(1).cast("long").alias("size"), "r")
+    nodes, parts = _contracted(alone, pairs.where("block IS NULL"), F.col("block").isNull())
+    state = _settled(nodes, _moved(pairs.where("block IS NOT NULL"), parts), None)
+    for level in reversed(range(depth)):
+        state = _halved(state, level)
+    return _replay(state, blocks, cells)
+
+
+_RUN = [*_CELL, "run"]
+
+
+class _State(NamedTuple):
+    """Where runs of blocks begin, from their last step back: nodes(.., run, block, id, size, r), with block and step r if they come
+    later; pairs(.., run, block, a, b, r) to be joined; sizes(.., run, size, many) of the components that no pair touches."""
+
+    nodes: DataFrame
+    pairs: DataFrame
+    sizes: DataFrame
+
+
+def _contracted(nodes: DataFrame, joined: DataFrame, there: Column) -> tuple[DataFrame, DataFrame]:
+    """(nodes, parts(.., run, id, part)): the nodes that `there` holds for, as the components that the pairs join them to."""
+    end = lambda c: F.struct(*_RUN, F.col(c).alias("id"))
+    parts = connected_components(joined.select(end("a").alias("src"), end("b").alias("dst"))).select("id.*", F.col("component.id").alias("part"))
+    parts = durable(parts, "contracted")
+    none = F.lit(None).cast("long")
+    made = nodes.where(there).join(parts, [*_RUN, "id"], "left").groupBy(*_RUN, F.coalesce("part", "id").alias("id")).agg(F.sum("size").alias("size"))
+    return made.select(*_RUN, none.alias("block"), "id", "size", none.alias("r")).unionByName(nodes.where(~there)), parts
+
+
+def _moved(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs between what parts has made of their ends; repeated ones are one."""
+    end = lambda c: parts.select(*_RUN, F.col("id").alias(c), F.col("part").alias(f"_{c}"))
+    met = pairs.join(end("a"), [*_RUN, "a"], "left").join(end("b"), [*_RUN, "b"], "left")
+    return met.select(*_RUN, "block", F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"), "r").distinct()
+
+
+def _settled(nodes: DataFrame, pairs: DataFrame, sizes: DataFrame | None) -> _State:
+    """The state in which components without a pair are but sizes."""
+    pairs = durable(pairs, "state-pairs")
+    ends = pairs.select(*_RUN, F.col("a").alias("id")).unionByName(pairs.select(*_RUN, F.col("b").alias("id"))).distinct()
+    marked = durable(nodes.join(ends.withColumn("_met", F.lit(True)), [*_RUN, "id"], "left"), "state-nodes")
+    met = F.col("_met").isNotNull() | F.col("r").isNotNull()
+    left = marked.where(~met).groupBy(*_RUN, "size").agg(F.count(F.lit(1)).alias("many"))
+    if sizes is not None:
+        left = left.unionByName(sizes).groupBy(*_RUN, "size").agg(F.sum("many").alias("many"))
+    return _State(marked.where(met).drop("_met"), pairs, durable(left, "state-sizes"))
+
+
+def _halved(state: _State, level: int) -> _State:
+    """The state of both halves of each run: 2 run + 1 is the later one, 2 run the earlier one."""
+    late = F.shiftright("block", level).bitwiseAND(F.lit(1)) == 1
+    half = lambda df, later: df.withColumn("run", 2 * F.col("run") + int(later))
+    there = F.col("block").isNull() | late
+    later, earlier = state.pairs.where(late), state.pairs.where(~late)
+    nodes, parts = _contracted(state.nodes, later, there)
+    both = half(state.nodes.where(there), True).unionByName(half(nodes, False))
+    return _settled(both, half(later, True).unionByName(half(_moved(earlier, parts), False)), half(state.sizes, True).unionByName(half(state.sizes, False)))
+
+
+def _replay(state: _State, blocks: DataFrame, cells: DataFrame) -> DataFrame:
+    """The points of every block, one task each; runs are blocks by now."""
+    nodes, pairs, sizes = state
+    none = F.lit(None).cast("long")
+    rows = nodes.select(*_RUN, F.lit(0).alias("kind"), "id", "size", "r").unionByName(pairs.select(*_RUN, F.lit(1).alias("kind"), F.col("a").alias("id"), F.col("b").alias("size"), "r"))
+    rows = rows.unionByName(sizes.select(*_RUN, F.lit(2).alias("kind"), F.col("many").alias("id"), "size", none.alias("r")))
+    spans = blocks.groupBy(*_CELL, F.col("block").alias("run")).agg(F.min("r").alias("first"), F.max("r").alias("last"))
+    rows = rows.join(spans, _RUN).join(cells.select(*_CELL, "n"), _CELL)
+
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        state, joins, node = Sizes(), {}, {}
+        for kind, x, y, r in zip(own["kind"], own["id"], own["size"], own["r"], strict=True):
+            if kind == 2:
+                state.change(y, x)
+            elif kind == 1:
+                joins.setdefault(int(r), []).append((x, y))
+            elif np.isnan(r):
+                state.add(x, y)
+            else:
+                node[int(r)] = x
+        n, first, last = (int(own[c].iloc[0]) for c in ("n", "first", "last"))
+        out = _replayed(state, first - 1, last, node, joins)
+        return out.assign(graph=key[0], method=key[1], n=n, alive=n - out["step"])[["graph", "method", "step", "largest", "parts", "top5", "squares", "alive", "n"]]
+
+    return rows.groupBy(*_RUN).applyInPandas(run, _POINTS)
 
 
 def measures(points: DataFrame) -> DataFrame:

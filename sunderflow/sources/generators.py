@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,18 +69,20 @@ def ring_small_world(spark: SparkSession, name: str, n: int, k: int, p: float, s
 
 
 def power_law(spark: SparkSession, name: str, n: int, gamma: float, seed: int, k_min: int = 2) -> DataFrame:
-    """A configuration model: degrees follow k^-gamma up to 4 sqrt(n); stubs in hashed order are paired."""
+    """A configuration model: degrees follow k^-gamma up to 4 sqrt(n); stubs in hashed order are paired.
+
+    A node's degree is the first whose cumulative share passes the node's number. Shares are a table of a row for each degree, cut
+    into as many equal bins, so nodes meet them by bin.
+    """
     k_max = max(k_min + 1, int(4 * n**0.5))
-    weights = [k**-gamma for k in range(k_min, k_max + 1)]
-    total, upto, degree = sum(weights), 0.0, F.lit(k_max)
-    steps = []
-    for k, w in zip(range(k_min, k_max + 1), weights, strict=True):
-        upto += w / total
-        steps.append((k, upto))
-    u = hash_uniform(seed, F.lit(0), F.col("id"))
-    for k, t in reversed(steps[:-1]):
-        degree = F.when(u < t, k).otherwise(degree)
-    stubs = spark.range(n).select("id", F.explode(F.sequence(F.lit(1), degree)).alias("stub"))
+    bins = k_max - k_min + 1
+    upto = list(accumulate(k**-gamma for k in range(k_min, k_max + 1)))
+    ends = [t / upto[-1] for t in upto[:-1]] + [1.0]
+    shares = spark.createDataFrame([*zip(range(k_min, k_max + 1), [0.0, *ends[:-1]], ends, strict=True)], "degree int, low double, high double")
+    shares = shares.where("low < high").withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") * bins), F.least(F.floor(F.col("high") * bins), F.lit(bins - 1)))))
+    drawn = spark.range(n).withColumn("u", hash_uniform(seed, F.lit(0), F.col("id"))).withColumn("bin", F.floor(F.col("u") * bins))
+    degrees = drawn.join(shares, "bin").where("low <= u AND u < high")
+    stubs = degrees.select("id", F.explode(F.sequence(F.lit(1), F.col("degree"))).alias("stub"))
     shuffled = [hash_uniform(seed, F.lit(1), F.col("id"), F.col("stub")), F.col("id"), F.col("stub")]
     stubs = numbered(stubs.withColumn("all", F.lit(0)), ["all"], shuffled, "at").withColumn("at", F.col("at") - 1)
     pairs = stubs.groupBy(F.floor(F.col("at") / 2).alias("pair")).agg(F.min_by("id", "at").alias("u"), F.max_by("id", "at").alias("v"), F.count(F.lit(1)).alias("n"))
