@@ -16,8 +16,8 @@ text writer commits a file once, whichever attempts of a task were lost, and wor
 read back with the binaryFile source. Where a file begins among all ids comes from sums over files. A worker keeps the codes of the words
 it has met with the broadcast vocabulary, so that tasks after the first find them; two generations of them bound it.
 
-Words are cut off where the vocabulary's own splitting must cut, too: before a space between a printable ASCII or word
-character on either side. Texts with other spaces go to the tokenizer whole. Null and empty texts have the end id only. Rows that repeat a
+Words are cut off where the vocabulary's own splitting must cut, too: before a space, and at a line feed, between a printable
+ASCII or word character on either side. Texts with other spaces or line feeds go to the tokenizer whole. Null and empty texts have the end id only. Rows that repeat a
 doc_id follow each other and are rows of their own. An empty table makes no segments. Extra columns are ignored.
 """
 
@@ -43,7 +43,7 @@ END_ID = 2
 MARK = b"SUNTOK1\0"
 #: Tokens after which a segment ends with its document; bytes of text for which there is a file.
 SEGMENT, FILE_BYTES = 1 << 20, 64 << 20
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 600_000
 
 
 def _padded(data: bytes) -> bytes:
@@ -128,38 +128,77 @@ class _Unsafe(Exception):
 
 
 class Words(dict):
-    """Ids, as bytes, of words with the space before them; what is missing is encoded. old holds an earlier generation."""
+    """Ids, as bytes, of words after a prefix; what is missing is encoded. old holds an earlier generation.
 
-    SAFE = re.compile(r"[!-~\w](?:.*[!-~\w])?", re.S)
-    PLAIN_END = re.compile(r".*[a-z][,.]", re.S)
+    Only words of letters, and marks, are kept. What else is met is made of them where it can be: letters and the marks after
+    them, and the two sides of a line feed, are never one pre-token.
+    """
 
-    def __init__(self, vocabulary: str):
-        self.tokenizer, self.old = Tokenizer.from_str(vocabulary), {}
+    SAFE = re.compile(r"[!-~\w](?:.*[!-~\w])?", re.S)
+    #: Letters with ASCII marks after them.
+    MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
+    #: Latin, Greek and Cyrillic: what is a letter there is one in every version of Unicode since 7.
+    LAST_LETTER = "\u052f"
+
+    def __init__(self, tokenizer: Tokenizer, prefix: str, bare: Words | None = None):
+        self.tokenizer, self.prefix, self.bare, self.old = tokenizer, prefix, self if bare is None else bare, {}
+        self.marks: dict[str, bytes] = {}
+        # The byte-level alphabet: printable bytes stand for themselves, the others for the letters from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = iter(range(256, 512))
+        self.letters = [chr(x) if x in plain else chr(next(others)) for x in range(256)]
+        self.lead = "".join(self.letters[x] for x in prefix.encode())
+        self.feed = self.encode("\n")
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
+        if not (word.isalpha() and max(word) <= self.LAST_LETTER):
+            return self.made(word)
         found = self.old.get(word)
         if found is None:
-            if not self.SAFE.fullmatch(word):
-                raise _Unsafe
-            # Letters and the mark after them are never one pre-token.
-            found = self[word[:-1]] + self.encode(word[-1]) if self.PLAIN_END.fullmatch(word) else self.encode(f" {word}")
+            piece = word if word.isascii() else "".join([self.letters[x] for x in word.encode()])
+            found = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(self.lead + piece)])
         if len(self) >= _WORDS_KEPT:
             self.old = dict(self)
             self.clear()
         self[word] = found
         return found
 
-    def ids(self, text: str) -> bytes:
+    def made(self, word: str) -> bytes:
+        if "\n" in word:
+            first, *rest = word.split("\n")
+            for line in (first, *rest):
+                if not self.SAFE.fullmatch(line):
+                    raise _Unsafe
+            return self.feed.join([self[first], *map(self.bare.__getitem__, rest)])
+        if (m := self.MARKED.fullmatch(word)) and (letters := m[1]).isalpha():
+            mark = self.marks.get(m[2])
+            if mark is None:
+                mark = self.encode(m[2])
+                if len(self.marks) < _WORDS_KEPT // 10:
+                    self.marks[m[2]] = mark
+            return self[letters] + mark
+        if not self.SAFE.fullmatch(word):
+            raise _Unsafe
+        return self.encode(self.prefix + word)
+
+
+class TextEncoder:
+    """The ids, as bytes, of whole texts."""
+
+    def __init__(self, vocabulary: str):
+        tokenizer = Tokenizer.from_str(vocabulary)
+        self.bare = Words(tokenizer, "")
+        self.spaced = Words(tokenizer, " ", self.bare)
+
+    def __call__(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         try:
-            if rest and not self.SAFE.fullmatch(first):
-                raise _Unsafe
-            return self.encode(first) + b"".join(map(self.__getitem__, rest))
+            return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
         except _Unsafe:
-            return self.encode(text)
+            return self.bare.encode(text)
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, segment_tokens: int = SEGMENT, file_bytes: int = FILE_BYTES) -> None:
@@ -171,9 +210,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: in
     end = np.array([end_id], "<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = getattr(shipped, "words", None)
-        if words is None:
-            words = shipped.words = Words(shipped.value)
+        encoder = getattr(shipped, "encoder", None)
+        if encoder is None:
+            encoder = shipped.encoder = TextEncoder(shipped.value)
         file, first, names, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def closed() -> pa.RecordBatch:
@@ -182,7 +221,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: in
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 names.append(doc_id.as_py())
-                ids.append(words.ids(text.as_py()) + end)
+                ids.append(encoder(text.as_py()) + end)
                 held += len(ids[-1]) // 4
                 if held >= segment_tokens:
                     yield closed()

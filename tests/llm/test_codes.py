@@ -111,26 +111,26 @@ def test_any_token_by_itself(n):
     assert (one.starts.tolist(), one.doc_ids.tolist(), one.null.tolist(), two.first) == ([0, n // 3, n // 3, n], [5, 0, 9], [0, 1, 0], 7 + n)
 
 
-TRICKY = ["a  b", " a", "a ", "a \n b", "x. y,z . w", "it's 's it 'll", "a b  c", "don't,stop. a1b2 3c.", "\x1c \x1d a", "<|endoftext|> a <|endoftext|>. b", "é, è. ñ.", "a\tb c", "日本 語。 ok.", "ab. " * 40, "　 x", "A. b.c. D,"]
+TRICKY = ["a  b", " a", "a ", "a \n b", "x. y,z . w", "it's 's it 'll", "a b  c", "don't,stop. a1b2 3c.", "\x1c \x1d a", "<|endoftext|> a <|endoftext|>. b", "é, è. ñ.", "a\tb c", "日本 語。 ok.", "ab. " * 40, "　 x", "A. b.c. D,", "", "\n", "a\nb\n", "a.\nB, c\n\nd", "été\nÀ l'été. ωμέγα, слово. Ωx日 ²x x² ǅ ʰ ", "a) b) (c) x:y; ok!? 'tis", "a., b.. c.\n. d"]
 
 
 def test_words_are_those_of_the_tokenizer():
     with open(token_files.VOCABULARY, encoding="utf-8") as f:
         vocabulary = f.read()
-    words, plain = token_files.Words(vocabulary), Tokenizer.from_str(vocabulary)
+    encoder, plain = token_files.TextEncoder(vocabulary), Tokenizer.from_str(vocabulary)
     rng = random.Random(9)
-    pool = [*"ab .,'\n\t1é-_", "  ", "the", "ing", " ", "\x1f", "日"]
+    pool = [*"ab .,'\n\t1é-_ωЖ²)ʰ", "  ", "the", "ing", " ", "\x1f", "日"]
     for t in [*TRICKY, *("".join(rng.choice(pool) for _ in range(rng.randrange(1, 60))) for _ in range(3000))]:
-        assert np.frombuffer(words.ids(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
+        assert np.frombuffer(encoder(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
 def test_words_kept_are_bounded(monkeypatch):
     monkeypatch.setattr(token_files, "_WORDS_KEPT", 10)
     with open(token_files.VOCABULARY, encoding="utf-8") as f:
-        words = token_files.Words(f.read())
-    text = " ".join(f"w{i % 37}" for i in range(500))
-    assert words.ids(text) == words.encode(text)
-    assert len(words) <= 11 and len(words.old) <= 11
+        encoder = token_files.TextEncoder(f.read())
+    text = " ".join(f"w{chr(97 + i % 23)}{chr(97 + i % 7)}" for i in range(500))
+    assert encoder(text) == encoder.bare.encode(text)
+    assert len(encoder.spaced) <= 10 and len(encoder.spaced.old) <= 10
 
 
 def plain_directory(pairs, plain):
