@@ -161,8 +161,14 @@ def mean_active(active: DataFrame, worlds: int) -> DataFrame:
 
 def reverse_sets(nodes: DataFrame, arc: DataFrame, sets: int, seed: int = SEED, first: int = 0) -> DataFrame:
     """(graph, rr, node): the reverse reachable sets of hashed roots, number first to sets - 1; each arc has one coin a set."""
+    return drawn_sets(nodes, arc, nodes.select("graph", F.lit(first).alias("first"), F.lit(sets).alias("sets")).distinct(), seed)
+
+
+def drawn_sets(nodes: DataFrame, arc: DataFrame, wanted: DataFrame, seed: int = SEED) -> DataFrame:
+    """reverse_sets for wanted(graph, first, sets): which numbers of each graph."""
     n = nodes.groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
-    draws = n.withColumn("rr", F.explode(F.sequence(F.lit(first), F.lit(sets - 1)))).withColumn("pos", (F.floor(hash_uniform(seed, F.col("rr"), F.lit("root")) * F.col("n")) + 1).cast("int"))
+    numbers = wanted.where("first < sets").select("graph", F.explode(F.sequence(F.col("first"), F.col("sets") - 1)).alias("rr"))
+    draws = numbers.join(n, "graph").withColumn("pos", (F.floor(hash_uniform(seed, F.col("rr"), F.lit("root")) * F.col("n")) + 1).cast("int"))
     roots = draws.join(nodes.select("graph", "pos", "id"), ["graph", "pos"])
     roots = roots.select("graph", F.lit("rr").alias("method"), F.expr(f"rr div {BITS}").cast("int").alias("block"), F.col("id").alias("node"), _bit(F.col("rr") % BITS).alias("bits"))
     back = arc.select("graph", F.col("d").alias("s"), F.col("s").alias("d"), "p")

@@ -116,7 +116,7 @@ QUERIES = {
     "two_hop_cover": _with(lambda e, n: seeds.two_hop_cover(e, n, 5)),
     "influence_benchmark": lambda s, d: rounded(influence_benchmark(e := edges(s, d), projections.nodes_of(e), 5, THRESHOLDS, WORLDS, 0.1)),
     "imm": _with(lambda e, n: seeds.imm(e, n, 3, 0.2)),
-    "mia": _with(lambda e, n: seeds.mia(e, n, 2, 0.1, 0.01)),
+    "mia": _with(lambda e, n: seeds.mia(e, n, 3)),
     "dom_im": _with(lambda e, n: seeds.dominating_search(e, n, 5, runs=RUNS, iterations=SWAPS)),
     "cluster_greedy": _with(lambda e, n: seeds.cluster_greedy(e, n, communities.greedy_modularity(e), 3, runs=RUNS)),
 }

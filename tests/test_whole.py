@@ -23,7 +23,12 @@ def test_edge_lines_of_all_line_items(spark, data):
 def test_imm_is_not_cut_to_500_sets(spark, data, monkeypatch):
     """Which numbers imm asks for; 20 sets stand in for each sample, as the cap alone is looked at."""
     asked = []
-    monkeypatch.setattr(seeds, "reverse_sets", lambda n, a, number, seed: asked.append(number) or diffusion.reverse_sets(n, a, 20, seed))
+
+    def drawn(n, a, wanted, seed):
+        asked.extend(r.sets for r in wanted.collect())
+        return diffusion.reverse_sets(n, a, 20, seed)
+
+    monkeypatch.setattr(seeds, "drawn_sets", drawn)
     influence_queries.QUERIES["imm"](spark, data)
     assert 500 < max(asked) <= 20_000
 
