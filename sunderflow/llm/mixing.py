@@ -3,8 +3,8 @@
 Sources share the budget by weight; a source whose share exceeds its cap (max_epochs times its size) is clamped there
 and the excess goes to the others by weight, until none is above. Clamping in order of cap over weight reaches that
 state in one sorted pass: the clamped sources are a prefix of that order. A source is then taken whole
-floor(target / size) times, and the remaining fraction as a seeded sample of whole documents: those first in shuffled
-order that fit, then the one document whose size best fills what is left.
+floor(target / size) times, and the remaining fraction as a seeded sample of whole documents: those first in an
+order shuffled by doc_id and text that fit, then the one document whose size best fills what is left.
 
 Null text has size 0 and is never sampled; null sources are one source, last in order. Rows that agree in everything
 are interchangeable. An empty table gives no rows. Extra columns are ignored.
@@ -58,7 +58,7 @@ def repetitions(rows: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple[in
 
 def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies."""
-    rows = docs.select("doc_id", word_count(F.col("text")).alias("size"), *null_safe_key(F.col("source")), seeded(seed, F.col("doc_id")).alias("_k"))
+    rows = docs.select("doc_id", word_count(F.col("text")).alias("size"), *null_safe_key(F.col("source")), seeded(seed, F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))).alias("_k"))
     out = repetitions(durable(rows, "mix-rows"), max_epochs, weights)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
@@ -69,7 +69,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source IS NULL AS sn, coalesce(source, '') AS sv, md5('29|' || CAST(doc_id AS VARCHAR)) AS k,
+  SELECT doc_id, source IS NULL AS sn, coalesce(source, '') AS sv, md5(concat_ws('|', '29', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS k,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT sn, sv, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY sn, sv),
 w AS (

@@ -1,6 +1,6 @@
 """Sharding by proportional stratified interleaving (DataFrame functions only).
 
-Rows are ranked within their source after a seeded shuffle; rank (2r - 1) / 2n, the fraction of the source that lies
+Rows are ranked within their source after a seeded shuffle by doc_id and text; rank (2r - 1) / 2n, the fraction of the source that lies
 before the row's middle, orders all rows; that order is cut into shards of equal row counts. So each shard holds each
 source in its share, to within a row or two. Ranks come from bucket counts plus a window within a bucket, so that no
 task holds a source.
@@ -37,7 +37,7 @@ def interleave(rows: DataFrame, key: str = "_k", shards: int = SHARDS) -> DataFr
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard. The law is rows: counts at most one apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *null_safe_key(F.col("source")), seeded(seed, F.col("doc_id")).alias("_k"))
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *null_safe_key(F.col("source")), seeded(seed, F.col("doc_id"), F.md5(text)).alias("_k"))
     out = interleave(durable(rows, "shard-rows"), shards=shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -54,7 +54,7 @@ WITH tab AS (
     FROM (SELECT unnest(range(256)) AS i))),
 r AS (
   SELECT doc_id, coalesce(text, '') AS t, source IS NULL AS sn, coalesce(source, '') AS sv, strlen(coalesce(text, '')) + 1 AS size,
-         md5('17|' || CAST(doc_id AS VARCHAR)) AS k FROM documents),
+         md5(concat_ws('|', '17', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS k FROM documents),
 c AS (
   SELECT r.*, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: CAST(('0x' || h) AS BIGINT)),
               lambda a, b: xor(tbl[CAST((xor(a, b) & 255) + 1 AS BIGINT)], a >> 8), CAST(4294967295 AS BIGINT)), 4294967295) AS crc FROM r, tab),

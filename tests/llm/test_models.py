@@ -304,3 +304,15 @@ def test_labels_of_repeated_rows_count_once(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 0, 0)], "doc_id long, quality int, toxic int").where(~quality.held_out())
     rows = quality.labelled(docs, labels).collect()
     assert len(rows) == labels.count() and {r.text for r in rows} <= {"good words here", "other text", "bad words", "x"}
+
+
+def test_null_ids_are_dealt_out(spark):
+    """Rows without a doc_id, or with one that most have, fall into many buckets, and the laws hold for them."""
+    made = [(None if i % 10 else i, f"text {i} " * (i % 7), "en", "a") for i in range(3000)] + [(7, f"seven {i}", "en", "a") for i in range(1000)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string")
+    for seed, text in ((sharding.SEED, F.coalesce("text", F.lit(""))), (mixing.SEED, F.coalesce("text", F.lit("")))):
+        keys = docs.select(sharding.hex_bucket(sharding.seeded(seed, F.col("doc_id"), F.md5(text)), 60).alias("b")).groupBy("b").count()
+        assert keys.agg(F.max("count")).first()[0] < 600  # the empty texts without an id are one key, the others some 57 a bucket
+    check_shards(sharding.shard(docs, 16).collect(), made, 16)
+    taken = mixing.mix(docs).agg(F.sum("taken"), F.max("target")).first()
+    assert abs(taken[0] - taken[1]) <= 20
