@@ -66,7 +66,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     other = F.xxhash64(*plain)
     own = _keys() | dict(zip(("_sn", "_sv"), null_safe_key(F.col("source")), strict=True)) | {"key_row": other}
     keys = list(own)
-    rows = _packed(docs, doc_id=F.col("doc_id"), size=word_count(F.col("text")), _k=seeded(mixing.SEED, F.col("doc_id"), other), **own).drop("doc")
+    rows = _packed(docs, doc_id=F.col("doc_id"), size=word_count(F.col("text")), _k=seeded(mixing.SEED, F.col("doc_id"), other, own["key_text"]), **own).drop("doc")
     taken = mixing.repetitions(durable(rows, "mix-rows"))
     kinds = taken.groupBy(*keys, "copies").agg(F.count(F.lit(1)).alias("rows"))
     upto = F.sum("rows").over(Window.partitionBy(*keys).orderBy(F.desc("copies")))

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import fresh
+from ..sources.storage import durable, fresh
+from .levels import removal_by_degree
 from .static_orders import complete_order
 
 
@@ -380,11 +382,34 @@ def register(name: str, program: Program) -> None:
     PROGRAMS[name] = program
 
 
-def adaptive_orders(edges: DataFrame, nodes: DataFrame, methods: list[str], rate: float = 0.3) -> DataFrame:
+#: Methods that graphs beyond a task have a way for: whether ties go to the text that sorts last.
+BY_LEVELS = {"HDA": True, "HDA-fast": False, "Degree-heap": False}
+#: Nodes and edges of a graph that a task holds.
+LOCAL = 3_000_000
+
+
+def adaptive_orders(edges: DataFrame, nodes: DataFrame, methods: list[str], rate: float = 0.3, local: int = LOCAL) -> DataFrame:
     """orders(graph, method, step, node) of every graph by every method, complete; steps beyond rate go by pos.
 
-    A cell holds its graph: as large as a task may hold.
+    A cell holds its graph: as large as a task may hold. For the methods BY_LEVELS graphs of over `local` nodes and edges
+    are removed over tables.
     """
+    levels = [m for m in methods if m in BY_LEVELS]
+    if levels:
+        size = nodes.select("graph").unionByName(edges.select("graph")).groupBy("graph").agg(F.count(F.lit(1)).alias("_n"))
+        large = durable(size.where(F.col("_n") > local).select("graph"), "large")
+        if not large.isEmpty():
+            of = lambda df, how: df.join(large, "graph", how)
+            parts = [removal_by_degree(of(edges, "left_semi"), of(nodes, "left_semi"), m, BY_LEVELS[m], rate, local) for m in levels]
+            big = complete_order(durable(reduce(DataFrame.unionByName, parts), "orders"), of(nodes, "left_semi"))
+            small = _in_tasks(of(edges, "left_anti"), of(nodes, "left_anti"), methods, rate)
+            others = [m for m in methods if m not in BY_LEVELS]
+            rest = [_in_tasks(of(edges, "left_semi"), of(nodes, "left_semi"), others, rate)] if others else []
+            return reduce(DataFrame.unionByName, [big, small, *rest])
+    return _in_tasks(edges, nodes, methods, rate)
+
+
+def _in_tasks(edges: DataFrame, nodes: DataFrame, methods: list[str], rate: float) -> DataFrame:
     chosen = {m: PROGRAMS[m] for m in methods}
 
     def run(key: tuple, own: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:

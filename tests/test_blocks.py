@@ -8,7 +8,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from sunderflow.operators import diffusion, static_orders, trajectory
+from sunderflow.operators import adaptive, diffusion, static_orders, trajectory
 from sunderflow.sources import projections
 
 
@@ -24,7 +24,7 @@ def rows(df):
 
 @pytest.fixture(scope="module")
 def two_graphs(spark):
-    return random_edges(spark, 1).unionByName(random_edges(spark, 2, 25, 14, "h")).cache()
+    return random_edges(spark, 1, 30, 45).unionByName(random_edges(spark, 2, 15, 8, "h")).cache()
 
 
 @pytest.mark.parametrize(("local", "rate"), [(1, 0.3), (12, None), (40, 0.5)])
@@ -38,6 +38,16 @@ def test_thresholds_by_joins(two_graphs):
     assert rows(diffusion.threshold_spread(seeds, two_graphs, 150, local=0)) == rows(diffusion.threshold_spread(seeds, two_graphs, 150))
 
 
+@pytest.mark.parametrize(("local", "rate"), [(0, 0.3), (12, 1.0)])
+def test_removal_by_degree_over_tables(two_graphs, local, rate):
+    """Bands that fit a task and degrees that don't come to the same order as a task does."""
+    ids = two_graphs.select("graph", F.col("src").alias("id")).unionByName(two_graphs.sparkSession.createDataFrame([("g", 1000), ("h", 1001)], "graph string, id long"))
+    nodes = projections.nodes_of(two_graphs).unionByName(ids.where("id >= 1000").withColumn("pos", F.lit(1000)))
+    methods = ["HDA", "HDA-fast"]
+    got = adaptive.adaptive_orders(two_graphs, nodes, methods, rate, local)
+    assert rows(got) == rows(adaptive.adaptive_orders(two_graphs, nodes, methods, rate))
+
+
 @pytest.mark.parametrize("worlds", [1, 63, 64, 130])
 def test_worlds_as_bits(two_graphs, worlds):
     """Bits equal a walk world by world."""
