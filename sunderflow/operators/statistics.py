@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.projections import both_ways
-from ..sources.storage import drop, durable
+from ..sources.storage import Growing, drop, durable, fresh
 from .components import connected_components
 
 
@@ -132,15 +135,88 @@ def manifest(edges: DataFrame) -> DataFrame:
     return d.join(parts, "graph").withColumn("connected", F.col("components") == 1)
 
 
-def label_propagation(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """(graph, id, community): each round every node takes its neighbours' commonest label, of ties the smallest.
-
-    Labels start as ids. All nodes change at once, so the number of rounds is part of the result.
+def _precedence(c: str) -> Column:
+    """Nodes are coloured in the order of a hash of their id."""
+    return F.struct(F.md5(F.concat(F.lit("7|"), F.col(c).cast("string"))), F.col(c))
+
+
+def colouring(sym: DataFrame) -> DataFrame:
+    """(graph, id, colour) of sym(graph, s, d): each node, in the order of its hash, takes the least colour that none of its
+    neighbours has taken. A round colours all nodes whose earlier neighbours are coloured."""
+    earlier = durable(sym.where(_precedence("d") < _precedence("s")), "earlier")
+    need = earlier.groupBy("graph", F.col("s").alias("id")).agg(F.count(F.lit(1)).alias("need"))
+    open_ = durable(need, "uncoloured")
+    new = sym.select("graph", F.col("s").alias("id")).distinct().join(open_, ["graph", "id"], "left_anti").withColumn("colour", F.lit(0))
+    new = durable(new, "coloured")
+    done, met = Growing(new, "coloured"), None
+    while not open_.isEmpty():
+        told = durable(earlier.join(new.select("graph", F.col("id").alias("d"), "colour"), ["graph", "d"]).select("graph", F.col("s").alias("id"), "colour"), "told")
+        if met is None:
+            met = Growing(told, "told")
+        else:
+            met.add(told)
+        heard = met.rows.join(fresh(told.select("graph", "id").distinct()), ["graph", "id"], "left_semi").groupBy("graph", "id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("colour").alias("taken"))
+        free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("taken")), "taken"))
+        new = durable(heard.join(fresh(open_), ["graph", "id"]).where("n = need").select("graph", "id", free.alias("colour")), "coloured")
+        done.add(new)
+        open_ = durable(open_.join(fresh(new.select("graph", "id")), ["graph", "id"], "left_anti"), "uncoloured", open_)
+    return done.rows
+
+
+def _labelled(pairs: pa.Table) -> pa.Table:
+    """Label propagation of one graph."""
+    src, dst = (pairs.column(c).to_numpy() for c in ("src", "dst"))
+    ids, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    names, near = ids.tolist(), [[] for _ in ids]
+    for a, b in zip(ends[: len(src)].tolist(), ends[len(src) :].tolist(), strict=True):
+        near[a].append(b)
+        near[b].append(a)
+    colour = [-1] * len(names)
+    for u in sorted(range(len(names)), key=lambda i: (hashlib.md5(f"7|{names[i]}".encode()).hexdigest(), names[i])):
+        taken = {colour[v] for v in near[u]}
+        colour[u] = next(c for c in range(len(near[u]) + 1) if c not in taken)
+    classes: list[list[int]] = [[] for _ in range(max(colour, default=-1) + 1)]
+    for u, c in enumerate(colour):
+        classes[c].append(u)
+    label, quiet, at = list(range(len(names))), 0, 0  # places of ids are in their order
+    while quiet < len(classes):
+        moved = False
+        for u in classes[at]:
+            votes = Counter(label[v] for v in near[u])
+            best = min(votes, key=lambda x: (-votes[x], x))
+            moved |= best != label[u]
+            label[u] = best
+        quiet, at = 0 if moved else quiet + 1, (at + 1) % len(classes)
+    return pa.table({"graph": pa.array([pairs.column("graph")[0].as_py()] * len(names), pa.string()), "id": pa.array(names, pa.int64()), "community": pa.array([names[x] for x in label], pa.int64())})
+
+
+def _labelled_over_tables(sym: DataFrame) -> DataFrame:
+    colours = durable(colouring(sym), "colours")
+    number = (colours.agg(F.max("colour")).first()[0] or 0) + 1
+    now, quiet, at = durable(colours.withColumn("community", F.col("id")), "labels"), 0, 0
+    while quiet < number:
+        own = now.where(F.col("colour") == at)
+        near = sym.join(fresh(own.select("graph", F.col("id").alias("s"))), ["graph", "s"]).join(fresh(now.select("graph", F.col("id").alias("d"), "community")), ["graph", "d"])
+        votes = near.groupBy("graph", "s", "community").agg(F.count(F.lit(1)).alias("n"))
+        best = votes.groupBy("graph", F.col("s").alias("id")).agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("b")).select("graph", "id", F.col("b.community").alias("best"))
+        moved = durable(best.join(fresh(own), ["graph", "id"]).where("best <> community").select("graph", "id", "best"), "moved-labels")
+        quiet, at = quiet + 1 if moved.isEmpty() else 0, (at + 1) % number
+        if not quiet:
+            now = durable(now.join(fresh(moved), ["graph", "id"], "left").select("graph", "id", "colour", F.coalesce("best", "community").alias("community")), "labels", now)
+        drop(moved)
+    return now.select("graph", "id", "community")
+
+
+def label_propagation(edges: DataFrame, local: int = LOCAL) -> DataFrame:
+    """(graph, id, community): nodes take their neighbours' commonest label, of ties the smallest, until none changes.
+
+    Labels start as ids. Nodes are coloured so that no neighbours share a colour, and colours take turns: the nodes of one change
+    at once. A change adds edges within a label or makes a label smaller, so the turns end. Graphs of up to `local` edges are
+    a task's work each, larger ones go by joins.
     """
-    sym = both_ways(edges)
-    now = durable(sym.select("graph", F.col("s").alias("id"), F.col("s").alias("community")).distinct(), "labels")
-    for _ in range(rounds):
-        votes = sym.join(now.select("graph", F.col("id").alias("d"), "community"), ["graph", "d"]).groupBy("graph", "s", "community").agg(F.count(F.lit(1)).alias("n"))
-        best = F.min(F.struct((-F.col("n")).alias("n"), "community"))
-        now = durable(votes.groupBy("graph", F.col("s").alias("id")).agg(best.alias("b")).select("graph", "id", "b.community"), "labels", now)
-    return now
+    sizes = durable(edges.groupBy("graph").agg(F.count(F.lit(1)).alias("_m")), "graph-sizes")
+    of = lambda large: edges.join(sizes.where((F.col("_m") > local) == large), "graph").select("graph", "src", "dst")
+    out = of(False).groupBy("graph").applyInArrow(_labelled, "graph string, id long, community long")
+    if sizes.where(F.col("_m") > local).isEmpty():
+        return out
+    return out.unionByName(_labelled_over_tables(durable(both_ways(of(True)), "both-ways")))

@@ -38,13 +38,28 @@ COMPONENTS = """cc(id, c) USING KEY (id) AS (
   SELECT id, id FROM deg
   UNION
   SELECT sym.s, min(f.c) FROM sym JOIN cc f ON f.id = sym.d JOIN recurring.cc g ON g.id = sym.s GROUP BY sym.s, g.c HAVING min(f.c) < g.c)"""
-LABELS = """lp(t, id, c) AS (
-  SELECT 0, id, id FROM deg
-  UNION ALL
-  SELECT t + 1, id, c FROM (
-    SELECT t, s AS id, lp.c, row_number() OVER (PARTITION BY s ORDER BY count(*) DESC, lp.c) AS rn
-    FROM lp JOIN sym ON sym.d = lp.id WHERE t < 8 GROUP BY t, s, lp.c) WHERE rn = 1),
-com AS (SELECT id, c AS community FROM lp WHERE t = 8)"""
+#: Colours in the order of the ids' hashes, then labels: an iteration is one colour's turn. The row of id -1 is the clock: t counts
+#: turns, c those without a change; there are as many of these as colours in the end.
+LABELS = """pre AS MATERIALIZED (SELECT s, d FROM sym WHERE (md5('7|' || d), d) < (md5('7|' || s), s)), need AS MATERIALIZED (SELECT s, count(*) AS n FROM pre GROUP BY s),
+co(id, colour) USING KEY (id) AS (
+  SELECT id, CAST(0 AS BIGINT) FROM deg WHERE id NOT IN (SELECT s FROM pre)
+  UNION
+  SELECT a.s, list_min(list_filter(range(0, count(*) + 1), lambda x: NOT list_contains(list(g.colour), x)))
+  FROM (SELECT DISTINCT pre.s FROM co f JOIN pre ON pre.d = f.id) a JOIN need ON need.s = a.s JOIN pre ON pre.s = a.s JOIN recurring.co g ON g.id = pre.d
+  GROUP BY a.s, need.n HAVING count(*) = need.n),
+kk AS MATERIALIZED (SELECT max(colour) + 1 AS k FROM co), cs AS MATERIALIZED (SELECT colour, s, d FROM sym JOIN co ON co.id = s),
+lp(id, c, t) USING KEY (id) AS (
+  SELECT id, id, CAST(0 AS BIGINT) FROM (SELECT id FROM deg UNION ALL SELECT -1)
+  UNION
+  SELECT id, CASE WHEN id <> -1 THEN c WHEN count(*) OVER () > 1 THEN 0 WHEN t = 0 THEN 1 ELSE c + 1 END, t + 1 FROM (
+    SELECT b.s AS id, b.c, b.t FROM (
+      SELECT s, g.c, w.t, row_number() OVER (PARTITION BY s ORDER BY count(*) DESC, g.c) AS rn
+      FROM (SELECT t FROM lp WHERE id = -1) w, kk JOIN cs ON cs.colour = w.t % kk.k JOIN recurring.lp g ON g.id = cs.d GROUP BY s, g.c, w.t) b JOIN recurring.lp own ON own.id = b.s
+    WHERE b.rn = 1 AND b.c <> own.c
+    UNION ALL
+    SELECT id, c, t FROM lp WHERE id = -1) x, kk
+  WHERE (SELECT CASE WHEN t = 0 THEN 0 ELSE c END FROM recurring.lp WHERE id = -1) < kk.k),
+com AS (SELECT id, c AS community FROM lp WHERE id <> -1)"""
 DC = """o AS (SELECT id, row_number() OVER (ORDER BY degree DESC, CAST(id AS VARCHAR) DESC) AS r FROM deg)"""
 
 

@@ -4,11 +4,12 @@ import os
 import random
 import subprocess
 import sys
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from sunderflow.operators import adaptive, diffusion, static_orders, trajectory
+from sunderflow.operators import adaptive, diffusion, static_orders, statistics, trajectory
 from sunderflow.sources import projections
 
 
@@ -48,6 +49,31 @@ def test_removal_by_degree_over_tables(two_graphs, local, rate):
     assert rows(got) == rows(adaptive.adaptive_orders(two_graphs, nodes, methods, rate))
 
 
+def test_labels_over_tables(two_graphs):
+    """Over tables as in a task: colours differ between neighbours, and no label would change in another turn."""
+    got = statistics.label_propagation(two_graphs, 0)
+    assert rows(got) == rows(statistics.label_propagation(two_graphs))
+    sym = projections.both_ways(two_graphs)
+    colour = {(r.graph, r.id): r.colour for r in statistics.colouring(sym).collect()}
+    label = {(r.graph, r.id): r.community for r in got.collect()}
+    near = {}
+    for r in sym.collect():
+        near.setdefault((r.graph, r.s), []).append((r.graph, r.d))
+        assert colour[r.graph, r.s] != colour[r.graph, r.d]
+    for u, own in near.items():
+        votes = Counter(label[v] for v in own)
+        assert label[u] == min(votes, key=lambda x: (-votes[x], x))
+
+
+def test_labels_run_to_their_end(spark):
+    """A path of 400 nodes needs more turns than any fixed number of rounds that used to do."""
+    path = spark.createDataFrame([("g", i, i + 1) for i in range(399)], "graph string, src long, dst long")
+    label = {r.id: r.community for r in statistics.label_propagation(path).collect()}
+    for i in range(1, 399):
+        assert label[i] in (label[i - 1], label[i + 1])
+        assert label[i - 1] == label[i + 1] == label[i] or label[i] == min(label[i - 1], label[i + 1])
+
+
 @pytest.mark.parametrize("worlds", [1, 63, 64, 130])
 def test_worlds_as_bits(two_graphs, worlds):
     """Bits equal a walk world by world."""
