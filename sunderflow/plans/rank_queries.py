@@ -26,8 +26,7 @@ _LOG = f"""
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("part")
-    return spark.sql(_LOG)
+    return spark.sql(_LOG.replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
 
 
 L = "l AS (" + _LOG.replace("AS STRING", "AS VARCHAR") + "), v AS (SELECT * FROM l WHERE valid)"
@@ -136,8 +135,8 @@ _GROUPS = {"pool0": (0.6, 0.2, 0.2), "pool1": (0.2, 0.6, 0.2)}
 
 QUERIES = {
     "avg_rank": lambda s, d: log(s, d).select("candidate_id", ranking.average_rank(F.col("R"), ["pool"], True, F.col("valid")).alias("rank_R"), ranking.average_rank(F.col("auc_cNBI"), ["pool"], False, F.col("valid")).alias("rank_auc")),
-    "rank01_variants": lambda s, d: rounded(log(s, d).where("valid").select("candidate_id", *[ranking.rank01(F.col("patchy"), True, None, None, p).alias(f"rank_{p}") for p in "abcdef"])),
-    "time_saturated_rank": lambda s, d: rounded(log(s, d).where("valid").select("candidate_id", ranking.saturated_time_rank(F.col("time_s")).alias("rank_time"))),
+    "rank01_variants": lambda s, d: rounded(ranking.with_ranks(log(s, d).where("valid"), {f"rank_{p}": ranking.Rank(F.col("patchy"), True, None, p) for p in "abcdef"}).select("candidate_id", *[f"rank_{p}" for p in "abcdef"])),
+    "time_saturated_rank": lambda s, d: rounded(ranking.with_time_rank(log(s, d).where("valid"), "rank_time", F.col("time_s")).select("candidate_id", "rank_time")),
     "rank_score": lambda s, d: rounded(ranking.add_rank_scores(log(s, d)).select("candidate_id", "rank_score")),
     "rank_score_root_credit": lambda s, d: rounded(ranking.add_rank_scores(log(s, d), root=500.0, credit="root").select("candidate_id", "rank_score")),
     "spread_score": lambda s, d: rounded(ranking.spread_scores(log(s, d)).select("candidate_id", "rank_score")),
