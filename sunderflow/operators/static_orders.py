@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.projections import both_ways
-from ..sources.storage import fresh
+from ..sources.storage import Growing, durable, fresh
 from .ordering import numbered
 from .statistics import core_numbers, degrees, label_propagation, shared_neighbours, triangles
 
@@ -90,9 +91,51 @@ def redundancy_scores(edges: DataFrame, method: str, beta: float = 0.5, communit
     return met.groupBy("graph", "id").agg(F.avg(value).alias("score"))
 
 
-def betweenness(edges: DataFrame, blocks: int | None = None) -> DataFrame:
-    """(graph, id, score): normalised betweenness. Sources are dealt into blocks, as many as shuffles have partitions unless
-    said; each block's task reads its graph's edges and returns its sources' part of every node's sum."""
+#: Edges of a graph that a task holds, and (source, node) pairs of a batch of sources over tables.
+BETWEEN_LOCAL, BETWEEN_PAIRS = 1_000_000, 500_000_000
+
+
+def betweenness(edges: DataFrame, blocks: int | None = None, local: int = BETWEEN_LOCAL, pairs: int = BETWEEN_PAIRS) -> DataFrame:
+    """(graph, id, score): normalised betweenness. Graphs of up to `local` edges are dealt to tasks by blocks of sources, larger
+    ones searched over tables, in batches of sources of up to `pairs` pairs of a source and a node."""
+    sizes = durable(edges.groupBy("graph").agg(F.count(F.lit(1)).alias("_m")), "graph-sizes")
+    of = lambda large: edges.join(sizes.where((F.col("_m") > local) == large), "graph").select("graph", "src", "dst")
+    parts = _between_in_tasks(of(False), blocks)
+    if not sizes.where(F.col("_m") > local).isEmpty():
+        parts = parts.unionByName(_between_by_levels(durable(both_ways(of(True)), "both-ways"), pairs))
+    size = degrees(edges).groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
+    return parts.groupBy("graph", "id").agg(F.sum("part").alias("part")).join(size, "graph").select("graph", "id", F.when(F.col("n") > 2, F.col("part") / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(0.0).alias("score"))
+
+
+def _between_by_levels(sym: DataFrame, pairs: int) -> DataFrame:
+    """(graph, id, part) over tables: all sources of a batch take a step at a time and count shortest paths; then what depends on
+    each node is added up a level at a time, from the farthest on back."""
+    ids = sym.select("graph", F.col("s").alias("id")).distinct()
+    most = ids.groupBy("graph").count().agg(F.max("count")).first()[0]
+    batches = -(-most * most // pairs)
+    parts = [ids.select("graph", "id", F.lit(0.0).alias("part"))]
+    for batch in range(batches):
+        own = ids.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == batch)
+        levels = [durable(own.select("graph", F.col("id").alias("source"), "id", F.lit(1.0).alias("paths")), "between")]
+        seen = Growing(levels[0].select("graph", "source", "id"), "between-seen")
+        while True:
+            step = levels[-1].withColumnRenamed("id", "s").join(sym, ["graph", "s"]).groupBy("graph", "source", F.col("d").alias("id")).agg(F.sum("paths").alias("paths"))
+            new = durable(step.join(fresh(seen.rows), ["graph", "source", "id"], "left_anti"), "between")
+            if new.isEmpty():
+                break
+            levels.append(new)
+            seen.add(new.select("graph", "source", "id"))
+        behind = levels[-1].withColumn("share", F.lit(0.0))
+        for at in range(len(levels) - 1, 0, -1):
+            parts.append(behind.groupBy("graph", "id").agg(F.sum("share").alias("part")))
+            back = behind.select("graph", "source", F.col("id").alias("s"), ((1 + F.col("share")) / F.col("paths")).alias("each")).join(sym, ["graph", "s"]).groupBy("graph", "source", F.col("d").alias("id")).agg(F.sum("each").alias("each"))
+            share = F.col("paths") * F.coalesce("each", F.lit(0.0))
+            behind = durable(fresh(levels[at - 1]).join(back, ["graph", "source", "id"], "left").select("graph", "source", "id", "paths", share.alias("share")), "between-shares")
+        parts = [durable(reduce(DataFrame.unionByName, parts).groupBy("graph", "id").agg(F.sum("part").alias("part")), "between-parts")]
+    return parts[0]
+
+
+def _between_in_tasks(edges: DataFrame, blocks: int | None) -> DataFrame:
     blocks = blocks or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sources = degrees(edges).select("graph", "id", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
     cells = sources.select("graph", "block").distinct()
@@ -127,9 +170,7 @@ def betweenness(edges: DataFrame, blocks: int | None = None) -> DataFrame:
         return pd.DataFrame({"graph": own["graph"].iloc[0] if len(own) else None, "id": ids, "part": total})[lambda x: x["graph"].notna()]
 
     spread = fresh(edges.join(cells, "graph").select("graph", "block", "src", "dst"))
-    parts = sources.groupBy("graph", "block").cogroup(spread.groupBy("graph", "block")).applyInPandas(part, "graph string, id long, part double")
-    size = sources.groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
-    return parts.groupBy("graph", "id").agg(F.sum("part").alias("part")).join(size, "graph").select("graph", "id", F.when(F.col("n") > 2, F.col("part") / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(0.0).alias("score"))
+    return sources.groupBy("graph", "block").cogroup(spread.groupBy("graph", "block")).applyInPandas(part, "graph string, id long, part double")
 
 
 def cluc_order(edges: DataFrame) -> DataFrame:

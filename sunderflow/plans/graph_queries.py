@@ -203,7 +203,7 @@ QUERIES = {
     "order_ndc": lambda s, d: _by_score(static_orders.redundancy_scores(edges(s, d), "NDC")),
     "order_ncdc": lambda s, d: _by_score(static_orders.redundancy_scores(edges(s, d), "NCDC")),
     "order_ndjc": lambda s, d: _by_score(static_orders.redundancy_scores(edges(s, d), "NDJC")),
-    "order_betweenness": lambda s, d: _order(static_orders.betweenness_order(edges(s, d))),
+    "order_betweenness": lambda s, d: _by_score(static_orders.betweenness(edges(s, d))),
     "high_degree_seeds": lambda s, d: _order(static_orders.first_seeds(static_orders.degree_order(edges(s, d)), 12)),
     "curve_dc": lambda s, d: rounded(dc_curve(s, d)),
     "curve_at_steps": lambda s, d: rounded(trajectory.at(e := edges(s, d), static_orders.degree_order(e), [1, 5, 50])),
@@ -286,6 +286,19 @@ rim AS (SELECT two.s, sum(degree - 1) AS far FROM two JOIN deg ON deg.id = two.d
  FROM shs JOIN deg ON deg.id = u JOIN com a ON a.id = u JOIN com b ON b.id = v GROUP BY u)""") + " FROM sc",
     "order_ndjc": _scores_sql("score", f"""RECURSIVE {E}, {LABELS}, {TRIANGLES}, {SHARED}, sc AS (SELECT u AS id, avg((d1.degree - common) * CASE WHEN a.community = b.community THEN 0.5 ELSE 1.0 END / (d1.degree + d2.degree - common)) AS score
  FROM shs JOIN deg d1 ON d1.id = u JOIN deg d2 ON d2.id = v JOIN com a ON a.id = u JOIN com b ON b.id = v GROUP BY u)""") + " FROM sc",
+    "order_betweenness": _scores_sql("part / greatest(1, (n - 1) * (n - 2))", f"""RECURSIVE {E},
+bf(src, id, lvl, paths) USING KEY (src, id) AS (
+  SELECT id, id, 0, CAST(1 AS DOUBLE) FROM deg
+  UNION
+  SELECT f.src, sym.d, f.lvl + 1, sum(f.paths) FROM bf f JOIN sym ON sym.s = f.id WHERE NOT EXISTS (SELECT 1 FROM recurring.bf g WHERE g.src = f.src AND g.id = sym.d) GROUP BY f.src, sym.d, f.lvl),
+fw AS MATERIALIZED (SELECT * FROM bf),
+bk(t, src, id, paths, share) AS (
+  SELECT lvl, src, id, paths, CAST(0 AS DOUBLE) FROM fw WHERE lvl = (SELECT max(lvl) FROM fw)
+  UNION ALL
+  SELECT p.lvl, p.src, p.id, p.paths, coalesce(sum(p.paths * w.each), 0) FROM (SELECT DISTINCT t FROM bk) c JOIN fw p ON p.lvl = c.t - 1
+  LEFT JOIN (SELECT bk.src, sym.d, (1 + bk.share) / bk.paths AS each FROM bk JOIN sym ON sym.s = bk.id) w ON w.src = p.src AND w.d = p.id
+  WHERE p.lvl >= 1 GROUP BY p.lvl, p.src, p.id, p.paths),
+sc AS (SELECT deg.id, coalesce(sum(share), 0) AS part, (SELECT count(*) FROM deg) AS n FROM deg LEFT JOIN bk ON bk.id = deg.id AND bk.t >= 1 GROUP BY deg.id)""") + " FROM sc",
     "curve_dc": curve_sql("0.3", """SELECT graph, method, step, round(removal_ratio, 9) AS removal_ratio, round("ACC", 9) AS "ACC", round("GCC", 9) AS "GCC", round("NCC", 9) AS "NCC", round(top5_component_mass, 9) AS top5_component_mass,
  round(hhi_remaining, 9) AS hhi_remaining, round(effective_components, 9) AS effective_components, round(pairwise_disconnected, 9) AS pairwise_disconnected, round("cNBI", 9) AS "cNBI",
  round(avg("GCC") OVER (ORDER BY step), 9) AS "running_R", round(avg("cNBI") OVER (ORDER BY step), 9) AS "running_auc_cNBI" FROM cu"""),

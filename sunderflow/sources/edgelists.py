@@ -7,22 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.ordering import numbered
+from .storage import durable
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(graph, line_no, line) of one file or a folder of them; graph is the file's name without its ending.
 
-    A file is one row while it is numbered, so files are as large as a task may hold.
+    Files are split between tasks; lines are numbered by where their split begins and their place in it.
     """
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[A-Za-z]+)?$", 1).alias("graph"), "value")
-    return files.select("graph", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    name = F.regexp_extract("_metadata.file_path", r"([^/]+?)(?:\.[A-Za-z]+)?$", 1)
+    rows = spark.read.text(path).select(name.alias("graph"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
+    placed = numbered(rows, ["graph"], [F.col("_file"), F.col("_split"), F.col("_row")], "line_no")
+    return placed.select("graph", (F.col("line_no") - 1).alias("line_no"), "line")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Adds u, v, kind to (graph, line_no, line): kind is skipped, bad, selfloop or edge."""
     bare = F.trim(F.regexp_replace(F.regexp_replace("line", ",", " "), r"\s+", " "))
     cells = F.split(bare, " ")
-    number = lambda i: F.get(cells, F.lit(i)).try_cast("double").try_cast("long")
+    number = lambda i: F.coalesce(F.get(cells, F.lit(i)).try_cast("long"), F.get(cells, F.lit(i)).try_cast("double").try_cast("long"))
     skipped = (bare == "") | bare.startswith("#") | bare.startswith("%")
     out = lines.withColumn("u", F.when(~skipped, number(0))).withColumn("v", F.when(~skipped, number(1)))
     kind = F.when(skipped, "skipped").when(F.col("u").isNull() | F.col("v").isNull(), "bad").when(F.col("u") == F.col("v"), "selfloop").otherwise("edge")
@@ -49,14 +52,25 @@ def file_nodes(parsed: DataFrame) -> DataFrame:
     return numbered(first, ["graph"], [F.col("at")], "pos").select("graph", "id", "pos")
 
 
-def content_hash(edges: DataFrame) -> DataFrame:
+#: Edges of a graph whose text a task hashes, and of a piece of a larger one.
+HASHED = 1_000_000
+
+
+def content_hash(edges: DataFrame, most: int = HASHED) -> DataFrame:
     """(graph, sha256, duplicate_of): graphs with equal sorted "u v" lines are duplicates of the first by name.
 
-    The digest is over the whole file's text, so a graph is as large as a task may hold.
+    The digest is that of the file's text; of a graph of over `most` edges, that of the digests of its text in pieces of `most` lines.
     """
+    sizes = durable(edges.groupBy("graph").agg(F.count(F.lit(1)).alias("_m")), "graph-sizes")
+    of = lambda large: edges.join(sizes.where((F.col("_m") > most) == large), "graph").select("graph", "src", "dst")
     pairs = F.sort_array(F.collect_list(F.struct("src", "dst")))
-    text = F.array_join(F.transform(pairs, lambda p: F.concat_ws(" ", p["src"], p["dst"])), "\n")
-    digests = edges.groupBy("graph").agg(F.sha2(F.concat(text, F.lit("\n")), 256).alias("sha256"))
+    digest = F.sha2(F.concat(F.array_join(F.transform(pairs, lambda p: F.concat_ws(" ", p["src"], p["dst"])), "\n"), F.lit("\n")), 256)
+    digests = of(False).groupBy("graph").agg(digest.alias("sha256"))
+    if not sizes.where(F.col("_m") > most).isEmpty():
+        placed = numbered(of(True), ["graph"], [F.col("src"), F.col("dst")], "_at").withColumn("_piece", F.expr(f"(_at - 1) div {most}"))
+        pieces = placed.groupBy("graph", "_piece").agg(digest.alias("_digest"))
+        whole = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_piece", "_digest"))), lambda p: p["_digest"]), "\n"), 256)
+        digests = digests.unionByName(pieces.groupBy("graph").agg(whole.alias("sha256")))
     first = F.min("graph").over(Window.partitionBy("sha256"))
     return digests.withColumn("duplicate_of", F.when(first < F.col("graph"), first))
 

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import subprocess
 import sys
 from collections import Counter
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sunderflow.operators import adaptive, diffusion, static_orders, statistics, trajectory
-from sunderflow.sources import projections
+from sunderflow.sources import edgelists, projections
 
 
 def random_edges(spark, seed, n=60, m=110, name="g"):
@@ -49,6 +50,39 @@ def test_removal_by_degree_over_tables(two_graphs, local, rate):
     assert rows(got) == rows(adaptive.adaptive_orders(two_graphs, nodes, methods, rate))
 
 
+def test_files_are_split_between_tasks(spark, tmp_path):
+    """Lines keep their numbers and ids their digits whatever the splits."""
+    rng = random.Random(8)
+    files = {f"f{i}": [f"{rng.randrange(10**17)} {rng.randrange(10**rng.choice([1, 17]))}" if rng.random() < 0.9 else rng.choice(["", "# x", "7.0,8", "a b"]) for _ in range(300)] for i in range(3)}
+    for name, lines in files.items():
+        (tmp_path / f"{name}.txt").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        read = edgelists.read_lines(spark, str(tmp_path)).cache()
+        assert rows(read) == sorted((n, i, x) for n, lines in files.items() for i, x in enumerate(lines))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    found = {(r.graph, r.line_no): (r.u, r.v) for r in edgelists.parse_lines(read).where("kind = 'edge'").collect()}
+    for n, lines in files.items():
+        for i, x in enumerate(lines):
+            if re.fullmatch(r"\d+ \d+", x):
+                assert found[n, i] == tuple(map(int, x.split()))
+
+
+def test_hashes_in_pieces(two_graphs):
+    """Equal graphs have equal digests, and another edge changes them."""
+    again = two_graphs.where("graph = 'g'").withColumn("graph", F.lit("k"))
+    other = again.where("src > 0").withColumn("graph", F.lit("m"))
+    got = {r.graph: r for r in edgelists.content_hash(two_graphs.unionByName(again).unionByName(other), 10).collect()}
+    assert got["k"].duplicate_of == "g" and got["m"].duplicate_of is None and len({r.sha256 for r in got.values()}) == 3
+
+
+def test_betweenness_over_tables(two_graphs):
+    got = rows(static_orders.betweenness(two_graphs, local=0, pairs=500))
+    assert got == rows(static_orders.betweenness(two_graphs))
+
+
 def test_labels_over_tables(two_graphs):
     """Over tables as in a task: colours differ between neighbours, and no label would change in another turn."""
     got = statistics.label_propagation(two_graphs, 0)
