@@ -6,7 +6,8 @@ pre-token that cannot have looked at the edit to the first old boundary that is
 that changed and updates the sums on the way to the root. So the count after an edit costs the edit's neighbourhood,
 not the document, and equals that of encoding the edited text anew.
 
-Trees are kept: stored_trees writes every document with its leaves' sums, edited_counts takes edits to such rows. A tree
+Trees are kept: stored_trees writes every document with its leaves' sums, edited_counts takes edits to such rows; edited_trees
+gives the rows that they make, for the next edits. A tree
 that comes from its leaves splits a segment's text into pre-tokens when an edit touches it, and encodes what changed only.
 
 The vocabulary is a file of ranks (byte pairs in base64, rank), read by the driver and shipped once. Edits are
@@ -293,6 +294,37 @@ def edited_counts(trees: DataFrame, edits: Callable[[str], list[Edit]], vocabula
     return rows.select("doc_id", "n_chars", "n_pretokens", "n_tokens", "_e.n_edits", "_e.n_reencoded", *after)
 
 
+def edited_trees(trees: DataFrame, edits: Callable[[str], list[Edit]], vocabulary: str = VOCABULARY) -> DataFrame:
+    """Rows of stored_trees under edits, as stored_trees has them: the edited texts with their leaves' sums, to take further edits.
+
+    n_edits and n_reencoded follow: how many edits there were, and how many pre-tokens they encoded. Segments that no edit has touched
+    keep their sums.
+    """
+    shipped = _shipped(trees.sparkSession, vocabulary)
+    kinds = pa.struct([("text", pa.string()), ("leaves", pa.list_(_LEAF)), ("n_edits", pa.int64()), ("n_reencoded", pa.int64())])
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        encoder = Encoder(shipped.value)
+        for texts, stored in batches:
+            out = []
+            for t, leaves in zip(texts, stored, strict=True):
+                text, sums = t.as_py(), leaves.as_py()
+                script, encoded = edits(text), 0
+                if script:
+                    tree = SegmentTree.of(text, [tuple(x.values()) for x in sums], encoder)
+                    for e in script:
+                        tree.edit(*e)
+                    text, encoded = tree.text, tree.re_encoded
+                    sums = [dict(zip(("n_chars", "n_pretokens", "n_tokens"), x, strict=True)) for x in tree.leaves if x[0]] or sums[:0]
+                out.append({"text": text, "leaves": sums or [{"n_chars": 0, "n_pretokens": 0, "n_tokens": 0}], "n_edits": len(script), "n_reencoded": encoded})
+            yield pa.array(out, kinds)
+
+    found = F.arrow_udf(run, f"text string, leaves {_LEAVES}, n_edits long, n_reencoded long")("text", "leaves")
+    rows = trees.select("doc_id", found.alias("_e")).select("doc_id", "_e.*")
+    total = lambda name: F.aggregate("leaves", F.lit(0).cast("long"), lambda n, x: n + x[name]).alias(name)
+    return rows.select("doc_id", "text", *map(total, ("n_chars", "n_pretokens", "n_tokens")), "leaves", "n_edits", "n_reencoded")
+
+
 def token_counts(docs: DataFrame, edits: Callable[[str], list[Edit]] = redactions, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per row of docs, by stored trees and edits to them; columns as edited_counts has them."""
     return edited_counts(durable(stored_trees(docs, vocabulary), "token-trees"), edits, vocabulary)

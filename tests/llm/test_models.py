@@ -56,6 +56,29 @@ def test_token_counts(odd, pairs, encoder):
     assert [(*g[:5], *g[6:]) for g in got] == sorted(want, key=repr)
 
 
+def test_edits_on_edited_trees(odd, pairs, encoder):
+    """Three batches of edits, each on the trees that the one before made, and one that empties every text."""
+    long = ("some words in a row, " * 3000)
+    docs = odd.select("doc_id", "text").unionByName(odd.sparkSession.createDataFrame([(500, long), (501, "x")], "doc_id long, text string"))
+    texts = [(i, t or "") for i, t, *_ in pairs] + [(500, long), (501, "x")]
+    batches = [
+        lambda t: [(len(t) // 2, len(t) // 2 + 3, " new 42 "), (0, 0, "It's ")],
+        lambda t: [(5, 9, ""), (len(t), len(t), "\n\n end")] if len(t) > 20 else [],
+        lambda t: [(0, 10**9, "")],
+        lambda t: [(0, 0, "back again")],
+    ]
+    trees = token_counts.durable(token_counts.stored_trees(docs), "trees")
+    for edits in batches:
+        trees = token_counts.durable(token_counts.edited_trees(trees, edits), "trees")
+        for n, (i, t) in enumerate(texts):
+            for a, b, new in edits(t):
+                t = t[:a] + new + t[b:]
+            texts[n] = (i, t)
+        got = sorted(((r.doc_id, r.text, r.n_chars, r.n_pretokens, r.n_tokens, sum(x.n_tokens for x in r.leaves)) for r in trees.collect()), key=repr)
+        want = [(i, t, len(t), len(encoder.pattern.findall(t)), n := len(encoder.encoding.encode_ordinary(t)), n) for i, t in texts]
+        assert got == sorted(want, key=repr)
+
+
 def plain_bits(trees, text, order):
     total = 0.0
     for p, s in enumerate(text):
