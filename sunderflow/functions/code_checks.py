@@ -23,6 +23,8 @@ CAPACITY = (
     "模型已满", "换个模型", "模型繁忙", "模型忙", "model full", "at capacity", "model capacity", "capacity", "overloaded", "currently overloaded", "temporarily unavailable", "no available model", "model_not_available", "insufficient_quota", "rate limit",
     "429", "503", "504",
 )
+#: How an answer is reported that asks for another model, or speaks of one that is full (fixed values).
+ASKS_FOR_ANOTHER, SPEAKS_OF_FULL = "模型/换模型相关中文提示", "model/full/capacity related prompt"
 
 
 def first_needle(text: Column, needles: tuple[str, ...]) -> Column:
@@ -40,7 +42,7 @@ def capacity_issue(text: Column) -> Column:
     low = F.lower(text)
     asks = (text.contains("模型") & text.contains("满")) | (text.contains("请") & text.contains("换") & text.contains("模型"))
     pairs = in_order(low, "model", "full") | in_order(low, "full", "model")
-    return F.coalesce(first_needle(text, CAPACITY), F.when(asks, F.lit("模型/换模型相关中文提示")), F.when(pairs, F.lit("model/full/capacity related prompt")), F.lit(""))
+    return F.coalesce(first_needle(text, CAPACITY), F.when(asks, F.lit(ASKS_FOR_ANOTHER)), F.when(pairs, F.lit(SPEAKS_OF_FULL)), F.lit(""))
 
 
 def checked_code(code: str, function: str) -> str:
