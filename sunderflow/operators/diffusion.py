@@ -124,11 +124,13 @@ def _reached(first: DataFrame, arc: DataFrame, wins: Callable[[Column], Column],
     BITS worlds are a number, so a frontier has a row for a node and block, whatever the worlds: arcs keep the worlds whose coins
     win, rows that meet are merged by or, and what was reached before is masked out.
     """
-    keys = ["graph", "method", "block", "node"]
+    keys, tasks = ["graph", "method", "block", "node"], int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     new = durable(first.groupBy(*keys).agg(F.bit_or("bits").alias("bits")), label)
     found = Growing(new, label)
     while not new.isEmpty():
-        over = new.withColumnRenamed("node", "s").join(arc, ["graph", "s"]).select("graph", "method", "block", F.col("d").alias("node"), _tossed(wins).alias("bits"))
+        # A row is up to BITS coins' work, so rows are dealt to all tasks, however few they are.
+        over = new.withColumnRenamed("node", "s").join(arc, ["graph", "s"]).repartition(tasks, "s", "d", "block")
+        over = over.select("graph", "method", "block", F.col("d").alias("node"), _tossed(wins).alias("bits"))
         met = over.where("bits <> 0").groupBy(*keys).agg(F.bit_or("bits").alias("bits"))
         before = found.rows.groupBy(*keys).agg(F.bit_or("bits").alias("had"))
         left = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long"))))
