@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ranking, report, selection
-from ..operators.adaptive import Program, local_scores
+from ..operators.adaptive import PROGRAMS, Program, local_scores
 from ..sources.storage import durable
 from .validation import evaluate
 
@@ -26,8 +26,11 @@ Record = dict
 
 
 class ProposalSource(Protocol):
-    def propose(self, parent: Record, index: int, branch: str | None) -> tuple[str, Program]:
-        """A family's name and a program for a child of the parent."""
+    def propose(self, parent: Record, index: int, branch: str | None) -> tuple[str, Program] | None:
+        """A family's name and a program for a child of the parent; None has the policy's fallback take its place.
+
+        A source with a method hear(text) is told the policy's guidance before each step of run_policy.
+        """
 
 
 @dataclass
@@ -239,6 +242,35 @@ POLICIES: dict[str, Callable[[list[Record], random.Random, dict], Record]] = {
 }
 
 
+# The families that policies fall back to, one step after the other.
+FALLBACKS = {
+    "EoH": ("redundancy_prune", "private_coverage"), "ReEvo": ("redundancy_prune",), "HSEvo": ("harmony",), "HiFo": ("two_hop", "private_coverage"), "PUCT": ("private_coverage", "redundancy_prune"),
+    "MCTS": ("two_hop",), "FunSearch": ("fast_archive",), "AlphaEvolve": ("harmony", "fast_archive"), "Clade": ("redundancy_prune", "two_hop"),
+}
+# End of the fixed values.
+#: The removal program of each of these families.
+FALLBACK_PROGRAMS: dict[str, Program] = {
+    "redundancy_prune": local_scores(redundancy=0.1), "private_coverage": PROGRAMS["Local"], "harmony": PROGRAMS["CoreHD-fast"], "two_hop": PROGRAMS["Local-bounded"], "fast_archive": PROGRAMS["HDA-fast"],
+}
+#: What each policy asks of the next proposal; {best} and {worst} are the families of the best and the weakest candidate.
+GUIDANCE = {
+    "EoH": "Recombine the ideas of the parent and of {best} into a new one.", "ReEvo": "Reflect on why {best} does better than {worst}, and change the parent accordingly.", "HSEvo": "Tune the parent's weights and keep proposals as different as they are good.",
+    "HiFo": "Keep what {best} has shown to work; leave {worst}.", "PUCT": "Extend the parent by one step that hasn't been tried below it.", "MCTS": "Go one level deeper: a small change of the parent.",
+    "FunSearch": "Improve the program of this island only.", "AlphaEvolve": "Fill a niche that is rare among candidates so far.", "Clade": "Stay within the parent's clade and improve what its members share.",
+}
+
+
+def fallback_family(name: str, index: int) -> str:
+    """The family that a policy takes at a step for which there is no proposal."""
+    return FALLBACKS[name][index % len(FALLBACKS[name])]
+
+
+def guidance(name: str, records: list[Record]) -> str:
+    """A policy's words for the next proposal, with the families of the best and the weakest valid record."""
+    pool = sorted(_valid(records), key=_score)
+    return GUIDANCE[name].format(best=pool[-1]["family"] if pool else "the root", worst=pool[0]["family"] if pool else "the root")
+
+
 def run_policy(name: str, edges: DataFrame, nodes: DataFrame, root: Program, source: ProposalSource, budget: int, rate: float = 0.3, seed: int = 20260603) -> list[Record]:
     """A search of `budget` candidates by one policy; records are scored again after each."""
     search, rng, state = Search(edges, nodes, source, rate), random.Random(seed), {}
@@ -247,6 +279,8 @@ def run_policy(name: str, edges: DataFrame, nodes: DataFrame, root: Program, sou
         scores = {r.node_id: r.adapter_score for r in ranking.adapter_scores(search.log(ranking.STAGE1_WEIGHTS)).collect()}
         view = [r | {"rank_score": scores[r["node_id"]], "parent_id": r["parent_node_id"], "island": n % 4, "niche": r["family"], "clade": r["family"]} for n, r in enumerate(search.records)]
         parent = next(r for r in search.records if r["node_id"] == POLICIES[name](view, rng, state)["node_id"])
-        family, program = source.propose(parent, i, None)
+        if hear := getattr(source, "hear", None):
+            hear(guidance(name, view))
+        family, program = source.propose(parent, i, None) or (own := fallback_family(name, i), FALLBACK_PROGRAMS[own])
         search.add(program, family, parent, "policy")
     return search.records

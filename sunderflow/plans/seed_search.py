@@ -1,12 +1,11 @@
 """Programs that choose seeds: validation, scores under fixed worlds, and the search with them.
 
-A program takes a Residual and k and returns nodes, the first to be taken first. It runs per graph in a task, with a time
-limit; only run code that you trust.
+A program takes a Residual and k and returns nodes, the first to be taken first. It runs per graph in a process beside
+the task, which is killed at the time limit; only run code that you trust.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -19,7 +18,7 @@ from ..operators import diffusion, ranking, selection
 from ..operators.adaptive import Residual
 from ..operators.diffusion import SEED
 from ..sources.storage import durable, fresh
-from .validation import time_limit
+from .validation import limited
 
 SeedProgram = Callable[[Residual, int], list[int]]
 #: Fixed worlds and reverse reachable sets that programs are scored under (fixed values).
@@ -79,14 +78,9 @@ def run_seed_programs(edges: DataFrame, nodes: DataFrame, programs: dict[str, Se
     def cell(key: tuple, own: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         ids = own.sort_values("pos")["id"].tolist()
         g = Residual(ids, zip(pairs["src"].tolist(), pairs["dst"].tolist(), strict=True))
-        k, raw, error = int(own["k"].iloc[0]) if ids else 0, [], ""
-        began = time.perf_counter()
-        try:
-            with time_limit(seconds):
-                raw = list(programs[key[1]](g, k) or [])
-        except Exception as e:  # noqa: BLE001  whatever a program raises makes its row invalid
-            error = f"{type(e).__name__}: {e}"[:200]
-        took = seconds if error.startswith("TimeoutError") else time.perf_counter() - began
+        k = int(own["k"].iloc[0]) if ids else 0
+        found, error, took = limited(lambda: list(programs[key[1]](g, k) or []), seconds)
+        raw = found or []
         seeds = [ids[u] for u in dict.fromkeys(u for u in raw if isinstance(u, int) and 0 <= u < len(ids))][:k]
         error = error or ("" if seeds else "no seed of the graph")
         return pd.DataFrame({"graph": [key[0]], "method": [key[1]], "valid": [not error], "error": [error], "time_s": [took], "raw_seed_size": [len(raw)], "seeds": [seeds]})
