@@ -150,3 +150,8 @@ def compressed_log(seconds: Column, low: float, fast: float) -> Column:
     """log10 of a time; below `low` the axis is compressed by `fast`."""
     x = F.log10(F.greatest(seconds, F.lit(1e-12)))
     return F.when(x < low, F.lit(low) + (x - low) * fast).otherwise(x)
+
+
+def custom_order(value: Column, names: list[str]) -> Column:
+    """A value's place in a list of names, from 1: what sorts by a custom order. Null for what the list doesn't have."""
+    return F.nullif(F.array_position(F.array(*[F.lit(n) for n in names]), value), F.lit(0).cast("long"))

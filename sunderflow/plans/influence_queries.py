@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import communities, diffusion, ranking, seeds, static_orders, statistics
+from ..operators import communities, diffusion, path_influence, ranking, seeds, static_orders, statistics
 from ..sources import projections
 from ..sources.storage import durable
+from . import table_functions
 from .graph_queries import DC, E, edges, rounded
+from .graph_queries import SQL as GRAPH_SQL
 
 K = 12
 #: Draws: live-edge and cascade worlds, thresholds' worlds, worlds of greedy choices, reverse reachable sets, and the runs and
@@ -116,7 +118,9 @@ QUERIES = {
     "two_hop_cover": _with(lambda e, n: seeds.two_hop_cover(e, n, 5)),
     "influence_benchmark": lambda s, d: rounded(influence_benchmark(e := edges(s, d), projections.nodes_of(e), 5, THRESHOLDS, WORLDS, 0.1)),
     "imm": _with(lambda e, n: seeds.imm(e, n, 3, 0.2)),
-    "mia": _with(lambda e, n: seeds.mia(e, n, 3)),
+    "mia": _with(lambda e, n: path_influence.mia(e, n, 3)),
+    "sql_removal_order": lambda s, d: _pick(table_functions.removal_order()(edges(s, d).asTable(), F.lit("HDA"), F.lit(0.3))),
+    "sql_seed_order": lambda s, d: _pick(table_functions.seed_order()(edges(s, d).asTable(), F.lit("Degree"), F.lit(5.0))),
     "dom_im": _with(lambda e, n: seeds.dominating_search(e, n, 5, runs=RUNS, iterations=SWAPS)),
     "cluster_greedy": _with(lambda e, n: seeds.cluster_greedy(e, n, communities.greedy_modularity(e), 3, runs=RUNS)),
 }
@@ -206,6 +210,21 @@ fa AS (SELECT u, sym.d AS x, min(r) AS r FROM fn JOIN sym ON sym.s = v WHERE r <
 reach AS (SELECT u, x FROM nb UNION SELECT fa.u, fa.x FROM fa JOIN fc ON fc.u = fa.u AND fc.r = fa.r WHERE before <= 120), """ + _chosen_sql(rounds)
 
 
+def _mia_sql(k: int) -> str:
+    """Unrolled: all pairs within three arcs, the most that p = .1 leaves at .001; seeds' pairs anew for each candidate."""
+    out, chosen = f"WITH {E}", "SELECT -1 AS id"
+    for i in range(1, k + 1):
+        free = f"NOT IN ({chosen})"
+        out += f""", y{i} AS (SELECT s, d FROM sym WHERE s {free} AND d {free}), a{i} AS (SELECT u.id AS u, sym.s AS c, sym.d AS v FROM ({chosen}) g JOIN sym ON sym.s = g.id, deg u WHERE sym.d {free} AND u.id {free} AND sym.d <> u.id),
+b{i} AS (SELECT DISTINCT u, c, y.d AS v FROM a{i} JOIN y{i} y ON y.s = v WHERE y.d <> u), f{i} AS (SELECT DISTINCT u, c, y.d AS v FROM b{i} JOIN y{i} y ON y.s = v WHERE y.d <> u),
+o{i} AS (SELECT DISTINCT s AS u, d AS v FROM y{i}), p{i} AS (SELECT DISTINCT u, y.d AS v FROM o{i} JOIN y{i} y ON y.s = v), q{i} AS (SELECT DISTINCT u, y.d AS v FROM p{i} JOIN y{i} y ON y.s = v),
+h{i} AS (SELECT u, c, v, min(h) AS h FROM (SELECT u, c, v, 1 AS h FROM a{i} UNION ALL SELECT u, c, v, 2 FROM b{i} UNION ALL SELECT u, c, v, 3 FROM f{i} UNION ALL SELECT u, u, v, 1 FROM o{i} UNION ALL SELECT u, u, v, 2 FROM p{i} UNION ALL SELECT u, u, v, 3 FROM q{i}) WHERE u <> v GROUP BY u, c, v),
+r{i} AS (SELECT u, v, 1 - product(1 - pow(0.1, h)) AS reached FROM h{i} GROUP BY u, v), z{i} AS (SELECT u, sum(reached) AS gain FROM r{i} GROUP BY u),
+g{i} AS (SELECT id FROM deg LEFT JOIN z{i} ON u = id WHERE id {free} ORDER BY round(coalesce(gain, 0), 9) DESC, CAST(id AS VARCHAR) LIMIT 1)"""
+        chosen += f" UNION ALL SELECT id FROM g{i}"
+    return out + " " + " UNION ALL ".join(f"SELECT 'part' AS graph, CAST({i} AS BIGINT) AS step, id AS node FROM g{i}" for i in range(1, k + 1))
+
+
 SQL = {
     "arcs_constant": f"WITH {E} SELECT 'part' AS graph, s, d, CAST(0.1 AS DOUBLE) AS p FROM sym",
     "arcs_weighted_cascade": f"WITH {E} SELECT 'part' AS graph, s, d, round(1.0 / degree, 9) AS p FROM sym JOIN deg ON deg.id = d",
@@ -249,3 +268,6 @@ SQL["celf"] = SQL["mc_greedy"]
 SQL["celf_pp"] = _mc_greedy_sql("CAST(u AS VARCHAR) DESC")
 SQL["diverse_degree"] = _diverse_sql(5)
 SQL["two_hop_cover"] = _two_hop_sql(5)
+SQL["mia"] = _mia_sql(3)
+SQL["sql_removal_order"] = GRAPH_SQL["order_hda"]
+SQL["sql_seed_order"] = f"WITH {E}, {DC} SELECT 'part' AS graph, r AS step, id AS node FROM o WHERE r <= 5"

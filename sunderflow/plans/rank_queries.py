@@ -134,6 +134,7 @@ _ANSWERS = """SELECT p_partkey AS k, CASE p_partkey % 9 WHEN 0 THEN 'Error 503'
 _GROUPS = {"pool0": (0.6, 0.2, 0.2), "pool1": (0.2, 0.6, 0.2)}
 
 QUERIES = {
+    "custom_order": lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n")).withColumn("place", scalars.custom_order(F.col("l_returnflag"), ["R", "N"])).where("place IS NOT NULL"),
     "avg_rank": lambda s, d: log(s, d).select("candidate_id", ranking.average_rank(F.col("R"), ["pool"], True, F.col("valid")).alias("rank_R"), ranking.average_rank(F.col("auc_cNBI"), ["pool"], False, F.col("valid")).alias("rank_auc")),
     "rank01_variants": lambda s, d: rounded(ranking.with_ranks(log(s, d).where("valid"), {f"rank_{p}": ranking.Rank(F.col("patchy"), True, None, p) for p in "abcdef"}).select("candidate_id", *[f"rank_{p}" for p in "abcdef"])),
     "time_saturated_rank": lambda s, d: rounded(ranking.with_time_rank(log(s, d).where("valid"), "rank_time", F.col("time_s")).select("candidate_id", "rank_time")),
@@ -225,6 +226,7 @@ SELECT "group", family, CAST(number AS INTEGER) AS number, CAST(round(neighbours
  CAST(cap AS INTEGER) AS cap, CAST(two_hop_cap AS INTEGER) AS two_hop_cap, ("group" = 'Relative-Free' AND number IN (7, 29, 53, 71, 89)) OR ("group" = 'CostAware-Free' AND number IN (31, 77)) AS invalid FROM a"""
 
 SQL = {
+    "custom_order": "SELECT l_returnflag, count(*) AS n, CAST(list_position(['R', 'N'], l_returnflag) AS BIGINT) AS place FROM lineitem WHERE l_returnflag IN ('R', 'N') GROUP BY l_returnflag",
     "avg_rank": f"WITH {L} SELECT l.candidate_id, rank_R, rank_auc FROM l LEFT JOIN (SELECT candidate_id, {_avg('R', False, 'pool')} AS rank_R, {_avg('auc_cNBI', True, 'pool')} AS rank_auc FROM v) x ON x.candidate_id = l.candidate_id",
     "rank01_variants": f"""WITH {L}, n AS (SELECT candidate_id, {_avg('patchy', True)} AS place, count(*) OVER () AS known, (SELECT count(*) FROM v) AS every FROM v WHERE patchy IS NOT NULL)
 SELECT v.candidate_id, round(1 - (place - 1) / (every - 1), 9) AS rank_a, round(coalesce(1 - (place - 1) / (known - 1), 0.0), 9) AS rank_b, round(coalesce(1 - (place - 1) / (every - 1), 0.0), 9) AS rank_c,

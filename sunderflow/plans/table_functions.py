@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, PartitioningColumn, udtf
 from pyspark.sql.types import StructType
+from pyspark.sql.udtf import UserDefinedTableFunction
 
 from ..operators.adaptive import PROGRAMS, Residual
 from .seed_search import SEED_PROGRAMS
@@ -72,13 +73,19 @@ def _function(programs: dict[str, Callable], schema: StructType, amount: Callabl
     return Order
 
 
-def register_functions(spark: SparkSession, seconds: float = 60.0, removal: dict[str, Callable] = PROGRAMS, seeding: dict[str, Callable] = SEED_PROGRAMS) -> None:
-    """Makes removal_order(edges, method, rate) and seed_order(edges, method, k) known to a session's SQL.
-
-    removal_order is complete: beyond rate nodes go by id. seed_order gives k seeds, by default the graph's budget.
-    """
-    schema = StructType.fromDDL(_RESULT)
+def removal_order(programs: dict[str, Callable] = PROGRAMS, seconds: float = 60.0) -> UserDefinedTableFunction:
+    """removal_order(edges, method, rate): complete orders; beyond rate (null: .3) nodes go by id."""
     steps = lambda n, rate: max(1, min(n, round(n * (0.3 if rate is None else float(rate)))))
-    seeds = lambda n, k: min(n, int(k) if k is not None else max(3, min(12, round(0.05 * n))))
-    spark.udtf.register("removal_order", udtf(_function(dict(removal), schema, steps, True, seconds)))
-    spark.udtf.register("seed_order", udtf(_function(dict(seeding), schema, seeds, False, seconds)))
+    return udtf(_function(dict(programs), StructType.fromDDL(_RESULT), steps, True, seconds))
+
+
+def seed_order(programs: dict[str, Callable] = SEED_PROGRAMS, seconds: float = 60.0) -> UserDefinedTableFunction:
+    """seed_order(edges, method, k): k seeds of each graph (null: its budget)."""
+    many = lambda n, k: min(n, int(k) if k is not None else max(3, min(12, round(0.05 * n))))
+    return udtf(_function(dict(programs), StructType.fromDDL(_RESULT), many, False, seconds))
+
+
+def register_functions(spark: SparkSession, seconds: float = 60.0, removal: dict[str, Callable] = PROGRAMS, seeding: dict[str, Callable] = SEED_PROGRAMS) -> None:
+    """Makes both known to a session's SQL by their names."""
+    spark.udtf.register("removal_order", removal_order(removal, seconds))
+    spark.udtf.register("seed_order", seed_order(seeding, seconds))

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from sunderflow.operators import adaptive, communities, diffusion, ordering, seeds, static_orders, statistics, trajectory, variants
+from sunderflow.operators import adaptive, communities, diffusion, ordering, path_influence, seeds, static_orders, statistics, trajectory, variants
 from sunderflow.operators.components import connected_components
 from sunderflow.sources import edgelists, generators, projections
 
@@ -52,7 +52,7 @@ def test_smoke_curve(smoke, spark):
 
 def test_smoke_seeds(smoke):
     assert order_of(seeds.degree_discount(smoke, 3, 0.1)) == [2, 9, 7]
-    assert order_of(seeds.mia(smoke, projections.nodes_of(smoke), 3, 0.1)) == [2, 5, 8]
+    assert order_of(path_influence.mia(smoke, projections.nodes_of(smoke), 3, 0.1)) == [2, 5, 8]
 
 
 def random_pairs(n, m, seed):
