@@ -2,6 +2,7 @@
 
 import pytest
 
+from sunderflow.operators import ranking
 from sunderflow.plans import graph_queries, influence_queries, rank_queries
 
 QUERIES = graph_queries.QUERIES | influence_queries.QUERIES | rank_queries.QUERIES
@@ -34,3 +35,15 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_tie_groups_of_equal_means_and_methods(spark):
+    """Rows of one mean and method, of which sorts may put any first, are in one group."""
+    made = [("d", f"m{i % 7}", i, float(i % 21 * 3), float(i % 7 % 4), True) for i in range(2000)]
+    results = spark.createDataFrame(made, "dataset string, method string, k long, spread double, spread_ci95 double, valid boolean").repartition(5)
+    got = {r.k: r.rank_tie_group for r in ranking.tie_groups(results).collect()}
+    want, group, before = {}, 1, None
+    for _, method, k, spread, ci, _ in sorted(made, key=lambda r: (-r[3], r[1])):
+        group += before is not None and before[0] - spread > before[1] + ci
+        want[k], before = f"d-G{group}", (spread, ci)
+    assert got == want and group > 3
