@@ -5,12 +5,13 @@ import random
 import re
 import subprocess
 import sys
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from sunderflow.operators import adaptive, diffusion, static_orders, statistics, trajectory
+from sunderflow.operators import adaptive, components, diffusion, static_orders, statistics, trajectory, variants  # noqa: F401
 from sunderflow.sources import edgelists, projections
 
 
@@ -137,6 +138,7 @@ def test_reverse_sets_go_on(two_graphs):
 
 POWER_LAW = """
 import sys
+import time
 sys.path.insert(0, sys.argv[1])
 from pyspark.sql import SparkSession, functions as F
 from sunderflow.sources import generators
@@ -159,3 +161,31 @@ def test_power_law_in_a_fresh_jvm(tmp_path):
     assert len(found) == 3, done.stderr[-2000:]
     for n, nodes, ends, low in found:
         assert int(nodes) > 0.99 * int(n) and 3.6 < int(ends) / int(n) < 5.2 and 0.48 < float(low) < 0.6
+
+
+@pytest.mark.parametrize("rate", [0.3, 0.9])
+def test_orders_by_component(spark, monkeypatch, rate):
+    """Bins of components, merged, come to the order of the whole graph, through all phases of the scorers."""
+    rows_of = lambda name, seed, n, m: [(name, *p) for p in sorted({tuple(sorted(random.Random(seed * 1000 + i).sample(range(n), 2))) for i in range(m)})]
+    edges = spark.createDataFrame(rows_of("g", 5, 200, 170) + rows_of("h", 6, 90, 100), "graph string, src long, dst long").cache()
+    nodes, bins = projections.nodes_of(edges).cache(), adaptive.bins_of
+    monkeypatch.setattr(adaptive, "bins_of", lambda e, n: bins(e, n, 8, 20))
+    methods = ["HDA", "CoreHD-fast", "Component", "GND-cut", "MinSum", "S-case", "S-inner"]
+    assert rows(adaptive.adaptive_orders(edges, nodes, methods, rate, whole=10)) == rows(adaptive.adaptive_orders(edges, nodes, methods, rate))
+
+
+def test_local_scores_of_many_nodes():
+    """A step doesn't look at all nodes: 90,000 steps of 300,000 nodes took over a minute when it did."""
+    g = adaptive.Residual(list(range(300_000)), ((2 * i, 2 * i + 1) for i in range(150_000)))
+    began = time.perf_counter()
+    order = adaptive.PROGRAMS["Local"](g, 90_000)
+    assert len(set(order)) == 90_000 and len({u // 2 for u in order}) == 90_000
+    assert time.perf_counter() - began < 40
+
+
+def test_star_rounds_broadcast_nothing(spark, monkeypatch):
+    plans, durable = [], components.durable
+    monkeypatch.setattr(components, "durable", lambda df, *more: plans.append(df._jdf.queryExecution().executedPlan().toString()) or durable(df, *more))
+    edges = random_edges(spark, 3, 40, 50).select("src", "dst")
+    assert rows(components.connected_components(edges, local=5)) == rows(components.connected_components(edges))
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
