@@ -8,16 +8,21 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..sources.projections import nodes_of
+from ..sources.storage import durable
+from .by_component import bins_of, dealt
 
-def merge_greedily(pairs: list[tuple[int, int]]) -> dict[int, int]:
-    """Each node's community, named by its smallest node.
+
+def merge_greedily(pairs: list[tuple[int, int]], twice: int | None = None) -> dict[int, int]:
+    """Each node's community, named by its smallest node. twice: twice the edges of the whole graph, if pairs are some of its components.
 
     The two communities whose union adds most to the modularity become one, of ties those with the smallest names, until no
     union adds anything. With m edges, e of them between two communities of total degrees j and k, a union adds
     (2 m e - j k) / 2 m^2; the numerator is compared, which is whole.
     """
-    twice = 2 * len(pairs)
+    twice = twice or 2 * len(pairs)
     between: dict[int, Counter] = defaultdict(Counter)
     for a, b in pairs:
         between[a][b] += 1
@@ -44,11 +49,15 @@ def merge_greedily(pairs: list[tuple[int, int]]) -> dict[int, int]:
 
 
 def greedy_modularity(edges: DataFrame) -> DataFrame:
-    """(graph, id, community) of every node with an edge; community is the smallest id in it. A task holds a graph."""
+    """(graph, id, community) of every node with an edge; community is the smallest id in it. Unions never join components, and
+    of the others only the number of edges counts, so a task holds a component or several small ones."""
 
     def run(pairs: pa.Table) -> pa.Table:
-        found = merge_greedily([*zip(pairs.column("src").to_pylist(), pairs.column("dst").to_pylist(), strict=True)])
+        found = merge_greedily([*zip(pairs.column("src").to_pylist(), pairs.column("dst").to_pylist(), strict=True)], pairs.column("twice")[0].as_py())
         ids = np.array(sorted(found), np.int64)
         return pa.table({"graph": pa.array([pairs.column("graph")[0].as_py()] * len(ids), pa.string()), "id": ids, "community": pa.array([found[u] for u in ids.tolist()], pa.int64())})
 
-    return edges.select("graph", "src", "dst").groupBy("graph").applyInArrow(run, "graph string, id long, community long")
+    size = durable(edges.groupBy("graph").agg((2 * F.count(F.lit(1))).alias("twice")), "graph-sizes")
+    bins = bins_of(edges, nodes_of(edges)).withColumnRenamed("id", "src")
+    own = edges.select("graph", "src", "dst").join(bins, ["graph", "src"]).join(size, "graph")
+    return dealt(own, "graph", "bin").groupBy("graph", "bin").applyInArrow(run, "graph string, id long, community long")
