@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from sunderflow.operators import by_component, communities, seeds
+from sunderflow.operators import by_component, communities, seeds, static_orders
 from sunderflow.sources import projections
 
 
@@ -80,3 +80,38 @@ def test_cluster_greedy_by_components(table, islands, small_bins, k):
     want = [u for o, n in zip(options, shares, strict=True) for u, _ in o[:n]]
     got = seeds.cluster_greedy(table, projections.nodes_of(table), communities.greedy_modularity(table), k, 8, 5)
     assert [r.node for r in got.orderBy("step").collect()] == want
+
+
+def _between_plainly(near):
+    """Ordered pairs, by counts of shortest paths from every node."""
+    known = {}
+    for s in near:
+        level, count, seen = {s: 0}, {s: 1}, [s]
+        for u in seen:
+            for v in near[u]:
+                if v not in level:
+                    level[v], count[v] = level[u] + 1, 0
+                    seen.append(v)
+                if level[v] == level[u] + 1:
+                    count[v] += count[u]
+        known[s] = level, count
+    return {u: sum(known[s][1][u] * known[u][1][t] / known[s][1][t] for s in near for t in known[s][0] if len({s, t, u}) == 3 and u in known[s][0] and known[s][0][u] + known[u][0][t] == known[s][0][t]) for u in near}
+
+
+@pytest.mark.parametrize("options", [{}, {"blocks": 3}, {"local": 12, "pairs": 500}])
+def test_betweenness_by_components(table, islands, small_bins, options):
+    """In tasks, in blocks of sources, and with the larger components over tables."""
+    near = _near(islands)
+    pairs = (len(near) - 1) * (len(near) - 2)
+    got = {r.id: round(r.score * pairs, 6) for r in static_orders.betweenness(table, **options).collect()}
+    assert got == {u: round(x, 6) for u, x in _between_plainly(near).items()}
+
+
+def test_trees_are_settled_in_whole_numbers():
+    """A tree needs no search; a ring with a tail is searched without the tail."""
+    path = [[1], [0, 2], [1, 3], [2]]
+    kept, weight, settled = static_orders._trees_off(path)
+    assert not any(kept) and settled == [0.0, 4.0, 4.0, 0.0]
+    tail = [[1, 2], [0, 2], [0, 1, 3], [2, 4], [3]]
+    kept, weight, settled = static_orders._trees_off(tail)
+    assert kept == [[1, 2], [0, 2], [0, 1], [], []] and weight[:3] == [1, 1, 3] and settled == [0.0, 0.0, 8.0, 6.0, 0.0]
