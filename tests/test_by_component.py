@@ -115,3 +115,14 @@ def test_trees_are_settled_in_whole_numbers():
     tail = [[1, 2], [0, 2], [0, 1, 3], [2, 4], [3]]
     kept, weight, settled = static_orders._trees_off(tail)
     assert kept == [[1, 2], [0, 2], [0, 1], [], []] and weight[:3] == [1, 1, 3] and settled == [0.0, 0.0, 8.0, 6.0, 0.0]
+
+
+@pytest.mark.parametrize("method", ["MCGreedy", "CELF++"])
+def test_spread_greedy_by_components(spark, table, small_bins, method):
+    """As over tables, ties included: the second graph is made of pairs."""
+    pairs = spark.createDataFrame([("h", i, i + 50) for i in range(50)], "graph string, src long, dst long")
+    both = table.unionByName(pairs)
+    lone = spark.createDataFrame([("h", 7000, 101)], "graph string, id long, pos int")
+    nodes = projections.nodes_of(both).unionByName(lone)
+    made = lambda **how: sorted(tuple(r) for r in seeds.spread_greedy(both, nodes, 5, 16, 0.5, method=method, **how).collect())
+    assert len(made()) == 10 and made() == made(held=0)
