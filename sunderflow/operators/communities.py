@@ -10,9 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.projections import nodes_of
 from ..sources.storage import durable
-from .by_component import bins_of, dealt
+from .by_component import binned_edges, dealt
 
 
 def merge_greedily(pairs: list[tuple[int, int]], twice: int | None = None) -> dict[int, int]:
@@ -58,6 +57,4 @@ def greedy_modularity(edges: DataFrame) -> DataFrame:
         return pa.table({"graph": pa.array([pairs.column("graph")[0].as_py()] * len(ids), pa.string()), "id": ids, "community": pa.array([found[u] for u in ids.tolist()], pa.int64())})
 
     size = durable(edges.groupBy("graph").agg((2 * F.count(F.lit(1))).alias("twice")), "graph-sizes")
-    bins = bins_of(edges, nodes_of(edges)).withColumnRenamed("id", "src")
-    own = edges.select("graph", "src", "dst").join(bins, ["graph", "src"]).join(size, "graph")
-    return dealt(own, "graph", "bin").groupBy("graph", "bin").applyInArrow(run, "graph string, id long, community long")
+    return dealt(binned_edges(edges).join(size, "graph"), "graph", "bin").groupBy("graph", "bin").applyInArrow(run, "graph string, id long, community long")

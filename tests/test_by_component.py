@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from sunderflow.operators import by_component, communities, seeds, static_orders
+from sunderflow.operators import by_component, communities, seeds, static_orders, statistics
 from sunderflow.sources import projections
 
 
@@ -126,3 +126,10 @@ def test_spread_greedy_by_components(spark, table, small_bins, method):
     nodes = projections.nodes_of(both).unionByName(lone)
     made = lambda **how: sorted(tuple(r) for r in seeds.spread_greedy(both, nodes, 5, 16, 0.5, method=method, **how).collect())
     assert len(made()) == 10 and made() == made(held=0)
+
+
+def test_labels_by_components(table, small_bins):
+    """A limit of 30 edges leaves some components to tasks and some to tables; all agree."""
+    made = lambda **how: sorted(tuple(r) for r in statistics.label_propagation(table, **how).collect())
+    whole = statistics._labelled(table.select("graph", "src", "dst").toArrow()).to_pylist()
+    assert made() == made(local=30) == sorted((r["graph"], r["id"], r["community"]) for r in whole)
