@@ -7,7 +7,8 @@ import random
 import numpy as np
 import pytest
 
-from sunderflow.operators import by_component, communities, seeds, static_orders, statistics
+from sunderflow.operators import adaptive, by_component, communities, seeds, static_orders, statistics, variants  # noqa: F401  (registers heuristics)
+from sunderflow.plans import validation
 from sunderflow.sources import projections
 
 
@@ -133,3 +134,16 @@ def test_labels_by_components(table, small_bins):
     made = lambda **how: sorted(tuple(r) for r in statistics.label_propagation(table, **how).collect())
     whole = statistics._labelled(table.select("graph", "src", "dst").toArrow()).to_pylist()
     assert made() == made(local=30) == sorted((r["graph"], r["id"], r["community"]) for r in whole)
+
+
+def test_validation_by_components(table, small_bins):
+    """Programs of events give by components what they give on the whole graph; others still run, and errors show."""
+
+    def broken(g):
+        raise ValueError("broken")
+        yield
+
+    programs = {n: adaptive.PROGRAMS[n] for n in ("HDA", "MinSum", "S-case", "Local")} | {"broken": by_component.by_events(broken)}
+    nodes = projections.nodes_of(table)
+    made = lambda whole: {r.method: r for r in validation.evaluate(table, nodes, programs, whole=whole).drop("time_s").collect()}
+    assert made(0) == made(10**6) and made(0)["broken"].error == "ValueError: broken" and made(0)["HDA"].valid
