@@ -6,8 +6,10 @@ import re
 import subprocess
 import sys
 import time
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +141,7 @@ def test_reverse_sets_go_on(two_graphs):
 POWER_LAW = """
 import sys
 import time
+import tracemalloc
 sys.path.insert(0, sys.argv[1])
 from pyspark.sql import SparkSession, functions as F
 from sunderflow.sources import generators
@@ -189,3 +192,16 @@ def test_star_rounds_broadcast_nothing(spark, monkeypatch):
     edges = random_edges(spark, 3, 40, 50).select("src", "dst")
     assert rows(components.connected_components(edges, local=5)) == rows(components.connected_components(edges))
     assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_a_replay_is_small():
+    """What a task replays at most takes less than 250 MB; a path falls apart from its end."""
+    n = 20_000
+    steps = np.arange(1, n)
+    tracemalloc.start()
+    sizes, joins = trajectory.Sizes(n), trajectory._Joins(0, n, steps, steps - 1, steps)
+    out = trajectory._replayed(sizes, 0, n, np.arange(n), joins)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most / (2 * n) * trajectory.LOCAL < 250e6
+    assert out["largest"].tolist() == [n - k for k in range(1, n + 1)] and out["parts"].tolist() == [1] * (n - 1) + [0]
