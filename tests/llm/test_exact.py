@@ -240,3 +240,19 @@ def test_spans_are_removed(spark, odd, pairs):
 def test_odd_radii_are_refused(odd):
     with pytest.raises(ValueError):
         simhash.near_dedup(odd, radius=3)
+
+
+@pytest.mark.parametrize("batch", [2, 5, 1000])
+def test_crowded_entries_leave_as_they_come(spark, batch):
+    """Entries are dealt once; all fingerprints of those of more than `dense` are marked, wherever batches are cut, the others linked."""
+    sizes = {1: 1, 2: 2, 3: 3, 4: 4, 5: 9, 6: 1, 7: 12}
+    rows = [(k, 1000 * k + (1 << 40) * (1 << i if i else 0)) for k, n in sizes.items() for i in range(n)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        entries = spark.createDataFrame(rows, "_key long, _fp long").coalesce(1).sortWithinPartitions("_key")
+        got = simhash._entry_links(entries, 4, 3).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(r.src for r in got if r.dst is None) == sorted(f for k, f in rows if sizes[k] > 3)
+    assert {f for r in got if r.dst is not None for f in (r.src, r.dst)} == {f for k, f in rows if sizes[k] in (2, 3)}
