@@ -24,6 +24,7 @@ doc_id follow each other and are rows of their own. An empty table makes no segm
 from __future__ import annotations
 
 import re
+import string
 import struct
 import uuid
 import zlib
@@ -115,6 +116,18 @@ class Segment:
         return int(self.take(np.array([place]))[0])
 
 
+def checksums(found: Segment, tokens: int = 1 << 16) -> list[int]:
+    """The crc32 of each document's ids as 32-bit numbers; documents are read together up to that many tokens, or one by itself."""
+    out, starts, i = [], found.starts, 0
+    while i < found.documents:
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + tokens, "right")) - 1)
+        ids = memoryview(found.take(np.arange(starts[i], starts[j])).tobytes())
+        ends = (4 * (starts[i : j + 1] - starts[i])).tolist()
+        out += [zlib.crc32(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        i = j
+    return out
+
+
 def segments(data: bytes) -> Iterator[Segment]:
     """The segments of a file."""
     at = 0
@@ -130,13 +143,13 @@ class _Unsafe(Exception):
 class Words(dict):
     """Ids, as bytes, of words after a prefix; what is missing is encoded. old holds an earlier generation.
 
-    Only words of letters, and marks, are kept. What else is met is made of them where it can be: letters and the marks after
+    Only words of letters, or of marks, are kept. What else is met is made of them where it can be: letters and the marks after
     them, and the two sides of a line feed, are never one pre-token.
     """
 
     SAFE = re.compile(r"[!-~\w](?:.*[!-~\w])?", re.S)
-    #: Letters with ASCII marks after them.
-    MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
+    #: ASCII marks, as they stand after letters.
+    MARKS = string.punctuation
     #: Latin, Greek and Cyrillic: what is a letter there is one in every version of Unicode since 7.
     LAST_LETTER = "\u052f"
 
@@ -154,18 +167,34 @@ class Words(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if not (word.isalpha() and max(word) <= self.LAST_LETTER):
+        letters = word.rstrip(self.MARKS)
+        if len(letters) < len(word) and letters.isalpha():
+            return self[letters] + self.marked(word[len(letters) :])
+        if word and not letters:
+            return self.kept(word, self.old.get(word) or self.encode(self.prefix + word))
+        if not (word.isalpha() and (word.isascii() or max(word) <= self.LAST_LETTER)):
             return self.made(word)
         found = self.old.get(word)
         if found is None:
             piece = word if word.isascii() else "".join([self.letters[x] for x in word.encode()])
             found = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(self.lead + piece)])
+        return self.kept(word, found)
+
+    def kept(self, word: str, found: bytes) -> bytes:
         if len(self) >= _WORDS_KEPT:
             self.old = dict(self)
             self.clear()
         self[word] = found
         return found
 
+    def marked(self, marks: str) -> bytes:
+        found = self.marks.get(marks)
+        if found is None:
+            found = self.encode(marks)
+            if len(self.marks) < _WORDS_KEPT // 10:
+                self.marks[marks] = found
+        return found
+
     def made(self, word: str) -> bytes:
         if "\n" in word:
             first, *rest = word.split("\n")
@@ -173,13 +202,6 @@ class Words(dict):
                 if not self.SAFE.fullmatch(line):
                     raise _Unsafe
             return self.feed.join([self[first], *map(self.bare.__getitem__, rest)])
-        if (m := self.MARKED.fullmatch(word)) and (letters := m[1]).isalpha():
-            mark = self.marks.get(m[2])
-            if mark is None:
-                mark = self.encode(m[2])
-                if len(self.marks) < _WORDS_KEPT // 10:
-                    self.marks[m[2]] = mark
-            return self[letters] + mark
         if not self.SAFE.fullmatch(word):
             raise _Unsafe
         return self.encode(self.prefix + word)
@@ -252,7 +274,7 @@ def directory(spark: SparkSession, folder: str, digests: bool = True) -> DataFra
                     n, starts = found.documents, found.starts
                     crc = pa.nulls(n, pa.int64())
                     if digests:
-                        crc = pa.array([zlib.crc32(found.take(np.arange(a, b)).tobytes()) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.int64())
+                        crc = pa.array(checksums(found), pa.int64())
                     of = [np.full(n, x) for x in (found.file, found.first)]
                     ids = pa.array(found.doc_ids, mask=found.null.astype(bool))
                     columns = [*map(pa.array, of), pa.array(np.arange(n)), ids, pa.array(found.first + starts[:-1]), pa.array(np.diff(starts)), crc]

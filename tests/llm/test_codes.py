@@ -203,3 +203,22 @@ def test_fill_in_middle(spark, odd, pairs, rate, share):
 
 def test_no_middles(nothing):
     assert fill_in_middle.fill_in_middle(nothing).count() == 0
+
+
+def test_words_of_marks_are_encoded_once_and_checksums_taken_together():
+    """A mark between spaces costs one call of the tokenizer, however often it comes; ids and checksums are what they were."""
+    import zlib
+
+    import numpy as np
+
+    with open(token_files.VOCABULARY, encoding="utf-8") as f:
+        encoder = token_files.TextEncoder(f.read())
+    text, calls = "one | two, | three!! | (four) | five_ | 6. | seven\n| | ...", []
+    for words in (encoder.bare, encoder.spaced):
+        words.encode = lambda x, f=words.encode: (calls.append(x), f(x))[1]
+    got = encoder(text)
+    assert calls.count(" |") == 1
+    assert np.frombuffer(got, "<u4").tolist() == encoder.bare.tokenizer.encode(text, add_special_tokens=False).ids
+    ids = [np.arange(n, dtype="<u4").tobytes() for n in (1, 300, 0, 70_000, 5)]
+    found = token_files.Segment(token_files.segment(0, 0, list(range(5)), ids))
+    assert token_files.checksums(found, 400) == token_files.checksums(found) == [zlib.crc32(x) for x in ids]
