@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sunderflow.operators import adaptive, by_component, communities, seeds, static_orders, statistics, variants  # noqa: F401  (registers heuristics)
@@ -147,3 +150,29 @@ def test_validation_by_components(table, small_bins):
     nodes = projections.nodes_of(table)
     made = lambda whole: {r.method: r for r in validation.evaluate(table, nodes, programs, whole=whole).drop("time_s").collect()}
     assert made(0) == made(10**6) and made(0)["broken"].error == "ValueError: broken" and made(0)["HDA"].valid
+
+
+@pytest.mark.parametrize("name", ["Q-case", "S-case", "Q-inner", "S-inner"])
+def test_outdated_scores_do_not_pile_up(monkeypatch, name):
+    """A heap holds few more entries than there are nodes, however often scores are renewed."""
+    rng, most, push = random.Random(3), [], heapq.heappush
+    monkeypatch.setattr(variants.heapq, "heappush", lambda heap, x: (push(heap, x), most.append(len(heap))))
+    pairs = {(min(p), max(p)) for p in (rng.sample(range(400), 2) for _ in range(900))}
+    order = adaptive.PROGRAMS[name](adaptive.Residual(list(range(400)), pairs), 400)
+    assert sorted(order) == list(range(400)) and max(most) < 1.5 * 400 + 64 + 120
+
+
+def test_offers_are_held_in_arrays():
+    """An event of eight numbers takes some 100 bytes, and the table says what was added."""
+    tracemalloc.start()
+    offers, before = by_component.Offers(), tracemalloc.get_traced_memory()[0]
+    for i in range(20_000):
+        offers.add(i, tuple(float(i + j) for j in range(8)), i % 7, None if i % 5 == 0 else i)
+    grown = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert grown < 160 * 20_000
+    offers.more = True
+    rows = offers.table(*map(pa.scalar, ("g", "m", "b"))).to_pylist()
+    assert rows[5] == {"graph": "g", "method": "m", "bin": "b", "seq": 5, "score": [5.0 + j for j in range(8)], "tie": 5, "node": None, "last": False, "error": "", "time_s": 0.0}
+    assert rows[6]["node"] == 6 and [r["seq"] for r in rows if r["last"]] == [19_999]
+    assert by_component.Offers().table(*map(pa.scalar, ("g", "m", "b"))).num_rows == 0
