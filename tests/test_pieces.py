@@ -37,3 +37,31 @@ def test_a_removal_does_not_look_at_the_whole_component(method, monkeypatch):
         monkeypatch.setattr(g, name, lambda of, was=getattr(g, name): looked.append(len(of)) or was(of))
     assert len(adaptive.PROGRAMS[method](g, 1500)) == 1500
     assert sum(looked) <= 2 * g.n
+
+
+def _plain_cutting(g: adaptive.Residual) -> list[int]:
+    order = []
+    while g.alive:
+        part = set(max(g.components(g.alive), key=lambda p: (len(p), min(g.ids[u] for u in p))))
+        if cut := adaptive._cuts(g, part):
+            order.append(min(cut, key=lambda u: (cut[u], g.ids[u])))
+        else:
+            score = adaptive._betweenness(g, part)
+            order.append(min(score, key=lambda u: (-round(score[u], 9), g.ids[u])))
+        g.remove(order[-1])
+    return order
+
+
+@pytest.mark.parametrize("n,m", [(40, 25), (60, 60), (80, 95), (150, 180), (120, 300)])
+@pytest.mark.parametrize("seed", range(5))
+def test_same_cuts(n, m, seed):
+    assert adaptive.PROGRAMS["GND-cut"](_drawn(n, m, seed), n) == _plain_cutting(_drawn(n, m, seed))
+
+
+def test_cuts_are_looked_for_in_the_core(monkeypatch):
+    """A ring with trees: trees that hang on it aren't walked again for each removal."""
+    looked, was = [], adaptive._cuts
+    monkeypatch.setattr(adaptive, "_cuts", lambda g, part: looked.append(len(part)) or was(g, part))
+    g = adaptive.Residual(list(range(2000)), [(i, (i + 1) % 100) for i in range(100)] + [(i, (i + 37) % 100) for i in range(100)] + [(i, i - 100) for i in range(100, 2000)])
+    assert len(adaptive.PROGRAMS["GND-cut"](g, 60)) == 60
+    assert sum(looked) < 4000
